@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftarc.llm import quality_rules, url_filter
+from weftarc.llm import license_scan, quality_rules, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,9 +41,14 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/
 """
 
 
+def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence sentences and licences of every whole text."""
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filters, op6_quality_rules)}
-ORACLE_SQL: dict[str, str] = {"op2_url_filters": OP2_SQL}
+QUERIES = {f.__name__: f for f in (op2_url_filters, op3_license_scans, op6_quality_rules)}
+ORACLE_SQL: dict[str, str] = {"op2_url_filters": OP2_SQL, "op3_license_scans": license_scan.oracle_sql()}
