@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weftarc.llm import license_scan, quality_rules, url_filter
+from weftarc.llm import bpe_codec, license_scan, quality_rules, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,5 +52,22 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filters, op3_license_scans, op6_quality_rules)}
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every whole text."""
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
+def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every whole text's ids and of the text that they decode to."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coded = bpe_codec.decode(bpe_codec.encode(_table(spark, sf_dir, "documents"), path), path)
+    return coded.select(
+        "doc_id",
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("token_ids", " "), 256).alias("ids_sha256"),
+        F.sha2("decoded_text", 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op2_url_filters, op3_license_scans, op6_quality_rules, op8_token_counts, op9_bpe_codec)}
 ORACLE_SQL: dict[str, str] = {"op2_url_filters": OP2_SQL, "op3_license_scans": license_scan.oracle_sql()}
