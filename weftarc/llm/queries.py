@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftarc.llm import bpe_codec, license_scan, quality_rules, token_counts, url_filter
+from weftarc.llm import bpe_codec, license_scan, quality_rules, simhash, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(_table(spark, sf_dir, "documents"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every whole text."""
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), simhash.EXACT)
+    return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every whole text."""
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
@@ -69,5 +75,5 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filters, op3_license_scans, op6_quality_rules, op8_token_counts, op9_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op2_url_filters, op3_license_scans, op6_quality_rules, op7_simhash, op8_token_counts, op9_bpe_codec)}
 ORACLE_SQL: dict[str, str] = {"op2_url_filters": OP2_SQL, "op3_license_scans": license_scan.oracle_sql()}
