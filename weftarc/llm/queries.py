@@ -6,13 +6,39 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftarc.llm import bpe_codec, license_scan, quality_rules, simhash, token_counts, url_filter
+from weftarc.llm import bpe_codec, license_scan, quality_rules, simhash, token_counts, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back through the capture index of all URLs."""
+    captures = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url", F.col("html").alias("payload"))
+    index = warc.archive(captures)
+    return index.lookup(captures.select(warc.surt(F.col("url")).alias("surt"))).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def _base32(sha1: str) -> str:
+    """Base32 of a column of 40 hex digits in DuckDB SQL: 8 characters for every 10 digits."""
+    parts = [f"(('0x' || substr({sha1}, {k}, 10))::BIGINT >> {shift}) & 31" for k in (1, 11, 21, 31) for shift in range(35, -1, -5)]
+    return " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (({p}) + 1)::BIGINT, 1)" for p in parts)
+
+
+OP1_SQL = f"""
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages
+), grouped AS (
+  SELECT *, max(page_id) OVER (PARTITION BY h) AS response FROM payloads
+)
+SELECT page_id, strlen(payload) AS payload_bytes, {_base32("h")} AS payload_digest,
+       CASE WHEN response IS NULL OR page_id IS NOT DISTINCT FROM response THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN response IS NULL OR page_id IS NOT DISTINCT FROM response THEN NULL ELSE response END AS refers_to
+FROM grouped
+"""
+
+
 URL_RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 
 
@@ -75,5 +101,5 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filters, op3_license_scans, op6_quality_rules, op7_simhash, op8_token_counts, op9_bpe_codec)}
-ORACLE_SQL: dict[str, str] = {"op2_url_filters": OP2_SQL, "op3_license_scans": license_scan.oracle_sql()}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_url_filters, op3_license_scans, op6_quality_rules, op7_simhash, op8_token_counts, op9_bpe_codec)}
+ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op2_url_filters": OP2_SQL, "op3_license_scans": license_scan.oracle_sql()}
