@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftarc.llm import bpe_codec, license_scan, quality_rules, simhash, token_counts, url_filter, warc
+from weftarc.llm import bpe_codec, language_id, license_scan, quality_rules, simhash, token_counts, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,11 @@ def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language and its score of every whole text."""
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(_table(spark, sf_dir, "documents"))
 
@@ -101,5 +106,5 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_url_filters, op3_license_scans, op6_quality_rules, op7_simhash, op8_token_counts, op9_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_url_filters, op3_license_scans, op4_language_id, op6_quality_rules, op7_simhash, op8_token_counts, op9_bpe_codec)}
 ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op2_url_filters": OP2_SQL, "op3_license_scans": license_scan.oracle_sql()}
