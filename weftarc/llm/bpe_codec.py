@@ -25,41 +25,62 @@ from pyspark.sql import functions as F
 from weftarc.llm import bpe
 
 
+def encode_batch(text: pa.Array, path: str) -> pa.Array:
+    """Lists of ids of whole texts."""
+    table, store = bpe.load(path), bpe.store(path)
+    parts, counts = [np.zeros(0, np.int32)], np.zeros(len(text) + 1, np.int64)
+    for group in bpe.word_groups(text, table):
+        store.add([words for _, words in group if not isinstance(words, int)])
+        for row, words in group:
+            parts.append(np.array([words], np.int32) if isinstance(words, int) else store.ids(words))
+            counts[row + 1] += len(parts[-1])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(counts).astype(np.int32)), pa.array(np.concatenate(parts)))
+
+
+@lru_cache(maxsize=4)
+def _strings(path: str) -> pa.Array:
+    return pa.array(bpe.load(path).tokens, pa.large_string())
+
+
+def decode_batch(ids: pa.Array, path: str) -> pa.Array:
+    """The texts of lists of ids; null lists are empty."""
+    sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+    where = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int64())
+    strings = pa.LargeListArray.from_arrays(where, pc.take(_strings(path), ids.flatten()))
+    return pc.binary_join(strings, pa.scalar(" ", pa.large_string())).cast(pa.string())
+
+
 def encoder(path: str):
     """A column function: the ids of each text by the tokenizer file at ``path`` (on every machine)."""
 
     @F.arrow_udf("array<int>")
     def ids(text: pa.Array) -> pa.Array:
-        table, store = bpe.load(path), bpe.store(path)
-        parts, counts = [np.zeros(0, np.int32)], np.zeros(len(text) + 1, np.int64)
-        for group in bpe.word_groups(text, table):
-            store.add([words for _, words in group if not isinstance(words, int)])
-            for row, words in group:
-                parts.append(np.array([words], np.int32) if isinstance(words, int) else store.ids(words))
-                counts[row + 1] += len(parts[-1])
-        return pa.ListArray.from_arrays(pa.array(np.cumsum(counts).astype(np.int32)), pa.array(np.concatenate(parts)))
+        return encode_batch(text, path)
 
     return ids
 
 
-@lru_cache(maxsize=4)
-def _strings(path: str) -> pa.Array:
-    return pa.array(bpe.load(path).tokens, pa.large_string())
-
-
 def decoder(path: str):
     """A column function: the texts of ids, their strings joined by spaces (the files have no decoder of their own)."""
 
     @F.arrow_udf("string")
     def texts(ids: pa.Array) -> pa.Array:
-        offsets = ids.offsets if not ids.null_count else pa.array(np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy()))), pa.int32())
-        flat = ids.flatten() if ids.null_count else ids.values.slice(ids.offsets[0].as_py(), ids.offsets[-1].as_py() - ids.offsets[0].as_py())
-        where = pc.cast(pc.subtract(offsets, offsets[0]), pa.int64())
-        return pc.binary_join(pa.LargeListArray.from_arrays(where, pc.take(_strings(path), flat)), pa.scalar(" ", pa.large_string())).cast(pa.string())
+        return decode_batch(ids, path)
 
     return texts
 
 
+def coder(path: str):
+    """A column function: struct<token_ids, decoded_text> of each text; one pass where both are wanted."""
+
+    @F.arrow_udf("struct<token_ids: array<int>, decoded_text: string>")
+    def code(text: pa.Array) -> pa.Array:
+        ids = encode_batch(text, path)
+        return pa.StructArray.from_arrays([ids, decode_batch(ids, path)], names=["token_ids", "decoded_text"])
+
+    return code
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and token_ids (array<int>) of every row."""
     return docs.select("doc_id", encoder(path)("text").alias("token_ids"))
@@ -68,3 +89,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` with decoded_text; a column of that name is replaced."""
     return encoded.withColumn("decoded_text", decoder(path)("token_ids"))
+
+
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, token_ids and decoded_text of every row, encoded and decoded in one pass."""
+    return docs.select("doc_id", coder(path)("text").alias("coded")).select("doc_id", "coded.token_ids", "coded.decoded_text")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftarc.llm import bpe_codec, language_id, license_scan, quality_rules, simhash, token_counts, url_filter, warc
+from weftarc.llm import bpe_codec, decontaminate, language_id, license_scan, quality_rules, simhash, substring_dedup, token_counts, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document holds, with the agreeing words and where they begin."""
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(_table(spark, sf_dir, "documents"))
 
@@ -97,7 +102,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every whole text's ids and of the text that they decode to."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    coded = bpe_codec.decode(bpe_codec.encode(_table(spark, sf_dir, "documents"), path), path)
+    coded = bpe_codec.round_trip(_table(spark, sf_dir, "documents"), path)
     return coded.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
@@ -106,5 +111,16 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_url_filters, op3_license_scans, op4_language_id, op6_quality_rules, op7_simhash, op8_token_counts, op9_bpe_codec)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of repeated sentences that documents lose, and the text that is left to them."""
+    return substring_dedup.removals(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_warc, op2_url_filters, op3_license_scans, op4_language_id, op5_decontamination,
+        op6_quality_rules, op7_simhash, op8_token_counts, op9_bpe_codec, op10_substring_dedup,
+    )
+}
 ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op2_url_filters": OP2_SQL, "op3_license_scans": license_scan.oracle_sql()}

@@ -88,11 +88,10 @@ def run_finder(min_sentences: int = MIN_SENTENCES, min_words: int = MIN_RUN_WORD
 def repeated_spans(docs: DataFrame, **params) -> DataFrame:
     """doc_id, text_key, spans (sorted start, stop in bytes), first_doc_ids: of each document that holds a non-first repeated run."""
     runs = stored(docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.explode(run_finder(**params)("text")).alias("r")).select("doc_id", "text_key", "r.*"), "substring-runs")
-    firsts = (
-        runs.groupBy("run")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "text_key", "start")).alias("first"))
-        .filter("n > 1")
-        .drop("n")
+    # written, so that Spark can split the join where a run is in very many documents
+    firsts = stored(
+        runs.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "text_key", "start")).alias("first")).filter("n > 1").drop("n"),
+        "substring-firsts",
     )
     later = runs.join(firsts, "run").filter(~F.struct("doc_id", "text_key", "start").eqNullSafe(F.col("first")))
     return later.groupBy("doc_id", "text_key").agg(
@@ -117,10 +116,19 @@ def cut(text: Column, spans: Column) -> tuple[Column, Column]:
 
 
 def remove_repeats(docs: DataFrame, **params) -> DataFrame:
-    """``docs`` with ``text`` cut; adds removed_spans and first_doc_ids (null where nothing repeats) and removed_bytes."""
-    spans = repeated_spans(docs, **params).withColumnsRenamed({"doc_id": "_doc_id", "text_key": "_text_key", "spans": "removed_spans"})
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.xxhash64("text") == F.col("_text_key"))
-    joined = docs.join(spans, same, "left").drop("_doc_id", "_text_key")
+    """``docs`` with ``text`` cut; adds removed_spans and first_doc_ids (null where nothing repeats) and removed_bytes.
+
+    Columns of these names are replaced, others stay as they were.
+    """
+    docs = docs.drop("removed_spans", "first_doc_ids", "removed_bytes")
+    spans = stored(repeated_spans(docs, **params), "substring-spans").withColumnsRenamed({"doc_id": "__doc_id", "text_key": "__text_key", "spans": "removed_spans"})
+    same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.xxhash64("text") == F.col("__text_key"))
+    joined = docs.join(spans.hint("shuffle_hash"), same, "left").drop("__doc_id", "__text_key")
     left, removed = cut(F.col("text"), F.col("removed_spans"))
     some = F.col("removed_spans").isNotNull()
     return joined.withColumn("removed_bytes", F.when(some, removed).otherwise(0)).withColumn("text", F.when(some, left).otherwise(F.col("text")))
+
+
+def removals(docs: DataFrame, **params) -> DataFrame:
+    """doc_id, removed_spans, removed_bytes, first_doc_ids and the text that is left, of each document that loses something."""
+    return remove_repeats(docs.select("doc_id", "text"), **params).filter("removed_spans is not null").select("doc_id", "removed_spans", "removed_bytes", "first_doc_ids", "text")
