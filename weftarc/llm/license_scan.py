@@ -151,10 +151,11 @@ CLASSES = (
 )
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: (pattern, replacement): comment signs at a line's start; a wrapped line; the end of a sentence.
+#: (pattern, replacement): comment signs at a line's start; wrapped lines, in small letters or capitals; the end of a sentence.
 STEPS = (
     (r"(^|\n)[ \t]*(?:#+|//+|\*+|;+|--+)[ \t]*", "\n"),
     (r"([a-z0-9,(])[ \t]*\r?\n[ \t]*([a-z0-9(])", "{1} {2}"),
+    (r"([A-Z]{2},?)[ \t]*\r?\n[ \t]*([A-Z]{2})", "{1} {2}"),
     (r"([.!?;:])[ \t\r\f]+", "{1}\n"),
 )
 
