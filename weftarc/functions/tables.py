@@ -2,9 +2,27 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` in the folder ``sf_dir``, which may be in any store that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the folder that all executors share, and read again; it cuts the lineage of loops.
+
+    The folder is ``spark.checkpoint.dir`` of the session; only where that is unset (tests) an own one is made.
+    """
+    spark = df.sparkSession
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if at is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weftarc-"))
+        at = spark.sparkContext.getCheckpointDir()
+    path = f"{at.rstrip('/')}/weftarc/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from weftarc.functions.tables import table
+from weftarc.plans import web_queries
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def FLAGSHIP(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", "url")
+QUERIES = dict(web_queries.QUERIES)
+ORACLE_SQL = dict(web_queries.ORACLE_SQL)
+FLAGSHIP = web_queries.pth_hosts
