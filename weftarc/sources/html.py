@@ -12,23 +12,30 @@ from pyspark.sql import types as T
 from weftarc.functions.urls import with_url
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_KIND = pa.list_(pa.struct([("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("in_svg", pa.bool_())]))
+_KIND = pa.list_(pa.struct([("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("in_svg", pa.bool_()), ("start", pa.int32()), ("stop", pa.int32())]))
 
 
 class _Scan(HTMLParser):
-    """Elements in document order; the text inside title, style and script; whether an svg element is around."""
+    """Elements in document order; the text inside title, style and script; whether an svg element is around; where each start tag stands."""
 
-    def __init__(self):
+    def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
+        self.lines = [0]
+        for line in html.split("\n"):
+            self.lines.append(self.lines[-1] + len(line) + 1)
         self.found: list[dict] = []
         self.svg, self.open = 0, None
 
+    def place(self) -> int:
+        line, column = self.getpos()
+        return self.lines[line - 1] + column
+
     def handle_starttag(self, tag, attrs):
         once: dict = {}
         for k, v in attrs:  # of an attribute that is given twice, the first counts
             once.setdefault(k, v or "")
         self.svg += tag == "svg"
-        self.found.append({"tag": tag, "attrs": list(once.items()), "text": None, "in_svg": self.svg > 0})
+        self.found.append({"tag": tag, "attrs": list(once.items()), "text": None, "in_svg": self.svg > 0, "start": self.place(), "stop": self.place() + len(self.get_starttag_text())})
         if tag in ("title", "style", "script"):
             self.open = self.found[-1]
             self.open["text"] = ""
@@ -49,14 +56,14 @@ class _Scan(HTMLParser):
 
 
 def scan(html: str | None) -> list[dict]:
-    parser = _Scan()
+    parser = _Scan(html or "")
     parser.feed(html or "")
     parser.close()
     return parser.found
 
 
 ELEMENTS = T.ArrayType(
-    T.StructType([T.StructField("tag", T.StringType()), T.StructField("attrs", T.MapType(T.StringType(), T.StringType())), T.StructField("text", T.StringType()), T.StructField("in_svg", T.BooleanType())])
+    T.StructType([T.StructField("tag", T.StringType()), T.StructField("attrs", T.MapType(T.StringType(), T.StringType())), T.StructField("text", T.StringType()), T.StructField("in_svg", T.BooleanType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])
 )
 
 
@@ -66,7 +73,7 @@ def elements_of(html: pa.Array) -> pa.Array:
 
 
 def elements(pages: DataFrame) -> DataFrame:
-    """page_id, url, element_no (from 1), tag, attrs, text, in_svg: a row for each element of ``pages`` (page_id, url, html)."""
+    """page_id, url, element_no (from 1), tag, attrs, text, in_svg, start and stop (of the start tag, in characters): a row for each element of ``pages`` (page_id, url, html)."""
     scanned = pages.select("page_id", "url", elements_of("html").alias("found"))
     return scanned.select("page_id", "url", F.posexplode("found").alias("at", "e")).select("page_id", "url", (F.col("at") + 1).alias("element_no"), "e.*")
 
