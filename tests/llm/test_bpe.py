@@ -15,7 +15,7 @@ known = st.characters(max_codepoint=0x2FF, exclude_categories=("Cs", "Cn"))
 
 
 def ids_of(path, texts):
-    return bpe_codec.encode_batch(pa.array(texts, pa.string()), path).to_pylist()
+    return bpe_codec.encode_batch(pa.array(texts, pa.string()), bpe.WordStore(bpe.load(path))).to_pylist()
 
 
 @pytest.mark.parametrize("path", [BYTES, WORDS])

@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 
 NO_RANK = np.iinfo(np.int32).max
-#: Words kept with their results by a worker; beyond it the store is emptied. It changes no result.
+#: Words kept with their results by a task; beyond it the store is emptied. It changes no result.
 MAX_STORED_WORDS = 300_000
 #: A text is cut up in pieces of about so many characters, at places where no word can cross.
 PIECE_CHARS = 1 << 20
@@ -212,11 +212,6 @@ class WordStore:
         return self.flat[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-@lru_cache(maxsize=4)
-def store(path: str) -> WordStore:
-    return WordStore(load(path))
-
-
 GROUP_CHARS = 1 << 20
 
 

@@ -14,6 +14,7 @@ encoded; the exact round trip is that of the ids' strings. Ids outside the table
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -25,9 +26,9 @@ from pyspark.sql import functions as F
 from weftarc.llm import bpe
 
 
-def encode_batch(text: pa.Array, path: str) -> pa.Array:
-    """Lists of ids of whole texts."""
-    table, store = bpe.load(path), bpe.store(path)
+def encode_batch(text: pa.Array, store: bpe.WordStore) -> pa.Array:
+    """Lists of ids of whole texts; ``store`` has the words that the task has met."""
+    table = store.table
     parts, counts = [np.zeros(0, np.int32)], np.zeros(len(text) + 1, np.int64)
     for group in bpe.word_groups(text, table):
         store.add([words for _, words in group if not isinstance(words, int)])
@@ -54,8 +55,10 @@ def encoder(path: str):
     """A column function: the ids of each text by the tokenizer file at ``path`` (on every machine)."""
 
     @F.arrow_udf("array<int>")
-    def ids(text: pa.Array) -> pa.Array:
-        return encode_batch(text, path)
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        store = bpe.WordStore(bpe.load(path))
+        for text in batches:
+            yield encode_batch(text, store)
 
     return ids
 
@@ -74,9 +77,11 @@ def coder(path: str):
     """A column function: struct<token_ids, decoded_text> of each text; one pass where both are wanted."""
 
     @F.arrow_udf("struct<token_ids: array<int>, decoded_text: string>")
-    def code(text: pa.Array) -> pa.Array:
-        ids = encode_batch(text, path)
-        return pa.StructArray.from_arrays([ids, decode_batch(ids, path)], names=["token_ids", "decoded_text"])
+    def code(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        store = bpe.WordStore(bpe.load(path))
+        for text in batches:
+            ids = encode_batch(text, store)
+            yield pa.StructArray.from_arrays([ids, decode_batch(ids, path)], names=["token_ids", "decoded_text"])
 
     return code
 

@@ -1,10 +1,10 @@
 """Token counts of whole texts by rank-synchronous merging of ragged arrays.
 
 The words (pre-tokens) of many texts are held as one ragged numpy array; each round merges every word's
-lowest-ranked pair at once, and the symbols that survive are the tokens. A worker keeps the counts of words
-that it has met, so a word is merged about once for each worker.
+lowest-ranked pair at once, and the symbols that survive are the tokens. A task keeps the counts of words
+that it has met, so a word is merged about once for each task.
 
-Scale: one pass, no shuffle. A worker holds one Arrow batch, the words of about ``bpe.GROUP_CHARS`` of text
+Scale: one pass, no shuffle. A task holds one Arrow batch, the words of about ``bpe.GROUP_CHARS`` of text
 and a bounded store of words; a long text is counted piece by piece.
 
 Edge cases: null and empty texts have no tokens. Special strings (``<|endoftext|>``) in a text are one token
@@ -13,6 +13,8 @@ each, as the tokenizer file's library does by default. Repeated rows each get th
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,14 +29,15 @@ def token_counter(path: str):
     """A column function: the tokens of each text by the tokenizer file at ``path`` (on every machine)."""
 
     @F.arrow_udf("long")
-    def n_tokens(text: pa.Array) -> pa.Array:
-        table, store = bpe.load(path), bpe.store(path)
-        counts = np.zeros(len(text), np.int64)
-        for group in bpe.word_groups(text, table):
-            store.add([words for _, words in group if not isinstance(words, int)])
-            for row, words in group:
-                counts[row] += 1 if isinstance(words, int) else store.count(words)
-        return pa.array(counts)
+    def n_tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        store = bpe.WordStore(bpe.load(path))
+        for text in batches:
+            counts = np.zeros(len(text), np.int64)
+            for group in bpe.word_groups(text, store.table):
+                store.add([words for _, words in group if not isinstance(words, int)])
+                for row, words in group:
+                    counts[row] += 1 if isinstance(words, int) else store.count(words)
+            yield pa.array(counts)
 
     return n_tokens
 
