@@ -6,13 +6,13 @@ by the expressions below, which Spark and DuckDB read alike. They are synthetic
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftarc.functions import media
+from weftarc.functions import media, privacy
 from weftarc.functions.tables import table
 from weftarc.functions.urls import network_target, url_class, with_url
-from weftarc.operators import archives, discovery, evidence, fetch, jobs, paths
+from weftarc.operators import archives, discovery, evidence, fetch, jobs, paths, policy, rewrite
 from weftarc.sources.html import elements, metadata
 
 QUERIES: dict = {}
@@ -272,6 +272,70 @@ def pth_hosts(spark, sf_dir):
     return mapped.groupBy(host.alias("host")).agg(F.count(F.lit(1)).alias("n_resources"), F.sum("n_aliases").alias("n_aliases"), F.count("collision_hash").alias("n_collisions"))
 
 
+# -- what a capture leaves out and rewrites
+
+_SECRETS = {
+    "page_id": "page_id",
+    "value": """CASE page_id % 5 WHEN 0 THEN concat('https://api.example.com/v', CAST(page_id AS STRING), '?token=abc&page=2&apiKey=9#t') WHEN 1 THEN 'data:text/plain,secret'
+      WHEN 2 THEN 'blob:https://a.example.com/0-1' WHEN 3 THEN 'ftp://h/x' ELSE 'http://user:pw@example.com/' END""",
+}
+
+
+@query("""
+SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'https://api.example.com/v' || page_id || '?token=REDACTED&page=2&apiKey=REDACTED' END AS manifest_url,
+  CASE page_id % 5 WHEN 0 THEN 'https://api.example.com/v' || page_id || '?token=REDACTED&page=2&apiKey=REDACTED' WHEN 1 THEN 'data:REDACTED' WHEN 2 THEN 'blob:https://a.example.com/REDACTED' WHEN 3 THEN 'ftp:REDACTED' ELSE 'http://REDACTED' END AS report_url
+FROM pages
+""")
+def fn_redacted_urls(spark, sf_dir):
+    """FN-16, FN-19, FN-20, FN-21: URLs as manifests and reports may show them."""
+    rows = with_url(_derived(table(spark, sf_dir, "pages"), _SECRETS), "value", "u")
+    return rows.select("page_id", privacy.redacted_url(F.col("u")).alias("manifest_url"), privacy.diagnostic_url(F.col("u")).alias("report_url"))
+
+
+@query("SELECT page_id, 0::BIGINT AS removed, 0::BIGINT AS n_extension_injection, 0::BIGINT AS n_tracking_runtime, 0::BIGINT AS n_payment_runtime, 0::BIGINT AS n_nonportable_iframe FROM pages")
+def agg_cleanup(spark, sf_dir):
+    """AGG-5, FN-17, RWR-12: elements that a capture removes, by reason (these pages have none)."""
+    return policy.cleanup_counts(_elements(spark, sf_dir))
+
+
+@query(_EVIDENCE_SQL + """
+, r AS (SELECT page_id, target AS url, min(r * 100 + source_ordinal) AS first, min(source_ordinal) AS k FROM n GROUP BY ALL
+), o AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY first, url) AS ordinal FROM r)
+SELECT page_id AS job_id, page_id || ':document' AS id, url, 'document' AS type, 'queued' AS state FROM pages
+UNION ALL
+SELECT page_id, page_id || ':resource:' || ordinal, url, CASE k WHEN 0 THEN 'document' WHEN 1 THEN 'image' WHEN 2 THEN 'script' WHEN 3 THEN 'document' WHEN 4 THEN 'other' WHEN 5 THEN 'stylesheet' WHEN 6 THEN 'font' ELSE 'image' END,
+  CASE WHEN k IN (0, 3, 4, 5) OR (k = 2 AND page_id % 2 = 0) OR page_id % 3 = 0 THEN 'skipped' ELSE 'queued' END FROM o
+""")
+def flt_queued_records(spark, sf_dir):
+    """FET-12, FLT-2, FLT-3: the records of every page's capture, and which it skips (settings derived from page ids)."""
+    rows = _evidence(spark, sf_dir)
+    nodes = evidence.nodes(rows).select("page_id", "ordinal", "url", "resource_type", "class.kind", F.lit(False).alias("only_beacons"))
+    settings = table(spark, sf_dir, "pages").select(F.col("page_id").alias("job_id"), "page_id", F.col("url").alias("page_url"), (F.col("page_id") % 2 != 0).alias("include_scripts"), F.lit(True).alias("include_media"), (F.col("page_id") % 3 != 0).alias("include_third_party"))
+    return policy.queued_records(nodes, settings)
+
+
+@query("""
+SELECT page_id AS text_id, 'p{background:url("../assets/' || (page_id % 5) || '.png")} q{fill:url(/n' || page_id || '.svg)}' AS text, 1::BIGINT AS n_rewritten, 1::BIGINT AS n_unmapped FROM pages
+""")
+def rwr_css(spark, sf_dir):
+    """RWR-1, RWR-5, FN-29, FN-30: style sheets with their saved references replaced (texts derived from page ids)."""
+    pages = table(spark, sf_dir, "pages")
+    text = F.concat(F.lit("p{background:url(/i/"), (F.col("page_id") % 5).cast("string"), F.lit(".png)} q{fill:url(/n"), F.col("page_id").cast("string"), F.lit(".svg)}"))
+    texts = pages.select(F.lit(1).cast("long").alias("job_id"), F.col("page_id").alias("text_id"), F.lit("css/s.css").alias("source_path"), F.lit("https://h.example.com/").alias("base_url"), text.alias("text"))
+    saved = spark.range(5).select(F.lit(1).cast("long").alias("job_id"), F.concat(F.lit("https://h.example.com/i/"), F.col("id").cast("string"), F.lit(".png")).alias("url"), F.lit(None).cast("array<string>").alias("aliases"), F.concat(F.lit("assets/"), F.col("id").cast("string"), F.lit(".png")).alias("path"))
+    return rewrite.rewrite_css(texts, rewrite.lookup(saved)).drop("job_id")
+
+
+@query("""
+SELECT page_id, replace(replace(html, '<head>', '<head><meta http-equiv="Content-Security-Policy" content="default-src ''self''">'), '<script>', '<script type="application/x-disabled-script">') AS html, 0::BIGINT AS n_rewritten, 0::BIGINT AS n_unmapped FROM pages
+""")
+def rwr_offline_pages(spark, sf_dir):
+    """RWR-2, RWR-3, RWR-7, RWR-9, RWR-11: every page made safe to open offline: policy installed, scripts inert."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html", F.lit(1).cast("long").alias("job_id"), F.lit("index.html").alias("source_path"), F.col("url").alias("base_url"))
+    saved = rewrite.lookup(spark.createDataFrame([], "job_id long, url string, aliases array<string>, path string"))
+    return rewrite.rewrite_html(elements(pages), pages, saved, policy="default-src 'self'", freeze_scripts=True)
+
+
 # -- fetches
 
 _ATTEMPTS = {
