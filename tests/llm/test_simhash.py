@@ -65,19 +65,21 @@ def test_long_lists_are_cut_into_blocks_without_losing_a_link(spark):
     rnd = random.Random(6)
     centre = rnd.getrandbits(64)
     fps = list({centre ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 3))) for _ in range(150)} | {rnd.getrandbits(64) for _ in range(50)})
-    rows = [(i, [f - (1 << 64) if f >> 63 else f]) for i, f in enumerate(fps)]
-    table = spark.createDataFrame(rows, "doc_id long, fp array<long>")
+    rows = [(i, [f - (1 << 64) if f >> 63 else f], i) for i, f in enumerate(fps)]
+    table = spark.createDataFrame(rows, "doc_id long, fp array<long>, text_key long")
     for block in (5, 2048):
         named = simhash.components_of(table, EXACT, block=block)
         got = {r.fp[0]: r.component_id for r in named.collect()}
         want = brute_components(list(range(len(fps))), fps)
-        assert {i: got[f[0]] for i, f in rows} == want
+        assert {i: got[f[0]] for i, f, _ in rows} == want
 
 
 def test_forest_and_pairs():
     runs, fps = np.array([1, 1, 1, 2, 2]), np.array([[0], [1], [3], [0], [0b11111]], np.uint64)
-    left, right = simhash.linked_pairs(runs, fps, 4, 4)
-    assert sorted(zip(left.tolist(), right.tolist(), strict=True)) == [(0, 1), (0, 2), (1, 2)]
+    left, right, bits = simhash.linked_pairs(runs, fps, 4, 4)
+    assert sorted(zip(left.tolist(), right.tolist(), bits.tolist(), strict=True)) == [(0, 1, 1), (0, 2, 2), (1, 2, 1)]
+    tree = simhash.nearest_tree(5, left, right, bits)
+    assert sorted(zip(left[tree].tolist(), right[tree].tolist(), strict=True)) == [(0, 1), (1, 2)]
     assert simhash.forest(6, np.array([4, 2, 5]), np.array([5, 4, 1])).tolist() == [0, 1, 1, 3, 1, 1]
 
 
@@ -97,18 +99,28 @@ def test_empty_tables_null_ids_and_repeated_rows(spark):
     assert sorted((r.doc_id is None, r.doc_id, r.text[:1]) for r in simhash.keep_one(docs).collect() if r.doc_id) == [(False, 3, "w"), (False, 5, "o")]
 
 
-def test_near_copies_of_five_word_shingles_are_found_and_others_stay(spark):
+def shingles(text, size=5):
+    w = text.split()
+    return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)}
+
+
+def test_similar_texts_are_found_and_less_similar_ones_stay(spark):
     rnd = random.Random(8)
     vocabulary = [f"w{i}" for i in range(3000)]
-    rows, copies = [], []
-    for k in range(60):
+    rows, pairs = [], []
+    for k in range(240):
         words = rnd.choices(vocabulary, k=300)
         rows.append((2 * k, " ".join(words)))
-        if k < 30:  # 3 words changed: 15 of some 300 shingles differ
-            for at in rnd.sample(range(300), 3):
-                words[at] = "changed"
-            copies.append(2 * k + 1)
-            rows.append((2 * k + 1, " ".join(words)))
+        for at in rnd.sample(range(0, 300, 7), 2 + k % 8):  # each changes some 5 shingles
+            words[at] = "changed"
+        rows.append((2 * k + 1, " ".join(words)))
+        a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
+        pairs.append(len(a & b) / len(a | b))
     kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, SCHEMA), SIMILAR).collect()}
-    assert {2 * k for k in range(60)} <= kept
-    assert len(kept & set(copies)) <= 1
+    assert {2 * k for k in range(240)} <= kept
+    far = {2 * k + 1 for k, j in enumerate(pairs) if j < 0.8}
+    assert len(far) > 40 and far <= kept  # exact: nothing below goes
+    near = [2 * k + 1 for k, j in enumerate(pairs) if j >= 0.8]
+    assert len(near) > 100 and len(kept.intersection(near)) <= 0.08 * len(near)
+    close = [2 * k + 1 for k, j in enumerate(pairs) if j >= 0.85]
+    assert len(kept.intersection(close)) <= 0.02 * len(close)

@@ -46,6 +46,7 @@ class Plan:
 
     words: of a shingle. parts: 64-bit words of a fingerprint. lists: the byte positions of each posting list.
     min_shared: least tally of shared positional bytes. max_bits: most differing bits of linked fingerprints.
+    similarity: if set, links are verified further, by the share of their texts' different shingles that both have.
     """
 
     words: int
@@ -53,6 +54,7 @@ class Plan:
     lists: tuple[tuple[int, ...], ...]
     min_shared: int
     max_bits: int
+    similarity: float | None = None
 
 
 def covering_positions() -> tuple[tuple[int, ...], ...]:
@@ -77,8 +79,9 @@ def ring_positions(n_bytes: int, steps: tuple[int, ...]) -> tuple[tuple[int, int
 
 
 #: 256 bits of five-word shingles. Texts that share 0.8 of their shingles have a cosine of 0.89 and differ in 39 of
-#: 256 bits on average, and most such pairs share 4 to 10 of 32 bytes; unrelated texts differ in 128 and share 0 or 1.
-SIMILAR = Plan(words=5, parts=4, lists=ring_positions(32, (1, 11)), min_shared=3, max_bits=42)
+#: 256 bits on average (one in a hundred such pairs in over 52), and most share 4 to 10 of 32 bytes; unrelated texts
+#: differ in 128 and share 0 or 1. What these bounds let through is verified on the shingles themselves.
+SIMILAR = Plan(words=5, parts=4, lists=ring_positions(32, (1, 11)), min_shared=3, max_bits=52, similarity=0.8)
 
 
 def shingle_hashes(buf: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,9 +151,9 @@ def list_keys(fp: Column, plan: Plan) -> Column:
     return F.array(*keys)
 
 
-def linked_pairs(runs: np.ndarray, fps: np.ndarray, min_shared: int, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j), i < j, of the verified pairs inside each run of equal ``runs``; fps has a row of words for each place."""
-    left, right = [], []
+def linked_pairs(runs: np.ndarray, fps: np.ndarray, min_shared: int, max_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places i < j and differing bits of the verified pairs inside each run of equal ``runs``; fps has a row of words for each place."""
+    left, right, bits = [], [], []
     at = np.arange(len(runs))
     for step in range(1, len(runs)):
         at = at[at + step < len(runs)]
@@ -160,11 +163,13 @@ def linked_pairs(runs: np.ndarray, fps: np.ndarray, min_shared: int, max_bits: i
         differ = fps[at] ^ fps[at + step]
         tally = (differ.view(np.uint8).reshape(len(at), -1) == 0).sum(axis=1)
         some = np.flatnonzero(tally >= min_shared)
-        some = some[np.bitwise_count(differ[some]).sum(axis=1) <= max_bits]
+        n = np.bitwise_count(differ[some]).sum(axis=1, dtype=np.int64)
+        some, n = some[n <= max_bits], n[n <= max_bits]
         left.append(at[some])
         right.append(at[some] + step)
+        bits.append(n)
     none = np.zeros(0, np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+    return (np.concatenate(left), np.concatenate(right), np.concatenate(bits)) if left else (none, none, none)
 
 
 def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -187,12 +192,33 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         label = jumped
 
 
+def nearest_tree(n: int, left: np.ndarray, right: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which of the pairs make a spanning forest of least weights: every part takes its lightest pair, again and again."""
+    order = np.lexsort((right, left, weight))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    label, open_, chosen = np.arange(n), np.arange(len(order)), np.zeros(len(order), bool)
+    while True:
+        open_ = open_[label[left[open_]] != label[right[open_]]]
+        if not len(open_):
+            return np.flatnonzero(chosen)
+        best = np.full(n, len(order))
+        np.minimum.at(best, label[left[open_]], rank[open_])
+        np.minimum.at(best, label[right[open_]], rank[open_])
+        taken = order[np.unique(best[best < len(order)])]
+        chosen[taken] = True
+        label = forest(n, label[left[taken]], label[right[taken]])[label]
+
+
 def _links(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
     """Rows sorted by list and blocks to links (a, b); a list that goes on in the next batch waits for it."""
     rest: list[np.ndarray] = []
 
     def found(run, fps, ids):
-        left, right = linked_pairs(run, fps, plan.min_shared, plan.max_bits)
+        left, right, bits = linked_pairs(run, fps, plan.min_shared, plan.max_bits)
+        if plan.similarity is not None:  # links that are verified further must be pairs that were found
+            tree = nearest_tree(len(run), left, right, bits)
+            return pa.RecordBatch.from_pydict({"a": ids[left[tree]], "b": ids[right[tree]]})
         label = forest(len(run), left, right)
         some = np.flatnonzero(label != np.arange(len(run)))
         return pa.RecordBatch.from_pydict({"a": ids[some], "b": ids[label[some]]})
@@ -214,7 +240,10 @@ def _links(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordB
 
 
 def links(classes: DataFrame, plan: Plan, block: int = BLOCK) -> DataFrame:
-    """(a, b): links that join what verified pairs join, of a table of id and (different) fp."""
+    """(a, b): links that join what verified pairs join, of a table of id and (different) fp.
+
+    With ``plan.similarity`` they are themselves such pairs, of each list a spanning forest of the nearest.
+    """
     rows = classes.select(F.explode(list_keys(F.col("fp"), plan)).alias("key"), "id", "fp")
     long_lists = stored(
         classes.select(F.explode(list_keys(F.col("fp"), plan)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block), "long-lists"
@@ -227,20 +256,58 @@ def links(classes: DataFrame, plan: Plan, block: int = BLOCK) -> DataFrame:
     return dealt.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(lambda it: _links(it, plan), "a long, b long")
 
 
-def components_of(fps: DataFrame, plan: Plan = EXACT, block: int = BLOCK) -> DataFrame:
-    """fp, component_id of every fingerprint of a (written) table of doc_id and fp: the smallest doc_id that can be reached."""
-    once = fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+def shingle_setter(plan: Plan):
+    """A column function: the different shingle hashes of each whole text."""
+
+    @F.arrow_udf("array<long>")
+    def shingles(text: pa.Array) -> pa.Array:
+        sets = []
+        for lo, hi, buf, offsets in flat.slices(text):
+            hashes, rows = shingle_hashes(buf, offsets, plan.words)
+            cuts = np.searchsorted(rows, np.arange(hi - lo + 1))
+            sets += [np.unique(hashes[i:j]).view(np.int64) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        where = np.concatenate(([0], np.cumsum([len(x) for x in sets]))) if sets else np.zeros(1)
+        return pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+
+    return shingles
+
+
+def similar_links(edges: DataFrame, classes: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
+    """The links (a, b) whose texts share at least ``plan.similarity`` of their different shingles.
+
+    Of each class that has a link, the text of its least id speaks for it; texts without shingles are alike.
+    """
+    ends = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
+    named = stored(ends.join(classes.select("id", "least_id", "least_key"), "id"), "simhash-ends")
+    same = docs["doc_id"].eqNullSafe(F.col("least_id")) & (F.xxhash64(docs["text"]) == F.col("least_key"))
+    texts = docs.select("doc_id", "text").join(named.hint("shuffle_hash"), same).dropDuplicates(["id"])
+    sets = stored(texts.select("id", shingle_setter(plan)("text").alias("shingles")), "simhash-shingles")
+    side = lambda k: sets.select(F.col("id").alias(k), F.col("shingles").alias(f"of_{k}"))
+    both = edges.join(side("a"), "a").join(side("b"), "b")
+    shared = F.size(F.array_intersect("of_a", "of_b"))
+    return both.filter(shared >= plan.similarity * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
+
+
+def components_of(fps: DataFrame, plan: Plan = EXACT, block: int = BLOCK, docs: DataFrame | None = None) -> DataFrame:
+    """fp, component_id of every fingerprint of a (written) table of doc_id, text_key and fp: the smallest doc_id that can be reached.
+
+    ``docs`` are the texts that ``plan.similarity`` is verified on.
+    """
+    once = fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.min_by("text_key", F.struct("doc_id", "text_key")).alias("least_key"))
     classes = stored(once.withColumn("id", F.monotonically_increasing_id()), "simhash-classes")
-    found = components(links(classes, plan, block))
-    named = classes.join(found.withColumnsRenamed({"a": "id", "b": "root"}), "id", "left").withColumn("root", F.coalesce("root", "id")).select("fp", "root", "least_id")
-    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    edges = links(classes, plan, block)
+    if plan.similarity is not None:
+        edges = similar_links(stored(edges.distinct(), "simhash-links"), classes, docs, plan)
+    named = classes.join(components(edges).withColumnsRenamed({"a": "id", "b": "root"}), "id", "left").withColumn("root", F.coalesce("root", "id")).select("fp", "root", "least_id")
+    # written, so that Spark can split the join at a root with very many members
+    least = stored(named.groupBy("root").agg(F.min("least_id").alias("component_id")), "simhash-least")
     return named.join(least, "root").select("fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, plan: Plan = EXACT) -> DataFrame:
-    """doc_id, fp, component_id of every row of ``docs`` (doc_id, text)."""
-    fps = stored(fingerprints(docs, plan), "simhash-fingerprints")
-    return fps.join(stored(components_of(fps, plan), "simhash-components"), "fp").select("doc_id", "fp", "component_id")
+    """doc_id, text_key, fp, component_id of every row of ``docs`` (doc_id, text)."""
+    fps = stored(fingerprints(docs, plan, F.xxhash64("text").alias("text_key")), "simhash-fingerprints")
+    return fps.join(stored(components_of(fps, plan, docs=docs), "simhash-components"), "fp").select("doc_id", "text_key", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, plan: Plan = SIMILAR) -> DataFrame:
@@ -248,8 +315,7 @@ def keep_one(docs: DataFrame, plan: Plan = SIMILAR) -> DataFrame:
 
     Documents are told apart by id and text; of repeated rows one stays. Rows without an id always stay.
     """
-    fps = stored(fingerprints(docs, plan, F.xxhash64("text").alias("text_key")), "simhash-fingerprints")
-    named = fps.join(stored(components_of(fps, plan), "simhash-components"), "fp").select("doc_id", "text_key", "component_id")
+    named = near_duplicates(docs, plan)
     gone = stored(named.filter("doc_id != component_id").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct(), "simhash-gone")
     twice = stored(named.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).count().filter("count > 1").drop("count"), "simhash-repeated")
     same = (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
