@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftarc.functions.names import is_archive_path
 from weftarc.functions.urls import with_url
 
 CHUNK_BYTES = 192 * 1024
@@ -135,3 +136,18 @@ def unzipped(archives: DataFrame) -> DataFrame:
                         yield pd.DataFrame({"job_id": [job], "path": [name], "data": [z.read(name)], "crc32": [z.getinfo(name).CRC]})
 
     return archives.mapInPandas(unpack, "job_id long, path string, data binary, crc32 long")
+
+
+def verified(entries: DataFrame, records: DataFrame) -> DataFrame:
+    """job_id, n_faults and first_fault of archives: entries (job_id, path, data, crc32) against saved records (job_id, path, bytes, sha256).
+
+    Faults: path (not a good archive path), repeated-path, crc, no-entry, length, hash.
+    """
+    good = is_archive_path(F.col("path"))
+    n_same = F.count(F.lit(1)).over(Window.partitionBy("job_id", F.lower("path")))
+    own = entries.withColumn("fault", F.when(~good, "path").when(n_same > 1, "repeated-path").when(F.crc32("data") != F.col("crc32"), "crc"))
+    listed = records.select("job_id", "path", F.col("bytes").alias("said"), F.col("sha256").alias("hash"), F.lit(True).alias("listed"))
+    both = own.join(listed, ["job_id", "path"], "full")
+    size = F.octet_length("data").cast("long")
+    fault = F.coalesce("fault", F.when(F.col("listed") & F.col("data").isNull(), "no-entry").when(F.col("listed") & (size != F.col("said")), "length").when(F.col("listed") & F.col("hash").isNotNull() & (F.sha2("data", 256) != F.col("hash")), "hash"))
+    return both.withColumn("fault", fault).groupBy("job_id").agg(F.count("fault").alias("n_faults"), F.min_by("fault", F.when(F.col("fault").isNotNull(), F.col("path"))).alias("first_fault"))

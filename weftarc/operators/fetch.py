@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftarc.functions.media import is_retryable, retry_delay_ms
+from weftarc.functions.tables import written
 from weftarc.functions.urls import network_target, with_url
+from weftarc.sources.text_scans import javascript_references
 
 MAX_RETRIES = 2
 SOURCES = ("dom", "css", "performance", "cdp", "runtime")
@@ -115,3 +117,23 @@ def reconciled(records: DataFrame) -> DataFrame:
         F.when(F.col("bad"), "final-url").when(lost, "duplicate-final-url").alias("error"),
         F.when(F.col("key").isNotNull() & ~lost, united).otherwise(F.col("sources")).alias("sources"),
     )
+
+
+def script_closure(scripts: DataFrame, responses: DataFrame, max_rounds: int = 8) -> DataFrame:
+    """job_id, url, round: what saved scripts refer to, and the scripts among it, and so on, each URL of a job once.
+
+    ``scripts`` and ``responses``: job_id, url, text; what has no response is found but leads no further.
+    """
+    known = written(with_url(scripts.select("job_id", F.col("url").alias("given")), "given", "u").select("job_id", F.col("u.href").alias("url")).distinct(), "closure-known")
+    frontier, found = scripts, None
+    for k in range(1, max_rounds + 1):
+        refs = frontier.select("job_id", F.col("url").alias("base"), F.explode(javascript_references("text")).alias("r")).select("job_id", "base", "r.raw_url")
+        urls = with_url(refs, "raw_url", "u", "base").filter(F.col("u.scheme").isin("http", "https")).select("job_id", F.col("u.href").alias("url")).distinct()
+        new = written(urls.join(known, ["job_id", "url"], "left_anti").withColumn("round", F.lit(k)), "closure-round")
+        found = new if found is None else found.unionByName(new)
+        if new.isEmpty():
+            break
+        known = known.unionByName(new.drop("round"))
+        scripted = F.lower(F.regexp_extract("url", r"^[^?#]*\.([^./?#]+)", 1)).isin("js", "mjs", "cjs")
+        frontier = new.filter(scripted).join(responses, ["job_id", "url"]).select("job_id", "url", "text")
+    return found

@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftarc.functions import media, privacy
+from weftarc.functions import media, privacy, text
 from weftarc.functions.tables import table
 from weftarc.functions.urls import network_target, url_class, with_url
-from weftarc.operators import archives, discovery, evidence, fetch, jobs, paths, policy, rewrite
+from weftarc.operators import archives, discovery, evidence, fetch, jobs, paths, policy, reports, rewrite, store, timing
 from weftarc.sources.html import elements, metadata
 
 QUERIES: dict = {}
@@ -620,3 +620,98 @@ def snk_zip_round_trip(spark, sf_dir):
     entries = pages.select((F.col("page_id") % 10).alias("job_id"), F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.encode("html", "UTF-8").alias("data"))
     back = archives.unzipped(archives.zipped(entries)).filter(F.crc32("data") == F.col("crc32"))
     return back.select("job_id", "path", F.octet_length("data").cast("long").alias("bytes"), F.sha2("data", 256).alias("sha256"))
+
+
+# -- timings, scripts, reports, stores
+
+_TIMINGS = {
+    "page_id": "user_id",
+    "name": "concat('https://T', CAST(event_id % 12 AS STRING), '.example.com:443/a#', CAST(event_id AS STRING))",
+    "entry_type": "CASE WHEN event_id % 10 = 0 THEN 'mark' ELSE 'resource' END",
+    "initiator_type": "CASE event_id % 4 WHEN 0 THEN ' IMG ' WHEN 1 THEN 'fetch' WHEN 2 THEN 'unheard' ELSE 'css' END",
+    "start_ms": "CASE WHEN event_id % 13 = 0 THEN -1.0e0 ELSE value END",
+    "duration_ms": "CAST(event_id % 100 AS DOUBLE)",
+    "transfer_size": "event_id",
+    "encoded_size": "event_id",
+    "decoded_size": "CASE WHEN event_id % 17 = 0 THEN NULL ELSE event_id END",
+}
+
+
+@query(f"""
+WITH t AS (SELECT {_sql(_TIMINGS)}, CASE event_id % 4 WHEN 0 THEN 'img' WHEN 1 THEN 'fetch' WHEN 2 THEN 'other' ELSE 'css' END AS initiator, 'https://t' || (event_id % 12) || '.example.com/a' AS url FROM events),
+n AS (
+  SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY start_ms, initiator, duration_ms, transfer_size) AS rn FROM t WHERE entry_type = 'resource' AND start_ms >= 0 AND decoded_size IS NOT NULL
+)
+SELECT page_id, url, initiator, start_ms, duration_ms, transfer_size, encoded_size, decoded_size FROM n WHERE rn = 1
+""")
+def ded_timings(spark, sf_dir):
+    """DED-1, FLT-1, FN-4, FN-5, SRC-3: the first valid timing of each URL (timings derived from events)."""
+    return timing.first_timings(_derived(table(spark, sf_dir, "events"), _TIMINGS))
+
+
+@query("""
+SELECT page_id AS job_id, 'https://s.example.com/a' || (page_id % 3) || '.js' AS url, 1 AS round FROM pages
+UNION ALL SELECT page_id, 'https://s.example.com/lib/x.wasm', 2 FROM pages WHERE page_id % 3 = 0
+UNION ALL SELECT page_id, 'https://s.example.com/a2.js', 2 FROM pages WHERE page_id % 3 = 1
+UNION ALL SELECT page_id, 'https://s.example.com/img/p.png', 3 FROM pages WHERE page_id % 3 = 1
+UNION ALL SELECT page_id, 'https://s.example.com/img/p.png', 2 FROM pages WHERE page_id % 3 = 2
+""")
+def fet_script_closure(spark, sf_dir):
+    """FET-11, EXT-8, DED-9: what scripts lead to, round by round (scripts derived from page ids)."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("job_id"))
+    start = pages.select("job_id", F.lit("https://s.example.com/main.js").alias("url"), F.concat(F.lit("import './a"), (F.col("job_id") % 3).cast("string"), F.lit(".js'; // './no.js'")).alias("text"))
+    bodies = ("fetch('lib/x.wasm'); import('./a0.js')", 'import y from "./a2.js"', 'i.src = "/img/p.png"')
+    found = pages.select("job_id", F.posexplode(F.array(*map(F.lit, bodies))).alias("k", "text")).select("job_id", F.concat(F.lit("https://s.example.com/a"), F.col("k").cast("string"), F.lit(".js")).alias("url"), "text")
+    return fetch.script_closure(start, found)
+
+
+_CHANGES = {
+    "job_id": "l_orderkey % 100",
+    "document_path": "concat('pages/', CAST(l_suppkey % 7 AS STRING), '.html')",
+    "kind": "CASE l_partkey % 4 WHEN 0 THEN 'base-removal' WHEN 1 THEN 'css-source-rewrite' WHEN 2 THEN 'csp-policy-adjustment' ELSE 'html-reference-rewrite' END",
+    "element_no": "l_orderkey",
+    "part": "l_linenumber",
+}
+
+
+@query(f"""
+WITH c AS (SELECT {_sql(_CHANGES)}, CASE l_partkey % 4 WHEN 0 THEN 1 WHEN 3 THEN 2 WHEN 1 THEN 4 ELSE 10 END AS r FROM lineitem)
+SELECT job_id, document_path, kind, count(*) AS n, min(sequence)::BIGINT AS first, max(sequence)::BIGINT AS last
+FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY document_path, r) AS sequence FROM c) GROUP BY ALL
+""")
+def snk_change_sequences(spark, sf_dir):
+    """SNK-9, AGG-9: changes of archives in their order, by document and kind (changes derived from lineitem)."""
+    rows = reports.sequenced(_derived(table(spark, sf_dir, "lineitem"), _CHANGES))
+    return rows.groupBy("job_id", "document_path", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("sequence").cast("long").alias("first"), F.max("sequence").cast("long").alias("last"))
+
+
+_MESSAGES = {
+    "page_id": "page_id",
+    "name": "CASE page_id % 3 WHEN 0 THEN 'TypeError' WHEN 1 THEN 'RangeError' ELSE 'DOMException' END",
+    "message": "CASE page_id % 4 WHEN 0 THEN 'Bad MIME in manifest' WHEN 1 THEN 'Manifest of zip' WHEN 2 THEN 'the archive path' ELSE NULL END",
+    "code": "CASE page_id % 3 WHEN 0 THEN 'tab-closed' WHEN 1 THEN 'storage-conflict' ELSE 'never heard of' END",
+}
+
+
+@query(f"""
+WITH m AS (SELECT {_sql(_MESSAGES)}, html FROM pages)
+SELECT page_id, CASE WHEN name = 'DOMException' THEN 'Error' ELSE name END || '.' || CASE page_id % 4 WHEN 0 THEN 'MimeType' WHEN 1 THEN 'Manifest' WHEN 2 THEN 'ArchivePath' ELSE 'Unknown' END AS category, code <> 'tab-closed' AS retryable,
+  CASE WHEN strlen(html) < 1024 THEN strlen(html) || ' B' ELSE format('{{:.1f}} KiB', round(strlen(html) / 1024, 1)) END AS size, 'page-' || page_id || '-20240103.zip' AS file_name
+FROM m
+""")
+def fn_report_texts(spark, sf_dir):
+    """FN-34, FN-36, FN-37, FN-39: error categories, size labels and file names of reports."""
+    rows = table(spark, sf_dir, "pages").select(F.octet_length("html").alias("bytes"), *[F.expr(e).alias(c) for c, e in _MESSAGES.items()])
+    name = text.archive_file_name(F.lit(""), "page", F.concat(F.lit("www."), F.col("page_id").cast("string")), F.lit("2024-01-03").cast("date"))
+    return rows.select("page_id", text.package_fault(F.col("name"), F.col("message")).alias("category"), text.is_retryable_error(F.col("code")).alias("retryable"), text.byte_label(F.col("bytes")).alias("size"), name.alias("file_name"))
+
+
+@query(f"""
+WITH r AS (SELECT {_sql(_RECORDS)} FROM orders)
+SELECT job_id, id, state FROM r WHERE job_id >= 10 UNION ALL SELECT job_id, 'new', 'queued' FROM r WHERE job_id < 10 GROUP BY job_id
+""")
+def sto_replaced_records(spark, sf_dir):
+    """STO-1, STO-2: the records of ten jobs replaced, all others kept."""
+    records = _derived(table(spark, sf_dir, "orders"), _RECORDS).select("job_id", "id", "state")
+    new = records.filter("job_id < 10").select("job_id").distinct().select("job_id", F.lit("new").alias("id"), F.lit("queued").alias("state"))
+    return store.replaced(records, new)
