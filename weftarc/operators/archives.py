@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftarc.functions.names import is_archive_path
+from weftarc.functions.privacy import redacted_url
 from weftarc.functions.urls import with_url
 
 CHUNK_BYTES = 192 * 1024
@@ -151,3 +152,38 @@ def verified(entries: DataFrame, records: DataFrame) -> DataFrame:
     size = F.octet_length("data").cast("long")
     fault = F.coalesce("fault", F.when(F.col("listed") & F.col("data").isNull(), "no-entry").when(F.col("listed") & (size != F.col("said")), "length").when(F.col("listed") & F.col("hash").isNotNull() & (F.sha2("data", 256) != F.col("hash")), "hash"))
     return both.withColumn("fault", fault).groupBy("job_id").agg(F.count("fault").alias("n_faults"), F.min_by("fault", F.when(F.col("fault").isNotNull(), F.col("path"))).alias("first_fault"))
+
+
+def runtime_plan(records: DataFrame, mappings: DataFrame) -> DataFrame:
+    """Saved secondary ``records`` (job_id, id, is_primary, state, type, original_url, final_url) with the path of ``mappings``.
+
+    ``mappings``: job_id, url, resource_type, path. aliases are the other URLs that lead to a record. A record
+    without a path is an error.
+    """
+    taken = records.filter((F.col("state") == "saved") & ~F.col("is_primary")).withColumn("ended", F.coalesce("final_url", "original_url"))
+    known = with_url(taken, "ended", "u").withColumn("url", F.col("u.href"))
+    joined = known.join(mappings.select("job_id", "url", F.col("resource_type").alias("type"), "path"), ["job_id", "url", "type"], "left")
+    path = F.when(F.col("path").isNull(), F.raise_error(F.concat(F.lit("no path for "), F.col("id")))).otherwise(F.col("path"))
+    aliases = F.array_sort(F.array_distinct(F.filter(F.array("original_url", "final_url"), lambda a: a.isNotNull() & (a != F.col("url")))))
+    return joined.select("job_id", "id", "url", "type", path.alias("path"), aliases.alias("aliases"))
+
+
+def online_dependencies(dependencies: DataFrame) -> DataFrame:
+    """job_id, dependencies: the different network URLs (job_id, url) that an archive still needs, redacted and sorted."""
+    rows = with_url(dependencies, "url", "u").withColumn("shown", redacted_url(F.col("u"))).filter("shown is not null")
+    return rows.groupBy("job_id").agg(F.array_sort(F.collect_set("shown")).alias("dependencies"))
+
+
+def gated(summaries: DataFrame) -> DataFrame:
+    """``summaries`` of audits; reading an archive that has not passed is an error."""
+    failed = F.raise_error(F.concat(F.lit("archive-integrity-failed: "), F.col("job_id").cast("string")))
+    return summaries.withColumn("passed", F.when(F.col("passed"), True).otherwise(failed))
+
+
+def packaged(records: DataFrame, entries: DataFrame, references: DataFrame) -> DataFrame:
+    """job_id, archive of jobs whose entries agree with their records and whose offline audit passes; other jobs have no row."""
+    bad = with_hashes(records, entries).filter("fault is not null").select("job_id")
+    passed = audit_summary(audited(references, entries)).filter("passed").select("job_id")
+    unreferenced = entries.select("job_id").distinct().join(references.select("job_id").distinct(), "job_id", "left_anti")
+    good = passed.unionByName(unreferenced).join(bad, "job_id", "left_anti")
+    return zipped(entries.join(good, "job_id", "left_semi"))

@@ -164,3 +164,16 @@ def third_party(rows: DataFrame, grants: DataFrame | None = None) -> DataFrame:
     if grants is None:
         return summed.withColumn("granted", F.lit(False))
     return summed.join(grants.select("pattern").distinct().withColumn("granted", F.lit(True)), "pattern", "left").withColumn("granted", F.coalesce("granted", F.lit(False)))
+
+
+def page_summary(node_rows: DataFrame, region_rows: DataFrame) -> DataFrame:
+    """page_id, resources and evidence, resources by kind, and regions by whether they can be read, zeros included.
+
+    ``node_rows`` as ``nodes`` gives them; ``region_rows``: page_id, status.
+    """
+    kinds = ("network", "data", "blob", "unsupported")
+    resources = node_rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_resources"), F.sum("n_evidence").alias("n_evidence"), *[F.count_if(F.col("class.kind") == k).alias(f"n_{k}") for k in kinds])
+    shadow = F.col("status").startswith("shadow-")
+    found = region_rows.groupBy("page_id").agg(F.count_if(~shadow).alias("n_frames"), F.count_if(shadow).alias("n_shadow_roots"), F.count_if(F.col("status").isin("sandboxed", "cross-origin", "shadow-closed")).alias("n_unreadable"))
+    both = resources.join(found, "page_id", "full")
+    return both.select("page_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in both.columns if c != "page_id"])

@@ -137,3 +137,21 @@ def script_closure(scripts: DataFrame, responses: DataFrame, max_rounds: int = 8
         scripted = F.lower(F.regexp_extract("url", r"^[^?#]*\.([^./?#]+)", 1)).isin("js", "mjs", "cjs")
         frontier = new.filter(scripted).join(responses, ["job_id", "url"]).select("job_id", "url", "text")
     return found
+
+
+def with_metadata(records: DataFrame, metadata: DataFrame) -> DataFrame:
+    """``records`` (id, final_url, http_status, mime_type) with what responses said (id, final_url, http_status, mime_type).
+
+    Final URL and status are taken as they are; the media type only where the response has one.
+    """
+    new = metadata.select("id", *[F.col(c).alias(f"__{c}") for c in ("final_url", "http_status", "mime_type")], F.lit(True).alias("__seen"))
+    joined = records.join(new, "id", "left")
+    taken = {c: F.when(F.col("__seen"), F.col(f"__{c}")).otherwise(F.col(c)) for c in ("final_url", "http_status")}
+    return joined.withColumns(taken | {"mime_type": F.coalesce("__mime_type", "mime_type")}).select(records.columns)
+
+
+def batch_faults(records: DataFrame) -> DataFrame:
+    """batch_id, fault of batches (batch_id, id, job_id, is_primary) that must not start: repeated ids, several jobs, not one primary."""
+    summed = records.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"), F.countDistinct("job_id").alias("jobs"), F.count_if("is_primary").alias("primaries"))
+    faults = F.array(F.when(F.col("ids") < F.col("n"), "repeated-id"), F.when(F.col("jobs") != 1, "several-jobs"), F.when(F.col("primaries") != 1, "not-one-primary"))
+    return summed.select("batch_id", F.explode(F.filter(faults, lambda f: f.isNotNull())).alias("fault"))

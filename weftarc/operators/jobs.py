@@ -82,3 +82,15 @@ def merged_counters(current: DataFrame, updates: DataFrame, names: list[str]) ->
     """``current`` (id and counters) with the values of ``updates`` where those are not null."""
     renamed = updates.select(F.col("id"), *[F.col(n).alias(f"__{n}") for n in names])
     return current.join(renamed, "id", "left").select("id", *[F.coalesce(f"__{n}", n).alias(n) for n in names])
+
+
+# Bounds of a capture's settings.
+BOUNDS = {"render_wait_ms": (0, 30_000), "concurrency": (1, 12), "max_retries": (0, 10)}
+
+
+def settings_faults(settings: DataFrame) -> DataFrame:
+    """job_id, fault of jobs whose settings (columns of BOUNDS, file_name) cannot be used."""
+    outside = [F.when(F.col(c).isNull() | ~F.col(c).between(low, high), c) for c, (low, high) in BOUNDS.items()]
+    name = F.trim(F.coalesce("file_name", F.lit("")))
+    bad_name = F.when((name != "") & (name.rlike(r'[\x00-\x1f<>:"/\\|?*]') | name.rlike("[ .]$")), "file_name")
+    return settings.select("job_id", F.explode(F.filter(F.array(*outside, bad_name), lambda f: f.isNotNull())).alias("fault"))
