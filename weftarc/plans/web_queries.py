@@ -59,7 +59,7 @@ def src_page_metadata(spark, sf_dir):
 WITH links AS (
   SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS raw, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"', 1), 1) AS ordinal FROM pages
 )
-SELECT page_id, ordinal, raw AS raw_url, regexp_extract(url, '^https?://[^/?#]*') || array_to_string(list_transform(string_split(raw, ''),
+SELECT page_id, ordinal::INT AS ordinal, raw AS raw_url, regexp_extract(url, '^https?://[^/?#]*') || array_to_string(list_transform(string_split(raw, ''),
   lambda c: CASE WHEN regexp_matches(c, '^[!-~]$') THEN c ELSE url_encode(c) END), '') AS resolved_url
 FROM links
 """)
@@ -179,7 +179,7 @@ def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_EVIDENCE_SQL + """, g AS (
   SELECT page_id, target AS url, min(r * 100 + source_ordinal) AS first, count(DISTINCT r * 100 + source_ordinal) AS n_evidence, array_to_string(list_sort(list(DISTINCT r)), ',') AS ranks FROM n GROUP BY ALL
 )
-SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY first, url) AS ordinal, url, n_evidence,
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY first, url))::INT AS ordinal, url, n_evidence,
   replace(replace(replace(replace(ranks, '1', 'dom-attribute'), '2', 'svg-attribute'), '3', 'css-ast'), '4', 'performance') AS channels
 FROM g
 """)
@@ -215,7 +215,7 @@ def inf_resource_types(spark, sf_dir):
 
 
 @query("""
-SELECT page_id, pattern, n_origins, n_resources, provenance, n_critical, n_excluded, resource_types, reasons, n_critical > 0 AS default_selected, granted FROM (
+SELECT page_id, pattern, n_origins::BIGINT AS n_origins, n_resources::BIGINT AS n_resources, provenance::BIGINT AS provenance, n_critical::BIGINT AS n_critical, n_excluded::BIGINT AS n_excluded, resource_types, reasons, n_critical > 0 AS default_selected, granted FROM (
   SELECT page_id, 'http://img' || (page_id % 7) || '.example.net/*' AS pattern, 1 AS n_origins, 1 AS n_resources, 2 AS provenance, 1 AS n_critical, 0 AS n_excluded, 'image' AS resource_types, 'critical-resource-type' AS reasons, false AS granted FROM pages
   UNION ALL SELECT page_id, 'https://cdn.example.org/*', 1, 2, 2, 2, 0, 'font,script', 'critical-resource-type', true FROM pages
   UNION ALL SELECT page_id, 'https://frames.example.org/*', 1, 1, 1, 0, 1, 'document', 'iframe-document', false FROM pages
