@@ -21,7 +21,7 @@ import regex
 
 NO_RANK = np.iinfo(np.int32).max
 #: Words kept with their results by a task; beyond it the store is emptied. It changes no result.
-MAX_STORED_WORDS = 300_000
+MAX_STORED_WORDS = 150_000
 #: A text is cut up in pieces of about so many characters, at places where no word can cross.
 PIECE_CHARS = 1 << 20
 
@@ -212,7 +212,7 @@ class WordStore:
         return self.flat[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 1 << 19
 
 
 def word_groups(texts: pa.Array, table: Table) -> Iterator[list[tuple[int, list[str] | int]]]:

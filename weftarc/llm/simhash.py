@@ -37,6 +37,8 @@ from weftarc.llm.scratch import stored
 
 SEED = 42
 BLOCK = 2048
+#: Rows of three longs, so at most some ten megabytes.
+MAX_BROADCAST_ENDS = 200_000
 _LOWER = np.frombuffer(flat.LOWER, np.uint8)
 
 
@@ -280,8 +282,10 @@ def similar_links(edges: DataFrame, classes: DataFrame, docs: DataFrame, plan: P
     ends = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
     named = stored(ends.join(classes.select("id", "least_id", "least_key"), "id"), "simhash-ends")
     same = docs["doc_id"].eqNullSafe(F.col("least_id")) & (F.xxhash64(docs["text"]) == F.col("least_key"))
-    texts = docs.select("doc_id", "text").join(named.hint("shuffle_hash"), same).dropDuplicates(["id"])
-    sets = stored(texts.select("id", shingle_setter(plan)("text").alias("shingles")), "simhash-shingles")
+    # few enough ends go to the texts; otherwise both are shuffled
+    few = named.count() <= MAX_BROADCAST_ENDS
+    texts = docs.select("doc_id", "text").join(F.broadcast(named) if few else named.hint("shuffle_hash"), same)
+    sets = stored(texts.select("id", shingle_setter(plan)("text").alias("shingles")).dropDuplicates(["id"]), "simhash-shingles")
     side = lambda k: sets.select(F.col("id").alias(k), F.col("shingles").alias(f"of_{k}"))
     both = edges.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("of_a", "of_b"))
