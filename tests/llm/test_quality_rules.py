@@ -47,6 +47,17 @@ def test_outliers_go_and_others_stay_in_every_group(spark):
     assert [i for i in range(600) if not got[i].kept] == [] and not any(got[1000 + i].kept for i in range(20))
 
 
+def test_an_outlier_alone_in_its_source_or_language_is_held_against_all_rows(spark):
+    rnd = random.Random(14)
+    text = lambda n: " ".join("".join(rnd.choices("abcdefgh", k=rnd.randint(2, 8))) for _ in range(n))
+    junk = " ".join(w + "###%%%" for w in text(80).split())
+    rows = [(i, text(rnd.randint(60, 200)), "en", "hot") for i in range(300)]
+    rows += [(1000, junk, "en", "small"), (1001, junk, "fr", "hot"), (1002, text(80), "de", None)]
+    got = {r.doc_id: r for r in Q.quality_verdicts(spark.createDataFrame(rows, SCHEMA), min_group=40).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert {i for i, r in got.items() if not r.kept} == {1000, 1001}
+
+
 def test_empty_tables_and_columns_that_clash(spark):
     assert Q.quality_verdicts(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = [(1, " ".join(f"w{i}" for i in range(60)), "en", "s", "mine", 5), (2, "short", "en", "s", "mine", 6)]

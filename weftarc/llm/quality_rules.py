@@ -10,8 +10,9 @@ with partial sums on the map side, so a group that holds a third of the rows is
 The statistics are fixed-point integers, so sums are exact and do not depend on the order of rows.
 
 Edge cases: a null or empty text has no words and fails the base rule. A null language or source is a value
-like any other. Groups of under ``min_group`` rows use the estimate of their language, or of all rows. An
-empty table gives an empty result. Repeated rows each get their own, equal verdict.
+like any other. Groups of under ``min_group`` rows use the estimate of their language, or of all rows; these
+are made on all rows of the language or table, so a row counts for up to three estimates. An empty table gives
+an empty result. Repeated rows each get their own, equal verdict.
 """
 
 from __future__ import annotations
@@ -129,17 +130,20 @@ def _sized(params: DataFrame) -> DataFrame:
     return F.broadcast(params) if params.count() <= MAX_BROADCAST_GROUPS else params
 
 
-def with_group(stats: DataFrame, counts: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """Adds lang_key, source_key: the narrowest of (language, source), (language, any), (any, any) with enough rows."""
-    by_lang = counts.groupBy("lang_k").agg(F.sum("n_rows").alias("n_lang"))
-    level = (
-        counts.join(_sized(by_lang), "lang_k")
-        .withColumn("lang_key", F.when(F.col("n_lang") >= min_group, F.col("lang_k")).otherwise("*"))
-        .withColumn("source_key", F.when(F.col("n_rows") >= min_group, F.col("source_k")).otherwise("*"))
-        .withColumn("lang_key", F.when(F.col("n_rows") >= min_group, F.col("lang_k")).otherwise(F.col("lang_key")))
-        .select("lang_k", "source_k", "lang_key", "source_key")
-    )
-    return stats.join(_sized(level), ["lang_k", "source_k"])
+def with_groups(stats: DataFrame, counts: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+    """A row for each group that a row counts for, lang_key, source_key: (language, source), (language, any) and (any, any).
+
+    Every group is of all its rows, those of large narrower groups too; only groups that judge no row are left out.
+    """
+    by_lang = counts.groupBy("lang_k").agg(F.sum("n_rows").alias("n_lang"), F.min("n_rows").alias("n_least"))
+    any_small = not by_lang.filter(F.col("n_lang") < min_group).isEmpty()
+    group = lambda lang, source: F.struct(lang.alias("lang_key"), source.alias("source_key"))
+    own = F.when(F.col("n_rows") >= min_group, group(F.col("lang_k"), F.col("source_k")))
+    of_lang = F.when((F.col("n_lang") >= min_group) & (F.col("n_least") < min_group), group(F.col("lang_k"), F.lit("*")))
+    of_all = F.when(F.lit(any_small), group(F.lit("*"), F.lit("*")))
+    level = counts.join(_sized(by_lang), "lang_k").select("lang_k", "source_k", F.filter(F.array(own, of_lang, of_all), lambda g: g.isNotNull()).alias("groups"))
+    joined = stats.join(_sized(level), ["lang_k", "source_k"])
+    return joined.select("*", F.explode("groups").alias("g")).select("*", "g.*").drop("groups", "g")
 
 
 def group_columns(lang: Column, source: Column) -> list[Column]:
@@ -197,7 +201,7 @@ def fit(stats: DataFrame, steps: int = STEPS, min_group: int = MIN_GROUP) -> tup
     s = F.col("stats")
     rows = stats.filter(~base_failed(s["n_words"], s["n_repeat_words"])).select(*group_columns(F.col("lang"), F.col("source")), *[x.alias(f"x{i}") for i, x in enumerate(transformed(s))])
     counts = stored(rows.groupBy("lang_k", "source_k").agg(F.count(F.lit(1)).alias("n_rows")), "quality-counts")
-    rows = with_group(rows, counts, min_group).drop("lang_k", "source_k")
+    rows = with_groups(rows, counts, min_group).drop("lang_k", "source_k")
     params = stored(_start(rows), "quality-start")
     for _ in range(steps):
         params = stored(_step(rows, params), "quality-step")
