@@ -65,6 +65,26 @@ def test_leaks_against_brute_force_in_one_block_and_in_many(spark):
         assert {(r.doc_id, r.item_id) for r in found(spark, docs, items, block_bytes=block)} == want
 
 
+def test_best_segment_against_every_segment():
+    draw = random.Random(12)
+    cases = [[1] * 13 + [0] * 8 + [1] * 13, [1] * 20 + [0] * 12 + [1] * 20]
+    cases += [[int(draw.random() < share) for _ in range(draw.randint(1, 60))] for share in (0.5, 0.7, 0.8, 0.9) for _ in range(150)]
+    for same in cases:
+        whole = [(i, j) for i in range(len(same)) for j in range(i + 1, len(same) + 1) if 5 * sum(same[i:j]) >= 4 * (j - i)]
+        want = max(((sum(same[i:j]), i - j, -i) for i, j in whole), default=(0, 0, 0))
+        assert D.best_segment(D.np.array(same, bool)) == (want[0], -want[1], -want[2]), same
+
+
+def test_a_changed_middle_does_not_hide_an_item():
+    other = lambda n: [f"changed{k}" for k in range(n)]
+    for ends, middle in ((13, 8), (20, 12)):
+        item = [f"word{k}" for k in range(2 * ends + middle)]
+        text = " ".join(item[:ends] + other(middle) + item[ends + middle :])
+        ((_, words, first),) = D._word_hashes(D.pa.array([text]))
+        ((no, matched, length, start),) = D.SeedIndex([" ".join(item)]).leaks(words, first)[0]
+        assert (no, matched, length, start) == (0, ends, ends, 0)
+
+
 def test_dropping_keeps_columns_and_clean_rows(spark):
     docs = spark.createDataFrame([(d, t, "x") for d, t in cases()], "doc_id long, text string, leak string")
     bench = spark.createDataFrame(list(enumerate(ITEMS)), "item_id long, text string")

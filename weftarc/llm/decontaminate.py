@@ -2,9 +2,9 @@
 
 Fixed masks select some of the words in a window and ignore the others. Hashes of the selected words of all
 benchmark windows are joined with those of all training windows inside the tasks that read the texts; texts
-are never shuffled. Around a hit the two word sequences are laid on each other and the segment with the most
-agreeing over differing words is taken. It counts as a leak if at least ``min_words`` words agree (all words
-of a shorter item) and they are at least ``min_share`` of the segment.
+are never shuffled. Around a hit the two word sequences are laid on each other and, of all segments of
+which at least ``min_share`` agrees, the one with the most agreeing words is taken. It counts as a leak if at
+least ``min_words`` words agree (all words of a shorter item).
 
 The benchmark goes to the tasks in blocks of bounded size, one pass over the texts for each block; a block's
 size is checked, and the usual benchmark is one block.
@@ -17,6 +17,8 @@ each give their own result. An empty benchmark leaves every document clean.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -106,9 +108,8 @@ class SeedIndex:
         for r, no, shift in hits:
             item, lo, hi = self.items[no], int(first[r]), int(first[r + 1])
             a, b = max(shift, lo), min(shift + len(item), hi)
-            found = best_segment(words[a:b] == item[a - shift : b - shift])
-            matched, length, start = found
-            if matched >= min(self.min_words, len(item)) and matched >= self.min_share * length:
+            matched, length, start = best_segment(words[a:b] == item[a - shift : b - shift], self.min_share)
+            if matched >= min(self.min_words, len(item)):
                 new = (no, matched, length, a + start - lo)
                 best[r, no] = max(best.get((r, no), new), new, key=lambda x: (x[1], -x[2], -x[3]))
         out: dict[int, list] = {}
@@ -117,13 +118,23 @@ class SeedIndex:
         return out
 
 
-def best_segment(same: np.ndarray) -> tuple[int, int, int]:
-    """(agreeing words, length, start) of the segment with the most agreeing less differing words; the first, then longest, of equals."""
-    sums = np.concatenate(([0], np.cumsum(np.where(same, 1, -1))))
-    lows = np.minimum.accumulate(sums)
-    end = int(np.argmax(sums[1:] - lows[:-1])) + 1
-    start = int(np.argmax(sums[:end] == lows[end - 1]))
-    return int(same[start:end].sum()), end - start, start
+def best_segment(same: np.ndarray, min_share: float = MIN_SHARE) -> tuple[int, int, int]:
+    """(agreeing words, length, start) of the segment with the most agreeing words of those with at least ``min_share``; the shortest, then first, of equals."""
+    share = Fraction(str(min_share))
+    # whole numbers, so that a sum is at least 0 exactly where the share is reached
+    sums = np.concatenate(([0], np.cumsum(np.where(same, share.denominator - share.numerator, -share.numerator))))
+    # for each end, the first start that is not above it: the longest segment, which has the most agreeing words
+    begin = np.searchsorted(-np.minimum.accumulate(sums), -sums, "left")
+    counts = np.concatenate(([0], np.cumsum(same)))
+    matched = counts - counts[begin]
+    if not matched.any():
+        return 0, 0, 0
+    # without the differing words at its start
+    hits = np.flatnonzero(same)
+    begin = np.where(matched > 0, hits[np.minimum(counts[begin], len(hits) - 1)], begin)
+    length = np.arange(len(sums)) - begin
+    end = int(np.lexsort((begin, length, -matched))[0])
+    return int(matched[end]), int(length[end]), int(begin[end])
 
 
 def leak_finder(index):
