@@ -33,7 +33,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the sentences of passages that an earlier one has."""
     _small_batches(spark)
-    cut = substring_dedup.remove_repeats(docs)
+    cut = substring_dedup.remove_repeats(docs, backward=True)
     changed = F.col("removed_bytes") > 0
     return cut.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 

@@ -86,3 +86,52 @@ def test_multi_byte_texts_are_cut_at_characters(spark):
 
 def test_empty_table(spark):
     assert S.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def brute_of_all_runs(rows):
+    """The sentences (document, place) that a later occurrence of any run of several sentences, or of one long one, covers."""
+    runs = {}
+    for d, text in rows:
+        cut = [w for _, _, w in sentences(text)]
+        for i in range(len(cut)):
+            for j in range(i, len(cut)):
+                n = sum(map(len, cut[i : j + 1]))
+                if (j > i and n >= S.MIN_RUN_WORDS) or (j == i and n >= S.LONG_SENTENCE):
+                    runs.setdefault(tuple(map(tuple, cut[i : j + 1])), []).append((d, i, j))
+    return {(d, k) for places in runs.values() for d, i, j in sorted(places)[1:] for k in range(i, j + 1)}
+
+
+def covered(rows):
+    """The same by the runs that are hashed."""
+    data = [text.encode() for _, text in rows]
+    offsets = S.np.cumsum([0, *map(len, data)])
+    row, run, start, stop = S.runs_of_slice(S.np.frombuffer(b"".join(data), S.np.uint8), offsets, S.MIN_SENTENCES, S.MIN_RUN_WORDS, S.LONG_SENTENCE, backward=True)
+    at = {}
+    for r, h, a, b in zip(row.tolist(), run.tolist(), start.tolist(), stop.tolist(), strict=True):
+        at.setdefault(h, []).append((rows[r][0], a, b))
+    starts = {d: [s[0] for s in sentences(text)] for d, text in rows}
+    return {(d, k) for places in at.values() for d, a, b in sorted(places)[1:] for k, s in enumerate(starts[d]) if a <= s < b}
+
+
+def test_runs_that_start_or_end_with_a_sentence_cover_every_repeated_run():
+    rnd = random.Random(13)
+    sentence = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n)) + "."
+    for lengths in ((45, 10), (30, 8, 7), (8, 10, 8), (10, 45), (45, 3, 3), (12, 9), (9, 9)):
+        passage = " ".join(map(sentence, lengths))
+        rows = [(1, f"{sentence(9)} {passage} {sentence(30)}"), (2, f"{sentence(25)} {passage} {sentence(30)}")]
+        want = {(2, k + 1) for k in range(len(lengths))} if sum(lengths) >= 20 else set()
+        assert covered(rows) == brute_of_all_runs(rows) == want, lengths
+    shared = [" ".join(sentence(rnd.choice((2, 5, 8, 12, 18, 41))) for _ in range(rnd.randint(2, 6))) for _ in range(12)]
+    rows = [(d, " ".join(rnd.choice((sentence(rnd.randint(2, 25)), rnd.choice(shared))) for _ in range(rnd.randint(1, 6)))) for d in range(80)]
+    assert covered(rows) == brute_of_all_runs(rows)
+
+
+def test_the_query_cuts_a_repeated_passage_to_its_end(spark, tmp_path):
+    from weftarc.llm.queries import op10_substring_dedup
+
+    words = iter(range(10**6))
+    sentence = lambda n: " ".join(f"w{next(words)}" for _ in range(n)) + "."
+    passage = f"{sentence(45)} {sentence(10)}"
+    rows = [(1, f"{passage} {sentence(30)}"), (2, f"First. {passage} Last one.")]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    assert [(r.doc_id, r.text) for r in op10_substring_dedup(spark, str(tmp_path)).collect()] == [(2, "First. Last one.")]

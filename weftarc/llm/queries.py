@@ -113,7 +113,7 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of repeated sentences that documents lose, and the text that is left to them."""
-    return substring_dedup.removals(_table(spark, sf_dir, "documents"))
+    return substring_dedup.removals(_table(spark, sf_dir, "documents"), backward=True)
 
 
 QUERIES = {

@@ -1,7 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
 From every sentence the shortest run of at least ``MIN_SENTENCES`` sentences and ``MIN_RUN_WORDS`` words is
-hashed (a sentence of ``LONG_SENTENCE`` words or more is a run of its own). Runs of all documents meet by
+hashed (a sentence of ``LONG_SENTENCE`` words or more is a run of its own), and with ``backward``, as the queries
+have it, also the shortest that ends with the sentence. Any longer run is covered by such runs inside it: what
+follows too near its end to start one by a run that ends there. Without ``backward`` that end can stay. Runs of all documents meet by
 hash; of each run that occurs more than once, the first occurrence stays (by document id, then text hash,
 then place) and the sentences that any other occurrence covers are removed.
 
@@ -47,7 +49,7 @@ def sentences(buf: np.ndarray, offsets: np.ndarray):
     return starts, ends, first, np.concatenate(([0], np.flatnonzero(last) + 1))
 
 
-def runs_of_slice(buf: np.ndarray, offsets: np.ndarray, min_sentences: int, min_words: int, long_sentence: int):
+def runs_of_slice(buf: np.ndarray, offsets: np.ndarray, min_sentences: int, min_words: int, long_sentence: int, backward: bool = False):
     """(row, hash, start, stop) of every run; start and stop are byte offsets in the row."""
     starts, ends, first, cuts = sentences(buf, offsets)
     n = len(cuts) - 1
@@ -58,6 +60,11 @@ def runs_of_slice(buf: np.ndarray, offsets: np.ndarray, min_sentences: int, min_
     rows = np.searchsorted(first, cuts[:-1], "right") - 1
     keep = j < n
     i, j = i[keep], j[keep]
+    if backward:
+        e = np.arange(n)
+        s = np.minimum(np.searchsorted(cuts, cuts[1:] - min_words, "right") - 1, e - min_sentences + 1)
+        keep = (s >= 0) & (np.diff(cuts) < long_sentence)
+        i, j = np.divmod(np.unique(np.concatenate((i * n + j, s[keep] * n + e[keep]))), n)
     keep = rows[i] == rows[j]
     i, j = i[keep], j[keep]
     of = flat.Spans(hashes).hashes(cuts[i], cuts[j + 1])
@@ -67,14 +74,14 @@ def runs_of_slice(buf: np.ndarray, offsets: np.ndarray, min_sentences: int, min_
     return rows[i], of, begin[i] - base, stop - base
 
 
-def run_finder(min_sentences: int = MIN_SENTENCES, min_words: int = MIN_RUN_WORDS, long_sentence: int = LONG_SENTENCE):
+def run_finder(min_sentences: int = MIN_SENTENCES, min_words: int = MIN_RUN_WORDS, long_sentence: int = LONG_SENTENCE, backward: bool = False):
     """A column function: the runs of whole texts."""
 
     @F.arrow_udf(RUN_TYPE)
     def runs(text: pa.Array) -> pa.Array:
         counts, parts = [], []
         for _, _, buf, offsets in flat.slices(text):
-            rows, *found = runs_of_slice(buf, offsets, min_sentences, min_words, long_sentence)
+            rows, *found = runs_of_slice(buf, offsets, min_sentences, min_words, long_sentence, backward)
             counts.append(np.bincount(rows, minlength=len(offsets) - 1))
             parts.append(found)
         where = np.concatenate(([0], np.cumsum(np.concatenate(counts) if counts else np.zeros(len(text), np.int64))))
