@@ -104,6 +104,39 @@ def shingles(text, size=5):
     return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)}
 
 
+def test_families_near_the_bound_lose_no_candidate(spark):
+    rnd = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = []
+    for size in (3, 5, 8, 12, 20, 30, 50) * 3:
+        base = rnd.choices(vocabulary, k=300)
+        for _ in range(size):
+            words = list(base)
+            for at in rnd.sample(range(0, 300, 7), rnd.randint(3, 5)):
+                words[at] = rnd.choice(vocabulary)
+            texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    got = {r.doc_id: r for r in simhash.near_duplicates(docs, SIMILAR).collect()}
+    fps = np.array([got[i].fp for i in range(len(texts))], np.int64).view(np.uint64)
+    sets = [shingles(t) for t in texts]
+    edges = []
+    for i in range(len(texts)):
+        equal = (fps[i] ^ fps).view(np.uint8).reshape(len(fps), -1) == 0
+        listed = np.any([equal[:, p] & equal[:, q] for p, q in SIMILAR.lists], axis=0)
+        bits = np.bitwise_count(fps[i] ^ fps).sum(axis=1, dtype=np.int64)
+        for j in np.flatnonzero(listed & (equal.sum(axis=1) >= SIMILAR.min_shared) & (bits <= SIMILAR.max_bits)):
+            if i < j and len(sets[i] & sets[j]) >= SIMILAR.similarity * len(sets[i] | sets[j]):
+                edges.append((i, int(j)))
+    root = list(range(len(texts)))
+    for _ in texts:
+        before = list(root)
+        for i, j in edges:
+            root[i] = root[j] = min(root[i], root[j])
+        if root == before:
+            break
+    assert {i: r.component_id for i, r in got.items()} == dict(enumerate(root))
+
+
 def test_similar_texts_are_found_and_less_similar_ones_stay(spark):
     rnd = random.Random(8)
     vocabulary = [f"w{i}" for i in range(3000)]

@@ -10,7 +10,8 @@ a few positions together, chosen so that any pair with the minimum meets in at l
 Scale: fingerprints are made where the texts are read; only (id, fingerprint) rows are shuffled. Equal
 fingerprints are one class from the start, so copies cost nothing. A list longer than ``BLOCK`` is cut into
 blocks, and the pairs of blocks are dealt over many tasks. From each list at most one link for each member
-is sent on (a spanning forest of the pairs that were verified), never all pairs. Components are found by
+is sent on (a spanning forest of the pairs that were verified), never all pairs. Only where links are verified
+further (``Plan.similarity``) are all pairs sent on, in a second pass, of parts that the first left apart. Components are found by
 rounds of joins (``components``); no list, class or component ever comes together in one task or the driver.
 
 Edge cases: words are runs of anything but ASCII white space; A-Z are lower-cased. A text with fewer words
@@ -213,14 +214,18 @@ def nearest_tree(n: int, left: np.ndarray, right: np.ndarray, weight: np.ndarray
 
 
 def _links(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by list and blocks to links (a, b); a list that goes on in the next batch waits for it."""
+    """Rows sorted by list and blocks to links (a, b); a list that goes on in the next batch waits for it.
+
+    With a part of each row, all pairs of different parts.
+    """
     rest: list[np.ndarray] = []
 
-    def found(run, fps, ids):
+    def found(run, fps, ids, part=None):
         left, right, bits = linked_pairs(run, fps, plan.min_shared, plan.max_bits)
         if plan.similarity is not None:  # links that are verified further must be pairs that were found
-            tree = nearest_tree(len(run), left, right, bits)
-            return pa.RecordBatch.from_pydict({"a": ids[left[tree]], "b": ids[right[tree]]})
+            some = nearest_tree(len(run), left, right, bits) if part is None else np.flatnonzero(part[left] != part[right])
+            a, b = ids[left[some]], ids[right[some]]
+            return pa.RecordBatch.from_pydict({"a": np.maximum(a, b), "b": np.minimum(a, b)})
         label = forest(len(run), left, right)
         some = np.flatnonzero(label != np.arange(len(run)))
         return pa.RecordBatch.from_pydict({"a": ids[some], "b": ids[label[some]]})
@@ -229,24 +234,27 @@ def _links(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordB
         if not len(batch):
             continue
         key, pair, ids = (batch[k].to_numpy() for k in ("key", "pair", "id"))
+        part = [batch["part"].to_numpy()] if "part" in batch.schema.names else []
         fps = np.ascontiguousarray(batch["fp"].flatten().to_numpy().view(np.uint64).reshape(-1, plan.parts))
         if rest:
-            key, pair, ids, fps = (np.concatenate(x) for x in zip(rest, (key, pair, ids, fps), strict=True))
+            key, pair, ids, fps, *part = (np.concatenate(x) for x in zip(rest, (key, pair, ids, fps, *part), strict=True))
         new = np.concatenate(([True], (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])))
         last = int(np.flatnonzero(new)[-1])
         if last:
-            yield found(np.cumsum(new[:last]), fps[:last], ids[:last])
-        rest = [key[last:], pair[last:], ids[last:], fps[last:]]
+            yield found(np.cumsum(new[:last]), fps[:last], ids[:last], *(p[:last] for p in part))
+        rest = [x[last:] for x in (key, pair, ids, fps, *part)]
     if rest:
-        yield found(np.zeros(len(rest[0]), np.int64), rest[3], rest[2])
+        yield found(np.zeros(len(rest[0]), np.int64), rest[3], rest[2], *rest[4:])
 
 
 def links(classes: DataFrame, plan: Plan, block: int = BLOCK) -> DataFrame:
     """(a, b): links that join what verified pairs join, of a table of id and (different) fp.
 
-    With ``plan.similarity`` they are themselves such pairs, of each list a spanning forest of the nearest.
+    With ``plan.similarity`` they are themselves such pairs, of each list a spanning forest of the nearest; if
+    ``classes`` has a column part, all pairs of different parts.
     """
-    rows = classes.select(F.explode(list_keys(F.col("fp"), plan)).alias("key"), "id", "fp")
+    taken = [c for c in ("id", "fp", "part") if c in classes.columns]
+    rows = classes.select(F.explode(list_keys(F.col("fp"), plan)).alias("key"), *taken)
     long_lists = stored(
         classes.select(F.explode(list_keys(F.col("fp"), plan)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block), "long-lists"
     )
@@ -254,7 +262,7 @@ def links(classes: DataFrame, plan: Plan, block: int = BLOCK) -> DataFrame:
     m = F.ceil(F.coalesce("n", F.lit(1)) / block).cast("int")
     x = F.pmod(F.xxhash64("id"), F.col("m")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda y: F.least(F.col("x"), y) * F.col("m") + F.greatest(F.col("x"), y))
-    dealt = rows.join(long_lists, "key", "left").withColumn("m", m).withColumn("x", x).select("key", F.explode(pairs).alias("pair"), "id", "fp")
+    dealt = rows.join(long_lists, "key", "left").withColumn("m", m).withColumn("x", x).select("key", F.explode(pairs).alias("pair"), *taken)
     return dealt.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(lambda it: _links(it, plan), "a long, b long")
 
 
@@ -301,7 +309,15 @@ def components_of(fps: DataFrame, plan: Plan = EXACT, block: int = BLOCK, docs:
     classes = stored(once.withColumn("id", F.monotonically_increasing_id()), "simhash-classes")
     edges = links(classes, plan, block)
     if plan.similarity is not None:
-        edges = similar_links(stored(edges.distinct(), "simhash-links"), classes, docs, plan)
+        tree = stored(edges.distinct(), "simhash-links")
+        passed = stored(similar_links(tree, classes, docs, plan), "simhash-passed")
+        # A forest leaves out pairs that close a circle, and a link of the circle may have failed: all other pairs of
+        # parts that are still apart are verified too. A class with any pair has a link in a forest.
+        ends = tree.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        parts = components(passed).withColumnsRenamed({"a": "id", "b": "part"})
+        open_ = stored(classes.join(ends, "id", "left_semi").join(parts, "id", "left").withColumn("part", F.coalesce("part", "id")), "simhash-parts")
+        others = stored(links(open_, plan, block).distinct().join(tree, ["a", "b"], "left_anti"), "simhash-others")
+        edges = passed.unionByName(similar_links(others, classes, docs, plan))
     named = classes.join(components(edges).withColumnsRenamed({"a": "id", "b": "root"}), "id", "left").withColumn("root", F.coalesce("root", "id")).select("fp", "root", "least_id")
     # written, so that Spark can split the join at a root with very many members
     least = stored(named.groupBy("root").agg(F.min("least_id").alias("component_id")), "simhash-least")
