@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,14 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (a local session, tests) an own folder is made and set.
+    Only where that is unset and all executors are in this process (a local session, tests) an own folder is made and
+    set, which goes when the process ends. On a cluster the setting is needed.
     """
     own = spark.conf.get("spark.checkpoint.dir", None)
     if own:
         return own.rstrip("/")
     at = spark.sparkContext.getCheckpointDir()
     if at is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weftarc-"))
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and all executors of {master} share")
+        made = tempfile.mkdtemp(prefix="weftarc-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(made)
         at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")
 
