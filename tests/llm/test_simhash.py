@@ -157,3 +157,58 @@ def test_similar_texts_are_found_and_less_similar_ones_stay(spark):
     assert len(near) > 100 and len(kept.intersection(near)) <= 0.08 * len(near)
     close = [2 * k + 1 for k, j in enumerate(pairs) if j >= 0.85]
     assert len(kept.intersection(close)) <= 0.02 * len(close)
+
+
+def test_texts_that_only_share_a_repeated_word_stay(spark):
+    rnd = random.Random(10)
+    own = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    body, filler = own(150), "again " * 4000
+    rows = [(1, filler + own(150)), (2, filler + body), (3, filler + body + " end"), (4, filler + own(150)), (5, filler), (6, own(3)), (7, own(3))]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert kept == {1, 2, 4, 5, 6, 7}  # only 3 has a near copy
+
+
+def test_a_third_text_does_not_part_two_copies(spark):
+    rnd = random.Random(11)
+    words = [f"w{rnd.randrange(10**6)}" for _ in range(200)]
+    near = list(words)
+    near[100] = "x"
+    between = words[:145] + [f"v{i}" for i in range(35)] + words[180:]
+    rows = [(1, "a b c d e " * 5 + " ".join(words)), (2, "a b c d e " * 9 + " ".join(between)), (3, "a b c d e " * 40 + " ".join(near))]
+    pairs = {(i, j): len(shingles(rows[i][1]) & shingles(rows[j][1])) / len(shingles(rows[i][1]) | shingles(rows[j][1])) for i in range(3) for j in range(i)}
+    assert pairs[2, 0] > 0.9 and max(pairs[1, 0], pairs[2, 1]) < 0.8
+    assert {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()} == {1, 2}
+
+
+def test_groups_of_many_blocks_lose_no_candidate(spark, monkeypatch):
+    rnd = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    base = rnd.choices(vocabulary, k=300)
+    texts = []
+    for size, changes in ((60, 2), (40, 5), (20, 9)):  # a part of many, then more and more that are apart
+        for _ in range(size):
+            words = list(base)
+            for at in rnd.sample(range(0, 300, 7), changes):
+                words[at] = rnd.choice(vocabulary)
+            texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    want = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, SIMILAR).collect()}  # one block
+    assert 3 < len(set(want.values())) < 100
+    monkeypatch.setattr(simhash, "VERIFIED_ROWS", 8)
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, SIMILAR).collect()} == want
+
+
+def test_shared_shingles_against_sets(monkeypatch):
+    rnd = random.Random(13)
+    monkeypatch.setattr(simhash, "_COLUMNS", 7)
+    sets = [{rnd.randrange(60) for _ in range(rnd.randint(0, 40))} for _ in range(12)]
+    got = simhash.shared_shingles(np.array([x for s in sets for x in sorted(s)]), np.array([len(s) for s in sets]))
+    assert all(got[i, j] == len(sets[i] & sets[j]) for i, j in combinations(range(12), 2))
+
+
+def test_callers_columns_and_a_very_long_text(spark):
+    long = " ".join(f"w{i}" for i in range(300_000))
+    rows = [(1, long, "a", "b", "c"), (2, long + " end", "d", "e", "f"), (3, "short one", "g", None, "h")]
+    docs = spark.createDataFrame(rows, SCHEMA + ", gone_id string, `text_key` string, row string")
+    got = simhash.keep_one(docs)
+    assert got.schema == docs.schema and sorted(tuple(r) for r in got.collect()) == [rows[0], rows[2]]

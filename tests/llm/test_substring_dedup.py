@@ -135,3 +135,35 @@ def test_the_query_cuts_a_repeated_passage_to_its_end(spark, tmp_path):
     rows = [(1, f"{passage} {sentence(30)}"), (2, f"First. {passage} Last one.")]
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert [(r.doc_id, r.text) for r in op10_substring_dedup(spark, str(tmp_path)).collect()] == [(2, "First. Last one.")]
+
+
+def test_callers_columns_stay_whatever_their_names(spark):
+    passage = " ".join(f"word{i}" for i in range(60)) + "."
+    columns = "doc_id long, text string, n_chars int, removed_spans string, first_doc_ids int, `of.doc` string, row string, left string"
+    rows = [(1, passage, 1, "s", 7, "d", "r", "l"), (2, f"Mine. {passage}", 2, None, 8, "e", None, "m"), (3, None, 3, "t", 9, "f", "q", None)]
+    docs = spark.createDataFrame(rows, columns)
+    got = S.without_repeats(docs, length="n_chars", backward=True)
+    assert got.schema == docs.schema
+    assert sorted(tuple(r) for r in got.collect()) == [rows[0], (2, "Mine. ", 6, None, 8, "e", None, "m"), rows[2]]
+
+
+def test_runs_meet_only_if_both_hashes_agree(spark, monkeypatch):
+    texts = [" ".join(f"{k}w{i}" for i in range(60)) + "." for k in "ab"]
+    whole = S._runs
+
+    def clash(*args):
+        rows, (first, second), start, stop = whole(*args)
+        return rows, (S.np.zeros_like(first), second), start, stop
+
+    data = S.pa.array(texts + texts[:1])
+    monkeypatch.setattr(S, "_runs", clash)
+    found = S.run_finder(backward=True).func(data).to_pylist()
+    assert [r[0]["run"] for r in found] == [0, 0, 0]
+    assert found[0][0]["proof"] == found[2][0]["proof"] != found[1][0]["proof"]
+
+
+def test_a_very_long_text(spark):
+    passage = " ".join(f"word{i}" for i in range(60)) + "."
+    long = " ".join(f"Sentence {i} of a long text has its own words{i}, many{i} and more{i}." for i in range(40_000))
+    got = {r.doc_id: r.text for r in S.remove_repeats(spark.createDataFrame([(1, passage), (2, f"{long} {passage}")], SCHEMA), backward=True).collect()}
+    assert got == {1: passage, 2: long + " "}

@@ -12,9 +12,10 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 19
-_P = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2**64
-_P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+# odd, so that they have inverses modulo 2**64
+_P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_BASES = tuple((b, np.uint64(pow(int(b), -1, 1 << 64))) for b in (_P, _Q))
+_powers = [[np.ones(1, np.uint64), np.ones(1, np.uint64)] for _ in _BASES]
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -45,15 +46,16 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         lo = hi
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of the multiplier and of its inverse."""
-    if len(_powers[0]) < n:
+def powers(n: int, kind: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of a multiplier and of its inverse; there are two kinds, for hashes that do not depend on one another."""
+    own = _powers[kind]
+    if len(own[0]) < n:
         size = 1 << (n - 1).bit_length()
-        for i, base in enumerate((_P, _P_INV)):
+        for i, base in enumerate(_BASES[kind]):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
-            _powers[i] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
+            own[i] = np.cumprod(steps, dtype=np.uint64)
+    return own[0][:n], own[1][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -69,9 +71,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Spans:
     """64-bit hashes of any spans of a sequence of integers, each in constant time."""
 
-    def __init__(self, values: np.ndarray):
+    def __init__(self, values: np.ndarray, kind: int = 0):
         n = len(values)
-        up, self._down = powers(n + 1)
+        up, self._down = powers(n + 1, kind)
         self._sums = np.zeros(n + 1, np.uint64)
         np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[:n], out=self._sums[1:])
 

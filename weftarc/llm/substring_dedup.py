@@ -1,19 +1,21 @@
 """Substring dedup by sliding sentence spans.
 
 From every sentence the shortest run of at least ``MIN_SENTENCES`` sentences and ``MIN_RUN_WORDS`` words is
-hashed (a sentence of ``LONG_SENTENCE`` words or more is a run of its own), and with ``backward``, as the queries
+hashed (a sentence of ``LONG_SENTENCE`` words or more is a run of its own, beyond the method: long passages without
+a stop are one sentence here), and with ``backward``, as the queries
 have it, also the shortest that ends with the sentence. Any longer run is covered by such runs inside it: what
-follows too near its end to start one by a run that ends there. Without ``backward`` that end can stay. Runs of all documents meet by
-hash; of each run that occurs more than once, the first occurrence stays (by document id, then text hash,
+follows too near its end to start one by a run that ends there. Without ``backward`` that end can stay. Runs of
+all documents meet by two 64-bit hashes with different multipliers, so that one hash confirms the other; of each run that occurs more than once, the first occurrence stays (by document id, then text hash,
 then place) and the sentences that any other occurrence covers are removed.
 
 Scale: occurrences are counted with partial sums before the shuffle, so a passage that a third of all
-documents share sends one row from each task. Only runs that repeat are joined back, on a hash that is unique on
+documents share sends one row from each task. Only runs that repeat are joined back, on hashes that are unique on
 the small side, so Spark can split a hot hash. Spans are gathered by document and bounded by its sentences.
 
 Edge cases: sentences end with a word that ends in . ! or ? or before a newline; case and white space are
 ignored. Null and empty texts have no runs and stay as they are. Documents are told apart by id and text:
 rows with both equal count as one document and get the same result. A text may become empty; its row stays.
+Columns of any other names stay as they are.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ MIN_SENTENCES = 2
 MIN_RUN_WORDS = 20
 LONG_SENTENCE = 40
 
-RUN_TYPE = "array<struct<run: long, start: int, stop: int>>"
+RUN_TYPE = "array<struct<run: long, proof: long, start: int, stop: int>>"
 _LOWER = np.frombuffer(flat.LOWER, np.uint8)
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?")] = True
@@ -49,11 +51,10 @@ def sentences(buf: np.ndarray, offsets: np.ndarray):
     return starts, ends, first, np.concatenate(([0], np.flatnonzero(last) + 1))
 
 
-def runs_of_slice(buf: np.ndarray, offsets: np.ndarray, min_sentences: int, min_words: int, long_sentence: int, backward: bool = False):
-    """(row, hash, start, stop) of every run; start and stop are byte offsets in the row."""
+def _runs(buf: np.ndarray, offsets: np.ndarray, min_sentences: int, min_words: int, long_sentence: int, backward: bool, kinds: tuple[int, ...]):
+    """(row, a list of the hashes of each of ``kinds``, start, stop) of every run; start and stop are byte offsets in the row."""
     starts, ends, first, cuts = sentences(buf, offsets)
     n = len(cuts) - 1
-    hashes = flat.Spans(_LOWER[buf]).hashes(starts, ends)
     i = np.arange(n)
     j = np.maximum(np.searchsorted(cuts[1:], cuts[:-1] + min_words), i + min_sentences - 1)
     j = np.where(np.diff(cuts) >= long_sentence, i, j)
@@ -67,13 +68,20 @@ def runs_of_slice(buf: np.ndarray, offsets: np.ndarray, min_sentences: int, min_
         i, j = np.divmod(np.unique(np.concatenate((i * n + j, s[keep] * n + e[keep]))), n)
     keep = rows[i] == rows[j]
     i, j = i[keep], j[keep]
-    of = flat.Spans(hashes).hashes(cuts[i], cuts[j + 1])
+    lowered = _LOWER[buf]
+    of = [flat.Spans(flat.Spans(lowered, k).hashes(starts, ends), k).hashes(cuts[i], cuts[j + 1]) for k in kinds]
     begin = np.append(starts, 0)[cuts]  # of the first word of each sentence
     stop = np.where((j + 1 < n) & (np.append(rows, -1)[np.minimum(j + 1, n)] == rows[j]), begin[np.minimum(j + 1, n)], offsets[rows[j] + 1])
     base = offsets[rows[i]]
     return rows[i], of, begin[i] - base, stop - base
 
 
+def runs_of_slice(buf: np.ndarray, offsets: np.ndarray, min_sentences: int, min_words: int, long_sentence: int, backward: bool = False):
+    """(row, hash, start, stop) of every run."""
+    rows, (of,), start, stop = _runs(buf, offsets, min_sentences, min_words, long_sentence, backward, (0,))
+    return rows, of, start, stop
+
+
 def run_finder(min_sentences: int = MIN_SENTENCES, min_words: int = MIN_RUN_WORDS, long_sentence: int = LONG_SENTENCE, backward: bool = False):
     """A column function: the runs of whole texts."""
 
@@ -81,13 +89,13 @@ def run_finder(min_sentences: int = MIN_SENTENCES, min_words: int = MIN_RUN_WORD
     def runs(text: pa.Array) -> pa.Array:
         counts, parts = [], []
         for _, _, buf, offsets in flat.slices(text):
-            rows, *found = runs_of_slice(buf, offsets, min_sentences, min_words, long_sentence, backward)
+            rows, of, start, stop = _runs(buf, offsets, min_sentences, min_words, long_sentence, backward, (0, 1))
             counts.append(np.bincount(rows, minlength=len(offsets) - 1))
-            parts.append(found)
+            parts.append((*of, start, stop))
         where = np.concatenate(([0], np.cumsum(np.concatenate(counts) if counts else np.zeros(len(text), np.int64))))
-        run, start, stop = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(3))
-        fields = [pa.array(run.astype(np.uint64).view(np.int64), pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())]
-        return pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.StructArray.from_arrays(fields, names=["run", "start", "stop"]))
+        run, proof, start, stop = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(4))
+        fields = [pa.array(x.astype(np.uint64).view(np.int64), pa.int64()) for x in (run, proof)] + [pa.array(x, pa.int32()) for x in (start, stop)]
+        return pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.StructArray.from_arrays(fields, names=["run", "proof", "start", "stop"]))
 
     return runs
 
@@ -97,10 +105,10 @@ def repeated_spans(docs: DataFrame, **params) -> DataFrame:
     runs = stored(docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.explode(run_finder(**params)("text")).alias("r")).select("doc_id", "text_key", "r.*"), "substring-runs")
     # written, so that Spark can split the join where a run is in very many documents
     firsts = stored(
-        runs.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "text_key", "start")).alias("first")).filter("n > 1").drop("n"),
+        runs.groupBy("run", "proof").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "text_key", "start")).alias("first")).filter("n > 1").drop("n"),
         "substring-firsts",
     )
-    later = runs.join(firsts, "run").filter(~F.struct("doc_id", "text_key", "start").eqNullSafe(F.col("first")))
+    later = runs.join(firsts, ["run", "proof"]).filter(~F.struct("doc_id", "text_key", "start").eqNullSafe(F.col("first")))
     return later.groupBy("doc_id", "text_key").agg(
         F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"),
         F.array_sort(F.collect_set("first.doc_id")).alias("first_doc_ids"),
@@ -122,18 +130,35 @@ def cut(text: Column, spans: Column) -> tuple[Column, Column]:
     return left, F.octet_length(text) - F.octet_length(left)
 
 
+def _cut_rows(docs: DataFrame, **params) -> DataFrame:
+    """row (the whole row of ``docs`` as one column, so that no name can clash), left (its text), removed_spans, first_doc_ids, removed_bytes."""
+    spans = stored(repeated_spans(docs, **params), "substring-spans").withColumnsRenamed({"doc_id": "of_doc_id", "text_key": "of_text_key", "spans": "removed_spans"})
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
+    same = F.col("doc_id").eqNullSafe(F.col("of_doc_id")) & (F.xxhash64("text") == F.col("of_text_key"))
+    joined = rows.join(spans.hint("shuffle_hash"), same, "left")
+    left, removed = cut(F.col("text"), F.col("removed_spans"))
+    some = F.col("removed_spans").isNotNull()
+    return joined.select("row", F.when(some, left).otherwise(F.col("text")).alias("left"), "removed_spans", "first_doc_ids", F.when(some, removed).otherwise(0).alias("removed_bytes"))
+
+
 def remove_repeats(docs: DataFrame, **params) -> DataFrame:
     """``docs`` with ``text`` cut; adds removed_spans and first_doc_ids (null where nothing repeats) and removed_bytes.
 
     Columns of these names are replaced, others stay as they were.
     """
-    docs = docs.drop("removed_spans", "first_doc_ids", "removed_bytes")
-    spans = stored(repeated_spans(docs, **params), "substring-spans").withColumnsRenamed({"doc_id": "__doc_id", "text_key": "__text_key", "spans": "removed_spans"})
-    same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.xxhash64("text") == F.col("__text_key"))
-    joined = docs.join(spans.hint("shuffle_hash"), same, "left").drop("__doc_id", "__text_key")
-    left, removed = cut(F.col("text"), F.col("removed_spans"))
-    some = F.col("removed_spans").isNotNull()
-    return joined.withColumn("removed_bytes", F.when(some, removed).otherwise(0)).withColumn("text", F.when(some, left).otherwise(F.col("text")))
+    added = ("removed_spans", "first_doc_ids", "removed_bytes")
+    docs = docs.drop(*added)
+    of = [(F.col("left") if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns]
+    return _cut_rows(docs, **params).select(*of, *added)
+
+
+def without_repeats(docs: DataFrame, length: str | None = None, **params) -> DataFrame:
+    """``docs`` with ``text`` cut, and in the column ``length`` the characters of a text that lost some; all else as it was."""
+    new = {"text": F.col("left")}
+    if length is not None:
+        changed = F.col("removed_bytes") > 0
+        new[length] = F.when(changed, F.length("left").cast(docs.schema[length].dataType)).otherwise(F.col("row")[length])
+    return _cut_rows(docs, **params).select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def removals(docs: DataFrame, **params) -> DataFrame:
