@@ -9,44 +9,29 @@ from pyspark.sql import functions as F
 from weftarc.llm import bpe_codec, decontaminate, quality_rules, simhash, substring_dedup
 from weftarc.llm.scratch import stored
 
-#: Rows in a batch between Spark and Python. Whole texts are long; Spark's 10,000 would be tens of megabytes in
-#: several copies in each of an executor's workers.
-ROWS_PER_BATCH = 1000
-
-
-def _small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
-
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    _small_batches(spark)
     return quality_rules.keep_good(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    _small_batches(spark)
     return simhash.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the sentences of passages that an earlier one has."""
-    _small_batches(spark)
-    cut = substring_dedup.remove_repeats(docs, backward=True)
-    changed = F.col("removed_bytes") > 0
-    return cut.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    return substring_dedup.without_repeats(docs, length="n_chars", backward=True)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    _small_batches(spark)
     return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, the ids of the text and the text that they decode to."""
-    _small_batches(spark)
     coded = docs.select("doc_id", "lang", "source", bpe_codec.coder(public_tokenizers.path("word_bpe_49k.json"))("text").alias("coded"))
     return coded.select("doc_id", "lang", "source", F.size("coded.token_ids").cast("long").alias("n_tokens"), "coded.token_ids", "coded.decoded_text")
 
