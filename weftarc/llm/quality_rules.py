@@ -5,14 +5,21 @@ three-word windows). A base rule rejects short and repetitive texts. Of the othe
 are held against a minimum-covariance-determinant estimate of their language and source, and texts at a
 large Mahalanobis distance are rejected.
 
-The estimate is made on all rows: every concentration step is one aggregation by group and distance bin,
-with partial sums on the map side, so a group that holds a third of the rows is never in one task.
-The statistics are fixed-point integers, so sums are exact and do not depend on the order of rows.
+The estimate: from each of ``STARTS`` beginnings a group's ``KEPT_SHARE`` nearest rows are taken and their mean and
+covariance made, again and again until the determinants fall no further; the beginning that ends with the least
+determinant gives the estimate. Groups are (language, source), (language, any) and (any, any), each of all its
+rows. A group of n rows is drawn towards the next wider one by n to ``PRIOR_ROWS``: of one row hardly anything
+counts, of very many nearly all, and no size is a special case.
+
+Scale: every concentration step is one aggregation by group, beginning and distance bin, with partial sums on
+the map side, so a group that holds a third of the rows is never in one task. The statistics are fixed-point
+integers, so sums are exact and do not depend on the order of rows. Rows of the bin at the border all count for
+the same part of themselves, so equal rows are treated alike and the kept rows weigh exactly ``KEPT_SHARE``.
 
 Edge cases: a null or empty text has no words and fails the base rule. A null language or source is a value
-like any other. Groups of under ``min_group`` rows use the estimate of their language, or of all rows; these
-are made on all rows of the language or table, so a row counts for up to three estimates. An empty table gives
-an empty result. Repeated rows each get their own, equal verdict.
+like any other. A group of one row, or of equal rows, has no spread of its own and gets ``LEAST_SPREAD`` and what
+the wider groups give. An empty table gives an empty result. Repeated rows each get their own, equal verdict.
+Columns of the input other than doc_id, text, lang and source are not read.
 """
 
 from __future__ import annotations
@@ -36,8 +43,12 @@ SYMBOLS = b"#*$%&|<>"
 
 #: Distance beyond which a text is rejected. Texts are far from normal, so it is well above a chi-square quantile.
 CUTOFF = 6.5
-STEPS = 6
-MIN_GROUP = 200
+STARTS = 3
+MAX_STEPS = 20
+#: Steps end when no determinant falls by more than this share.
+TOLERANCE = 1e-3
+#: Rows of its own with which a group counts as much as the wider group does.
+PRIOR_ROWS = 200
 KEPT_SHARE = 0.75
 #: Least standard deviation of each statistic; else a group without symbols would reject the first symbol.
 LEAST_SPREAD = (0.10, 0.50, 0.50, 0.10)
@@ -130,22 +141,6 @@ def _sized(params: DataFrame) -> DataFrame:
     return F.broadcast(params) if params.count() <= MAX_BROADCAST_GROUPS else params
 
 
-def with_groups(stats: DataFrame, counts: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """A row for each group that a row counts for, lang_key, source_key: (language, source), (language, any) and (any, any).
-
-    Every group is of all its rows, those of large narrower groups too; only groups that judge no row are left out.
-    """
-    by_lang = counts.groupBy("lang_k").agg(F.sum("n_rows").alias("n_lang"), F.min("n_rows").alias("n_least"))
-    any_small = not by_lang.filter(F.col("n_lang") < min_group).isEmpty()
-    group = lambda lang, source: F.struct(lang.alias("lang_key"), source.alias("source_key"))
-    own = F.when(F.col("n_rows") >= min_group, group(F.col("lang_k"), F.col("source_k")))
-    of_lang = F.when((F.col("n_lang") >= min_group) & (F.col("n_least") < min_group), group(F.col("lang_k"), F.lit("*")))
-    of_all = F.when(F.lit(any_small), group(F.lit("*"), F.lit("*")))
-    level = counts.join(_sized(by_lang), "lang_k").select("lang_k", "source_k", F.filter(F.array(own, of_lang, of_all), lambda g: g.isNotNull()).alias("groups"))
-    joined = stats.join(_sized(level), ["lang_k", "source_k"])
-    return joined.select("*", F.explode("groups").alias("g")).select("*", "g.*").drop("groups", "g")
-
-
 def group_columns(lang: Column, source: Column) -> list[Column]:
     """Keys without nulls: '=' and the value, or '-' for null. '*' is free to stand for any."""
     return [F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-")).alias(k) for c, k in ((lang, "lang_k"), (source, "source_k"))]
@@ -156,76 +151,127 @@ def _distance(xs: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, [(1 if i == j else 2) * F.col(f"s{i}{j}") * d[i] * d[j] for i, j in _pairs()])
 
 
-_PARAMS = "lang_key string, source_key string, " + ", ".join([*(f"m{i} double" for i in range(DIMS)), *(f"s{i}{j} double" for i, j in _pairs())])
+GROUP = ("lang_key", "source_key")
+_MOMENTS = [*(f"m{i}" for i in range(DIMS)), *(f"c{i}{j}" for i, j in _pairs())]
+_PARAMS = "lang_key string, source_key string, start int, n_group long, det double, " + ", ".join(f"{k} double" for k in (*_MOMENTS, *(f"s{i}{j}" for i, j in _pairs())))
+
+
+def matrices(columns: dict[str, np.ndarray], name: str) -> np.ndarray:
+    """(rows, DIMS, DIMS) of columns like c01."""
+    out = np.empty((len(columns[f"{name}00"]), DIMS, DIMS))
+    for i, j in _pairs():
+        out[:, i, j] = out[:, j, i] = columns[f"{name}{i}{j}"]
+    return out
 
 
 def _solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Means and inverse covariances from exact sums; spreads are kept above LEAST_SPREAD, and at the median's size."""
+    """Means, covariances, their determinants and inverses from weighted sums; spreads are kept above LEAST_SPREAD."""
     for f in frames:
-        n = f["n_in"].to_numpy(float)
+        n = f["weight"].to_numpy(float)
         mean = np.stack([f[f"x{i}"].to_numpy(float) for i in range(DIMS)], 1) / n[:, None] / UNIT
-        cov = np.empty((len(f), DIMS, DIMS))
-        for i, j in _pairs():
-            cov[:, i, j] = cov[:, j, i] = f[f"x{i}{j}"].to_numpy(float) / n / UNIT**2 - mean[:, i] * mean[:, j]
-        cov = cov + np.diag(np.square(LEAST_SPREAD))
+        cov = matrices({f"c{i}{j}": f[f"x{i}{j}"].to_numpy(float) / n / UNIT**2 - mean[:, i] * mean[:, j] for i, j in _pairs()}, "c") + np.diag(np.square(LEAST_SPREAD))
         inv = np.linalg.inv(cov)
-        yield pd.DataFrame({"lang_key": f["lang_key"], "source_key": f["source_key"]} | {f"m{i}": mean[:, i] for i in range(DIMS)} | {f"s{i}{j}": inv[:, i, j] for i, j in _pairs()})
+        out = {k: f[k] for k in (*GROUP, "start", "n_group")} | {"det": np.linalg.det(cov)} | {f"m{i}": mean[:, i] for i in range(DIMS)}
+        yield pd.DataFrame(out | {f"{k}{i}{j}": of[:, i, j] for k, of in (("c", cov), ("s", inv)) for i, j in _pairs()})
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Medians and quartile ranges: exact percentiles of fixed-point values, of which there are a bounded number."""
-    q = rows.groupBy("lang_key", "source_key").agg(*[F.percentile(f"x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i in range(DIMS)])
-    spread = [F.pow(F.col(f"q{i}")[2] / UNIT - F.col(f"q{i}")[0] / UNIT, 2) / 1.82 + LEAST_SPREAD[i] ** 2 for i in range(DIMS)]
+def _diagonal(q: DataFrame, start: int, middle: list[Column], spread: list[Column]) -> DataFrame:
     return q.select(
-        "lang_key", "source_key",
-        *[(F.col(f"q{i}")[1] / UNIT).alias(f"m{i}") for i in range(DIMS)],
-        *[((1 / spread[i]) if i == j else F.lit(0.0)).alias(f"s{i}{j}") for i, j in _pairs()],
+        *GROUP, F.lit(start).alias("start"), *[m.alias(f"m{i}") for i, m in enumerate(middle)],
+        *[(1 / spread[i] if i == j else F.lit(0.0)).alias(f"s{i}{j}") for i, j in _pairs()],
     )
 
 
+def _starts(rows: DataFrame) -> DataFrame:
+    """The beginnings of each group: medians with quartile ranges, medians with equal spreads, means with variances.
+
+    Percentiles are exact, of fixed-point values, of which there are a bounded number.
+    """
+    quartiles = [F.percentile(f"x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i in range(DIMS)]
+    q = stored(rows.groupBy(*GROUP).agg(*quartiles, *[F.avg(f"x{i}").alias(f"a{i}") for i in range(DIMS)], *[F.avg(F.col(f"x{i}") * F.col(f"x{i}")).alias(f"v{i}") for i in range(DIMS)]), "quality-quartiles")
+    median, mean = ([c / UNIT for c in cs] for cs in ([F.col(f"q{i}")[1] for i in range(DIMS)], [F.col(f"a{i}") for i in range(DIMS)]))
+    quartile = [F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / UNIT, 2) / 1.82 + LEAST_SPREAD[i] ** 2 for i in range(DIMS)]
+    variance = [F.col(f"v{i}") / UNIT**2 - mean[i] * mean[i] + LEAST_SPREAD[i] ** 2 for i in range(DIMS)]
+    equal = [F.lit(float(v) ** 2) for v in LEAST_SPREAD]
+    return reduce(DataFrame.unionByName, [_diagonal(q, 0, median, quartile), _diagonal(q, 1, median, equal), _diagonal(q, 2, mean, variance)][:STARTS])
+
+
+def distance_bin(squared: Column) -> Column:
+    """Squared distances in bins of about one in a hundred."""
+    return F.least(F.floor(F.log1p(F.greatest(squared, F.lit(0.0))) * 100), F.lit(1500)).cast("int")
+
+
 def _step(rows: DataFrame, params: DataFrame) -> DataFrame:
-    """A concentration step: estimates of the rows of each group within the distance that KEPT_SHARE of them have at most."""
+    """A concentration step: estimates of the nearest KEPT_SHARE of each group's rows, for each beginning."""
     xs = [F.col(f"x{i}") for i in range(DIMS)]
-    at = F.least(F.floor(F.log1p(_distance(xs)) * 100), F.lit(1500)).cast("int")
-    sums = [F.count(F.lit(1)).alias("n_in"), *[F.sum(x).alias(f"x{i}") for i, x in enumerate(xs)], *[F.sum(xs[i] * xs[j]).alias(f"x{i}{j}") for i, j in _pairs()]]
-    bins = rows.join(_sized(params), ["lang_key", "source_key"]).withColumn("bin", at).groupBy("lang_key", "source_key", "bin").agg(*sums)
-    group = Window.partitionBy("lang_key", "source_key")
-    before = F.sum("n_in").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
-    inner = bins.withColumn("before", F.coalesce(before, F.lit(0))).withColumn("n_group", F.sum("n_in").over(group)).filter(F.col("before") < KEPT_SHARE * F.col("n_group"))
-    total = inner.groupBy("lang_key", "source_key").agg(*[F.sum(c).alias(c) for c in ("n_in", *(f"x{i}" for i in range(DIMS)), *(f"x{i}{j}" for i, j in _pairs()))])
+    names = [*(f"x{i}" for i in range(DIMS)), *(f"x{i}{j}" for i, j in _pairs())]
+    sums = [F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(f"x{i}") for i, x in enumerate(xs)], *[F.sum(xs[i] * xs[j]).alias(f"x{i}{j}") for i, j in _pairs()]]
+    used = params.select(*GROUP, "start", *[f"m{i}" for i in range(DIMS)], *[f"s{i}{j}" for i, j in _pairs()])
+    bins = rows.join(_sized(used), list(GROUP)).withColumn("bin", distance_bin(_distance(xs))).groupBy(*GROUP, "start", "bin").agg(*sums)
+    group = Window.partitionBy(*GROUP, "start")
+    before = F.coalesce(F.sum("n").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inner = bins.withColumn("before", before).withColumn("n_group", F.sum("n").over(group))
+    part = F.least(F.lit(1.0), (KEPT_SHARE * F.col("n_group") - F.col("before")) / F.col("n"))
+    inner = inner.filter(F.col("before") < KEPT_SHARE * F.col("n_group")).withColumn("part", part)
+    total = inner.groupBy(*GROUP, "start").agg(F.max("n_group").alias("n_group"), F.sum(F.col("part") * F.col("n")).alias("weight"), *[F.sum(F.col("part") * F.col(c)).alias(c) for c in names])
     return total.mapInPandas(_solve, _PARAMS)
 
 
-def fit(stats: DataFrame, steps: int = STEPS, min_group: int = MIN_GROUP) -> tuple[DataFrame, DataFrame]:
-    """(counts by language and source, robust estimates by group) of a table with columns lang, source and the struct stats."""
+def _least(params: DataFrame) -> DataFrame:
+    """Of each group's beginnings the one with the least determinant, the first of equals."""
+    return params.groupBy(*GROUP).agg(F.min_by(F.struct(*params.columns[2:]), F.struct("det", "start")).alias("p")).select(*GROUP, "p.*")
+
+
+def _drawn(params: DataFrame, prior_rows: int) -> DataFrame:
+    """The least estimates, each drawn towards the drawn estimate of the next wider group."""
+    best = stored(_least(params), "quality-least")
+    wider = best.filter("lang_key = '*'")
+    out = [wider.select(*GROUP, *_MOMENTS)]
+    for narrow, shared in (("lang_key != '*' and source_key = '*'", "source_key"), ("source_key != '*'", "lang_key")):
+        up = wider.select(shared, *[F.col(k).alias(f"up_{k}") for k in _MOMENTS])
+        both = best.filter(narrow).join(_sized(up), shared)
+        n = F.col("n_group") / (F.col("n_group") + prior_rows)
+        wider = both.select(*GROUP, *[(n * F.col(k) + (1 - n) * F.col(f"up_{k}")).alias(k) for k in _MOMENTS])
+        out.append(wider)
+    return reduce(DataFrame.unionByName, out)
+
+
+def _inverted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        inv = np.linalg.inv(matrices({k: f[k].to_numpy() for k in _MOMENTS}, "c"))
+        yield pd.DataFrame({k: f[k] for k in (*GROUP, *(f"m{i}" for i in range(DIMS)))} | {f"s{i}{j}": inv[:, i, j] for i, j in _pairs()})
+
+
+_FITTED = "lang_key string, source_key string, " + ", ".join(f"{k} double" for k in (*(f"m{i}" for i in range(DIMS)), *(f"s{i}{j}" for i, j in _pairs())))
+
+
+def fit(stats: DataFrame, prior_rows: int = PRIOR_ROWS) -> DataFrame:
+    """Robust estimates by (language, source) of a table with columns lang, source and the struct stats."""
     s = F.col("stats")
     rows = stats.filter(~base_failed(s["n_words"], s["n_repeat_words"])).select(*group_columns(F.col("lang"), F.col("source")), *[x.alias(f"x{i}") for i, x in enumerate(transformed(s))])
-    counts = stored(rows.groupBy("lang_k", "source_k").agg(F.count(F.lit(1)).alias("n_rows")), "quality-counts")
-    rows = with_groups(rows, counts, min_group).drop("lang_k", "source_k")
-    params = stored(_start(rows), "quality-start")
-    for _ in range(steps):
+    group = lambda lang, source: F.struct(lang.alias("lang_key"), source.alias("source_key"))
+    levels = F.array(group(F.col("lang_k"), F.col("source_k")), group(F.col("lang_k"), F.lit("*")), group(F.lit("*"), F.lit("*")))
+    rows = rows.select(F.explode(levels).alias("g"), *[f"x{i}" for i in range(DIMS)]).select("g.*", *[f"x{i}" for i in range(DIMS)])
+    params, last = stored(_starts(rows), "quality-start"), None
+    for _ in range(MAX_STEPS):
         params = stored(_step(rows, params), "quality-step")
-    return counts, params
+        new = params.select(*GROUP, "start", F.col("det").alias("new_det"))
+        if last is not None and new.join(last, [*GROUP, "start"]).filter(F.col("new_det") < (1 - TOLERANCE) * F.col("det")).isEmpty():
+            break
+        last = params.select(*GROUP, "start", "det")
+    fitted = _drawn(params, prior_rows).mapInPandas(_inverted, _FITTED)
+    return stored(fitted.filter("source_key != '*'").withColumnsRenamed({"lang_key": "lang_k", "source_key": "source_k"}), "quality-fitted")
 
 
-def judged(docs: DataFrame, counts: DataFrame, params: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROUP) -> DataFrame:
+def judged(docs: DataFrame, params: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """``docs`` with a struct ``stats`` gets base_failed, distance (null if the base rule fails) and kept.
 
     A language and source of which no row passed the base rule has no estimate and needs none.
     """
-    keys = group_columns(F.col("lang"), F.col("source"))
-    keyed = docs.select("*", *keys)
-    by_lang = counts.groupBy("lang_k").agg(F.sum("n_rows").alias("n_lang"))
-    level = (
-        counts.join(_sized(by_lang), "lang_k")
-        .withColumn("source_key", F.when(F.col("n_rows") >= min_group, F.col("source_k")).otherwise("*"))
-        .withColumn("lang_key", F.when((F.col("n_rows") >= min_group) | (F.col("n_lang") >= min_group), F.col("lang_k")).otherwise("*"))
-        .join(_sized(params), ["lang_key", "source_key"])
-        .drop("lang_key", "source_key", "n_rows", "n_lang")
-    )
+    keyed = docs.select("*", *group_columns(F.col("lang"), F.col("source")))
     s = F.col("stats")
     return (
-        keyed.join(_sized(stored(level, "quality-levels")), ["lang_k", "source_k"], "left")
+        keyed.join(_sized(params), ["lang_k", "source_k"], "left")
         .withColumn("base_failed", base_failed(s["n_words"], s["n_repeat_words"]))
         .withColumn("distance", F.when(~F.col("base_failed"), F.sqrt(F.greatest(_distance(transformed(s)), F.lit(0.0)))))
         .withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff))
@@ -233,20 +279,18 @@ def judged(docs: DataFrame, counts: DataFrame, params: DataFrame, cutoff: float
     )
 
 
-def quality_verdicts(docs: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROUP) -> DataFrame:
+def quality_verdicts(docs: DataFrame, cutoff: float = CUTOFF, prior_rows: int = PRIOR_ROWS) -> DataFrame:
     """doc_id, the five counts, base_failed, distance and kept of every row of ``docs`` (doc_id, text, lang, source)."""
     stats = stored(docs.select("doc_id", "lang", "source", text_stats("text").alias("stats")), "quality-stats")
-    counts, params = fit(stats, min_group=min_group)
-    return judged(stats, counts, params, cutoff, min_group).select("doc_id", *[F.col("stats")[k].alias(k) for k in STATS], "base_failed", "distance", "kept")
+    return judged(stats, fit(stats, prior_rows), cutoff).select("doc_id", *[F.col("stats")[k].alias(k) for k in STATS], "base_failed", "distance", "kept")
 
 
-def keep_good(docs: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROUP) -> DataFrame:
+def keep_good(docs: DataFrame, cutoff: float = CUTOFF, prior_rows: int = PRIOR_ROWS) -> DataFrame:
     """The rows of ``docs`` that the rules keep, all columns as they were.
 
     Texts are read twice and never shuffled: once for the estimates, once to apply them.
     """
     names = docs.columns
-    stats = stored(docs.select("lang", "source", text_stats("text").alias("stats")), "quality-stats")
-    counts, params = fit(stats, min_group=min_group)
+    params = fit(stored(docs.select("lang", "source", text_stats("text").alias("stats")), "quality-stats"), prior_rows)
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "lang", "source", text_stats("text").alias("stats"))
-    return judged(inner, counts, params, cutoff, min_group).filter("kept").select("row.*")
+    return judged(inner, params, cutoff).filter("kept").select("row.*")

@@ -85,6 +85,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rule and verdict of every whole text, held against its language and source."""
     return quality_rules.quality_verdicts(_table(spark, sf_dir, "documents"))
 
 
