@@ -1,4 +1,5 @@
 import random
+import time
 
 from weftarc.llm import decontaminate as D
 
@@ -80,7 +81,7 @@ def test_a_changed_middle_does_not_hide_an_item():
     for ends, middle in ((13, 8), (20, 12)):
         item = [f"word{k}" for k in range(2 * ends + middle)]
         text = " ".join(item[:ends] + other(middle) + item[ends + middle :])
-        ((_, words, first),) = D._word_hashes(D.pa.array([text]))
+        ((_, words, first, _),) = D._word_hashes(D.pa.array([text]))
         ((no, matched, length, start),) = D.SeedIndex([" ".join(item)]).leaks(words, first)[0]
         assert (no, matched, length, start) == (0, ends, ends, 0)
 
@@ -95,3 +96,45 @@ def test_dropping_keeps_columns_and_clean_rows(spark):
 def test_empty_tables(spark):
     assert found(spark, cases(), []) == []
     assert found(spark, [], list(enumerate(ITEMS))) == []
+
+
+def test_short_items_count_where_they_are_a_whole_line(spark):
+    items = [(1, "Yes, it is"), (2, "Paris"), (3, "..."), (4, "Paris"), (5, "one two three four five")]
+    docs = [(1, "a line\n yes it IS!\nmore"), (2, "Yes, it is so"), (3, "Paris"), (4, "In Paris.\nYes it\nis"), (5, "one two three four five"), (6, None), (7, "\n\n...\n")]
+    assert {(r.doc_id, r.item_id) for r in found(spark, docs, items)} == {(1, 1), (3, 2), (3, 4), (5, 5)}
+
+
+def test_a_template_of_very_many_items():
+    draw = D.np.random.default_rng(3)
+    template = [f"template{k}" for k in range(12)]
+    texts = [" ".join(template + [f"own{x}" for x in draw.integers(0, 10**6, 20)]) for _ in range(4000)]
+    index = D.SeedIndex(texts)
+    filler = [f"filler{k}" for k in range(300)]
+    docs = [" ".join(filler + template + filler), " ".join(filler + texts[17].split() + filler), texts[5]]
+    ((_, words, first, begins),) = D._word_hashes(D.pa.array(docs))
+    began = time.perf_counter()
+    got = index.leaks(words, first, begins)
+    took = time.perf_counter() - began
+    assert {r: [x[0] for x in v] for r, v in got.items()} == {1: [17], 2: [5]}
+    assert took < 1
+
+
+def test_recall_at_the_bound():
+    draw = random.Random(14)
+    texts = [" ".join(f"w{draw.randrange(10**6)}" for _ in range(n)) for n in range(17, 41) for _ in range(20)]
+    index, docs = D.SeedIndex(texts), []
+    for t in texts:
+        w = t.split()
+        for at in draw.sample(range(len(w)), len(w) - -(-len(w) * 4 // 5)):  # four in five words stay
+            w[at] = f"x{draw.randrange(10**6)}"
+        docs.append(" ".join([f"a{draw.randrange(10**6)}" for _ in range(30)] + w + [f"b{draw.randrange(10**6)}" for _ in range(30)]))
+    caught, row = 0, 0
+    for lo, words, first, begins in D._word_hashes(D.pa.array(docs)):
+        got = index.leaks(words, first, begins)
+        caught += sum(any(x[0] == lo + r for x in got.get(r, ())) for r in range(len(first) - 1))
+    assert caught >= 0.97 * len(texts)
+
+
+def test_repeated_items_and_a_very_long_text(spark):
+    docs = [(1, " ".join(f"w{i}" for i in range(300_000)) + " " + ITEMS[0])]
+    assert sorted(r.item_id for r in found(spark, docs, [(k, ITEMS[0]) for k in range(5)] + [(9, ITEMS[1])])) == [0, 1, 2, 3, 4]

@@ -6,23 +6,26 @@ are never shuffled. Around a hit the two word sequences are laid on each other a
 which at least ``min_share`` agrees, the one with the most agreeing words is taken. It counts as a leak if at
 least ``min_words`` words agree (all words of a shorter item).
 
-The benchmark goes to the tasks in blocks of bounded size, one pass over the texts for each block; a block's
-size is checked, and the usual benchmark is one block.
+The benchmark's different texts go to the tasks in blocks of bounded size, one pass over the texts for each block;
+the usual benchmark is one block. A seed that very many items share (a template) gives all its items at once
+as arrays; items that agree in too few words where the seed lays them are left before any is looked at alone.
 
 Edge cases: words are runs of ASCII letters and digits and of any non-ASCII characters, in lower case. Null
-and empty texts have no words and match nothing. Items of under ``LEAST_ITEM`` words cannot be told from
-ordinary text and are never matched; items shorter than a mask are sought whole. Repeated items and rows
-each give their own result. An empty benchmark leaves every document clean.
+and empty texts have no words and match nothing, as do items without words. Items of under ``LEAST_ITEM`` words
+are part of much ordinary text, so they count only where they are a whole line; items shorter than a mask are
+sought whole. Repeated items and rows each give their own result. An empty benchmark leaves every document
+clean. Columns of the documents other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftarc.llm import flat
@@ -37,14 +40,20 @@ BLOCK_BYTES = 8 << 20
 LEAK_TYPE = "array<struct<item_no: int, matched_words: int, overlap_words: int, first_word: int>>"
 _IS_WORD = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 _FILTER_BITS = 22
+#: Seeds with their items, or words of items, that are looked at together.
+MAX_PAIRS = 1 << 19
 
 
 def _word_hashes(column: pa.Array):
-    """(first row, hashes of the words, first word of each row) of each slice."""
+    """(first row, hashes of the words, first word of each row, whether a line begins before each word and after the last) of each slice."""
     lowered = pc.utf8_lower(column)
     for lo, _, buf, offsets in flat.slices(lowered):
         starts, ends, first = flat.words(buf, offsets, _IS_WORD)
-        yield lo, flat.Spans(buf).hashes(starts, ends), first
+        lines = np.searchsorted(np.flatnonzero(buf == 10), starts)
+        begins = np.ones(len(starts) + 1, bool)
+        begins[1:-1] = lines[1:] != lines[:-1]
+        begins[first] = True
+        yield lo, flat.Spans(buf).hashes(starts, ends), first, begins
 
 
 def _seeds(words: np.ndarray, mask: str) -> np.ndarray:
@@ -60,58 +69,113 @@ def _seeds(words: np.ndarray, mask: str) -> np.ndarray:
     return flat.mix(out)
 
 
+def _portions(counts: np.ndarray) -> list[tuple[int, int]]:
+    """Runs (from, to) of places whose counts sum up to about MAX_PAIRS."""
+    ends = np.cumsum(counts)
+    cuts = np.unique([0, *np.searchsorted(ends, np.arange(MAX_PAIRS, int(ends[-1]), MAX_PAIRS), "right"), len(ends)]) if len(ends) else np.zeros(1, int)
+    return list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+
+
 class SeedIndex:
     """Seeds of a block of benchmark items as sorted arrays, with the items' words."""
 
     def __init__(self, texts: list[str], min_words: int = MIN_WORDS, min_share: float = MIN_SHARE):
         self.min_words, self.min_share = min_words, min_share
-        parts = [x for x in _word_hashes(pa.array(texts, pa.string()))] if texts else []
-        self.items = [hashes[a:b] for _, hashes, first in parts for a, b in zip(first[:-1], first[1:], strict=True)]
-        sizes = {len(w) for w in self.items if LEAST_ITEM <= len(w) < max(map(len, MASKS))}
+        parts = list(_word_hashes(pa.array(texts, pa.string()))) if texts else []
+        self.words = np.concatenate([np.zeros(0, np.uint64), *(p[1] for p in parts)])
+        self.sizes = np.concatenate([np.zeros(0, np.int64), *(np.diff(p[2]) for p in parts)])
+        self.first = np.concatenate(([0], np.cumsum(self.sizes)))
+        sizes = {int(n) for n in self.sizes if LEAST_ITEM <= n < max(map(len, MASKS))}
         self.masks = [*MASKS, *("1" * n for n in sorted(sizes))]
-        keys, owners, places = [], [], []
-        for no, item in enumerate(self.items):
-            if len(item) < LEAST_ITEM:
-                continue
-            for mask in self.masks:
-                if "0" in mask or len(mask) == len(item):
-                    found = _seeds(item, mask)
-                    keys.append(found)
-                    owners.append(np.full(len(found), no))
-                    places.append(np.arange(len(found)))
-        self.keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        order = np.argsort(self.keys, kind="stable")
-        self.keys = self.keys[order]
-        self.owners = (np.concatenate(owners) if owners else np.zeros(0, np.int64))[order]
-        self.places = (np.concatenate(places) if places else np.zeros(0, np.int64))[order]
+        keys, owners, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        owner = flat.row_numbers(self.first)
+        for mask in self.masks:
+            found = _seeds(self.words, mask)
+            at = np.arange(len(found))
+            of = owner[at]
+            size = self.sizes[of]
+            inside = (at + len(mask) <= self.first[of + 1]) & (size >= LEAST_ITEM)
+            if "0" not in mask:
+                inside &= size == len(mask)
+            at = at[inside]
+            keys.append(found[at])
+            owners.append(owner[at])
+            places.append(at - self.first[owner[at]])
+        self.keys, self.owners, self.places = self._sorted(np.concatenate(keys), np.concatenate(owners), np.concatenate(places))
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[self.keys >> np.uint64(64 - _FILTER_BITS)] = True
+        short = np.flatnonzero((self.sizes > 0) & (self.sizes < LEAST_ITEM))
+        self.line_keys, self.line_owners = self._sorted(flat.Spans(self.words).hashes(self.first[short], self.first[short + 1]), short)
 
-    def leaks(self, words: np.ndarray, first: np.ndarray) -> dict[int, list[tuple[int, int, int, int]]]:
-        """By row: (item, agreeing words, words in the segment, first word), the best segment for each item."""
-        if not len(self.keys) or not len(words):
-            return {}
-        hits: set[tuple[int, int, int]] = set()
+    @staticmethod
+    def _sorted(keys: np.ndarray, *others: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.argsort(keys, kind="stable")
+        return (keys[order], *(x[order] for x in others))
+
+    def item(self, no: int) -> np.ndarray:
+        return self.words[self.first[no] : self.first[no + 1]]
+
+    def hits(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, item, the word where the item would begin), each once, where a seed is shared and enough words agree."""
+        seen = [np.zeros((3, 0), np.int64)]
         for mask in self.masks:
             seeds = _seeds(words, mask)
             at = np.flatnonzero(self.filter[seeds >> np.uint64(64 - _FILTER_BITS)])
-            if not len(at):
-                continue
             lo, hi = np.searchsorted(self.keys, seeds[at], "left"), np.searchsorted(self.keys, seeds[at], "right")
-            some = hi > lo
-            at, lo, hi = at[some], lo[some], hi[some]
             rows = np.searchsorted(first, at, "right") - 1
-            inside = at + len(mask) <= first[rows + 1]
-            for p, r, a, b in zip(at[inside].tolist(), rows[inside].tolist(), lo[inside].tolist(), hi[inside].tolist(), strict=True):
-                hits.update((r, no, p - j) for no, j in zip(self.owners[a:b].tolist(), self.places[a:b].tolist(), strict=True))
+            some = (hi > lo) & (at + len(mask) <= first[rows + 1])
+            at, lo, n, rows = at[some], lo[some], (hi - lo)[some], rows[some]
+            # a bounded number of pairs of a seed and an item at a time
+            for i, j in _portions(n):
+                of = np.repeat(np.arange(i, j), n[i:j])
+                entry = lo[of] + np.arange(len(of)) - np.repeat(np.cumsum(n[i:j]) - n[i:j], n[i:j])
+                pairs = np.unique(np.stack((rows[of], self.owners[entry], at[of] - self.places[entry])), axis=1)
+                seen.append(pairs[:, self._agreeing(words, first, *pairs) >= np.minimum(self.min_words, self.sizes[pairs[1]])])
+        return tuple(np.unique(np.concatenate(seen, axis=1), axis=1))
+
+    def _agreeing(self, words: np.ndarray, first: np.ndarray, rows: np.ndarray, items: np.ndarray, shifts: np.ndarray) -> np.ndarray:
+        """How many words of each item agree with the row's where it is laid."""
+        out = np.zeros(len(rows), np.int64)
+        size = self.sizes[items]
+        for i, j in _portions(size):
+            of = np.repeat(np.arange(i, j), size[i:j])
+            k = np.arange(len(of)) - np.repeat(np.cumsum(size[i:j]) - size[i:j], size[i:j])
+            at = shifts[of] + k
+            inside = (at >= first[rows[of]]) & (at < first[rows[of] + 1])
+            same = inside & (words[np.where(inside, at, 0)] == self.words[self.first[items[of]] + k])
+            out += np.bincount(of[same], minlength=len(rows))
+        return out
+
+    def whole_lines(self, words: np.ndarray, first: np.ndarray, begins: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(row, item, words, words, first word) of the first line of a row that is a short item."""
+        if not len(self.line_keys) or not len(words):
+            return []
+        cuts = np.flatnonzero(begins)
+        n = np.diff(cuts)
+        cuts = cuts[:-1][n < LEAST_ITEM]
+        n = n[n < LEAST_ITEM]
+        sought = flat.Spans(words).hashes(cuts, cuts + n)
+        lo, hi = np.searchsorted(self.line_keys, sought, "left"), np.searchsorted(self.line_keys, sought, "right")
+        rows, found = np.searchsorted(first, cuts, "right") - 1, {}
+        for k in np.flatnonzero(hi > lo).tolist():
+            for no in self.line_owners[lo[k] : hi[k]].tolist():
+                if np.array_equal(self.item(no), words[cuts[k] : cuts[k] + n[k]]):
+                    found.setdefault((int(rows[k]), no), (int(n[k]), int(n[k]), int(cuts[k] - first[rows[k]])))
+        return [(*key, *x) for key, x in found.items()]
+
+    def leaks(self, words: np.ndarray, first: np.ndarray, begins: np.ndarray | None = None) -> dict[int, list[tuple[int, int, int, int]]]:
+        """By row: (item, agreeing words, words in the segment, first word), the best segment for each item."""
         best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-        for r, no, shift in hits:
-            item, lo, hi = self.items[no], int(first[r]), int(first[r + 1])
-            a, b = max(shift, lo), min(shift + len(item), hi)
-            matched, length, start = best_segment(words[a:b] == item[a - shift : b - shift], self.min_share)
-            if matched >= min(self.min_words, len(item)):
-                new = (no, matched, length, a + start - lo)
-                best[r, no] = max(best.get((r, no), new), new, key=lambda x: (x[1], -x[2], -x[3]))
+        if len(self.keys) and len(words):
+            for r, no, shift in zip(*(x.tolist() for x in self.hits(words, first)), strict=True):
+                item, lo, hi = self.item(no), int(first[r]), int(first[r + 1])
+                a, b = max(shift, lo), min(shift + len(item), hi)
+                matched, length, start = best_segment(words[a:b] == item[a - shift : b - shift], self.min_share)
+                if matched >= min(self.min_words, len(item)):
+                    new = (no, matched, length, a + start - lo)
+                    best[r, no] = max(best.get((r, no), new), new, key=lambda x: (x[1], -x[2], -x[3]))
+        for r, no, *x in self.whole_lines(words, first, begins) if begins is not None else ():
+            best[r, no] = (no, *x)
         out: dict[int, list] = {}
         for r, no in sorted(best):
             out.setdefault(r, []).append(best[r, no])
@@ -143,8 +207,8 @@ def leak_finder(index):
     @F.arrow_udf(LEAK_TYPE)
     def leaks(text: pa.Array) -> pa.Array:
         rows: list = [[]] * len(text)
-        for lo, words, first in _word_hashes(text):
-            for r, found in index.value.leaks(words, first).items():
+        for lo, words, first, begins in _word_hashes(text):
+            for r, found in index.value.leaks(words, first, begins).items():
                 rows[lo + r] = [dict(zip(("item_no", "matched_words", "overlap_words", "first_word"), x, strict=True)) for x in found]
         kind = pa.list_(pa.struct([(k, pa.int32()) for k in ("item_no", "matched_words", "overlap_words", "first_word")]))
         return pa.array(rows, kind)
@@ -153,39 +217,35 @@ def leak_finder(index):
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int):
-    """(item ids, texts) of the benchmark, in blocks of about ``block_bytes`` of text."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    """The different texts of the benchmark, in blocks of about ``block_bytes``."""
+    texts = benchmark.select("text").filter("text is not null and text != ''").distinct()
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // block_bytes)
     for k in range(n):
-        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        rows = part.collect()  # at most about block_bytes by the sum above
-        yield [r["item_id"] for r in rows], [r["text"] for r in rows]
-
-
-def leak_columns(docs: DataFrame, benchmark: DataFrame, text: Column, block_bytes: int = BLOCK_BYTES) -> list[tuple[list, Column]]:
-    """For each block of the benchmark, (its item ids, the column of leaks of ``text``)."""
-    spark = docs.sparkSession
-    return [(ids, leak_finder(spark.sparkContext.broadcast(SeedIndex(texts)))(text)) for ids, texts in _blocks(benchmark, block_bytes)]
+        part = texts if n == 1 else texts.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == k)
+        yield [r["text"] for r in part.collect()]  # at most about block_bytes by the sum above
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A row for each document and item that it holds: doc_id, item_id, matched_words, overlap_words, first_word, item_words."""
     spark = docs.sparkSession
+    items = benchmark.filter("text is not null").select("item_id", F.sha2("text", 256).alias("text_key"))
     out = None
-    for ids, texts in _blocks(benchmark, block_bytes):
+    for texts in _blocks(benchmark, block_bytes):
         index = SeedIndex(texts)
         leaks = docs.select("doc_id", F.explode(leak_finder(spark.sparkContext.broadcast(index))("text")).alias("leak")).select("doc_id", "leak.*")
-        names = spark.createDataFrame([(no, i, len(w)) for no, (i, w) in enumerate(zip(ids, index.items, strict=True))], "item_no int, item_id long, item_words int")
-        part = leaks.join(F.broadcast(names), "item_no").select("doc_id", "item_id", "matched_words", "overlap_words", "first_word", "item_words")
+        rows = [(no, hashlib.sha256(t.encode()).hexdigest(), int(n)) for no, (t, n) in enumerate(zip(texts, index.sizes, strict=True))]
+        names = items.join(F.broadcast(spark.createDataFrame(rows, "item_no int, text_key string, item_words int")), "text_key")
+        part = leaks.join(names, "item_no").select("doc_id", "item_id", "matched_words", "overlap_words", "first_word", "item_words")
         out = part if out is None else out.unionByName(part)
     if out is None:
-        out = docs.select("doc_id", *[F.lit(None).cast("long" if k == "item_id" else "int").alias(k) for k in ("item_id", "matched_words", "overlap_words", "first_word", "item_words")]).filter(F.lit(False))
+        counts = [F.lit(None).cast("int").alias(k) for k in ("matched_words", "overlap_words", "first_word", "item_words")]
+        out = docs.select("doc_id", F.lit(None).cast(benchmark.schema["item_id"].dataType).alias("item_id"), *counts).filter(F.lit(False))
     return out
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, all columns as they were."""
-    for _, column in leak_columns(docs, benchmark, F.col("text"), block_bytes):
-        docs = docs.filter(F.size(column) == 0)
+    for texts in _blocks(benchmark, block_bytes):
+        docs = docs.filter(F.size(leak_finder(docs.sparkSession.sparkContext.broadcast(SeedIndex(texts)))(F.col("text"))) == 0)
     return docs
