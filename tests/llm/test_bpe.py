@@ -1,4 +1,6 @@
 import hashlib
+import random
+import time
 
 import pyarrow as pa
 import pytest
@@ -89,3 +91,36 @@ def test_queries_on_the_smallest_tables(spark):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(words.decode(ids, skip_special_tokens=False)))
     got = {r.doc_id: r.n_tokens for r in queries.op8_token_counts(spark, sf).collect()}
     assert got == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in docs.items()}
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_long_words_are_the_librarys(path):
+    rnd = random.Random(4)
+    words = ["a" * 3001, "".join(rnd.choices("etaoinshrdlu", k=5000)), "the" * 900, "".join(rnd.choices("abcé日本", k=1500)), "x" * 399 + " " + "ing" * 134]
+    texts = [*words, " and ".join(words) + " end", ""]
+    assert ids_of(path, texts) == [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_a_very_long_word_takes_no_longer_than_its_merges():
+    word = "".join(random.Random(5).choices("etaoinshrdlucmfw", k=80_000))
+    table = bpe.load(BYTES)
+    table.pairs()
+    began = time.perf_counter()
+    symbols, _ = bpe.merge_words(*bpe.first_symbols([word], table), table)
+    assert time.perf_counter() - began < 2
+    assert symbols.tolist() == Tokenizer.from_file(BYTES).encode(word, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_every_character_is_cut_and_lowered_as_in_the_library(path):
+    characters = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    texts = ["".join(f"a{c}b1{c}2 {c}" for c in characters[k : k + 500]) for k in range(0, len(characters), 500)]
+    assert ids_of(path, texts) == [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_empty_tables_and_clashing_columns(spark):
+    schema = "doc_id long, text string, token_ids string, n_tokens string, decoded_text string"
+    none, some = spark.createDataFrame([], schema), spark.createDataFrame([(None, None, "a", "b", "c"), (1, "", "a", "b", "c"), (1, "", "a", "b", "c")], schema)
+    assert token_counts.count_tokens(none, BYTES).count() == bpe_codec.round_trip(none, WORDS).count() == 0
+    assert [(r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.count_tokens(some, BYTES).collect()] == [(0, 0, False)] * 3
+    assert [(r.token_ids, r.decoded_text) for r in bpe_codec.round_trip(some, WORDS).collect()] == [([], "")] * 3

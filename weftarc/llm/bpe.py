@@ -4,11 +4,14 @@ The symbols of all words lie in one flat array, with the first symbol of each wo
 array). In a round every word's lowest-ranked pair is found by a binary search of its pairs in the sorted
 pair keys, and all its occurrences are merged from left to right; words without a pair are done. That is what
 merging one pair after another gives, as a merge makes no pair of a lower rank than its own. Where a table
-has such a pair (``unsafe``), only the first occurrence is merged in that round.
+has such a pair (``unsafe``), only the first occurrence is merged in that round. A round costs as many steps as
+symbols are left, and a word of very many letters has very many rounds; words of over ``LONG_WORD`` symbols
+are therefore merged at linked places, lowest rank and then leftmost first, which costs steps by merges.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -20,14 +23,39 @@ import pyarrow as pa
 import regex
 
 NO_RANK = np.iinfo(np.int32).max
-#: Words kept with their results by a task; beyond it the store is emptied. It changes no result.
-MAX_STORED_WORDS = 150_000
+#: Words, and characters of words, kept with their results by a task; beyond either the store is emptied. It changes no result.
+MAX_STORED_WORDS, MAX_STORED_CHARS = 150_000, 4_000_000
+#: Symbols of a word from which on it is merged on its own.
+LONG_WORD = 400
 #: A text is cut up in pieces of about so many characters, at places where no word can cross.
 PIECE_CHARS = 1 << 20
 
 # The pattern of the byte-level files; the one of the files with word ends comes with the file.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+# Letters and numbers (first, last) that the pattern module knows and the library's older Unicode tables do not;
+# the library takes them for symbols.
+NEWER = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F),
+    (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D),
+    (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB),
+    (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8),
+    (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2),
+    (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24),
+    (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5),
+    (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD),
+    (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+# Capitals (first, last, first small letter) that the library lowers and Python's Unicode tables do not have.
+NEWER_CAPITALS = (
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3),
+    (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+)
+_NEWER = regex.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in NEWER) + "]")
+_STAND_IN = "\u2603"  # a symbol
+_CAPITALS = {c: small + c - a for a, b, small in NEWER_CAPITALS for c in range(a, b + 1)}
+_CAPITAL = regex.compile("[" + "".join(map(chr, _CAPITALS)) + "]")
+
 
 def byte_characters() -> list[str]:
     """The character that byte-level files write for each byte: itself if it prints, else the next from U+0100 on."""
@@ -73,6 +101,14 @@ class Table:
         self.unsafe = np.zeros(len(keys), bool)
         self.unsafe[self.ranks] = lowest[self.made] < self.ranks
 
+        self._pairs: dict[int, int] | None = None
+
+    def pairs(self) -> dict[int, int]:
+        """The place of each pair by its key."""
+        if self._pairs is None:
+            self._pairs = dict(zip(self.keys.tolist(), range(len(self.keys)), strict=True))
+        return self._pairs
+
     def pair_places(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Of each pair, its place in the sorted keys, or -1."""
         sought = left * self.size + right
@@ -99,6 +135,53 @@ def first_symbols(words: list[str], table: Table) -> tuple[np.ndarray, np.ndarra
     return symbols, offsets
 
 
+def merge_long(symbols: np.ndarray, table: Table) -> np.ndarray:
+    """The symbols of one word when nothing can be merged any more: the lowest rank first, then the leftmost place."""
+    pairs, ranks, made, size = table.pairs(), table.ranks, table.made, table.size
+    n = len(symbols)
+    place = table.pair_places(symbols[:-1], symbols[1:])
+    at = np.flatnonzero(place >= 0)
+    queue = (ranks[place[at]].astype(np.int64) << 40 | at).tolist()
+    heapq.heapify(queue)
+    of, left, right = symbols.tolist(), list(range(-1, n - 1)), list(range(1, n + 1))
+    found = place.tolist() + [-1]  # the pair that begins at each place now
+    rank_of, made_of = ranks.tolist(), made.tolist()
+    while queue:
+        top = heapq.heappop(queue)
+        i = top & (1 << 40) - 1
+        p = found[i]
+        if p < 0 or rank_of[p] != top >> 40:
+            continue
+        j = right[i]
+        of[i], of[j], found[j] = made_of[p], -1, -1
+        right[i] = k = right[j]
+        if k < n:
+            left[k] = i
+        for a, b in ((left[i], i), (i, k)):
+            if a >= 0 and b < n:
+                found[a] = q = pairs.get(of[a] * size + of[b], -1)
+                if q >= 0:
+                    heapq.heappush(queue, rank_of[q] << 40 | a)
+            elif a >= 0:
+                found[a] = -1
+    out = np.array(of, np.int64)
+    return out[out >= 0]
+
+
+def merge_words(symbols: np.ndarray, offsets: np.ndarray, table: Table) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, offsets) of words merged: long ones each on its own, all others in rounds."""
+    sizes = np.diff(offsets)
+    long = np.flatnonzero(sizes > LONG_WORD)
+    if not len(long):
+        return merge_rounds(symbols, offsets, table)
+    short = sizes <= LONG_WORD
+    some, where = merge_rounds(symbols[np.repeat(short, sizes)], np.concatenate(([0], np.cumsum(sizes[short]))), table)
+    parts = np.split(some, where[1:-1]) if short.any() else []
+    merged = dict(zip(np.flatnonzero(short).tolist(), parts, strict=True)) | {int(w): merge_long(symbols[offsets[w] : offsets[w + 1]], table) for w in long}
+    out = [merged[w] for w in range(len(sizes))]
+    return np.concatenate(out), np.concatenate(([0], np.cumsum([len(x) for x in out])))
+
+
 def merge_rounds(symbols: np.ndarray, offsets: np.ndarray, table: Table) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, offsets) when nothing can be merged any more. Words have one symbol at least."""
     n_words = len(offsets) - 1
@@ -161,9 +244,20 @@ _CUT = regex.compile(r"(?<=\S)\s")
 
 def lower(text: str) -> str:
     """Lower case character by character: a final sigma is as any other."""
+    if text.isascii():
+        return text.lower()
+    if _CAPITAL.search(text):
+        text = text.translate(_CAPITALS)
     return text.replace("Σ", "σ").lower() if "Σ" in text else text.lower()
 
 
+def cut(piece: str, table: Table) -> list[str]:
+    """The words of a piece of text."""
+    if piece.isascii() or not _NEWER.search(piece):
+        return table.pattern.findall(piece)
+    return [piece[m.start() : m.end()] for m in table.pattern.finditer(_NEWER.sub(_STAND_IN, piece))]
+
+
 def words_of(text: str, table: Table) -> Iterator[list[str] | int]:
     """Lists of the words of a text, and the ids of special strings between them."""
     for part in table.special_pattern.split(text) if any(s in text for s in table.specials) else [text]:
@@ -173,7 +267,7 @@ def words_of(text: str, table: Table) -> Iterator[list[str] | int]:
             if table.normalizes:
                 part = lower(unicodedata.normalize("NFC", part))
             for piece in pieces(part):
-                yield table.pattern.findall(piece)
+                yield cut(piece, table)
 
 
 class WordStore:
@@ -185,15 +279,17 @@ class WordStore:
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
+        self.chars = 0
         self.flat = np.zeros(0, np.int32)
         self.starts = np.zeros(1, np.int64)
 
     def add(self, lists: list[list[str]]) -> None:
-        if len(self.place) > MAX_STORED_WORDS:
+        if len(self.place) > MAX_STORED_WORDS or self.chars > MAX_STORED_CHARS:
             self.clear()
         new = list(set(chain.from_iterable(lists)).difference(self.place))
         if new:
-            symbols, offsets = merge_rounds(*first_symbols(new, self.table), self.table)
+            symbols, offsets = merge_words(*first_symbols(new, self.table), self.table)
+            self.chars += sum(map(len, new))
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
             self.flat = np.concatenate((self.flat, symbols.astype(np.int32)))
             self.starts = np.concatenate((self.starts, self.starts[-1] + offsets[1:]))
