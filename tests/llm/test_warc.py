@@ -51,3 +51,26 @@ def test_record_is_one_gzip_member_of_the_format():
 
     raw = gzip.decompress(warc.record(5, "http://a/", 2, warc.digest(b"hi"), None, b"hi"))
     assert raw.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and raw.endswith(b"\r\n\r\nhi\r\n\r\n")
+
+
+def test_headers_are_the_urls_and_every_record_has_its_own_name(spark, monkeypatch):
+    import gzip
+
+    monkeypatch.setattr(warc, "FILE_BYTES", 600)
+    rows = [(7, "http://a.example.com/x%20y", "body")] * 3 + [(9, "http://b.example.com/%2F", "body"), (1, "http://c.example.com/", None)]
+    captures = spark.createDataFrame([(*r, "mine") for r in rows], SCHEMA + ", sha1 string")
+    places = warc.write_archives(captures, new_path(spark, "warc")).collect()
+    heads = [gzip.decompress(warc.files.read_range(p.file, p.offset, p.length)).split(b"\r\n\r\n")[0].decode().split("\r\n") for p in places]
+    field = lambda name: [next((x.split(": ", 1)[1] for x in h if x.startswith(name + ": ")), None) for h in heads]
+    assert len(set(field("WARC-Record-ID"))) == 5 and sorted(field("WARC-Target-URI")) == sorted(r[1] for r in rows)
+    assert sorted(map(str, field("WARC-Refers-To-Target-URI"))) == ["None"] * 2 + ["http://b.example.com/%2F"] * 3
+    for file in {p.file for p in places}:  # a file is nothing but its members, one after another
+        own = sorted((p.offset, p.length) for p in places if p.file == file)
+        assert [a for a, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))]
+
+
+def test_a_very_long_payload(spark):
+    long = "<p>é</p>" * 1_000_000
+    index, captures = archived(spark, [(1, "http://a/", long), (2, "http://b/", long)])
+    got = {r.id: (r.record_type, r.payload_bytes) for r in index.lookup(captures.select(warc.surt(captures.url).alias("surt"))).collect()}
+    assert got == {2: ("response", 9_000_000), 1: ("revisit", 9_000_000)}

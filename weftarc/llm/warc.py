@@ -11,11 +11,16 @@ binary search, and reads just the byte ranges of the blocks and records found.
 Scale: payloads are shuffled once, by digest, so that a revisit knows its response; the rest moves keys and
 places only. A task keeps one file, one directory and one block at a time, and its rows come sorted, so each
 block is read once or twice. The table of files grows with the files, not the captures (``INDEX_LINES`` each).
-Files are written in the shared folder under new names and count only if their task ended well.
+A task begins a new archive after ``FILE_BYTES``; records are read by as many tasks as their bytes ask for
+(``READ_TASK_BYTES``). Files are written in the shared folder under new names and count only if their task ended
+well.
 
 Edge cases: a null or empty payload is a payload of no bytes, and a null URL has the empty key. Null ids are
 written and read back as null and never are a response that others refer to, unless all are null. Repeated
-rows are records of their own: all that have the response's id are responses. No rows give no files.
+rows are records of their own: all that have the response's id are responses. No rows give no files. URLs are
+written as they are, but that a header is one line: a URL with line ends has %0D and %0A for them there, and the
+whole of it in a field of its own, from which it is read back.
+Columns of the input other than id, url and payload are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ import base64
 import gzip
 import hashlib
 import re
+import uuid
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
@@ -38,6 +44,8 @@ from weftarc.llm.scratch import new_path, stored
 BLOCK_LINES = 512
 INDEX_LINES = 2_000_000
 LEVEL = 6
+FILE_BYTES = 1 << 30
+READ_TASK_BYTES = 64 << 20
 #: Payloads of fewer bytes are responses, whatever others there are.
 LEAST_REVISIT_BYTES = 0
 DATE = "2024-01-01T00:00:00Z"  # captures come without a time of their own
@@ -65,25 +73,29 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(n: int | None, url: str | None, size: int, of: str, refers_to: int | None, payload: bytes | None) -> bytes:
-    """A response record, or a revisit if there is no ``payload``, as one gzip member."""
+def record(n: int | None, url: str | None, size: int, of: str, refers_to: int | None, payload: bytes | None, name: str = "", refers_to_url: str | None = None) -> bytes:
+    """A response record, or a revisit if there is no ``payload``, as one gzip member; ``name`` is the record's own.
+
+    Captures' ids are in fields of their own, as repeated captures are records of different names.
+    """
     revisit = payload is None
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: {size}\r\n\r\n".encode()
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:capture:{'' if n is None else n}>",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>",
         f"WARC-Date: {DATE}",
         f"WARC-Payload-Digest: sha1:{of}",
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(http) + (0 if revisit else size)}",
     ]
-    if url is not None:
-        head.append(f"WARC-Target-URI: {_quoted(url)}")
+    fields = {"Capture-ID": n, "WARC-Target-URI": url}
+    if url is not None and _one_line(url) != url:
+        fields["Capture-URL"] = url.replace("%", "%25")
     if revisit:
         head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        if refers_to is not None:
-            head.append(f"WARC-Refers-To: <urn:capture:{refers_to}>")
+        fields |= {"Refers-To-Capture-ID": refers_to, "WARC-Refers-To-Target-URI": refers_to_url, "WARC-Refers-To-Date": DATE}
+    head += [f"{k}: {_one_line(str(v))}" for k, v in fields.items() if v is not None]
     deflate = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
     data = deflate.compress("\r\n".join(head).encode() + b"\r\n\r\n" + http)
     if not revisit:
@@ -91,18 +103,8 @@ def record(n: int | None, url: str | None, size: int, of: str, refers_to: int |
     return data + deflate.compress(b"\r\n\r\n") + deflate.flush()
 
 
-def _quoted(url: str) -> str:
-    """A header is one line: % and line ends are written as %25, %0D and %0A."""
-    return url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
-
-
-def _unquoted(url: str) -> str:
-    return url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
-
-
-def _urn(value: str | None) -> int | None:
-    number = (value or "").removeprefix("<urn:capture:").removesuffix(">")
-    return int(number) if number else None
+def _one_line(value: str) -> str:
+    return value.replace("\r", "%0D").replace("\n", "%0A")
 
 
 def parse(member: bytes) -> dict:
@@ -120,9 +122,12 @@ def parse(member: bytes) -> dict:
     if kind == "response" and (len(payload) != size or digest(payload) != of):
         raise ValueError(f"payload of {fields['WARC-Record-ID']} is not what was written")
     url = fields.get("WARC-Target-URI")
+    if "Capture-URL" in fields:
+        url = fields["Capture-URL"].replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+    number = lambda k: int(fields[k]) if k in fields else None
     return {
-        "id": _urn(fields["WARC-Record-ID"]), "url": None if url is None else _unquoted(url), "payload_bytes": size, "payload_digest": of,
-        "record_type": kind, "refers_to": _urn(fields.get("WARC-Refers-To")), "payload": payload if kind == "response" else None,
+        "id": number("Capture-ID"), "url": url, "payload_bytes": size, "payload_digest": of,
+        "record_type": kind, "refers_to": number("Refers-To-Capture-ID"), "payload": payload if kind == "response" else None,
     }
 
 
@@ -133,29 +138,30 @@ def with_roles(captures: DataFrame, least_bytes: int = LEAST_REVISIT_BYTES) -> D
     """Columns id, url, payload (string) get ``refers_to`` and ``revisit``: of equal payloads the largest id is the response."""
     keyed = captures.select("id", "url", F.coalesce("payload", F.lit("")).alias("payload"))
     keyed = keyed.withColumn("sha1", F.sha1(F.encode("payload", "UTF-8")))
-    groups = keyed.groupBy("sha1").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("response"))
+    groups = keyed.groupBy("sha1").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("response"), F.max_by("url", "id").alias("response_url"))
     shared = stored(groups.filter("n > 1").drop("n"), "warc-shared-payloads")
     revisit = F.col("response").isNotNull() & ~F.col("id").eqNullSafe(F.col("response")) & (F.octet_length("payload") >= least_bytes)
     return keyed.join(shared, "sha1", "left").withColumn("revisit", revisit).withColumn("refers_to", F.when(F.col("revisit"), F.col("response"))).drop("response")
 
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
-    """A WARC file for each task, and a row for each record in it."""
+    """WARC files of bounded size for each task, and a row for each record in them."""
     uri, out, at = None, None, 0
     for batch in batches:
-        if out is None and len(batch):
-            uri = files.new_file(folder, "warc.gz")
-            out = files.open_output(uri)
         places = []
-        for n, url, payload, refers_to, revisit in zip(*(batch[k] for k in ("id", "url", "payload", "refers_to", "revisit")), strict=True):
+        for n, url, payload, refers_to, response_url, revisit in zip(*(batch[k] for k in ("id", "url", "payload", "refers_to", "response_url", "revisit")), strict=True):
+            if out is None or at >= FILE_BYTES:
+                if out is not None:
+                    out.close()
+                uri, at = files.new_file(folder, "warc.gz"), 0
+                out = files.open_output(uri)
             body = payload.as_py().encode()
-            data = record(n.as_py(), url.as_py(), len(body), digest(body), refers_to.as_py(), None if revisit.as_py() else body)
+            data = record(n.as_py(), url.as_py(), len(body), digest(body), refers_to.as_py(), None if revisit.as_py() else body, f"{uri}#{at}", response_url.as_py())
             out.write(data)
-            places.append((at, len(data)))
+            places.append((uri, at, len(data)))
             at += len(data)
-        yield pa.RecordBatch.from_pydict(
-            {"surt": batch["surt"], "file": pa.array([uri] * len(places), pa.string()), "offset": pa.array([p[0] for p in places], pa.int64()), "length": pa.array([p[1] for p in places], pa.int64())}
-        )
+        names = zip(*places, strict=True) if places else ((),) * 3
+        yield pa.RecordBatch.from_arrays([batch["surt"], *(pa.array(c, t) for c, t in zip(names, (pa.string(), pa.int64(), pa.int64()), strict=True))], names=["surt", "file", "offset", "length"])
     if out is not None:
         out.close()
 
@@ -163,7 +169,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
 def write_archives(captures: DataFrame, folder: str, least_bytes: int = LEAST_REVISIT_BYTES) -> DataFrame:
     """Writes the records of ``captures`` (id long, url, payload strings); returns where each is: surt, file, offset, length."""
     rows = with_roles(captures, least_bytes).withColumn("surt", surt(F.col("url")))
-    return stored(rows.select("id", "url", "payload", "refers_to", "revisit", "surt").mapInArrow(lambda it: _write(it, folder), PLACE), "warc-places")
+    return stored(rows.select("id", "url", "payload", "refers_to", "response_url", "revisit", "surt").mapInArrow(lambda it: _write(it, folder), PLACE), "warc-places")
 
 
 # -- the index
@@ -215,12 +221,12 @@ class CaptureIndex:
     """Sorted keys in compressed blocks, a sparse directory for each file, and the files' first keys."""
 
     def __init__(self, places: DataFrame, folder: str, block_lines: int = BLOCK_LINES, index_lines: int = INDEX_LINES):
-        n = places.count()
+        n, size = places.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
         ranges = max(1, -(-n // index_lines), min(64, -(-n // 4096)))
         # captures of one URL may be very many: they are spread by their place too
         dealt = places.repartitionByRange(ranges, "surt", "file", "offset").sortWithinPartitions("surt", "file", "offset")
         written = dealt.mapInArrow(lambda it: _write_index(it, folder, block_lines), "first string, uri string, n long")
-        self.ranges = ranges
+        self.ranges, self.readers = ranges, max(ranges, -(-size // READ_TASK_BYTES))
         self.files = sorted((r["first"].encode(), r["uri"]) for r in written.collect())  # a row for each file
 
     def lookup(self, keys: DataFrame) -> DataFrame:
@@ -230,7 +236,7 @@ class CaptureIndex:
         dealt = sought.repartitionByRange(self.ranges, "surt").sortWithinPartitions("surt")
         places = dealt.mapInArrow(lambda it: _seek(it, index), PLACE)
         # records of one key may be very many: the places found are dealt anew before their records are read
-        return places.repartition(self.ranges, "file", F.col("offset")).sortWithinPartitions("file", "offset").mapInArrow(_read, RECORD)
+        return places.repartition(self.readers, "file", F.col("offset")).sortWithinPartitions("file", "offset").mapInArrow(_read, RECORD)
 
 
 def _seek(batches: Iterator[pa.RecordBatch], index: list[tuple[bytes, str]]) -> Iterator[pa.RecordBatch]:
