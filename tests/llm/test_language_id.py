@@ -53,3 +53,10 @@ def test_long_texts_are_the_mean_of_all_their_windows():
     whole = run(["".join(parts), "", "x"])
     assert np.allclose(whole.sum(1), [1, 0, 1], atol=1e-6)
     assert np.abs(whole[0] - run(parts).mean(0)).max() < 0.1
+
+
+def test_many_dirty_labels_do_not_make_the_sample_grow(spark, monkeypatch):
+    monkeypatch.setattr(L, "MAX_LANGS", 2)
+    rows = [(i, f"text number {i} with words", "en" if i % 3 else "de") for i in range(60)] + [(100 + i, "some text here", f"dirty{i}") for i in range(30)]
+    _, _, langs = L.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert langs == ["de", "en"]

@@ -63,3 +63,11 @@ def test_extra_columns_stay_and_clashing_ones_are_replaced(spark):
     array = url_filter.RuleArray(spark.createDataFrame([("com/", "block")], "rule string, verdict string"))
     r = url_filter.judge(spark.createDataFrame([("http://a.com/", "mine", "kept")], "url string, host string, note string"), array).first()
     assert (r.host, r.note, r.verdict) == ("a.com", "kept", "block")
+
+
+def test_callers_columns_stay(spark):
+    array = url_filter.RuleArray(spark.createDataFrame(URL_RULES, "rule string, verdict string"))
+    rows = spark.createDataFrame([(1, "http://a.net/es/x", "m", "n", "o"), (2, None, None, None, None)], "page_id long, url string, match string, match_ string, __match string")
+    got = {r.page_id: r for r in url_filter.judge(rows, array).collect()}
+    assert tuple(got[1]) == (1, "http://a.net/es/x", "m", "n", "o", "a.net", "/es/x", "net/es/", "block") and got[2].verdict == "allow"
+    assert url_filter.judge(rows.limit(0), array).count() == 0

@@ -33,6 +33,7 @@ FILTERS = 8  # of each width
 EMBEDDING = 8
 ROWS_PER_LANG = 1000
 WINDOWS_PER_ROW = 8
+MAX_LANGS = 256
 STEPS, BATCH, RATE = 1200, 64, 0.01
 UNDETERMINED = "und"
 
@@ -119,7 +120,7 @@ def held_out(doc_id: Column) -> Column:
 def sample(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """(windows, labels, languages) of about ``rows_per_lang`` rows of each language that are not held out."""
     rows = docs.filter(F.col("lang").isNotNull() & (F.length("text") > 0) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
     langs = sorted(counts)
     if not langs:
         return np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64), []
@@ -128,7 +129,7 @@ def sample(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG) -> tuple[np.ndar
     data = F.encode("text", "UTF-8")
     room = F.greatest(F.octet_length("text") - WINDOW, F.lit(0)) + 1
     cut = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS_PER_ROW - 1)), lambda k: F.substring(data, F.pmod(F.xxhash64("doc_id", k), room).cast("int") + 1, F.lit(WINDOW)))
-    found = rows.filter(draw < F.element_at(share, F.col("lang"))).select("doc_id", "lang", F.posexplode(cut).alias("k", "bytes")).orderBy("doc_id", "lang", "k").collect()
+    found = rows.filter(draw < F.try_element_at(share, F.col("lang"))).select("doc_id", "lang", F.posexplode(cut).alias("k", "bytes")).orderBy("doc_id", "lang", "k").collect()
     windows = np.zeros((len(found), WINDOW), np.uint8)
     for w, r in zip(windows, found, strict=True):
         w[: len(r["bytes"])] = _LOWER[np.frombuffer(bytes(r["bytes"]), np.uint8)]

@@ -165,5 +165,8 @@ def judge(urls: DataFrame, rules: RuleArray, url: str = "url") -> DataFrame:
     found = urls.withColumns({"host": host, "path": path})
     if not rules.names:
         return found.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(ALLOW)})
-    found = found.withColumn("__match", rules.matcher()(F.col("host"), F.col("path")))
-    return found.withColumns({"rule": F.col("__match.rule"), "verdict": F.col("__match.verdict")}).drop("__match")
+    name = "match"
+    while name in found.columns:  # the caller may have such a column
+        name += "_"
+    found = found.withColumn(name, rules.matcher()(F.col("host"), F.col("path")))
+    return found.withColumns({"rule": F.col(name)["rule"], "verdict": F.col(name)["verdict"]}).drop(name)
