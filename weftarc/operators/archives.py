@@ -14,6 +14,8 @@ from weftarc.functions.privacy import redacted_url
 from weftarc.functions.urls import with_url
 
 CHUNK_BYTES = 192 * 1024
+#: Bytes of the entries of one ZIP file.
+PART_BYTES = 64 << 20
 AUDIT_KINDS = ("local-present", "local-missing", "external", "extension", "embedded", "fragment", "unsupported", "invalid")
 BLOCKING = ("local-missing", "external", "extension", "unsupported", "invalid")
 
@@ -110,17 +112,24 @@ def chunks(files: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
     )
 
 
-def zipped(entries: DataFrame) -> DataFrame:
-    """job_id, archive (binary) of entries (job_id, path, data): sorted, with fixed times, so equal entries give equal bytes."""
+def zipped(entries: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """job_id, part, archive (binary) of entries (job_id, path, data): sorted, with fixed times, so equal entries give equal bytes.
+
+    A job of more than ``part_bytes`` has as many archives as it needs, its paths dealt over them by a hash, so that
+    no task and no cell holds more; the archives of a job together have all its entries.
+    """
+    size = F.sum(F.octet_length("data") + F.octet_length("path"))
+    parts = entries.groupBy("job_id").agg(F.greatest(F.ceil(size / part_bytes), F.lit(1)).cast("int").alias("parts"))
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         sink = io.BytesIO()
         with zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED, compresslevel=6) as z:
             for path, data in sorted(zip(rows["path"], rows["data"], strict=True)):
                 z.writestr(zipfile.ZipInfo(path, (1980, 1, 1, 0, 0, 0)), bytes(data), zipfile.ZIP_DEFLATED, 6)
-        return pd.DataFrame({"job_id": [rows["job_id"].iloc[0]], "archive": [sink.getvalue()]})
+        return pd.DataFrame({"job_id": [rows["job_id"].iloc[0]], "part": [rows["part"].iloc[0]], "archive": [sink.getvalue()]})
 
-    return entries.select("job_id", "path", "data").groupBy("job_id").applyInPandas(pack, "job_id long, archive binary")
+    dealt = entries.select("job_id", "path", "data").join(parts, "job_id").withColumn("part", F.pmod(F.xxhash64("path"), F.col("parts")).cast("int"))
+    return dealt.drop("parts").groupBy("job_id", "part").applyInPandas(pack, "job_id long, part int, archive binary")
 
 
 def unzipped(archives: DataFrame) -> DataFrame:

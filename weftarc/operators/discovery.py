@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftarc.functions.urls import origin, with_url
-from weftarc.sources.html import attribute, metadata
+from weftarc.sources.html import attribute
 from weftarc.sources.text_scans import css_references, javascript_references, srcset_candidates
 
 # Where pages refer to resources.
@@ -17,10 +17,6 @@ SVG_TAGS = ("clippath", "feimage", "filter", "image", "lineargradient", "mask",
 SVG_STYLES = ("clip-path", "cursor", "fill", "filter", "marker", "marker-end", "marker-mid", "marker-start", "mask", "stroke")
 
 
-def _with_base(found: DataFrame) -> DataFrame:
-    return found.join(metadata(found).select("page_id", "base_url"), "page_id")
-
-
 def dom_candidates(found: DataFrame) -> DataFrame:
     """page_id, element_no, tag, attribute, descriptor, raw_url, resolved_url in document order (ordinal from 1).
 
@@ -31,7 +27,7 @@ def dom_candidates(found: DataFrame) -> DataFrame:
     image_input = (tag == "input") & (F.lower(F.coalesce(attribute("type"), F.lit(""))) == "image")
     eligible = {"src": tag.isin(*SRC_TAGS) | image_input, "href": link, "srcset": tag.isin("img", "source"), "imagesrcset": link, "poster": tag == "video"}
     read = F.array(*[F.when(eligible[a] & attribute(a).isNotNull(), F.struct(F.lit(k).alias("rank"), F.lit(a).alias("name"), attribute(a).alias("value"))) for k, a in enumerate(ATTRIBUTES)])
-    attrs = _with_base(found).select("page_id", "base_url", "element_no", "tag", F.explode(F.filter(read, lambda a: a.isNotNull())).alias("a")).select("*", "a.*")
+    attrs = found.select("page_id", "base_url", "element_no", "tag", F.explode(F.filter(read, lambda a: a.isNotNull())).alias("a")).select("*", "a.*")
     sets = F.col("name").isin("srcset", "imagesrcset")
     one = F.array(F.struct(F.col("value").alias("raw_url"), F.lit(None).cast("string").alias("descriptor"), F.lit(0).alias("start"), F.length("value").alias("stop")))
     split = attrs.withColumn("listed", srcset_candidates(F.when(sets, F.col("value")))).withColumn("parts", F.when(sets, F.col("listed")).otherwise(one))
@@ -46,7 +42,7 @@ def css_sources(found: DataFrame) -> DataFrame:
     made = lambda k, kind, name, text: F.when(F.trim(text) != "", F.struct(F.lit(k).alias("rank"), F.lit(kind).alias("source_type"), F.lit(name).alias("attribute"), text.alias("css_text")))
     styled = [made(k + 1, "svg-presentation-attribute", a, F.when(F.col("in_svg") & F.contains(F.lower(attribute(a)), F.lit("url(")), F.concat(F.lit(f"{a}: "), attribute(a)))) for k, a in enumerate(SVG_STYLES)]
     read = F.array(made(0, "style-attribute", "style", attribute("style")), *styled, made(99, "style-element", None, F.when(F.col("tag") == "style", F.col("text"))))
-    rows = _with_base(found).select("page_id", "base_url", "element_no", "tag", F.explode(F.filter(read, lambda a: a.isNotNull())).alias("s")).select("*", "s.*")
+    rows = found.select("page_id", "base_url", "element_no", "tag", F.explode(F.filter(read, lambda a: a.isNotNull())).alias("s")).select("*", "s.*")
     order = Window.partitionBy("page_id").orderBy("element_no", "rank")
     return rows.select("page_id", "base_url", F.row_number().over(order).alias("ordinal"), "source_type", "tag", "attribute", "css_text")
 
@@ -62,7 +58,7 @@ def css_candidates(sources: DataFrame) -> DataFrame:
 def svg_candidates(found: DataFrame) -> DataFrame:
     """page_id, ordinal, tag, attribute, raw_url, resolved_url of href and xlink:href inside svg; own fragments are left out."""
     read = F.array(*[F.when(attribute(a).isNotNull(), F.struct(F.lit(k).alias("rank"), F.lit(a).alias("attribute"), F.trim(attribute(a)).alias("raw_url"))) for k, a in enumerate(("href", "xlink:href"))])
-    rows = _with_base(found).filter(F.col("in_svg") & F.col("tag").isin(*SVG_TAGS))
+    rows = found.filter(F.col("in_svg") & F.col("tag").isin(*SVG_TAGS))
     rows = rows.select("page_id", "base_url", "element_no", "tag", F.explode(F.filter(read, lambda a: a.isNotNull())).alias("s")).select("*", "s.*")
     resolved = with_url(rows.filter((F.col("raw_url") != "") & ~F.col("raw_url").startswith("#")), "raw_url", "u", "base_url").filter("u is not null")
     order = Window.partitionBy("page_id").orderBy("element_no", "rank")
@@ -71,7 +67,7 @@ def svg_candidates(found: DataFrame) -> DataFrame:
 
 def script_references(found: DataFrame) -> DataFrame:
     """page_id, ordinal, kind, raw_url, resolved_url of inline scripts; of a URL that comes again on a page, the first."""
-    scripts = _with_base(found).filter((F.col("tag") == "script") & (F.trim("text") != ""))
+    scripts = found.filter((F.col("tag") == "script") & (F.trim("text") != ""))
     rows = scripts.select("page_id", "base_url", "element_no", F.posexplode(javascript_references("text")).alias("part", "r")).select("*", "r.*")
     resolved = with_url(rows, "raw_url", "u", "base_url").filter(F.col("u.scheme").isin("http", "https")).withColumn("resolved_url", F.col("u.href"))
     first = resolved.groupBy("page_id", "resolved_url").agg(F.min(F.struct("element_no", "part", "kind", "raw_url")).alias("f")).select("page_id", "resolved_url", "f.*")
@@ -81,7 +77,7 @@ def script_references(found: DataFrame) -> DataFrame:
 
 def regions(found: DataFrame) -> DataFrame:
     """page_id, ordinal, resolved_url, status of frames: sandboxed, cross-origin or same-origin-candidate; shadow roots by their templates."""
-    rows = _with_base(found).filter(F.col("tag").isin("iframe", "frame") | attribute("shadowrootmode").isNotNull())
+    rows = found.filter(F.col("tag").isin("iframe", "frame") | attribute("shadowrootmode").isNotNull())
     rows = with_url(with_url(rows.withColumn("src", F.coalesce(attribute("src"), F.lit("about:blank"))), "src", "u", "base_url"), "url", "p")
     sandboxed = attribute("sandbox").isNotNull() & ~F.array_contains(F.split(F.lower(attribute("sandbox")), r"\s+"), "allow-same-origin")
     status = (
@@ -97,7 +93,7 @@ def regions(found: DataFrame) -> DataFrame:
 
 def navigation_links(found: DataFrame) -> DataFrame:
     """page_id, ordinal, raw_url, resolved_url of a[href] and area[href]: where a page leads, never resources of it."""
-    rows = _with_base(found).filter(F.col("tag").isin("a", "area") & attribute("href").isNotNull()).withColumn("raw_url", attribute("href"))
+    rows = found.filter(F.col("tag").isin("a", "area") & attribute("href").isNotNull()).withColumn("raw_url", attribute("href"))
     resolved = with_url(rows, "raw_url", "u", "base_url").filter("u is not null")
     order = Window.partitionBy("page_id").orderBy("element_no")
     return resolved.select("page_id", F.row_number().over(order).alias("ordinal"), "raw_url", F.col("u.href").alias("resolved_url"))

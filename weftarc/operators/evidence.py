@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftarc.functions.media import extension_of, media_of_extension, type_of_extension, type_of_media
+from weftarc.functions.tables import written
 from weftarc.functions.urls import network_target, origin, permission_pattern, url_class, with_url
 
 CHANNELS = ("dom-attribute", "svg-attribute", "css-ast", "performance")
+# CSS properties that show images, and the types that a page cannot be without.
 _IMAGE_PROPERTIES = (
     "background", "background-image", "border-image", "border-image-source", "content", "cursor", "filter",
     "list-style", "list-style-image", "mask", "mask-image", "shape-outside",
@@ -148,9 +150,10 @@ def third_party(rows: DataFrame, grants: DataFrame | None = None) -> DataFrame:
     page_id, pattern, n_origins, n_resources, provenance (evidence of them), n_critical, n_excluded, resource_types and
     reasons (sorted), default_selected, granted (in ``grants`` (pattern)).
     """
+    rows = written(rows, "third-party-evidence")  # read twice: for the types and for the sums
     beacons = F.bool_and(F.coalesce((F.col("channel") == "performance") & F.col("initiator").isin("beacon", "ping"), F.lit(False)))
-    in_degree = rows.groupBy("page_id", "url").agg(F.first("page_url").alias("page_url"), F.countDistinct("channel_rank", "source_ordinal").alias("provenance"), beacons.alias("only_beacons"))
-    known = with_url(with_url(nodes(rows).select("page_id", "url", "u", "resource_type").join(in_degree, ["page_id", "url"]), "page_url", "p"), "url", "u")
+    in_degree = rows.groupBy("page_id", "url").agg(F.first("page_url").alias("page_url"), F.first("u").alias("u"), F.countDistinct("channel_rank", "source_ordinal").alias("provenance"), beacons.alias("only_beacons"))
+    known = with_url(inferred(rows).select("page_id", "url", "resource_type").join(in_degree, ["page_id", "url"]), "page_url", "p")
     target = network_target(F.col("url"), F.col("u"))
     other = known.filter((target["status"] == "eligible") & (origin(F.col("u")) != origin(F.col("p"))))
     judged = other.withColumn("policy", third_party_policy(F.col("url"), F.col("resource_type"), F.col("only_beacons"))).withColumn("pattern", permission_pattern(F.col("u")))

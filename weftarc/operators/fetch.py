@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftarc.functions.media import is_retryable, retry_delay_ms
 from weftarc.functions.tables import written
@@ -36,24 +40,30 @@ def retry_outcomes(attempts: DataFrame, max_retries: int = MAX_RETRIES) -> DataF
     )
 
 
+def _fold_budget(batches: Iterator[pa.RecordBatch], file_limit: int, total_limit: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by job and index with their outcome; only the job's sum is kept."""
+    job, used = object(), 0
+    for batch in batches:
+        outcomes = []
+        for of, size in zip(batch["job_id"].to_pylist(), batch["bytes"].to_pylist(), strict=True):
+            if of != job:
+                job, used = of, 0
+            outcome = "file-limit" if size > file_limit else "total-limit" if used + size > total_limit else "saved"
+            used += size if outcome == "saved" else 0
+            outcomes.append(outcome)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(outcomes, pa.string())], names=[*batch.schema.names, "outcome"])
+
+
 def within_budget(resources: DataFrame, file_limit: int, total_limit: int) -> DataFrame:
     """job_id, index, bytes and outcome (saved, file-limit, total-limit) of each resource, in the order of index.
 
     A resource that would pass the job's total is left out and takes nothing, so a smaller one after it may still
-    fit; a running sum cannot say that, so each job's resources are folded in order. Jobs are single captures.
+    fit; a running sum cannot say that, so a job's sorted rows are gone through in order, a batch at a time: however
+    large a job is, its task holds one batch and a number.
     """
-    zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<index: bigint, bytes: bigint, outcome: string>>").alias("done"))
-
-    def step(acc: Column, r: Column) -> Column:
-        outcome = F.when(r["bytes"] > file_limit, "file-limit").when(acc["used"] + r["bytes"] > total_limit, "total-limit").otherwise("saved")
-        return F.struct(
-            (acc["used"] + F.when(outcome == "saved", r["bytes"]).otherwise(0)).alias("used"),
-            F.array_append(acc["done"], F.struct(r["index"].alias("index"), r["bytes"].alias("bytes"), outcome.alias("outcome"))).alias("done"),
-        )
-
-    row = F.struct(F.col("index").cast("long").alias("index"), F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"))
-    per_job = resources.groupBy("job_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    return per_job.select("job_id", F.explode(F.aggregate("rows", zero, step, lambda a: a["done"])).alias("d")).select("job_id", "d.*")
+    rows = resources.select("job_id", F.col("index").cast("long").alias("index"), F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"))
+    kind = T.StructType([*rows.schema.fields, T.StructField("outcome", T.StringType())])
+    return rows.repartition("job_id").sortWithinPartitions("job_id", "index", "bytes").mapInArrow(lambda it: _fold_budget(it, file_limit, total_limit), kind)
 
 
 def batch_summaries(results: DataFrame) -> DataFrame:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 # The states of a job and those that may follow each. A paused job goes on where it was, or is cancelled.
 TRANSITIONS = {
@@ -32,27 +37,37 @@ def next_state(status: str, resume: str | None, wanted: str) -> tuple[str, str |
     return (wanted, status if wanted == "paused" else None)
 
 
+def _fold_states(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by job and seq to the last state of each job; only the current job's state is kept."""
+    job, state = None, None
+    names = ("job_id", "status", "resume_status", "n_applied", "n_rejected")
+    types = (kind, pa.string(), pa.string(), pa.int32(), pa.int32())
+    made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+    for batch in batches:
+        done = []
+        for of, wanted in zip(batch["job_id"].to_pylist(), batch["wanted"].to_pylist(), strict=True):
+            if state is None or of != job:
+                if state is not None:
+                    done.append((job, *state))
+                job, state = of, ("idle", None, 0, 0)
+            status, resume, good, bad = state
+            new = next_state(status, resume, wanted)
+            state = (status, resume, good, bad + 1) if new is None else (*new, good + 1, bad)
+        if done:
+            yield made(done)
+    if state is not None:
+        yield made([(job, *state)])
+
+
 def replay(events: DataFrame) -> DataFrame:
     """job_id, status, resume_status, n_applied, n_rejected of job_id, seq, wanted: every job starts idle.
 
-    A job's events are folded in order; those that are not allowed change nothing and are counted.
+    A job's events are gone through in order; those that are not allowed change nothing and are counted. A task holds
+    one batch of sorted events and one state, however many events a job has.
     """
-    allowed = F.create_map(*[x for k, v in TRANSITIONS.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))])
-    none = F.lit(None).cast("string")
-    zero = F.struct(F.lit("idle").alias("status"), none.alias("resume_status"), F.lit(0).alias("n_applied"), F.lit(0).alias("n_rejected"))
-
-    def step(acc: Column, e: Column) -> Column:
-        w = e["wanted"]
-        paused = acc["status"] == "paused"
-        good = F.coalesce(F.when(paused, (w == "cancelling") | w.eqNullSafe(acc["resume_status"])).otherwise(F.array_contains(F.element_at(allowed, acc["status"]), w)), F.lit(False))
-        return F.struct(
-            F.when(good, w).otherwise(acc["status"]).alias("status"),
-            F.when(~good, acc["resume_status"]).when(w == "paused", acc["status"]).otherwise(none).alias("resume_status"),
-            (acc["n_applied"] + good.cast("int")).alias("n_applied"), (acc["n_rejected"] + (~good).cast("int")).alias("n_rejected"),
-        )
-
-    per_job = events.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("seq", "wanted"))).alias("events"))
-    return per_job.select("job_id", F.aggregate("events", zero, step).alias("s")).select("job_id", "s.*")
+    kind = T.StructType([events.schema["job_id"], *(T.StructField(k, t) for k, t in (("status", T.StringType()), ("resume_status", T.StringType()), ("n_applied", T.IntegerType()), ("n_rejected", T.IntegerType())))])
+    arrow = to_arrow_type(events.schema["job_id"].dataType)
+    return events.select("job_id", "seq", "wanted").repartition("job_id").sortWithinPartitions("job_id", "seq", "wanted").mapInArrow(lambda it: _fold_states(it, arrow), kind)
 
 
 def history(jobs: DataFrame, limit: int = 20) -> DataFrame:

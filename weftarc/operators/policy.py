@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from weftarc.functions.privacy import is_sensitive
 from weftarc.functions.urls import origin, with_url
 from weftarc.operators.evidence import third_party_policy
-from weftarc.sources.html import attribute, metadata
+from weftarc.sources.html import attribute
 
 # Words in the URLs of elements that measure or take payments (not the list for third parties).
 TRACKING = "analytics?|tracking|tracker|telemetry|beacon|collect|pixel|doubleclick|tagmanager|gtm"
 PAYMENT = "payment|payments|checkout|billing|stripe|paypal|adyen|braintree"
+# Attributes with URLs, reasons, link relations and script types.
 URL_ATTRIBUTES = ("src", "href", "data", "action", "formaction", "poster")
 REASONS = ("extension-injection", "tracking-runtime", "payment-runtime", "nonportable-iframe")
 SPECULATIVE = ("dns-prefetch", "preconnect", "prefetch", "prerender", "modulepreload")
@@ -39,11 +40,11 @@ def runtime_elements(found: DataFrame) -> DataFrame:
 
 def with_url_list(found: DataFrame) -> DataFrame:
     """Adds __urls: what the element's URL attributes resolve to."""
-    based = found.join(metadata(found).select("page_id", "base_url"), "page_id")
+    based = found
     for k in URL_ATTRIBUTES:
         based = with_url(based.withColumn("__v", attribute(k)), "__v", f"__{k}", "base_url")
     listed = F.filter(F.array(*[F.col(f"__{k}.href") for k in URL_ATTRIBUTES]), lambda u: u.isNotNull())
-    return based.withColumn("__urls", listed).drop("__v", "base_url", *[f"__{k}" for k in URL_ATTRIBUTES])
+    return based.withColumn("__urls", listed).drop("__v", *[f"__{k}" for k in URL_ATTRIBUTES])
 
 
 def cleanup_counts(found: DataFrame) -> DataFrame:

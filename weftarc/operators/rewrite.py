@@ -100,6 +100,10 @@ def rewrite_javascript(texts: DataFrame, saved: DataFrame) -> DataFrame:
     return _rewritten(texts, refs, saved, dotted, False)
 
 
+def _quoted(value: str) -> str:
+    return value.replace("&", "&amp;").replace('"', "&quot;")
+
+
 def start_tag(tag: Column, attrs: Column) -> Column:
     """A start tag written anew."""
     quoted = lambda v: F.replace(F.replace(v, F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;"))
@@ -118,6 +122,7 @@ def rewrite_html(found: DataFrame, pages: DataFrame, saved: DataFrame, policy: s
     head's start. Integrity and crossorigin go where the reference changed. srcset, style and script texts are
     rewritten by their own functions.
     """
+    found = found.drop("base_url")  # the pages' own is taken
     info = pages.select("page_id", "job_id", "source_path", "base_url")
     tag, attrs = F.col("tag"), F.col("attrs")
     linked = tag.isin("link", "image", "use", "feimage", "mpath", "textpath", "pattern", "filter")
@@ -140,7 +145,7 @@ def rewrite_html(found: DataFrame, pages: DataFrame, saved: DataFrame, policy: s
         inert = F.map_concat(F.map_filter(merged, lambda k, _: k != "type"), F.create_map(F.lit("type"), F.lit("application/x-disabled-script")))
         merged = F.when(is_executable_script(tag, attrs), inert).otherwise(merged)
     written_tag = F.when(F.map_entries(merged) != F.map_entries(attrs), start_tag(tag, merged))
-    install = F.lit("") if policy is None else F.when(tag == "head", F.lit(f'<meta http-equiv="Content-Security-Policy" content="{policy}">')).otherwise("")
+    install = F.lit("") if policy is None else F.when(tag == "head", F.lit(f'<meta http-equiv="Content-Security-Policy" content="{_quoted(policy)}">')).otherwise("")
     new = F.when(gone, "").when(written_tag.isNotNull() | (install != ""), F.concat(F.coalesce(written_tag, start_tag(tag, attrs)), install))
     per_page = rows.withColumn("new", new).groupBy("page_id").agg(_spans(), F.sum(F.coalesce("n_rewritten", F.lit(0))).alias("n_rewritten"), F.sum(F.coalesce("n_unmapped", F.lit(0))).alias("n_unmapped"))
     joined = pages.select("page_id", F.coalesce("html", F.lit("")).alias("html")).join(per_page, "page_id", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))

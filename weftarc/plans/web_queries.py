@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftarc.functions import media, privacy, text
-from weftarc.functions.tables import table
+from weftarc.functions.tables import table, written
 from weftarc.functions.urls import network_target, url_class, with_url
 from weftarc.operators import archives, discovery, evidence, fetch, jobs, paths, policy, reports, rewrite, store, timing
 from weftarc.sources.html import elements, metadata
@@ -44,6 +44,33 @@ def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elements(table(spark, sf_dir, "pages"))
 
 
+def _some(n: str, html: str) -> str:
+    """``html`` as often as the expression ``n`` says, for Spark and DuckDB alike."""
+    return f"repeat('{html}', CAST({n} AS INT))"
+
+
+#: Pages that refer to resources of every kind, made from page ids; the driver's pages have links and plain text only.
+_RICH_HTML = "concat('<html><head>', " + ", ".join([
+    _some("page_id % 2", '<base href="https://base.example.com/d/">'),
+    "'<style>p{background:url(bg.png)} q{fill:url(#own)}</style>'",
+    _some("page_id % 3", '<link rel="stylesheet" href="s.css"><link rel="next" href="n.html">'),
+    "'</head><body>'",
+    _some("page_id % 4", '<img src="a.png" srcset="b.png 1x, c.png 2x">'),
+    _some("page_id % 5", '<p style="cursor:url(x.cur)">t</p><video poster="v.jpg"></video>'),
+    _some("page_id % 3", '<svg><image href="i.svg"/><use href="#own"/></svg>'),
+    _some("page_id % 2", '<iframe sandbox src="https://frames.example.net/"></iframe>'),
+    _some("page_id % 3", '<script>fetch("lib/x.json"); fetch("lib/x.json")</script>'),
+    _some("page_id % 7", '<script src="https://www.google-analytics.com/analytics.js"></script>'),
+    _some("page_id % 2", '<embed src="https://pay.example.com/checkout">'),
+    _some("page_id % 6", '<script src="chrome-extension://abc/x.js"></script>'),
+    "'</body></html>'",
+]) + ")"
+
+
+def _rich_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", "url", F.expr(_RICH_HTML).alias("html"))
+
+
 @query("""
 SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&', 'g'), '\\s+', ' ', 'g')) AS title,
        regexp_replace(url, '#.*$', '') AS base_url
@@ -70,18 +97,24 @@ def fn_resolved_links(spark, sf_dir):
 
 @query("""
 SELECT page_id, 'style-element' AS source_type, 'style' AS tag, regexp_extract(html, '<style>([^<]*)</style>', 1) AS css_text, 0::BIGINT AS n_references FROM pages
+UNION ALL SELECT -page_id, 'style-element', 'style', 'p{background:url(bg.png)} q{fill:url(#own)}', 1 FROM pages
+UNION ALL SELECT -page_id, 'style-attribute', 'p', 'cursor:url(x.cur)', 1 FROM (SELECT page_id, unnest(range(0, page_id % 5)) FROM pages)
 """)
 def ext_css_sources(spark, sf_dir):
-    """EXT-4, EXT-6: style sources of every page and the references in them (the pages' styles have none)."""
-    sources = discovery.css_sources(_elements(spark, sf_dir))
+    """EXT-4, EXT-6: style sources of every page and of one derived from it (with the negative id), and the references in them."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html").unionByName(_rich_pages(spark, sf_dir).withColumn("page_id", -F.col("page_id")))
+    sources = written(discovery.css_sources(elements(pages)), "css-sources")
     n = discovery.css_candidates(sources).groupBy("page_id", F.col("source_ordinal").alias("ordinal")).count()
     return sources.join(n, ["page_id", "ordinal"], "left").select("page_id", "source_type", "tag", "css_text", F.coalesce("count", F.lit(0)).cast("long").alias("n_references"))
 
 
-@query("SELECT page_id, 0::BIGINT AS n_dom, 0::BIGINT AS n_svg, 0::BIGINT AS n_script, 0::BIGINT AS n_regions FROM pages")
+@query("""
+SELECT page_id, page_id % 3 + 3 * (page_id % 4) + page_id % 5 + page_id % 2 + page_id % 7 + page_id % 2 + page_id % 6 AS n_dom, page_id % 3 AS n_svg,
+  CASE WHEN page_id % 3 > 0 THEN 1 ELSE 0 END::BIGINT AS n_script, page_id % 2 AS n_regions FROM pages
+""")
 def ext_candidates(spark, sf_dir):
-    """EXT-1, EXT-2, EXT-3, EXT-5, EXT-8, EXT-9: candidates of every page by kind (these pages have none)."""
-    found = _elements(spark, sf_dir)
+    """EXT-1, EXT-2, EXT-3, EXT-5, EXT-8, EXT-9: candidates of every page by kind (pages derived from page ids)."""
+    found = written(elements(_rich_pages(spark, sf_dir)), "elements")
     parts = {"n_dom": discovery.dom_candidates, "n_svg": discovery.svg_candidates, "n_script": discovery.script_references, "n_regions": discovery.regions}
     out = table(spark, sf_dir, "pages").select("page_id")
     for name, of in parts.items():
@@ -194,11 +227,19 @@ def grf_in_degrees(spark, sf_dir):
     return evidence.edges(_evidence(spark, sf_dir)).groupBy("page_id", "target_url", "source_url").agg(F.count(F.lit(1)).alias("in_degree"))
 
 
-@query("SELECT page_id, '' AS fault, '' AS subject FROM pages WHERE false")
+@query("""
+WITH p AS (SELECT page_id, page_id % 4 = 0 AS lost, page_id % 7 = 0 AS twice FROM pages)
+SELECT page_id, 'ordinals-not-dense' AS fault, CAST(8 - lost::INT + twice::INT AS VARCHAR) AS subject FROM p WHERE lost OR twice
+UNION ALL SELECT page_id, 'repeated-node', 'http://img' || (page_id % 7) || '.example.net/i/p' || (page_id % 11) || '.png' FROM p WHERE twice
+UNION ALL SELECT page_id, 'dangling-edge', 'https://cdn.example.org/app.js' FROM p WHERE lost
+UNION ALL SELECT page_id, 'repeated-edge', 'data:text/css;base64,QQ==' FROM p WHERE page_id % 5 = 0
+""")
 def grf_faults(spark, sf_dir):
-    """GRF-2: what is wrong with the graphs: nothing."""
+    """GRF-2: what is wrong with graphs of which some pages lost a node or have a node or an edge twice."""
     rows = _evidence(spark, sf_dir)
-    return evidence.graph_faults(evidence.nodes(rows), evidence.edges(rows))
+    nodes, edges = written(evidence.nodes(rows).select("page_id", "ordinal", "url"), "nodes"), written(evidence.edges(rows), "edges")
+    bad_nodes = nodes.filter("not (page_id % 4 = 0 and ordinal = 2)").unionByName(nodes.filter("page_id % 7 = 0 and ordinal = 1"))
+    return evidence.graph_faults(bad_nodes, edges.unionByName(edges.filter("page_id % 5 = 0 and channel = 'css-ast' and source_ordinal = 5")))
 
 
 @query(_EVIDENCE_SQL + """
@@ -292,10 +333,12 @@ def fn_redacted_urls(spark, sf_dir):
     return rows.select("page_id", privacy.redacted_url(F.col("u")).alias("manifest_url"), privacy.diagnostic_url(F.col("u")).alias("report_url"))
 
 
-@query("SELECT page_id, 0::BIGINT AS removed, 0::BIGINT AS n_extension_injection, 0::BIGINT AS n_tracking_runtime, 0::BIGINT AS n_payment_runtime, 0::BIGINT AS n_nonportable_iframe FROM pages")
+@query("""
+SELECT page_id, page_id % 6 + page_id % 7 + 2 * (page_id % 2) AS removed, page_id % 6 AS n_extension_injection, page_id % 7 AS n_tracking_runtime, page_id % 2 AS n_payment_runtime, page_id % 2 AS n_nonportable_iframe FROM pages
+""")
 def agg_cleanup(spark, sf_dir):
-    """AGG-5, FN-17, RWR-12: elements that a capture removes, by reason (these pages have none)."""
-    return policy.cleanup_counts(_elements(spark, sf_dir))
+    """AGG-5, FN-17, RWR-12: elements that a capture removes, by reason (pages derived from page ids)."""
+    return policy.cleanup_counts(elements(_rich_pages(spark, sf_dir)))
 
 
 @query(_EVIDENCE_SQL + """
@@ -521,15 +564,15 @@ def topk_failures(spark, sf_dir):
 
 
 @query("""
-WITH s AS (SELECT user_id AS session_id, (event_id * 13) % 9000 AS at_ms, CASE event_type WHEN 'click' THEN 'result' WHEN 'view' THEN 'navigation' WHEN 'error' THEN 'tab-closed' ELSE 'other' END AS kind FROM events WHERE event_id % 30 = 1),
+WITH s AS (SELECT CAST(floor(event_id / 3) AS BIGINT) AS session_id, (event_id * 13 + user_id) % 9000 AS at_ms, CASE event_type WHEN 'click' THEN 'result' WHEN 'view' THEN 'navigation' WHEN 'error' THEN 'tab-closed' ELSE 'other' END AS kind FROM events),
 f AS (SELECT session_id, min(CASE WHEN kind <> 'other' AND at_ms < 6000 THEN at_ms * 10 + CASE kind WHEN 'navigation' THEN 0 WHEN 'result' THEN 1 ELSE 2 END END) AS f FROM s GROUP BY session_id)
 SELECT session_id, CASE WHEN f IS NULL THEN 'timeout' WHEN f % 10 = 0 THEN 'navigation' WHEN f % 10 = 1 THEN 'result' ELSE 'tab-closed' END AS outcome, CASE WHEN f IS NULL THEN 6000 ELSE f // 10 END AS at_ms FROM f
 """)
 def sta_session_outcomes(spark, sf_dir):
-    """STA-5: which of result, navigation, closing and time-out came first (sessions derived from some events)."""
-    rows = table(spark, sf_dir, "events").filter("event_id % 30 = 1")
+    """STA-5: which of result, navigation, closing and time-out came first (sessions of three events, derived from their ids)."""
+    rows = table(spark, sf_dir, "events")
     kind = F.when(F.col("event_type") == "click", "result").when(F.col("event_type") == "view", "navigation").when(F.col("event_type") == "error", "tab-closed").otherwise("other")
-    return jobs.session_outcomes(rows.select(F.col("user_id").alias("session_id"), ((F.col("event_id") * 13) % 9000).alias("at_ms"), kind.alias("kind")), wait_ms=1000)
+    return jobs.session_outcomes(rows.select(F.expr("CAST(floor(event_id / 3) AS BIGINT)").alias("session_id"), ((F.col("event_id") * 13 + F.col("user_id")) % 9000).alias("at_ms"), kind.alias("kind")), wait_ms=1000)
 
 
 # -- archives

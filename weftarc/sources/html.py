@@ -72,20 +72,28 @@ def elements_of(html: pa.Array) -> pa.Array:
     return pa.array([scan(h) for h in html.to_pylist()], _KIND)
 
 
+# Else Spark would scan a page twice: once for its base, once for its elements.
+elements_of = elements_of.asNondeterministic()
+
+
 def elements(pages: DataFrame) -> DataFrame:
-    """page_id, url, element_no (from 1), tag, attrs, text, in_svg, start and stop (of the start tag, in characters): a row for each element of ``pages`` (page_id, url, html)."""
+    """page_id, url, base_url, element_no (from 1), tag, attrs, text, in_svg, start and stop (of the start tag, in characters).
+
+    A row for each element of ``pages`` (page_id, url, html). base_url: of the first usable base element, else the page's URL;
+    every element carries it, so that nothing has to be joined or scanned again for it.
+    """
     scanned = pages.select("page_id", "url", elements_of("html").alias("found"))
-    return scanned.select("page_id", "url", F.posexplode("found").alias("at", "e")).select("page_id", "url", (F.col("at") + 1).alias("element_no"), "e.*")
+    based = F.filter("found", lambda e: (e["tag"] == "base") & e["attrs"]["href"].isNotNull())
+    scanned = with_url(scanned.withColumn("href", F.get(based, F.lit(0))["attrs"]["href"]), "href", "b", "url").withColumn("base_url", F.coalesce("b.href", "url"))
+    return scanned.select("page_id", "url", "base_url", F.posexplode("found").alias("at", "e")).select("page_id", "url", "base_url", (F.col("at") + 1).alias("element_no"), "e.*")
 
 
 def metadata(found: DataFrame) -> DataFrame:
-    """page_id, title (white space collapsed; empty without one), base_url (of the first usable base element, else the page's URL)."""
-    href = F.when((F.col("tag") == "base") & F.col("attrs")["href"].isNotNull(), F.struct("element_no", F.col("attrs")["href"].alias("href")))
+    """page_id, title (white space collapsed; empty without one) and base_url of every page with an element."""
     title = F.when((F.col("tag") == "title") & ~F.col("in_svg"), F.struct("element_no", "text"))
-    once = found.groupBy("page_id").agg(F.first("url").alias("url"), F.min(title).alias("title"), F.min(href).alias("base"))
-    once = with_url(once.withColumn("href", F.col("base.href")), "href", "b", "url")
+    once = found.groupBy("page_id").agg(F.first("base_url").alias("base_url"), F.min(title).alias("title"))
     clean = F.trim(F.regexp_replace(F.coalesce(F.col("title.text"), F.lit("")), r"[ \t\n\f\r]+", " "))
-    return once.select("page_id", clean.alias("title"), F.coalesce("b.href", "url").alias("base_url"))
+    return once.select("page_id", clean.alias("title"), "base_url")
 
 
 def attribute(name: str) -> Column:
