@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftarc.functions.privacy import is_sensitive
-from weftarc.functions.urls import origin, with_url
+from weftarc.functions.urls import origin, permission_pattern, with_url
 from weftarc.operators.evidence import third_party_policy
 from weftarc.sources.html import attribute
 
@@ -94,3 +94,28 @@ def queued_records(nodes: DataFrame, jobs: DataFrame) -> DataFrame:
     )
     documents = jobs.select("job_id", F.concat(F.col("job_id").cast("string"), F.lit(":document")).alias("id"), F.col("page_url").alias("url"), F.lit("document").alias("type"), F.lit("queued").alias("state"))
     return documents.unionByName(others)
+
+
+def script_records(found: DataFrame, jobs: DataFrame) -> DataFrame:
+    """job_id, id, url, type, state of records that scripts led to: skipped only by what the job's settings leave out.
+
+    ``found``: job_id, id, url, type. ``jobs`` as for ``queued_records``. Third-party policy is not asked here: what a script
+    loads on its own is taken as it is.
+    """
+    rows = with_url(with_url(found.join(jobs.select("job_id", "page_url", "include_scripts", "include_media", "include_third_party"), "job_id"), "url", "u"), "page_url", "p")
+    unwanted = (~F.col("include_scripts") & (F.col("type") == "script")) | (~F.col("include_media") & F.col("type").isin("video", "audio"))
+    foreign = F.coalesce(origin(F.col("u")) != origin(F.col("p")), F.lit(True))
+    skipped = unwanted | (foreign & ~F.col("include_third_party"))
+    return rows.select("job_id", "id", "url", "type", F.when(F.coalesce(skipped, F.lit(True)), "skipped").otherwise("queued").alias("state"))
+
+
+def page_access(pages: DataFrame, grants: DataFrame) -> DataFrame:
+    """page_id, status, pattern of pages (page_id, page_url): missing-url, invalid-url, unsupported-protocol, granted or not-granted.
+
+    ``grants``: pattern. A pattern has no port, so it stands for every port of its host.
+    """
+    rows = with_url(pages, "page_url", "u")
+    bad = F.when(F.trim(F.coalesce("page_url", F.lit(""))) == "", "missing-url").when(F.col("u").isNull(), "invalid-url").when(~F.col("u.scheme").isin("http", "https"), "unsupported-protocol")
+    rows = rows.withColumn("bad", bad).withColumn("pattern", F.when(bad.isNull(), permission_pattern(F.col("u"))))
+    known = grants.select("pattern").distinct().withColumn("granted", F.lit(True))
+    return rows.join(known, "pattern", "left").select("page_id", F.coalesce("bad", F.when(F.col("granted"), "granted").otherwise("not-granted")).alias("status"), "pattern")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from weftarc.plans import web_queries
+from weftarc.plans import capture_queries, web_queries
 
-QUERIES = dict(web_queries.QUERIES)
-ORACLE_SQL = dict(web_queries.ORACLE_SQL)
+QUERIES = web_queries.QUERIES | capture_queries.QUERIES
+ORACLE_SQL = web_queries.ORACLE_SQL | capture_queries.ORACLE_SQL
 FLAGSHIP = web_queries.pth_hosts
