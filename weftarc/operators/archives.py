@@ -10,14 +10,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftarc.functions.names import is_archive_path
-from weftarc.functions.privacy import redacted_url
+from weftarc.functions.privacy import diagnostic_url, redacted_url
 from weftarc.functions.urls import with_url
+from weftarc.operators.discovery import SVG_TAGS, resource_attributes
+from weftarc.sources.html import attribute, elements
+from weftarc.sources.text_scans import css_references, srcset_candidates
 
 CHUNK_BYTES = 192 * 1024
 #: Bytes of the entries of one ZIP file.
 PART_BYTES = 64 << 20
 AUDIT_KINDS = ("local-present", "local-missing", "external", "extension", "embedded", "fragment", "unsupported", "invalid")
 BLOCKING = ("local-missing", "external", "extension", "unsupported", "invalid")
+#: What a manifest says of a record besides its URLs.
+KEPT = ("path", "type", "mime_type", "http_status", "bytes", "sha256", "error")
 
 
 def manifest_rows(records: DataFrame) -> DataFrame:
@@ -27,6 +32,71 @@ def manifest_rows(records: DataFrame) -> DataFrame:
     return rows.groupBy("job_id", "manifest").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("manifest") == "resources", F.coalesce("bytes", F.lit(0))).otherwise(0)).alias("bytes"))
 
 
+def manifest_entries(records: DataFrame) -> DataFrame:
+    """job_id, manifest (resources, failures or skipped), the URLs without secrets and the columns KEPT of terminal records.
+
+    Of a saved record final_url is where it ended, else it may be null; only saved ones have path and sha256. URLs that
+    are no network URLs are null in the resources and shown by their scheme in the others. ``in_order`` sorts them.
+    """
+    manifest = F.when(F.col("state") == "saved", "resources").when(F.col("state") == "failed", "failures").when(F.col("state") == "skipped", "skipped")
+    rows = records.withColumn("manifest", manifest).filter("manifest is not null")
+    saved = F.col("manifest") == "resources"
+    rows = rows.withColumn("ended", F.when(saved, F.coalesce("final_url", "original_url")).otherwise(F.col("final_url")))
+    rows = with_url(with_url(with_url(rows, "original_url", "__o"), "ended", "__f"), "referrer_url", "__r")
+    shown = lambda u: F.when(saved, redacted_url(F.col(u))).otherwise(F.when(F.col(u).isNotNull(), diagnostic_url(F.col(u))))
+    kept = [F.when(saved, F.col(c)).alias(c) if c in ("path", "sha256") else F.col(c) for c in KEPT]
+    return rows.select("job_id", "manifest", shown("__o").alias("original_url"), shown("__f").alias("final_url"), redacted_url(F.col("__r")).alias("referrer_url"), *kept)
+
+
+def in_order(entries: DataFrame) -> DataFrame:
+    """``manifest_entries`` as manifests are written: saved ones by path, type and URL, others by URL, type and final URL."""
+    saved = F.col("manifest") == "resources"
+    final = F.coalesce("final_url", F.lit(""))
+    return entries.orderBy("job_id", "manifest", F.when(saved, F.col("path")).otherwise(F.col("original_url")), "type", F.when(saved, F.col("original_url")).otherwise(final))
+
+
+def record_faults(records: DataFrame, mappings: DataFrame) -> DataFrame:
+    """job_id, id, fault: the first reason for which a record cannot go into a manifest; mappings (job_id, path) without a record have no id.
+
+    Faults: state, repeated-id, error (of a saved record), bytes, status, path, page-path (of another type), repeated-path, url,
+    no-mapping; unsaved-path and no-error of records that are not saved; unused-mapping.
+    """
+    saved = F.col("state") == "saved"
+    key = F.lower("path").alias("__key")
+    ids = records.groupBy("job_id", "id").count().filter("count > 1").select("job_id", "id", F.lit(True).alias("__same_id"))
+    paths = records.filter(saved).groupBy("job_id", key).count().filter("count > 1").select("job_id", "__key", F.lit(True).alias("__same_path"))
+    mapped = mappings.select("job_id", "path", F.lit(True).alias("__mapped")).distinct()
+    rows = records.withColumn("__key", F.lower("path")).join(ids, ["job_id", "id"], "left").join(paths, ["job_id", "__key"], "left").join(mapped, ["job_id", "path"], "left")
+    rows = with_url(with_url(rows, "original_url", "__o"), "final_url", "__f")
+    page = (F.col("path") == "index.html") | F.col("path").startswith("pages/")
+    bad_url = redacted_url(F.col("__o")).isNull() | (F.col("final_url").isNotNull() & redacted_url(F.col("__f")).isNull())
+    of_saved = (
+        F.when(F.col("error").isNotNull(), "error").when(F.col("bytes").isNull() | (F.col("bytes") < 0), "bytes").when(~F.coalesce(F.col("http_status"), F.lit(200)).between(200, 299), "status")
+        .when(~is_archive_path(F.col("path")) | ~(page | F.col("path").startswith("assets/")), "path").when(page & (F.col("type") != "document"), "page-path")
+        .when(F.col("__same_path"), "repeated-path").when(bad_url, "url").when(~page & F.col("__mapped").isNull(), "no-mapping")
+    )
+    of_others = F.when(F.col("path").isNotNull() | F.col("sha256").isNotNull(), "unsaved-path").when((F.col("state") == "failed") & F.col("error").isNull(), "no-error")
+    fault = F.when(~F.coalesce(F.col("state").isin("saved", "failed", "skipped"), F.lit(False)), "state").when(F.col("__same_id"), "repeated-id").when(saved, of_saved).otherwise(of_others)
+    unused = mappings.join(records.filter(saved), ["job_id", "path"], "left_anti").select("job_id", F.lit(None).cast(records.schema["id"].dataType).alias("id"), F.lit("unused-mapping").alias("fault"))
+    return rows.select("job_id", "id", fault.alias("fault")).filter("fault is not null").unionByName(unused)
+
+
+def archive_manifests(jobs: DataFrame, records: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """One row for each job: captured_at, start_url, final_url, mode, capture_profile, pages, resources, failed_resources, online_dependencies.
+
+    ``jobs``: job_id, captured_at (timestamp, written in UTC), start_url, final_url, mode, capture_profile, pages_captured.
+    The URLs keep their fragments without secrets. An archive has at least one page.
+    """
+    totals = records.groupBy("job_id").agg(F.count_if(F.col("state") == "saved").alias("resources"), F.count_if(F.col("state") == "failed").alias("failed_resources"))
+    rows = with_url(with_url(jobs, "start_url", "__s"), "final_url", "__f").join(totals, "job_id", "left").join(online_dependencies(dependencies), "job_id", "left")
+    at = F.date_format(F.to_utc_timestamp("captured_at", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return rows.select(
+        "job_id", at.alias("captured_at"), redacted_url(F.col("__s"), keep_fragment=True).alias("start_url"), redacted_url(F.col("__f"), keep_fragment=True).alias("final_url"), "mode", "capture_profile",
+        F.greatest(F.lit(1).cast("long"), "pages_captured").alias("pages"), F.coalesce("resources", F.lit(0).cast("long")).alias("resources"), F.coalesce("failed_resources", F.lit(0).cast("long")).alias("failed_resources"),
+        F.coalesce("dependencies", F.array().cast("array<string>")).alias("online_dependencies"),
+    )
+
+
 def original_urls(records: DataFrame) -> DataFrame:
     """job_id, original_url, final_url, path: each way once, numbered in the order of its columns."""
     once = records.filter("state = 'saved'").select("job_id", "original_url", F.coalesce("final_url", F.lit("")).alias("final_url"), "path").distinct()
@@ -66,6 +136,35 @@ def _joined_path(source: Column, target: Column) -> Column:
     return F.aggregate(parts, zero, step, lambda a: F.when(a["inside"], F.array_join(a["kept"], "/")))
 
 
+def archive_references(entries: DataFrame) -> DataFrame:
+    """job_id, source_path, channel, value of the references in archived pages and style sheets (entries: job_id, path, data).
+
+    Channels: html-attribute, srcset, inline-css, stylesheet-css, and navigation (where links and forms lead, which is
+    no reference: leave it out of an audit). Repeated references stay. Bytes that are no UTF-8 are replaced.
+    """
+    path = F.col("path")
+    texts = entries.select("job_id", "path", F.make_valid_utf8(F.col("data").cast("string")).alias("html"))
+    pages = texts.filter((path == "index.html") | path.rlike(r"^pages/[\s\S]*\.[hH][tT][mM][lL]?\z"))
+    found = elements(pages.select(F.struct("job_id", "path").alias("page_id"), F.concat(F.lit("https://archive.invalid/"), path).alias("url"), "html"))
+    may, tag = resource_attributes(), F.col("tag")
+    texts_of = {a: F.when(may[a], attribute(a)) for a in may}
+    in_svg = F.col("in_svg") & tag.isin(*SVG_TAGS)
+    single = [texts_of[a] for a in ("src", "href", "poster")] + [F.when(in_svg, attribute(a)) for a in ("href", "xlink:href")]
+    found = found.withColumn("__sets", srcset_candidates(F.concat_ws(", ", texts_of["srcset"], texts_of["imagesrcset"])))
+    found = found.withColumn("__style", css_references(F.when(tag == "style", F.col("text")))).withColumn("__own", css_references(attribute("style")))
+    leads = [F.when(tag.isin("a", "area"), attribute("href")), F.when(tag == "form", attribute("action"))]
+    named = lambda channel, values: F.transform(values, lambda v: F.struct(F.lit(channel).alias("channel"), v.alias("value")))
+    urls = lambda c: F.transform(c, lambda r: r["raw_url"])
+    every = F.concat(
+        F.filter(named("html-attribute", F.array(*single)), lambda r: F.trim(r["value"]) != ""), named("srcset", urls("__sets")), named("inline-css", urls("__style")), named("inline-css", urls("__own")),
+        F.filter(named("navigation", F.array(*leads)), lambda r: r["value"].isNotNull()),
+    )
+    of_pages = found.select("page_id.job_id", F.col("page_id.path").alias("source_path"), F.inline(every))
+    sheets = texts.filter(path.startswith("assets/") & (F.contains(path, F.lit("/css/")) | path.rlike(r"\.[cC][sS][sS]\z")))
+    of_sheets = sheets.select("job_id", F.col("path").alias("source_path"), F.inline(named("stylesheet-css", urls(css_references("html")))))
+    return of_pages.unionByName(of_sheets)
+
+
 def audited(references: DataFrame, entries: DataFrame) -> DataFrame:
     """``references`` (job_id, source_path, value) with kind, one of AUDIT_KINDS; ``entries``: job_id, path."""
     v = F.trim(F.coalesce("value", F.lit("")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftarc.functions.urls import origin, with_url
@@ -17,15 +17,20 @@ SVG_TAGS = ("clippath", "feimage", "filter", "image", "lineargradient", "mask",
 SVG_STYLES = ("clip-path", "cursor", "fill", "filter", "marker", "marker-end", "marker-mid", "marker-start", "mask", "stroke")
 
 
+def resource_attributes() -> dict[str, Column]:
+    """Of each of ATTRIBUTES, whether it refers to a resource on the element of a row."""
+    tag, rel = F.col("tag"), F.split(F.lower(F.trim(F.coalesce(attribute("rel"), F.lit("")))), r"\s+")
+    link = (tag == "link") & F.arrays_overlap(rel, F.array(*map(F.lit, LINK_RELATIONS)))
+    image_input = (tag == "input") & (F.lower(F.coalesce(attribute("type"), F.lit(""))) == "image")
+    return {"src": tag.isin(*SRC_TAGS) | image_input, "href": link, "srcset": tag.isin("img", "source"), "imagesrcset": link, "poster": tag == "video"}
+
+
 def dom_candidates(found: DataFrame) -> DataFrame:
     """page_id, element_no, tag, attribute, descriptor, raw_url, resolved_url in document order (ordinal from 1).
 
     Blank references and those that do not resolve are left out; repeated ones stay.
     """
-    tag, rel = F.col("tag"), F.split(F.lower(F.trim(F.coalesce(attribute("rel"), F.lit("")))), r"\s+")
-    link = (tag == "link") & F.arrays_overlap(rel, F.array(*map(F.lit, LINK_RELATIONS)))
-    image_input = (tag == "input") & (F.lower(F.coalesce(attribute("type"), F.lit(""))) == "image")
-    eligible = {"src": tag.isin(*SRC_TAGS) | image_input, "href": link, "srcset": tag.isin("img", "source"), "imagesrcset": link, "poster": tag == "video"}
+    eligible = resource_attributes()
     read = F.array(*[F.when(eligible[a] & attribute(a).isNotNull(), F.struct(F.lit(k).alias("rank"), F.lit(a).alias("name"), attribute(a).alias("value"))) for k, a in enumerate(ATTRIBUTES)])
     attrs = found.select("page_id", "base_url", "element_no", "tag", F.explode(F.filter(read, lambda a: a.isNotNull())).alias("a")).select("*", "a.*")
     sets = F.col("name").isin("srcset", "imagesrcset")

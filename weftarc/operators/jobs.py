@@ -83,6 +83,20 @@ def failures(records: DataFrame, most: int = 100) -> DataFrame:
     return rows.filter(F.col("rank") <= most).join(n, "job_id").select("job_id", "rank", "url", "type", "n_omitted")
 
 
+def results(jobs: DataFrame, records: DataFrame, archives: DataFrame, most: int = 100) -> DataFrame:
+    """job_id, status, archive_available, archive_bytes, n_failures, n_omitted of ended ``jobs`` (job_id, status); others have no row.
+
+    ``records``: job_id, state. ``archives``: job_id, archive. Only a completed job has an archive. The failures are
+    those of ``failures``, the first ``most`` of each job.
+    """
+    failed = records.filter("state = 'failed'").groupBy("job_id").agg(F.count(F.lit(1)).alias("n_failures"))
+    sizes = archives.groupBy("job_id").agg(F.sum(F.octet_length("archive")).alias("size"))
+    ended = jobs.filter(F.col("status").isin("completed", "failed", "cancelled")).join(failed, "job_id", "left").join(sizes, "job_id", "left")
+    there = (F.col("status") == "completed") & (F.coalesce("size", F.lit(0)) > 0)
+    n = F.coalesce("n_failures", F.lit(0).cast("long"))
+    return ended.select("job_id", "status", there.alias("archive_available"), F.when(there, F.col("size")).alias("archive_bytes"), n.alias("n_failures"), F.greatest(n - most, F.lit(0).cast("long")).alias("n_omitted"))
+
+
 def session_outcomes(events: DataFrame, wait_ms: int, grace_ms: int = 5000) -> DataFrame:
     """session_id, outcome, at_ms of capture sessions: the first of result, navigation, tab-closed, or the time-out.
 

@@ -18,6 +18,11 @@ URL_ATTRIBUTES = ("src", "href", "data", "action", "formaction", "poster")
 REASONS = ("extension-injection", "tracking-runtime", "payment-runtime", "nonportable-iframe")
 SPECULATIVE = ("dns-prefetch", "preconnect", "prefetch", "prerender", "modulepreload")
 SCRIPT_TYPES = ("", "text/javascript", "application/javascript", "text/ecmascript", "application/ecmascript", "module")
+# What marks a script as one that measures, asks for consent or takes payments, in its URL or its text.
+SCRIPT_SIGNALS = (
+    "googletagmanager", "google-analytics", "gtag(", "mixpanel", "mxpnl", "clarity.ms", "hotjar", "connect.facebook.net",
+    "fbevents", "segment.com", "cdn.segment", "cookieyes", "cookiebot", "onetrust", "js.stripe.com",
+)
 
 
 def _signal(url: Column, words: str) -> Column:
@@ -71,6 +76,12 @@ def is_executable_script(tag: Column, attrs: Column) -> Column:
     return (tag == "script") & kind.isin(*SCRIPT_TYPES)
 
 
+def is_tracking_script(tag: Column, attrs: Column, text: Column) -> Column:
+    """Whether a script that runs bears one of SCRIPT_SIGNALS."""
+    source = F.lower(F.concat_ws("\n", attrs["src"], text))
+    return is_executable_script(tag, attrs) & F.exists(F.array(*map(F.lit, SCRIPT_SIGNALS)), lambda s: F.contains(source, s))
+
+
 def is_speculative_link(tag: Column, attrs: Column) -> Column:
     return (tag == "link") & F.arrays_overlap(F.split(F.lower(F.trim(F.coalesce(attrs["rel"], F.lit("")))), r"\s+"), F.array(*map(F.lit, SPECULATIVE)))
 

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from weftarc.functions.names import relative_path
 from weftarc.functions.urls import with_url
-from weftarc.operators.policy import is_executable_script, is_speculative_link, kept_attributes
+from weftarc.operators.csp import POLICY_HEADERS
+from weftarc.operators.policy import is_executable_script, is_speculative_link, is_tracking_script, kept_attributes
 from weftarc.sources.text_scans import css_references, javascript_references, srcset_candidates
 
 NEUTRAL = "data:,"
@@ -114,11 +115,11 @@ def start_tag(tag: Column, attrs: Column) -> Column:
 DIRECT = ("src", "href", "poster", "xlink:href")
 
 
-def rewrite_html(found: DataFrame, pages: DataFrame, saved: DataFrame, policy: str | None = None, freeze_scripts: bool = False, neutralise: bool = False) -> DataFrame:
+def rewrite_html(found: DataFrame, pages: DataFrame, saved: DataFrame, policy: str | None = None, freeze_scripts: bool = False, neutralise: bool = False, freeze_tracking: bool = False) -> DataFrame:
     """page_id, html, n_rewritten, n_unmapped of pages (page_id, job_id, source_path, base_url, html) with their elements.
 
     Direct references, base elements (removed), speculative links (removed), secrets and form values (removed),
-    executable scripts (``freeze_scripts``: made inert), CSP metas (removed), and ``policy``, a new CSP, at the
+    executable scripts (``freeze_scripts``: made inert; ``freeze_tracking``: only those that track), CSP metas (removed), and ``policy``, a new CSP, at the
     head's start. Integrity and crossorigin go where the reference changed. srcset, style and script texts are
     rewritten by their own functions.
     """
@@ -139,11 +140,11 @@ def rewrite_html(found: DataFrame, pages: DataFrame, saved: DataFrame, policy: s
     merged = F.map_from_entries(F.transform(F.map_entries(kept_attributes(attrs, tag)), lambda e: F.struct(e["key"].alias("key"), F.coalesce(F.try_element_at(changed, e["key"]), e["value"]).alias("value"))))
     touched = F.size(changed) > 0
     merged = F.when(touched, F.map_filter(merged, lambda k, _: ~k.isin("integrity", "crossorigin"))).otherwise(merged)
-    csp = (tag == "meta") & (F.lower(F.trim(F.coalesce(attrs["http-equiv"], F.lit("")))) == "content-security-policy")
+    csp = (tag == "meta") & F.lower(F.trim(F.coalesce(attrs["http-equiv"], F.lit("")))).isin(*POLICY_HEADERS)
     gone = (tag == "base") | is_speculative_link(tag, attrs) | csp
-    if freeze_scripts:
+    if freeze_scripts or freeze_tracking:
         inert = F.map_concat(F.map_filter(merged, lambda k, _: k != "type"), F.create_map(F.lit("type"), F.lit("application/x-disabled-script")))
-        merged = F.when(is_executable_script(tag, attrs), inert).otherwise(merged)
+        merged = F.when(is_executable_script(tag, attrs) if freeze_scripts else is_tracking_script(tag, attrs, F.col("text")), inert).otherwise(merged)
     written_tag = F.when(F.map_entries(merged) != F.map_entries(attrs), start_tag(tag, merged))
     install = F.lit("") if policy is None else F.when(tag == "head", F.lit(f'<meta http-equiv="Content-Security-Policy" content="{_quoted(policy)}">')).otherwise("")
     new = F.when(gone, "").when(written_tag.isNotNull() | (install != ""), F.concat(F.coalesce(written_tag, start_tag(tag, attrs)), install))

@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftarc.functions import names, text
+from weftarc.functions import names, privacy, text
 from weftarc.functions.tables import table, written
-from weftarc.operators import archives, discovery, evidence, fetch, jobs, policy, reports, rewrite
+from weftarc.functions.urls import with_url
+from weftarc.operators import archives, csp, discovery, evidence, fetch, jobs, policy, reports, rewrite
 from weftarc.plans.web_queries import _RICH_HTML, _TARGETS, _derived, _evidence, _sql
 from weftarc.sources.html import elements
 
@@ -239,3 +240,148 @@ def agg_job_counters(spark, sf_dir):
     now = orders.select("id", F.lit(1).cast("long").alias("saved"), F.lit(2).cast("long").alias("failed"))
     new = orders.filter("o_orderkey % 2 = 0").select("id", F.col("o_custkey").cast("long").alias("saved"), F.when(F.col("o_orderkey") % 3 == 0, 7).cast("long").alias("failed"))
     return jobs.merged_counters(now, new, ["saved", "failed"])
+
+
+_POLICY = """CASE page_id % 5 WHEN 0 THEN 'default-src ''none''; img-src *' WHEN 1 THEN 'script-src ''self'' ''sha256-G''' WHEN 2 THEN '' WHEN 3 THEN 'IMG-SRC ''NONE''; img-src ''self''' ELSE 'style-src x; sandbox' END"""
+_POLICY_HTML = f"""concat('<html><head><meta http-equiv="Content-Security-Policy" content="', {_POLICY}, '"></head><body>', repeat('<meta http-equiv=content-security-policy content=x>', CAST(page_id % 2 AS INT)), '</body></html>')"""
+
+
+@query(f"""
+WITH p AS (SELECT page_id, page_id % 5 AS k, {_POLICY} AS policy FROM pages)
+SELECT page_id, 3::INT AS element_no, CASE k WHEN 0 THEN 'adjusted' WHEN 3 THEN 'adjusted' WHEN 2 THEN 'empty-policy' ELSE 'unchanged' END AS status,
+  CASE k WHEN 0 THEN 'default-src ''sha256-G'' ''self''; img-src * ''self''' WHEN 3 THEN 'img-src ''self''; img-src ''self''' ELSE policy END AS adjusted_policy,
+  CASE k WHEN 0 THEN 'allow-service-worker-guard,allow-local-font;allow-local-image' WHEN 3 THEN 'allow-local-image' ELSE '' END AS reasons, k = 3 AS has_repeated, k = 4 AS has_unsupported FROM p
+UNION ALL SELECT page_id, 5, 'outside-head', 'x', '', false, false FROM pages WHERE page_id % 2 = 1
+""")
+def rwr_csp_policies(spark, sf_dir):
+    """RWR-8: policies of pages with what an offline copy needs (pages derived from page ids)."""
+    found = elements(table(spark, sf_dir, "pages").select("page_id", "url", F.expr(_POLICY_HTML).alias("html")))
+    needed = csp.meta_policies(found).withColumn("types", F.array(*map(F.lit, ("script", "image", "font"))))
+    reasons = F.array_join(F.transform("changes", lambda c: F.array_join(c["reasons"], ",")), ";")
+    return csp.adjusted(needed, guard="'sha256-G'").select("page_id", "element_no", "status", "adjusted_policy", reasons.alias("reasons"), "has_repeated", "has_unsupported")
+
+
+@query("""
+SELECT page_id, 1 + page_id % 2 AS policies_found, (page_id % 5 IN (0, 3))::BIGINT AS policies_adjusted, 'http-header-policies-not-available-in-html-snapshot,meta-policy-applies-only-after-its-document-position'
+  || CASE WHEN page_id % 2 = 1 THEN ',outside-head-meta-is-not-enforced' ELSE '' END || CASE page_id % 5 WHEN 3 THEN ',duplicate-directives-preserved-first-wins' WHEN 4 THEN ',meta-unsupported-directives-preserved' ELSE '' END AS limitations FROM pages
+""")
+def agg_csp_reports(spark, sf_dir):
+    """RWR-8: what is said of every page's policies (pages derived from page ids)."""
+    found = elements(table(spark, sf_dir, "pages").select("page_id", "url", F.expr(_POLICY_HTML).alias("html")))
+    needed = csp.meta_policies(found).withColumn("types", F.array(*map(F.lit, ("script", "image", "font"))))
+    return csp.page_reports(csp.adjusted(needed, guard="'sha256-G'")).withColumn("limitations", F.array_join("limitations", ","))
+
+
+_FROZEN = [("<script>gtag(1)</script>", '<script type="application/x-disabled-script">gtag(1)</script>'), ('<script src="https://cdn.SEGMENT.com/x.js" type="module"></script>', '<script src="https://cdn.SEGMENT.com/x.js" type="application/x-disabled-script"></script>')]
+
+
+@query(f"""
+SELECT page_id, '<html><body><script src="app.js"></script>' || repeat('{_FROZEN[0][1]}', (page_id % 3)::INT) || repeat('{_FROZEN[1][1]}', (page_id % 2)::INT) || '<script type="application/json">hotjar</script></body></html>' AS html FROM pages
+""")
+def rwr_tracking_scripts(spark, sf_dir):
+    """RWR-11, FLT-9: only scripts that track are made inert (pages derived from page ids)."""
+    parts = ["'<html><body><script src=\"app.js\"></script>'", f"repeat('{_FROZEN[0][0]}', CAST(page_id % 3 AS INT))", f"repeat('{_FROZEN[1][0]}', CAST(page_id % 2 AS INT))", "'<script type=\"application/json\">hotjar</script></body></html>'"]
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr(f"concat({', '.join(parts)})").alias("html"), F.lit(1).cast("long").alias("job_id"), F.lit("index.html").alias("source_path"), F.col("url").alias("base_url"))
+    saved = rewrite.lookup(spark.createDataFrame([], "job_id long, url string, aliases array<string>, path string"))
+    return rewrite.rewrite_html(elements(pages), pages, saved, freeze_tracking=True).select("page_id", "html")
+
+
+# elements of _RICH_HTML by what they refer to, see there
+@query("""
+WITH c AS (SELECT page_id, page_id % 2 AS p2, page_id % 3 AS p3, page_id % 4 AS p4, page_id % 5 AS p5, page_id % 6 AS p6, page_id % 7 AS p7 FROM pages)
+SELECT page_id AS job_id, 3 * p3 + p4 + p5 + 2 * p2 + p7 + p6 AS n_html_attribute, 2 * p4 AS n_srcset, 2 + p5 AS n_inline_css, 1::BIGINT AS n_stylesheet_css, p2 AS n_navigation,
+  2 * p2 + p7 AS n_external, p6 AS n_extension, 1 + p3 AS n_fragment, 2 + 2 * p3 + 3 * p4 + 2 * p5 AS n_local_missing FROM c
+""")
+def aud_archive_references(spark, sf_dir):
+    """EXT-10, AUD-1: references read from the pages and style sheets of archives, and what they are (archives derived from page ids)."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("job_id"), F.expr(f"concat({_RICH_HTML}, repeat('<a href=\"z.html\">t</a>', CAST(page_id % 2 AS INT)))").alias("html"))
+    made = lambda path, text: pages.select("job_id", F.lit(path).alias("path"), F.encode(text, "UTF-8").alias("data"))
+    entries = made("index.html", F.col("html")).unionByName(made("assets/css/s.css", F.lit("a{background:url(x.png)}"))).unionByName(made("assets/a.bin", F.lit("url(x.png)")))
+    judged = archives.audited(archives.archive_references(entries), entries)
+    counted = lambda column, names: [F.count_if(F.col(column) == n).alias("n_" + n.replace("-", "_")) for n in names]
+    kinds = [F.count_if((F.col("kind") == n) & (F.col("channel") != "navigation")).alias("n_" + n.replace("-", "_")) for n in ("external", "extension", "fragment", "local-missing")]
+    return judged.groupBy("job_id").agg(*counted("channel", ("html-attribute", "srcset", "inline-css", "stylesheet-css", "navigation")), *kinds)
+
+
+_TERMINAL = {
+    "job_id": "o_custkey % 40",
+    "id": "CAST(o_orderkey AS STRING)",
+    "state": "CASE o_orderkey % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'skipped' WHEN 2 THEN 'queued' ELSE 'saved' END",
+    "type": "'image'",
+    "original_url": "CASE WHEN o_orderkey % 5 IN (0, 1) AND o_orderkey % 3 = 0 THEN 'data:x,y' ELSE concat('https://h.example.com/r', CAST(o_orderkey AS STRING), '?sid=1&q=a%20b&code#f') END",
+    "final_url": "CASE WHEN o_orderkey % 4 = 0 THEN concat('https://H.example.com:443/f', CAST(o_orderkey AS STRING)) END",
+    "referrer_url": "'https://h.example.com/?x=%zz'",
+    "path": "CASE WHEN o_orderkey % 5 > 2 OR o_orderkey % 5 = 1 AND o_orderkey % 7 = 0 THEN CASE WHEN o_orderkey % 11 = 0 THEN '/bad' WHEN o_orderkey % 13 = 0 THEN 'pages/p.html' ELSE concat('assets/', CAST(o_orderkey AS STRING)) END END",
+    "mime_type": "CASE WHEN o_orderkey % 2 = 0 THEN 'image/png' END",
+    "http_status": "CASE WHEN o_orderkey % 17 = 0 THEN 404 ELSE 200 END",
+    "bytes": "CASE WHEN o_orderkey % 19 = 0 THEN NULL ELSE o_custkey END",
+    "sha256": "CAST(NULL AS STRING)",
+    "error": "CASE WHEN o_orderkey % 5 = 0 AND o_orderkey % 3 <> 1 THEN 'network-error' END",
+}
+
+
+@query(f"""
+WITH r AS (SELECT {_sql(_TERMINAL)}, o_orderkey FROM orders WHERE o_orderkey % 5 <> 2), u AS (
+  SELECT *, CASE WHEN original_url = 'data:x,y' THEN 'data:REDACTED' ELSE 'https://h.example.com/r' || id || '?sid=REDACTED&q=a+b&code=REDACTED' END AS shown, CASE WHEN final_url IS NOT NULL THEN 'https://h.example.com/f' || id END AS ended FROM r
+)
+SELECT job_id, CASE state WHEN 'saved' THEN 'resources' WHEN 'failed' THEN 'failures' ELSE 'skipped' END AS manifest, shown AS original_url, CASE WHEN state = 'saved' THEN coalesce(ended, shown) ELSE ended END AS final_url,
+  'https://h.example.com/?x=%25zz' AS referrer_url, CASE WHEN state = 'saved' THEN path END AS path, type, mime_type, http_status, bytes, sha256, error FROM u
+""")
+def snk_manifest_entries(spark, sf_dir):
+    """SNK-1, FN-19, FN-20: the entries of every job's manifests, without secrets (records derived from orders)."""
+    return archives.in_order(archives.manifest_entries(_derived(table(spark, sf_dir, "orders"), _TERMINAL)))
+
+
+@query(f"""
+WITH r AS (SELECT {_sql(_TERMINAL)}, o_orderkey FROM orders), s AS (
+  SELECT *, count(*) OVER (PARTITION BY job_id, lower(path), state = 'saved') AS same FROM r
+)
+SELECT * FROM (SELECT job_id, id, CASE WHEN state = 'queued' THEN 'state'
+  WHEN state = 'saved' THEN CASE WHEN error IS NOT NULL THEN 'error' WHEN bytes IS NULL THEN 'bytes' WHEN http_status <> 200 THEN 'status' WHEN path = '/bad' THEN 'path' WHEN path = 'pages/p.html' THEN 'page-path' WHEN same > 1 THEN 'repeated-path'
+    WHEN o_orderkey % 23 = 0 THEN 'no-mapping' END
+  WHEN path IS NOT NULL THEN 'unsaved-path' WHEN state = 'failed' AND error IS NULL THEN 'no-error' END AS fault FROM s) WHERE fault IS NOT NULL
+UNION ALL SELECT 1000, NULL, 'unused-mapping'
+""")
+def flt_record_faults(spark, sf_dir):
+    """SNK-1, SNK-5, FLT-11: records that cannot go into manifests, and mappings that no record has (records derived from orders)."""
+    records = _derived(table(spark, sf_dir, "orders"), _TERMINAL)
+    mappings = records.filter("state = 'saved' AND path LIKE 'assets/%' AND CAST(id AS BIGINT) % 23 != 0").select("job_id", "path")
+    return archives.record_faults(records, mappings.unionByName(spark.createDataFrame([(1000, "assets/x")], "job_id long, path string")))
+
+
+@query(f"""
+WITH r AS (SELECT {_sql(_TERMINAL)} FROM orders), t AS (SELECT job_id, count(CASE WHEN state = 'saved' THEN 1 END) AS resources, count(CASE WHEN state = 'failed' THEN 1 END) AS failed_resources FROM r GROUP BY job_id)
+SELECT range AS job_id, '2024-01-03T00:00:10.500Z' AS captured_at, 'https://h.example.com/?token=REDACTED#REDACTED' AS start_url, 'https://h.example.com/#part' AS final_url, 'single-page' AS mode, 'static' AS capture_profile,
+  greatest(range % 3, 1) AS pages, coalesce(resources, 0) AS resources, coalesce(failed_resources, 0) AS failed_resources, CASE WHEN range % 2 = 0 THEN 'https://a.example.com/ https://b.example.com/' ELSE '' END AS online_dependencies
+FROM range(40) LEFT JOIN t ON t.job_id = range
+""")
+def snk_archive_manifests(spark, sf_dir):
+    """SNK-3, DED-8: the manifest of every job's archive (jobs of orders' customers)."""
+    fixed = {"start_url": "https://h.example.com/?token=a#x?jwt=1", "final_url": "https://h.example.com/#part", "mode": "single-page", "capture_profile": "static"}
+    jobs_of = spark.range(40).select(F.col("id").alias("job_id"), F.expr("timestamp_millis(1704240010500)").alias("captured_at"), *[F.lit(v).alias(k) for k, v in fixed.items()], (F.col("id") % 3).alias("pages_captured"))
+    needed = jobs_of.filter("job_id % 2 = 0").select("job_id", F.explode(F.array(*map(F.lit, ("https://b.example.com/#x", "https://a.example.com", "https://A.example.com:443/")))).alias("url"))
+    made = archives.archive_manifests(jobs_of, _derived(table(spark, sf_dir, "orders"), _TERMINAL), needed)
+    return made.withColumn("online_dependencies", F.array_join("online_dependencies", " "))
+
+
+@query(f"""
+WITH r AS (SELECT {_sql(_TERMINAL)} FROM orders), t AS (SELECT job_id, count(CASE WHEN state = 'failed' THEN 1 END) AS n FROM r GROUP BY job_id)
+SELECT range AS job_id, CASE range % 4 WHEN 0 THEN 'completed' WHEN 1 THEN 'failed' ELSE 'cancelled' END AS status, range % 8 = 0 AS archive_available, CASE WHEN range % 8 = 0 THEN 3 END::BIGINT AS archive_bytes,
+  coalesce(n, 0) AS n_failures, greatest(coalesce(n, 0) - 5, 0) AS n_omitted FROM range(40) LEFT JOIN t ON t.job_id = range WHERE range % 4 < 3
+""")
+def res_job_results(spark, sf_dir):
+    """RES-1: the result of every ended job (jobs of orders' customers)."""
+    k = F.col("id") % 4
+    jobs_of = spark.range(40).select(F.col("id").alias("job_id"), F.when(k == 0, "completed").when(k == 1, "failed").when(k == 2, "cancelled").otherwise("fetching").alias("status"))
+    packed = spark.range(0, 40, 2).select(F.col("id").alias("job_id"), F.when(F.col("id") % 8 == 4, F.lit(b"")).otherwise(F.lit(b"zip")).alias("archive"))
+    return jobs.results(jobs_of, _derived(table(spark, sf_dir, "orders"), _TERMINAL), packed, most=5)
+
+
+_SHOWN = {"page_id": "page_id", "value": "CASE page_id % 4 WHEN 0 THEN 'https://h.example.com/a?pwd=1#x=1' WHEN 1 THEN 'data:text/plain,secret' WHEN 2 THEN 'not a url' ELSE 'https://h.example.com/#sig=1&b' END"}
+
+
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://h.example.com/a?pwd=REDACTED#x=1' WHEN 1 THEN 'data:[redacted]' WHEN 2 THEN '[invalid URL]' ELSE 'https://h.example.com/#REDACTED' END AS shown FROM pages")
+def fn_result_urls(spark, sf_dir):
+    """FN-21: URLs as results of jobs show them."""
+    rows = with_url(_derived(table(spark, sf_dir, "pages"), _SHOWN), "value", "u")
+    return rows.select("page_id", privacy.result_url(F.col("u")).alias("shown"))
