@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftarc.functions import privacy, urls
-from weftarc.operators import policy, rewrite
+from weftarc.operators import csp, policy, rewrite
 from weftarc.sources import html
 
 B = "http://h.example/d/page"
@@ -70,6 +70,14 @@ def test_secrets(spark):
 
 
 def test_policies_of_pages(spark):
-    rows = [(1, "default-src 'none'; img-src *; IMG-SRC x", ["image", "font", "script"]), (2, "script-src-elem 'self'", ["script", "image"]), (3, "", ["font"])]
-    got = {(r.policy_id, r.resource_type): (r.directive, r.status) for r in rewrite.allowed_by_policy(spark.createDataFrame(rows, "policy_id long, policy string, types array<string>")).collect()}
-    assert got == {(1, "image"): ("img-src", "already-allowed"), (1, "font"): ("default-src", "source-added"), (1, "script"): ("default-src", "source-added"), (2, "script"): ("script-src-elem", "already-allowed"), (2, "image"): (None, "unrestricted"), (3, "font"): (None, "unrestricted")}
+    report_only, own = "content-security-policy-report-only", "content-security-policy"
+    rows = [
+        (1, own, "default-src 'none'; img-src *; IMG-SRC x", True, ["image", "font", "script"]), (2, own, "script-src-elem 'self'", True, ["script", "image"]), (3, own, None, True, ["font"]),
+        (4, own, "img-src 'none'", False, ["image"]), (5, report_only, "img-src 'none'", True, ["image"]), (6, own, ";; Font-Src 'NONE' a ;", True, ["font", "image"]), (7, own, "img-src 'none'", True, None),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, http_equiv string, policy string, in_head boolean, types array<string>")
+    got = {r.page_id: (r.status, r.adjusted_policy, [(c.directive, c.added, c.removed) for c in r.changes]) for r in csp.adjusted(df).collect()}
+    assert got == {
+        1: ("adjusted", "default-src 'self'; img-src * 'self'; img-src x", [("default-src", ["'self'"], ["'none'"]), ("img-src", ["'self'"], [])]), 2: ("unchanged", "script-src-elem 'self'", []),
+        3: ("empty-policy", "", []), 4: ("outside-head", "img-src 'none'", []), 5: ("report-only-unsupported", "img-src 'none'", []), 6: ("adjusted", "font-src a 'self'", [("font-src", ["'self'"], ["'NONE'"])]), 7: ("unchanged", "img-src 'none'", []),
+    }

@@ -151,27 +151,3 @@ def rewrite_html(found: DataFrame, pages: DataFrame, saved: DataFrame, policy: s
     per_page = rows.withColumn("new", new).groupBy("page_id").agg(_spans(), F.sum(F.coalesce("n_rewritten", F.lit(0))).alias("n_rewritten"), F.sum(F.coalesce("n_unmapped", F.lit(0))).alias("n_unmapped"))
     joined = pages.select("page_id", F.coalesce("html", F.lit("")).alias("html")).join(per_page, "page_id", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
     return joined.select("page_id", applied(F.col("html"), F.col("spans")).alias("html"), F.coalesce("n_rewritten", F.lit(0)).alias("n_rewritten"), F.coalesce("n_unmapped", F.lit(0)).alias("n_unmapped"))
-
-
-# Which directives a resource type needs, in the order in which they are looked for.
-FALLBACKS = {
-    "script": ("script-src-elem", "script-src", "default-src"), "stylesheet": ("style-src-elem", "style-src", "default-src"), "image": ("img-src", "default-src"), "font": ("font-src", "default-src"),
-    "video": ("media-src", "default-src"), "audio": ("media-src", "default-src"), "document": ("frame-src", "child-src", "default-src"), "manifest": ("manifest-src", "default-src"), "data": ("connect-src", "default-src"),
-}
-
-
-def allowed_by_policy(policies: DataFrame, source: str = "'self'") -> DataFrame:
-    """policy_id, resource_type, directive, status for each needed type of policies (policy_id, policy, types array).
-
-    Of a directive that is given twice the first counts. Status: unrestricted (no directive), already-allowed,
-    source-added (after removing 'none' where that stood alone).
-    """
-    parts = F.filter(F.transform(F.split("policy", ";"), lambda d: F.split(F.trim(d), r"\s+")), lambda w: w[0] != "")
-    each = policies.select("policy_id", parts.alias("parts"), F.explode("types").alias("resource_type"))
-    chain = F.try_element_at(F.create_map(*[x for k, v in FALLBACKS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]), F.col("resource_type"))
-    first = lambda name: F.get(F.filter("parts", lambda w: F.lower(w[0]) == name), F.lit(0))
-    hit = F.get(F.filter(F.transform(chain, lambda n: F.struct(n.alias("name"), first(n).alias("words"))), lambda d: d["words"].isNotNull()), F.lit(0))
-    rows = each.withColumn("hit", hit)
-    values = F.slice("hit.words", 2, F.greatest(F.size("hit.words") - 1, F.lit(0)))
-    status = F.when(F.col("hit").isNull(), "unrestricted").when(F.array_contains(values, source) | F.array_contains(values, "*"), "already-allowed").otherwise("source-added")
-    return rows.select("policy_id", "resource_type", F.col("hit.name").alias("directive"), status.alias("status"))
