@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftarc.functions import text
-from weftarc.operators import archives, reports, store
+from weftarc.operators import archives, reports, service_workers, store
+from weftarc.sources.html import elements
 
 
 def column(spark, values, make, kind="string"):
@@ -24,10 +25,38 @@ def test_texts(spark):
     assert named.first()[0] == "my_site_.zip"
 
 
-def test_service_workers(spark):
-    scripts = ["navigator.serviceWorker.register('/sw.js')", "window . navigator.serviceWorker\n.register (x); a.navigator.serviceWorker.register(y)", "", None]
-    got = column(spark, scripts, reports.without_service_workers)
-    assert [(r.text, r.n_calls) for r in got] == [("Promise.reject.bind(Promise)('/sw.js')", 1), ("Promise.reject.bind(Promise)(x); a.navigator.serviceWorker.register(y)", 1), ("", 0), (None, None)]
+def test_registrations():
+    found = lambda s: (lambda r: ([s[c["start"] : c["stop"]] for c in r["calls"]], r["others"], r["broken"]))(service_workers.registrations(s))
+    assert found("a();navigator.serviceWorker.register('/s)w.js', {scope: f(1)}).then(b)") == (["navigator.serviceWorker.register('/s)w.js', {scope: f(1)})"], 0, False)
+    assert found("window . navigator?.['serviceWorker']\n.register?.(x)") == (["window . navigator?.['serviceWorker']\n.register?.(x)"], 0, False)
+    assert found("a.navigator.serviceWorker.register(y); navigator.serviceWorkers.register(y); navigator.serviceWorker.registerAll(y)") == ([], 1, False)
+    assert found("// navigator.serviceWorker.register(a)\n'navigator.serviceWorker.register(a)'") == ([], 0, False)
+    assert found("const w = self.navigator.serviceWorker; w.register(a)") == ([], 1, False)
+    assert found("navigator.serviceWorker.register(a") == ([], 0, True)
+    assert service_workers.registrations(None) == {"calls": [], "others": 0, "broken": False}
+
+
+def test_guarded_pages(spark):
+    g, call, d = service_workers.GUARD, "navigator.serviceWorker.register(a)", service_workers.DENIED
+    pages = [
+        (1, f"<!doctype html><html><head><title>é</title><script>x;{call};y;{call}</script><script src=a.js>{call}</script></head></html>"),
+        (2, f"<p>t</p><script type=text/plain>{call}</script><script type=module>f(navigator.serviceWorker)</script>"),
+        (3, f"<html><script>{call}</script><head><script>navigator.serviceWorker.register(</script>"), (4, ""), (5, None), (6, "text"),
+    ]
+    given = spark.createDataFrame([(i, "https://a/", h, "extra") for i, h in pages], "page_id long, url string, html string, spans string")
+    got = {r.page_id: r for r in service_workers.guarded(given).collect()}
+    assert got[1].html == f"<!doctype html><html><head>{g}<title>é</title><script>x;{d};y;{d}</script><script src=a.js>{call}</script></head></html>"
+    assert got[2].html == g + pages[1][1]
+    assert got[3].html == f"<html>{g}<script>{d}</script><head><script>navigator.serviceWorker.register(</script>"
+    assert [got[k].html for k in (4, 5, 6)] == [g, g, g + "text"]
+    assert {k: tuple(r)[2:6] for k, r in got.items()} == {1: (2, 1, 0, 0), 2: (0, 0, 1, 0), 3: (1, 0, 0, 1), 4: (0, 0, 0, 0), 5: (0, 0, 0, 0), 6: (0, 0, 0, 0)}
+    assert [got[k].limits[0][:8] for k in (1, 2, 3, 4)] == ["external", "dynamic-", "unparsea", "computed"]
+    again = service_workers.guarded(spark.createDataFrame([(i, "https://a/", r.html) for i, r in got.items()], "page_id long, url string, html string"))
+    assert {r.page_id: r.html for r in again.collect()} == {k: r.html for k, r in got.items()}
+    rows = service_workers.scripts(elements(given)).orderBy("page_id", "element_no").collect()
+    assert [(r.kind, r.status) for r in rows] == [
+        ("inline-classic", "rewritten"), ("external", "runtime-guard-only"), ("non-javascript", "ignored"), ("inline-module", "runtime-guard-only"), ("inline-classic", "rewritten"), ("inline-classic", "parse-error"),
+    ]
 
 
 def test_change_reports(spark):

@@ -13,7 +13,6 @@ CHANGE_KINDS = (
     "offline-script-disable", "speculative-link-removal", "service-worker-guard-insertion", "csp-policy-adjustment",
 )
 RETAINED = ("data", "blob", "unsupported", "fragment", "invalid", "css-parse-error")
-_REGISTER = r"(?<![\w$.])(?:(?:window|self|globalThis)\s*\.\s*)?navigator\s*\.\s*serviceWorker\s*\.\s*register\s*\("
 
 
 def sequenced(changes: DataFrame) -> DataFrame:
@@ -36,11 +35,6 @@ def retained_counts(references: DataFrame) -> DataFrame:
     return rows.groupBy("job_id").agg(*[F.count_if(F.col("kind") == k).alias("n_" + k.replace("-", "_")) for k in RETAINED])
 
 
-def without_service_workers(text: Column) -> Column:
-    """struct<text, n_calls>: a script whose direct calls to register a service worker are rejected promises instead."""
-    return F.struct(F.regexp_replace(text, _REGISTER, "Promise.reject.bind(Promise)(").alias("text"), F.regexp_count(text, F.lit(_REGISTER)).alias("n_calls"))
-
-
 def readable(totals: DataFrame, failed: DataFrame) -> DataFrame:
     """job_id, report: Markdown of totals (job_id, manifest, n, bytes) and failures (job_id, rank, url, type, n_omitted)."""
     row = F.concat(F.lit("| "), F.col("manifest"), F.lit(" | "), F.col("n").cast("string"), F.lit(" | "), byte_label(F.col("bytes")), F.lit(" |"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weftarc.functions import names, privacy, text
 from weftarc.functions.tables import table, written
 from weftarc.functions.urls import with_url
-from weftarc.operators import archives, csp, discovery, evidence, fetch, jobs, policy, reports, rewrite
+from weftarc.operators import archives, csp, discovery, evidence, fetch, jobs, policy, reports, rewrite, service_workers
 from weftarc.plans.web_queries import _RICH_HTML, _TARGETS, _derived, _evidence, _sql
 from weftarc.sources.html import elements
 
@@ -286,6 +286,29 @@ def rwr_tracking_scripts(spark, sf_dir):
     return rewrite.rewrite_html(elements(pages), pages, saved, freeze_tracking=True).select("page_id", "html")
 
 
+# scripts of a derived page, each repeated by page_id: as given, as it is afterwards
+_WORKERS = (
+    ("<script>a();navigator.serviceWorker.register(f(1)).then(b)</script>", f"<script>a();{service_workers.DENIED}.then(b)</script>", 3),
+    ("<script type=module>const w = navigator.serviceWorker;</script>", "<script type=module>const w = navigator.serviceWorker;</script>", 2),
+    ("<script src=w.js></script>", "<script src=w.js></script>", 4),
+    ("<script>navigator.serviceWorker.register(</script>", "<script>navigator.serviceWorker.register(</script>", 5),
+)
+
+
+def _worker_page(which: int, guard: str) -> str:
+    return f"concat('<html><head>{guard}<title>t</title>', {', '.join(f'repeat({chr(39)}{w[which]}{chr(39)}, CAST(page_id % {w[2]} AS INT))' for w in _WORKERS)}, '</head></html>')"
+
+
+@query(f"""
+SELECT page_id, {_worker_page(1, service_workers.GUARD)} AS html, page_id % 3 AS n_rewritten, page_id % 4 AS n_external, page_id % 2 AS n_others, page_id % 5 AS n_broken,
+  1 + (page_id % 4 > 0)::BIGINT + (page_id % 2 > 0)::BIGINT + (page_id % 5 > 0)::BIGINT AS n_limits FROM pages
+""")
+def rwr_service_workers(spark, sf_dir):
+    """RWR-10: calls that register service workers replaced, a guard in each page (pages derived from page ids)."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr(_worker_page(0, "")).alias("html"))
+    return service_workers.guarded(pages).withColumn("n_limits", F.size("limits").cast("long")).drop("limits")
+
+
 # elements of _RICH_HTML by what they refer to, see there
 @query("""
 WITH c AS (SELECT page_id, page_id % 2 AS p2, page_id % 3 AS p3, page_id % 4 AS p4, page_id % 5 AS p5, page_id % 6 AS p6, page_id % 7 AS p7 FROM pages)
