@@ -5,7 +5,7 @@ from weftarc.sources import html, text_scans
 
 PAGE = """<html><head><title> A
  b</title><base href="/base/x"><link rel="stylesheet" href="a.css"><link rel="canonical" href="no.css"><style>@import "i.css"; @font-face{src:url(f.woff2) format("woff2"), url('g.ttf')} p{background:url( "bg\\69.png" )}</style></head>
-<body style="background-image:url(b.png)"><img src="1.png" srcset="data:image/png,a,b 1x, 2.png 2x"><video poster=p.jpg src=v.mp4></video><svg><use href="#a"/><image xlink:href="s.png"/><rect fill="url(pat.svg#x)"/></svg><iframe src="https://other.example/"></iframe><iframe sandbox src="z"></iframe><iframe></iframe><a href="/go">x</a><script>import x from "./m.js"; fetch('/api/d.json'); var q="img/z.png"; // "no.png"
+<body style="background-image:url(b.png)"><img src="1.png" srcset="data:image/png,a,b 1x, 2.png 2x"><video poster=p.jpg src=v.mp4></video><svg><use href="#a"/><image xlink:href="s.png"/><rect fill="url(pat.svg#x)"/></svg><iframe src="https://other.example/"></iframe><iframe sandbox src="z"></iframe><iframe></iframe><a href="/go">x</a><script>import x from "./m.js"; fetch('/api/d.json'); var q="./img/z.png", r="img/y.png"; // "no.png"
 fetch('/api/d.json')</script><input type=image src=i.gif><img src=" "></body></html>"""
 H = "http://h.example"
 
@@ -60,3 +60,15 @@ def test_srcset(value, want):
 def test_styles_that_are_broken_or_only_declarations():
     assert [c["raw_url"] for c in text_scans.css("color:red;background:url(x.png)")] == ["x.png"]
     assert text_scans.css("/* url(no.png) */ p { color: red") == [] and text_scans.css(None) == []
+
+
+def test_strings_of_scripts():
+    found = lambda s: [(r["kind"], r["raw_url"], s[r["start"] : r["stop"]]) for r in text_scans.javascript(s)]
+    assert found(r"""JSON.parse('{"/k.js":["/a.js","a.js","\u002fb.js",{"x":"https://h/c.png?1"}],"n":1}')""") == [("json", "/a.js", "/a.js"), ("json", "/b.js", r"\u002fb.js"), ("json", "https://h/c.png?1", "https://h/c.png?1")]
+    assert found(r'JSON.parse("{\"a\":\"./x\/y.css\"}")') == [("json", "./x/y.css", r"./x\/y.css")]
+    assert found("JSON.parse('{'); JSON.parse(''); JSON.parse('\"/a.js\"')") == [("json", "/a.js", "/a.js")]
+    assert found(r"f('\x2fa.js', '/a b.js', '//h.example', '//h/a.js', 'https://h.example', '/a', '../.js', `/${a}.js`, '${/a.js')") == [
+        ("literal", "/a.js", r"\x2fa.js"), ("literal", "/a b.js", "/a b.js"), ("literal", "//h/a.js", "//h/a.js"), ("literal", "../.js", "../.js"),
+    ]
+    assert found(r"import('\ud83d\ude00'); fetch('\ud83d')") == [("module", "😀", r"\ud83d\ude00"), ("load", "�", r"\ud83d")]
+    assert text_scans.javascript(None) == [] and text_scans.javascript("") == []

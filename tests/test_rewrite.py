@@ -34,6 +34,8 @@ def test_srcset_and_scripts(spark, saved):
     assert got[0] == ("../assets/%C3%A9%201.png 1x,  none.png 2x, data:image/png,a,b 3x", 1, 1) and got[1][0] == "1.png 0w, ../assets/%C3%A9%201.png"
     got = out(rewrite.rewrite_javascript(texts(spark, 'import x from "./m.js"; f("none.js") // "m.js"'), saved))
     assert got[0][0] == 'import x from "../assets/%C3%A9%20m.js"; f("none.js") // "m.js"'
+    got = out(rewrite.rewrite_javascript(texts(spark, """fetch('1.png'); JSON.parse('{"./1.png":"./1.png#f","b":["/none.png"]}')"""), saved))
+    assert got[0] == ("""fetch('../assets/%C3%A9%201.png'); JSON.parse('{"./1.png":"./assets/%C3%A9%201.png#f","b":["/none.png"]}')""", 2, 1)
 
 
 def test_html(spark, saved):

@@ -94,10 +94,15 @@ def rewrite_srcset(texts: DataFrame, saved: DataFrame, neutralise: bool = False)
     return _rewritten(texts, refs.filter(good), saved, F.col("replacement"), neutralise)
 
 
-def rewrite_javascript(texts: DataFrame, saved: DataFrame) -> DataFrame:
-    """The same of scripts: only references to saved resources; modules get a way that begins with a dot."""
+def rewrite_javascript(texts: DataFrame, saved: DataFrame, document_path: str = "index.html") -> DataFrame:
+    """The same of scripts: only references to saved resources, each as a way that begins with a dot.
+
+    What embedded JSON refers to is taken from the page that runs the script, ``document_path``.
+    """
     refs = texts.select(*TEXT, F.explode(javascript_references("text")).alias("r")).select(*TEXT, "r.*")
-    dotted = F.when((F.col("kind") == "module") & ~F.col("replacement").startswith("."), F.concat(F.lit("./"), F.col("replacement"))).otherwise(F.col("replacement"))
+    refs = refs.withColumn("source_path", F.when(F.col("kind") == "json", F.lit(document_path)).otherwise(F.col("source_path")))
+    way = F.replace(F.col("replacement"), F.lit("'"), F.lit("%27"))  # it may stand between such quotes
+    dotted = F.when(way.rlike(r"^\.\.?/"), way).otherwise(F.concat(F.lit("./"), way))
     return _rewritten(texts, refs, saved, dotted, False)
 
 

@@ -88,6 +88,18 @@ def rwr_scripts(spark, sf_dir):
     return rewrite.rewrite_javascript(texts, rewrite.lookup(_saved(spark, "https://s.example.com/a/", ".js", "lib/"))).drop("job_id")
 
 
+@query("""
+SELECT page_id AS text_id, 'const s = JSON.parse(''{"a/1.js":["./lib/' || (page_id % 5) || '.js","/a/' || (page_id % 7 + 5) || '.js","a/0.js"]}''), t = "../lib/' || (page_id % 5) || '.js", u = "a/0.js";' AS text,
+  2::BIGINT AS n_rewritten, 1::BIGINT AS n_unmapped FROM pages
+""")
+def rwr_script_payloads(spark, sf_dir):
+    """SRC-8, RWR-6: JSON in scripts; its keys stay, its values are ways from the page, other strings ways from the script."""
+    n = lambda by, more: (F.col("page_id") % by + more).cast("string")
+    text = F.concat(F.lit('const s = JSON.parse(\'{"a/1.js":["/a/'), n(5, 0), F.lit('.js","/a/'), n(7, 5), F.lit('.js","a/0.js"]}\'), t = "./a/'), n(5, 0), F.lit('.js", u = "a/0.js";'))
+    texts = table(spark, sf_dir, "pages").select(F.lit(1).cast("long").alias("job_id"), F.col("page_id").alias("text_id"), F.lit("js/main.js").alias("source_path"), F.lit("https://s.example.com/main.js").alias("base_url"), text.alias("text"))
+    return rewrite.rewrite_javascript(texts, rewrite.lookup(_saved(spark, "https://s.example.com/a/", ".js", "lib/"))).drop("job_id")
+
+
 # a.png and s.css are saved; next links, posters, svg images, frames, analytics and embedded pages are not
 @query("SELECT page_id, page_id % 3 + page_id % 4 AS n_rewritten, 2 * (page_id % 3) + page_id % 5 + 2 * (page_id % 2) + page_id % 7 AS n_unmapped FROM pages")
 def rwr_rich_pages(spark, sf_dir):

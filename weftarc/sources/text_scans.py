@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -86,25 +88,70 @@ def css(text: str | None) -> list[dict]:
 
 
 _JS = re.compile(
-    r"""//[^\n]*|/\*.*?\*/|(?P<call>\b(?:new\s+(?:Worker|SharedWorker|URL|Request)|fetch|importScripts|import)\s*\(\s*|\b(?:import|from)\s*)?(?P<q>["'`])(?P<text>(?:\\.|(?!(?P=q))[^\\])*)(?P=q)""", re.S
+    r"""//[^\n]*|/\*.*?\*/|(?P<call>\b(?:new\s+(?:Worker|SharedWorker|URL|Request)|fetch|importScripts|import|JSON\s*\.\s*parse)\s*\(\s*|\b(?:import|from)\s*)?(?P<q>["'`])(?P<text>(?:\\.|(?!(?P=q))[^\\])*)(?P=q)""", re.S
 )
-_FILE_LIKE = re.compile(r"^(?:https?:)?(?:\.{0,2}/|[\w-]+/)?[^\s\"'<>{}$]*\.(?:avif|basis|bmp|css|eot|fbx|gif|glb|gltf|ico|jpe?g|js|json|ktx2?|mjs|mp3|mp4|obj|oga|ogv|otf|png|svg|ttf|vtt|wasm|wav|webm|webmanifest|webp|woff2?)(?:[?#][^\s]*)?$", re.I)
+#: A way or a web address whose path ends with an extension.
+_FILE_LIKE = re.compile(r"(?:(?:https?:)?//[^/?#]+/|/(?!/)|\.{1,2}/)[^?#]*\.[a-z0-9]{1,12}(?:[?#].*)?", re.I | re.S)
+_PIECE = re.compile(r"\\(?:u\{(?P<code>[0-9a-fA-F]{1,6})\}|u(?P<u>[0-9a-fA-F]{4})|x(?P<x>[0-9a-fA-F]{2})|(?P<line>\r\n|[\n\u2028\u2029])|(?P<one>.))|(?P<plain>[^\\]+)", re.S)
+_CONTROLS = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f", "v": "\v", "0": "\0"}
+_JSON_STRING = re.compile(r'"(?:\\.|[^"\\])*"(?P<key>\s*:)?', re.S)
+
+
+def _literal(raw: str) -> tuple[str, list[tuple[int, int]]]:
+    """What a string literal stands for, and where each of its pieces begins there and in the script."""
+    out, places, at = [], [], 0
+    for m in _PIECE.finditer(raw):
+        code = m["code"] or m["u"] or m["x"]
+        piece = m["plain"] or ("" if m["line"] else chr(min(int(code, 16), 0x10FFFF)) if code else _CONTROLS.get(m["one"], m["one"]))
+        places.append((at, m.start()))
+        out.append(piece)
+        at += len(piece)
+    return "".join(out), places
+
+
+def _whole(text: str) -> str:
+    """Halves of a character as the character; a lone half becomes U+FFFD."""
+    return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
+def _json_strings(raw: str, start: int) -> list[dict]:
+    """Values in JSON in a string literal that look like files, with their places; none if it is no JSON."""
+    text, places = _literal(raw)
+    try:
+        json.loads(text)
+    except (ValueError, RecursionError):
+        return []
+    firsts = [p[0] for p in places]
+
+    def place(at: int) -> int:
+        begins, there = places[bisect_right(firsts, at) - 1]
+        return start + there + at - begins
+
+    out = []
+    for m in _JSON_STRING.finditer(text):
+        value = "" if m["key"] else _whole(json.loads(m[0], strict=False))
+        if _FILE_LIKE.fullmatch(value):
+            out.append({"kind": "json", "raw_url": value, "start": place(m.start() + 1), "stop": place(m.end() - 1)})
+    return out
 
 
 def javascript(text: str | None) -> list[dict]:
-    """References of a script: strings in module and loading positions, and other strings that look like files.
+    """References of a script: strings in module and loading positions, other strings that look like files, and such strings in embedded JSON.
 
     A scan of strings outside comments, not a syntax tree: regular expressions that hold quotes may hide one.
     """
     out = []
     for m in _JS.finditer(text or ""):
         raw = m["text"]
-        if raw is None or "${" in raw:
+        if not raw or (m["q"] == "`" and "${" in raw):
             continue
         call = re.sub(r"[\s(]+", " ", m["call"] or "").strip()
-        module = call in ("import", "from")
-        if raw and (call or _FILE_LIKE.match(raw)):
-            out.append({"kind": "module" if module else "load" if call else "literal", "raw_url": re.sub(r"\\(.)", r"\1", raw), "start": m.start("text"), "stop": m.end("text")})
+        if call.startswith("JSON"):
+            out += _json_strings(raw, m.start("text"))
+            continue
+        url = _whole(_literal(raw)[0])
+        if call or _FILE_LIKE.fullmatch(url):
+            out.append({"kind": "module" if call in ("import", "from") else "load" if call else "literal", "raw_url": url, "start": m.start("text"), "stop": m.end("text")})
     return out
 
 
