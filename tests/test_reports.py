@@ -77,6 +77,11 @@ def test_readable_report(spark):
     got = {r.job_id: r.report for r in reports.readable(totals, failed).collect()}
     assert got[1] == "| manifest | n | bytes |\n|---|---|---|\n| failures | 1 | 0 B |\n| resources | 2 | 2.0 KiB |\n\n- http://h/a\\_b (image)\n- and 3 more\n"
     assert got[2].endswith("| resources | 0 | 0 B |\n")
+    bad = failed.unionByName(spark.createDataFrame([(1, 2, "http://h/<b>&'", None, 3), (3, 1, "http://no-totals/", "image", 0)], failed.schema))
+    got = {r.job_id: r.report for r in reports.readable_html(totals, bad).collect()}
+    assert set(got) == {1, 2} and got[2].endswith("<tr><td>resources</td><td>0</td><td>0 B</td></tr></table><h2>Failures (0)</h2><p>none</p></body></html>")
+    assert got[1].endswith("<h2>Failures (5)</h2><ul><li><code>http://h/a_b</code> (image)</li><li><code>http://h/&lt;b&gt;&amp;&#39;</code> ()</li></ul><p>and 3 more</p></body></html>")
+    assert reports.readable_html(totals.limit(0), failed).count() == 0
 
 
 def test_verified_archives(spark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftarc.functions.text import byte_label, escaped_markdown
+from weftarc.functions.text import byte_label, escaped_html, escaped_markdown
 
 # Kinds of changes in the order in which a document's report lists them.
 CHANGE_KINDS = (
@@ -13,6 +13,10 @@ CHANGE_KINDS = (
     "offline-script-disable", "speculative-link-removal", "service-worker-guard-insertion", "csp-policy-adjustment",
 )
 RETAINED = ("data", "blob", "unsupported", "fragment", "invalid", "css-parse-error")
+REPORT_HEAD = (
+    '<!doctype html><html lang="en"><head><meta charset="utf-8"><meta http-equiv="Content-Security-Policy" content="default-src \'none\'"><title>Archive report</title></head>'
+    "<body><h1>Archive report</h1><table><tr><th>manifest</th><th>n</th><th>bytes</th></tr>"
+)
 
 
 def sequenced(changes: DataFrame) -> DataFrame:
@@ -35,15 +39,34 @@ def retained_counts(references: DataFrame) -> DataFrame:
     return rows.groupBy("job_id").agg(*[F.count_if(F.col("kind") == k).alias("n_" + k.replace("-", "_")) for k in RETAINED])
 
 
+def _listed(totals: DataFrame, failed: DataFrame, row: Column, line: Column) -> DataFrame:
+    """job_id, rows, lines (in the order of rank) and n_omitted of every job in ``totals``."""
+    head = totals.groupBy("job_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    tail = failed.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("lines"), F.max("n_omitted").alias("n_omitted"))
+    lines = F.coalesce(F.transform("lines", lambda x: x["line"]), F.array().cast("array<string>"))
+    return head.join(tail, "job_id", "left").select("job_id", "rows", lines.alias("lines"), F.coalesce("n_omitted", F.lit(0)).alias("n_omitted"))
+
+
 def readable(totals: DataFrame, failed: DataFrame) -> DataFrame:
     """job_id, report: Markdown of totals (job_id, manifest, n, bytes) and failures (job_id, rank, url, type, n_omitted)."""
     row = F.concat(F.lit("| "), F.col("manifest"), F.lit(" | "), F.col("n").cast("string"), F.lit(" | "), byte_label(F.col("bytes")), F.lit(" |"))
-    head = totals.groupBy("job_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    line = F.struct("rank", F.concat(F.lit("- "), escaped_markdown(F.col("url")), F.lit(" ("), F.col("type"), F.lit(")")).alias("line"))
-    tail = failed.groupBy("job_id").agg(F.array_sort(F.collect_list(line)).alias("lines"), F.max("n_omitted").alias("n_omitted"))
+    line = F.concat(F.lit("- "), escaped_markdown(F.col("url")), F.lit(" ("), F.col("type"), F.lit(")"))
     body = F.concat(
         F.lit("| manifest | n | bytes |\n|---|---|---|\n"), F.array_join("rows", "\n"),
-        F.when(F.col("lines").isNotNull(), F.concat(F.lit("\n\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n"))).otherwise(""),
+        F.when(F.size("lines") > 0, F.concat(F.lit("\n\n"), F.array_join("lines", "\n"))).otherwise(""),
         F.when(F.col("n_omitted") > 0, F.concat(F.lit("\n- and "), F.col("n_omitted").cast("string"), F.lit(" more"))).otherwise(""), F.lit("\n"),
     )
-    return head.join(tail, "job_id", "left").select("job_id", body.alias("report"))
+    return _listed(totals, failed, row, line).select("job_id", body.alias("report"))
+
+
+def readable_html(totals: DataFrame, failed: DataFrame) -> DataFrame:
+    """job_id, report: the same as a page that loads and runs nothing; null URLs and types are left empty."""
+    shown = lambda k: escaped_html(F.coalesce(F.col(k).cast("string"), F.lit("")))
+    row = F.concat(F.lit("<tr><td>"), shown("manifest"), F.lit("</td><td>"), shown("n"), F.lit("</td><td>"), byte_label(F.col("bytes")), F.lit("</td></tr>"))
+    line = F.concat(F.lit("<li><code>"), shown("url"), F.lit("</code> ("), shown("type"), F.lit(")</li>"))
+    more = F.when(F.col("n_omitted") > 0, F.concat(F.lit("<p>and "), F.col("n_omitted").cast("string"), F.lit(" more</p>"))).otherwise("")
+    body = F.concat(
+        F.lit(REPORT_HEAD), F.array_join("rows", ""), F.lit("</table><h2>Failures ("), (F.size("lines") + F.col("n_omitted")).cast("string"), F.lit(")</h2>"),
+        F.when(F.size("lines") > 0, F.concat(F.lit("<ul>"), F.array_join("lines", ""), F.lit("</ul>"))).otherwise("<p>none</p>"), more, F.lit("</body></html>"),
+    )
+    return _listed(totals, failed, row, line).select("job_id", body.alias("report"))

@@ -298,6 +298,25 @@ def rwr_tracking_scripts(spark, sf_dir):
     return rewrite.rewrite_html(elements(pages), pages, saved, freeze_tracking=True).select("page_id", "html")
 
 
+@query(f"""
+WITH r AS (SELECT o_custkey % 50 AS job_id, o_orderkey AS id, o_orderstatus = 'O' AS saved, 'https://h.example.com/?a=' || o_orderkey || '&<b>' AS url FROM orders),
+t AS (SELECT job_id, count(CASE WHEN saved THEN 1 END) AS n, count(CASE WHEN NOT saved THEN 1 END) AS nf FROM r GROUP BY job_id),
+f AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY url, id) AS k FROM r WHERE NOT saved),
+l AS (SELECT job_id, string_agg('<li><code>' || replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</code> (image)</li>', '' ORDER BY k) AS lines FROM f WHERE k <= 5 GROUP BY job_id)
+SELECT t.job_id, '{reports.REPORT_HEAD.replace("'", "''")}' || '<tr><td>failures</td><td>' || nf || '</td><td>0 B</td></tr><tr><td>resources</td><td>' || n || '</td><td>0 B</td></tr></table><h2>Failures (' || nf || ')</h2>'
+  || CASE WHEN nf > 0 THEN '<ul>' || lines || '</ul>' ELSE '<p>none</p>' END || CASE WHEN nf > 5 THEN '<p>and ' || (nf - 5) || ' more</p>' ELSE '' END || '</body></html>' AS report
+FROM t LEFT JOIN l USING (job_id)
+""")
+def snk_readable_reports(spark, sf_dir):
+    """SNK-8, FN-34, RES-1: a page for each job with its totals and first five failures (jobs derived from orders; no sizes)."""
+    url = F.concat(F.lit("https://h.example.com/?a="), F.col("o_orderkey").cast("string"), F.lit("&<b>"))
+    state = F.when(F.col("o_orderstatus") == "O", "saved").otherwise("failed")
+    records = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("job_id"), F.col("o_orderkey").alias("id"), state.alias("state"), F.lit(False).alias("is_primary_visual"), url.alias("url"), F.lit("image").alias("type"))
+    counted = lambda name, state: F.struct(F.lit(name).alias("manifest"), F.count_if(F.col("state") == state).alias("n"))
+    totals = records.groupBy("job_id").agg(F.array(counted("resources", "saved"), counted("failures", "failed")).alias("t")).select("job_id", F.inline("t")).withColumn("bytes", F.lit(0).cast("long"))
+    return reports.readable_html(totals, jobs.failures(records, most=5))
+
+
 # scripts of a derived page, each repeated by page_id: as given, as it is afterwards
 _WORKERS = (
     ("<script>a();navigator.serviceWorker.register(f(1)).then(b)</script>", f"<script>a();{service_workers.DENIED}.then(b)</script>", 3),
