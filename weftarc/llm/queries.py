@@ -1,4 +1,4 @@
-"""The queries of the ten operators, each over its whole table with the parameters meant for production."""
+"""The queries of the numbered operators, each over its whole table with the parameters meant for production."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftarc.llm import bpe_codec, decontaminate, language_id, license_scan, quality_rules, simhash, substring_dedup, token_counts, url_filter, warc
+from weftarc.llm import bpe_codec, decontaminate, fim, language_id, license_scan, quality_rules, simhash, substring_dedup, token_counts, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -117,11 +117,39 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removals(_table(spark, sf_dir, "documents"), backward=True)
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text cut at lines and rearranged, and the text that its output gives back."""
+    cut = fim.transform(_table(spark, sf_dir, "documents"))
+    back = fim.restored(F.col("output"), F.col("form"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+OP12_SQL = r"""
+WITH lined AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS lines, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS d FROM documents
+), chosen AS (
+  SELECT *, ('0x' || substr(d, 1, 8))::BIGINT % (len(lines) + 1) AS a, ('0x' || substr(d, 9, 8))::BIGINT % (len(lines) + 1) AS b,
+         CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR ('0x' || substr(d, 17, 8))::BIGINT % 100 >= 100 THEN 'plain'
+              WHEN ('0x' || substr(d, 25, 8))::BIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM lined
+), cut AS (
+  SELECT *, coalesce(array_to_string(lines[1:least(a, b)], ''), '') AS p, coalesce(array_to_string(lines[least(a, b) + 1:greatest(a, b)], ''), '') AS m,
+         coalesce(array_to_string(lines[greatest(a, b) + 1:], ''), '') AS s
+  FROM chosen
+)
+SELECT doc_id, len(lines)::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM cut
+"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_warc, op2_url_filters, op3_license_scans, op4_language_id, op5_decontamination,
         op6_quality_rules, op7_simhash, op8_token_counts, op9_bpe_codec, op10_substring_dedup,
+        op12_fill_in_middle,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op2_url_filters": OP2_SQL, "op3_license_scans": license_scan.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op2_url_filters": OP2_SQL, "op3_license_scans": license_scan.oracle_sql(), "op12_fill_in_middle": OP12_SQL}
