@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftarc.llm import bpe_codec, decontaminate, fim, language_id, license_scan, quality_rules, simhash, substring_dedup, token_counts, url_filter, warc
+from weftarc.llm import bpe_codec, decontaminate, fim, language_id, license_scan, packing, quality_rules, simhash, substring_dedup, token_counts, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -144,12 +144,17 @@ FROM cut
 """
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all whole texts in windows that hold the sources in the corpus' own proportions."""
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_warc, op2_url_filters, op3_license_scans, op4_language_id, op5_decontamination,
         op6_quality_rules, op7_simhash, op8_token_counts, op9_bpe_codec, op10_substring_dedup,
-        op12_fill_in_middle,
+        op12_fill_in_middle, op13_packing,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op2_url_filters": OP2_SQL, "op3_license_scans": license_scan.oracle_sql(), "op12_fill_in_middle": OP12_SQL}
