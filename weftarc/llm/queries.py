@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftarc.llm import bpe_codec, decontaminate, fim, language_id, license_scan, packing, quality_rules, simhash, substring_dedup, token_counts, url_filter, warc
+from weftarc.llm import bpe_codec, conversation_repair, decontaminate, fim, language_id, license_scan, packing, quality_rules, simhash, substring_dedup, token_counts, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -117,6 +117,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removals(_table(spark, sf_dir, "documents"), backward=True)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and the repaired text of every conversation, after turns were damaged."""
+    damaged = conversation_repair.damaged(_table(spark, sf_dir, "conversations"))
+    return conversation_repair.by_conversation(conversation_repair.repair(damaged))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text cut at lines and rearranged, and the text that its output gives back."""
     cut = fim.transform(_table(spark, sf_dir, "documents"))
@@ -154,7 +160,7 @@ QUERIES = {
     for f in (
         op1_warc, op2_url_filters, op3_license_scans, op4_language_id, op5_decontamination,
         op6_quality_rules, op7_simhash, op8_token_counts, op9_bpe_codec, op10_substring_dedup,
-        op12_fill_in_middle, op13_packing,
+        op11_conversation_repair, op12_fill_in_middle, op13_packing,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op2_url_filters": OP2_SQL, "op3_license_scans": license_scan.oracle_sql(), "op12_fill_in_middle": OP12_SQL}
