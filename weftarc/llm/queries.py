@@ -123,6 +123,65 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.by_conversation(conversation_repair.repair(damaged))
 
 
+OP11_SQL = r"""
+WITH RECURSIVE keyed AS (
+  SELECT *, concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' ')) AS k FROM conversations
+), summed AS (  -- CRC-32 bit by bit
+  SELECT *, xor(list_reduce([4294967295::BIGINT] || [ascii(c)::BIGINT for c in string_split(k, '')],
+    lambda crc, byte: list_reduce([xor(crc, byte)] || range(8), lambda x, bit: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384::BIGINT ELSE 0 END))), 4294967295::BIGINT) % 20 AS fault
+  FROM keyed
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+         CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text
+  FROM summed, range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth, rtrim(text, E' \t\n\x0b\x0c\r') AS bare
+  FROM damaged
+), turns AS (
+  SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+         left(role, 1) AS initial, left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) || left(role, 1) AS pair
+  FROM placed
+), counted AS (
+  SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM turns GROUP BY conv_id
+), follows(x, initial, y) AS (VALUES ('', 's', 's'), ('', 'u', 'u'), ('s', 'u', 'u'), ('a', 'u', 'u'), ('u', 'a', 'a')
+), fills(x, y) AS (VALUES ('', 'u'), ('s', 'u'), ('a', 'u'), ('u', 'a')
+), edits AS (
+  SELECT x, 'D' AS code, NULL AS initial, x AS y, 3 AS cost FROM (VALUES (''), ('s'), ('u'), ('a')) v(x)
+  UNION ALL SELECT x, 'K', initial, y, 0 FROM follows
+  UNION ALL SELECT x, 'R', NULL, y, 2 FROM fills
+  UNION ALL SELECT f.x, 'IK', g.initial, g.y, 2 FROM fills f JOIN follows g ON f.y = g.x
+  UNION ALL SELECT f.x, 'IR', NULL, g.y, 4 FROM fills f JOIN fills g ON f.y = g.x
+), layers AS (  -- the least of cost and audit in each state, after each turn
+  SELECT conv_id, n, 0::BIGINT AS i, '' AS state, '000000' AS best FROM counted
+  UNION ALL
+  SELECT l.conv_id, l.n, l.i + 1, e.y, min(lpad((left(best, 6)::BIGINT + e.cost + CASE WHEN t.fault = 'truncated' AND e.code <> 'D' THEN 1 ELSE 0 END)::VARCHAR, 6, '0') || substr(best, 7) || e.code)
+  FROM layers l JOIN turns t ON t.conv_id IS NOT DISTINCT FROM l.conv_id AND t.i = l.i + 1
+  JOIN edits e ON e.x = l.state AND (e.code = 'D' OR t.fault NOT IN ('blank', 'duplicate')) AND (e.initial IS NULL OR e.initial = t.initial)
+  GROUP BY l.conv_id, l.n, l.i + 1, e.y
+), ended AS (
+  SELECT conv_id, min(lpad((left(best, 6)::BIGINT + CASE state WHEN 's' THEN 4 WHEN 'u' THEN 2 ELSE 0 END)::VARCHAR, 6, '0') || substr(best, 7) || CASE state WHEN 's' THEN 'II' WHEN 'u' THEN 'I' ELSE '' END) AS best
+  FROM layers WHERE i = n GROUP BY conv_id
+), letters AS (
+  SELECT conv_id, p, substr(best, 6 + p, 1) AS edit FROM (SELECT *, unnest(range(1, length(best) - 5)) AS p FROM ended)
+), numbered AS (
+  SELECT *, count(*) FILTER (edit <> 'I') OVER w AS i, count(*) FILTER (edit <> 'D') OVER w AS k FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY p)
+), kept AS (
+  SELECT m.*, t.role, t.text, bool_or(edit = 'K' AND k = 1 AND t.initial = 's') OVER (PARTITION BY m.conv_id) AS has_s
+  FROM numbered m LEFT JOIN turns t ON t.conv_id IS NOT DISTINCT FROM m.conv_id AND t.i = m.i AND edit <> 'I' WHERE edit <> 'D'
+), repaired AS (
+  SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (k - CASE WHEN has_s THEN 1 ELSE 0 END) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), E'\n' ORDER BY k) AS text
+  FROM kept GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(left(best, 6)::BIGINT, 0) AS cost, coalesce(substr(best, 7), '') AS audit, sha256(coalesce(r.text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text cut at lines and rearranged, and the text that its output gives back."""
     cut = fim.transform(_table(spark, sf_dir, "documents"))
@@ -163,4 +222,4 @@ QUERIES = {
         op11_conversation_repair, op12_fill_in_middle, op13_packing,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op2_url_filters": OP2_SQL, "op3_license_scans": license_scan.oracle_sql(), "op12_fill_in_middle": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op2_url_filters": OP2_SQL, "op3_license_scans": license_scan.oracle_sql(), "op11_conversation_repair": OP11_SQL, "op12_fill_in_middle": OP12_SQL}
