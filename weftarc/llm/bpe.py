@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,7 +32,7 @@ LONG_WORD = 400
 PIECE_CHARS = 1 << 20
 
 # The pattern of the byte-level files; the one of the files with word ends comes with the file.
-BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+BYTE_LEVEL_PATTERN = r" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 # Letters and numbers (first, last) that the pattern module knows and the library's older Unicode tables do not;
 # the library takes them for symbols.
@@ -51,12 +52,39 @@ NEWER_CAPITALS = (
     (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3),
     (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
 )
+#: Texts whose characters are all before this one are cut by a pattern that lists letters and numbers; all of NEWER come later.
+LISTED = 0x530
 _NEWER = regex.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in NEWER) + "]")
 _STAND_IN = "\u2603"  # a symbol
 _CAPITALS = {c: small + c - a for a, b, small in NEWER_CAPITALS for c in range(a, b + 1)}
 _CAPITAL = regex.compile("[" + "".join(map(chr, _CAPITALS)) + "]")
 
 
+def listed(pattern: str) -> re.Pattern:
+    """``pattern`` with its kinds of characters (letters, numbers, white space) written out up to ``LISTED``."""
+    kinds = {r"\p{L}": "", r"\p{N}": "", r"\s": ""}
+    for kind in kinds:
+        of = [c for c in range(LISTED) if regex.match(kind, chr(c))]
+        ends = [c for c in of if c + 1 not in of]
+        kinds[kind] = "".join(f"{re.escape(chr(c))}-{re.escape(chr(e))}" for c, e in zip((c for c in of if c - 1 not in of), ends, strict=True))
+    inside = False
+
+    def one(m: re.Match) -> str:
+        nonlocal inside
+        if m[0] in ("[", "[^", "]"):
+            inside = m[0] != "]"
+            return m[0]
+        chars = "^" + kinds[r"\s"] if m[0] == r"\S" else kinds[m[0]]
+        return chars if inside else f"[{chars}]"
+
+    return re.compile(re.sub(r"\\p\{[LN]\}|\\[sS]|\[\^?|\]", one, pattern))
+
+
+def highest(text: str) -> int:
+    """The last character of a text."""
+    return int(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.dtype("<u4")).max(initial=0))
+
+
 def byte_characters() -> list[str]:
     """The character that byte-level files write for each byte: itself if it prints, else the next from U+0100 on."""
     prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -77,6 +105,7 @@ class Table:
         self.normalizes = spec["normalizer"] is not None
         split = (spec["pre_tokenizer"].get("pretokenizers") or [{}])[0].get("pattern", {}).get("Regex")
         self.pattern = regex.compile(split or BYTE_LEVEL_PATTERN)
+        self.listed = listed(split or BYTE_LEVEL_PATTERN)
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")")
         self.tokens = [""] * (1 + max([*ids.values(), *self.specials.values()]))
         for token, i in [*ids.items(), *self.specials.items()]:
@@ -125,10 +154,15 @@ def load(path: str) -> Table:
 
 def first_symbols(words: list[str], table: Table) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, offsets): a symbol for each byte of each word."""
-    parts = [w.encode("utf-8", "surrogatepass") for w in words]
-    offsets = np.zeros(len(parts) + 1, np.int64)
-    np.cumsum([len(p) for p in parts], out=offsets[1:])
-    data = np.frombuffer(b"".join(parts), np.uint8)
+    joined = "".join(words)
+    if joined.isascii():
+        sizes, data = list(map(len, words)), joined.encode()
+    else:
+        parts = [w.encode("utf-8", "surrogatepass") for w in words]
+        sizes, data = list(map(len, parts)), b"".join(parts)
+    offsets = np.zeros(len(words) + 1, np.int64)
+    np.cumsum(sizes, out=offsets[1:])
+    data = np.frombuffer(data, np.uint8)
     symbols = table.bytes[data]
     ends = offsets[1:] - 1
     symbols[ends] = table.last_bytes[data[ends]]
@@ -176,10 +210,9 @@ def merge_words(symbols: np.ndarray, offsets: np.ndarray, table: Table) -> tuple
         return merge_rounds(symbols, offsets, table)
     short = sizes <= LONG_WORD
     some, where = merge_rounds(symbols[np.repeat(short, sizes)], np.concatenate(([0], np.cumsum(sizes[short]))), table)
-    parts = np.split(some, where[1:-1]) if short.any() else []
-    merged = dict(zip(np.flatnonzero(short).tolist(), parts, strict=True)) | {int(w): merge_long(symbols[offsets[w] : offsets[w + 1]], table) for w in long}
-    out = [merged[w] for w in range(len(sizes))]
-    return np.concatenate(out), np.concatenate(([0], np.cumsum([len(x) for x in out])))
+    alone = [merge_long(symbols[offsets[w] : offsets[w + 1]], table) for w in long]
+    word = np.concatenate((np.repeat(np.flatnonzero(short), np.diff(where)), np.repeat(long, [len(x) for x in alone])))
+    return np.concatenate((some, *alone))[np.argsort(word, kind="stable")], np.concatenate(([0], np.cumsum(np.bincount(word, minlength=len(sizes)))))
 
 
 def merge_rounds(symbols: np.ndarray, offsets: np.ndarray, table: Table) -> tuple[np.ndarray, np.ndarray]:
@@ -187,10 +220,10 @@ def merge_rounds(symbols: np.ndarray, offsets: np.ndarray, table: Table) -> tupl
     n_words = len(offsets) - 1
     done_symbols, done_words = [], []
     word = np.repeat(np.arange(n_words), np.diff(offsets))
+    place = np.full(len(symbols), -1)  # of the pair that begins at each symbol
+    inside = np.flatnonzero(word[:-1] == word[1:])
+    place[inside] = table.pair_places(symbols[inside], symbols[inside + 1])
     while len(symbols):
-        place = np.full(len(symbols), -1)
-        inside = np.flatnonzero(word[:-1] == word[1:])
-        place[inside] = table.pair_places(symbols[inside], symbols[inside + 1])
         rank = np.where(place >= 0, table.ranks[place], NO_RANK)
         starts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
         sizes = np.diff(np.append(starts, len(symbols)))
@@ -217,7 +250,14 @@ def merge_rounds(symbols: np.ndarray, offsets: np.ndarray, table: Table) -> tupl
         symbols[at] = table.made[place[at]]
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
-        symbols, word = symbols[keep], word[keep]
+        symbols, word, place = symbols[keep], word[keep], place[keep]
+        # only pairs of a merged symbol are new
+        at = at - np.arange(len(at))
+        at = np.concatenate((at, at[at > 0] - 1))
+        place[at] = -1
+        at = at[at < len(word) - 1]
+        at = at[word[at] == word[at + 1]]
+        place[at] = table.pair_places(symbols[at], symbols[at + 1])
     if not done_symbols:
         return symbols, offsets
     symbols, word = np.concatenate(done_symbols), np.concatenate(done_words)
@@ -246,23 +286,26 @@ def lower(text: str) -> str:
     """Lower case character by character: a final sigma is as any other."""
     if text.isascii():
         return text.lower()
-    if _CAPITAL.search(text):
+    if highest(text) >= NEWER_CAPITALS[0][0] and _CAPITAL.search(text):
         text = text.translate(_CAPITALS)
     return text.replace("Σ", "σ").lower() if "Σ" in text else text.lower()
 
 
 def cut(piece: str, table: Table) -> list[str]:
     """The words of a piece of text."""
-    if piece.isascii() or not _NEWER.search(piece):
+    last = 0 if piece.isascii() else highest(piece)
+    if last < LISTED:
+        return table.listed.findall(piece)
+    if last < NEWER[0][0] or not _NEWER.search(piece):
         return table.pattern.findall(piece)
     return [piece[m.start() : m.end()] for m in table.pattern.finditer(_NEWER.sub(_STAND_IN, piece))]
 
 
-def words_of(text: str, table: Table) -> Iterator[list[str] | int]:
-    """Lists of the words of a text, and the ids of special strings between them."""
+def words_of(text: str, table: Table) -> Iterator[list[str] | list[int]]:
+    """Lists of the words of a text, and of the ids of special strings between them."""
     for part in table.special_pattern.split(text) if any(s in text for s in table.specials) else [text]:
         if part in table.specials:
-            yield table.specials[part]
+            yield [table.specials[part]]
         elif part:
             if table.normalizes:
                 part = lower(unicodedata.normalize("NFC", part))
@@ -270,40 +313,48 @@ def words_of(text: str, table: Table) -> Iterator[list[str] | int]:
                 yield cut(piece, table)
 
 
+class _Places(dict):
+    """The place of each word; one that is not there gets the next place and is noted as new."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = place = len(self)
+        self.new.append(word)
+        return place
+
+
 class WordStore:
-    """The ids of words met before, as ragged arrays; merges the new words of many texts together."""
+    """The ids of words met before, as ragged arrays; merges the new words of many texts together. Special ids stand for themselves."""
 
     def __init__(self, table: Table):
         self.table = table
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
+        ids = list(self.table.specials.values())
+        self.place, self.place.new = _Places(zip(ids, range(len(ids)), strict=True)), []
         self.chars = 0
-        self.flat = np.zeros(0, np.int32)
-        self.starts = np.zeros(1, np.int64)
+        self.flat = np.array(ids, np.int32)
+        self.starts = np.arange(len(ids) + 1)
 
-    def add(self, lists: list[list[str]]) -> None:
+    def look_up(self, lists: list[list]) -> np.ndarray:
+        """The places of all words of ``lists``, one after another; they hold until the next call."""
         if len(self.place) > MAX_STORED_WORDS or self.chars > MAX_STORED_CHARS:
             self.clear()
-        new = list(set(chain.from_iterable(lists)).difference(self.place))
+        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(lists)), np.int64, sum(map(len, lists)))
+        new, self.place.new = self.place.new, []
         if new:
             symbols, offsets = merge_words(*first_symbols(new, self.table), self.table)
             self.chars += sum(map(len, new))
-            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
             self.flat = np.concatenate((self.flat, symbols.astype(np.int32)))
             self.starts = np.concatenate((self.starts, self.starts[-1] + offsets[1:]))
+        return at
 
-    def places(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+    def sizes(self, at: np.ndarray) -> np.ndarray:
+        """How many ids the words at these places have."""
+        return self.starts[at + 1] - self.starts[at]
 
-    def count(self, words: list[str]) -> int:
-        at = self.places(words)
-        return int((self.starts[at + 1] - self.starts[at]).sum())
-
-    def ids(self, words: list[str]) -> np.ndarray:
-        at = self.places(words)
-        sizes = self.starts[at + 1] - self.starts[at]
+    def ids(self, at: np.ndarray) -> np.ndarray:
+        sizes = self.sizes(at)
         ends = np.cumsum(sizes)
         return self.flat[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
@@ -311,15 +362,23 @@ class WordStore:
 GROUP_CHARS = 1 << 19
 
 
-def word_groups(texts: pa.Array, table: Table) -> Iterator[list[tuple[int, list[str] | int]]]:
-    """(row, words or a special string's id) of whole texts, in order, in groups of about ``GROUP_CHARS``; null is empty."""
-    group, size = [], 0
+def word_groups(texts: pa.Array, table: Table) -> Iterator[tuple[list[int], list[list]]]:
+    """(rows, lists of their words) of whole texts, in order, in groups of about ``GROUP_CHARS``; null is empty, a row can have several lists."""
+    rows, lists, size = [], [], 0
     for row, text in enumerate(texts):
-        for part in words_of(text.as_py() or "", table):
-            group.append((row, part))
-            size += 1 if isinstance(part, int) else sum(map(len, part[:100])) * max(1, len(part) // 100)
+        for words in words_of(text.as_py() or "", table):
+            rows.append(row)
+            lists.append(words)
+            size += sum(map(len, words[:100])) * max(1, len(words) // 100) if words and isinstance(words[0], str) else 1
             if size > GROUP_CHARS:
-                yield group
-                group, size = [], 0
-    if group:
-        yield group
+                yield rows, lists
+                rows, lists, size = [], [], 0
+    if rows:
+        yield rows, lists
+
+
+def counts_of(rows: list[int], lists: list[list], sizes: np.ndarray, n: int) -> np.ndarray:
+    """The ids of each of ``n`` rows, by the ``sizes`` of the words in ``lists``."""
+    sums = np.concatenate(([0], np.cumsum(sizes)))
+    ends = np.cumsum(list(map(len, lists)))
+    return np.bincount(rows, np.diff(sums[np.concatenate(([0], ends))]), n).astype(np.int64)

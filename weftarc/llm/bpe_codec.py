@@ -30,11 +30,10 @@ def encode_batch(text: pa.Array, store: bpe.WordStore) -> pa.Array:
     """Lists of ids of whole texts; ``store`` has the words that the task has met."""
     table = store.table
     parts, counts = [np.zeros(0, np.int32)], np.zeros(len(text) + 1, np.int64)
-    for group in bpe.word_groups(text, table):
-        store.add([words for _, words in group if not isinstance(words, int)])
-        for row, words in group:
-            parts.append(np.array([words], np.int32) if isinstance(words, int) else store.ids(words))
-            counts[row + 1] += len(parts[-1])
+    for rows, lists in bpe.word_groups(text, table):
+        at = store.look_up(lists)
+        parts.append(store.ids(at))
+        counts[1:] += bpe.counts_of(rows, lists, store.sizes(at), len(text))
     return pa.ListArray.from_arrays(pa.array(np.cumsum(counts).astype(np.int32)), pa.array(np.concatenate(parts)))
 
 

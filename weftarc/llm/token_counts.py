@@ -33,10 +33,8 @@ def token_counter(path: str):
         store = bpe.WordStore(bpe.load(path))
         for text in batches:
             counts = np.zeros(len(text), np.int64)
-            for group in bpe.word_groups(text, store.table):
-                store.add([words for _, words in group if not isinstance(words, int)])
-                for row, words in group:
-                    counts[row] += 1 if isinstance(words, int) else store.count(words)
+            for rows, lists in bpe.word_groups(text, store.table):
+                counts += bpe.counts_of(rows, lists, store.sizes(store.look_up(lists)), len(text))
             yield pa.array(counts)
 
     return n_tokens
