@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftarc.functions import privacy, urls
-from weftarc.operators import csp, policy, rewrite
+from weftarc.operators import csp, offline_pages, policy, rewrite
 from weftarc.sources import html
 
 B = "http://h.example/d/page"
@@ -41,7 +41,7 @@ def test_srcset_and_scripts(spark, saved):
 def test_html(spark, saved):
     page = '<html><head><base href="/d/page">\n<link rel=stylesheet href="a.css" integrity=x><link rel=prefetch href=z><meta http-equiv=Content-Security-Policy content=a></head><body><img src="1.png" alt="ü"><img src=none.png>\n<input name=user value=me><a href="1.png">t</a><script>1</script></body></html>'
     pages = spark.createDataFrame([(7, 1, "index.html", B, page, "http://h.example/d/page"), (8, 1, "index.html", B, None, "http://h.example/")], "page_id long, job_id long, source_path string, base_url string, html string, url string")
-    got = {r.page_id: r for r in rewrite.rewrite_html(html.elements(pages), pages, saved, policy="default-src 'self'", freeze_scripts=True).collect()}
+    got = {r.page_id: r for r in offline_pages.rewrite_html(html.elements(pages), pages, saved, policy="default-src 'self'", freeze_scripts=True).collect()}
     assert got[7].html == (
         "<html><head><meta http-equiv=\"Content-Security-Policy\" content=\"default-src 'self'\">\n<link rel=\"stylesheet\" href=\"assets/%C3%A9%20a.css\"></head><body>"
         '<img src="assets/%C3%A9%201.png" alt="ü"><img src=none.png>\n<input name="user"><a href="1.png">t</a><script type="application/x-disabled-script">1</script></body></html>'
@@ -83,3 +83,46 @@ def test_policies_of_pages(spark):
         1: ("adjusted", "default-src 'self'; img-src * 'self'; img-src x", [("default-src", ["'self'"], ["'none'"]), ("img-src", ["'self'"], [])]), 2: ("unchanged", "script-src-elem 'self'", []),
         3: ("empty-policy", "", []), 4: ("outside-head", "img-src 'none'", []), 5: ("report-only-unsupported", "img-src 'none'", []), 6: ("adjusted", "font-src a 'self'", [("font-src", ["'self'"], ["'NONE'"])]), 7: ("unchanged", "img-src 'none'", []),
     }
+
+
+def page_of(spark, saved, html_text, **options):
+    pages = spark.createDataFrame([(7, 1, "index.html", B, html_text, B)], "page_id long, job_id long, source_path string, base_url string, html string, url string")
+    return offline_pages.rewrite_html(html.elements(pages), pages, saved, **options).first()
+
+
+A = "assets/%C3%A9%20"
+
+
+def test_every_kind_of_reference_of_a_page(spark, saved):
+    page = (
+        '<style>p{background:url(1.png)} q{background:url(no.png)}</style><img srcset="1.png 1x, no.png 2x" src=/alias.png crossorigin integrity=x>'
+        '<p style="background:url(1.png);color:red">t</p><svg><image xlink:href="1.png"/><rect fill="url(1.png#a)" stroke="red"/><style>a{fill:url(1.png)}</style></svg>'
+        '<script>import("./m.js"); x("none.js")</script><textarea><img src="1.png"></textarea><template><img src="1.png"></template><a href="1.png">u</a>'
+    )
+    got = page_of(spark, saved, page)
+    assert got.html == (
+        f'<style>p{{background:url("{A}1.png")}} q{{background:url(no.png)}}</style><img srcset="{A}1.png 1x, no.png 2x" src="{A}1.png">'
+        f'<p style="background:url(&quot;{A}1.png&quot;);color:red">t</p><svg><image xlink:href="{A}1.png"/><rect fill="url(&quot;{A}1.png#a&quot;)" stroke="red"/><style>a{{fill:url("{A}1.png")}}</style></svg>'
+        f'<script>import("./{A}m.js"); x("none.js")</script><textarea><img src="1.png"></textarea><template><img src="1.png"></template><a href="1.png">u</a>'
+    )
+    assert (got.n_rewritten, got.n_unmapped, got.n_srcset, got.n_css, got.n_script) == (2, 0, 1, 4, 1)
+    again = page_of(spark, saved, got.html)
+    assert again.html == got.html
+
+
+def test_what_outranks_references(spark, saved):
+    call = 'navigator.serviceWorker.register("./m.js")'
+    page = f'<html><head><title>x</title></head><script>{call}; import("./m.js")</script><link rel="prefetch stylesheet" href="a.css"><img src="none.png" integrity=x><p style="background:url(none.png)">'
+    got = page_of(spark, saved, page, guard=True, policy="a", neutralise=True)
+    deny, guard = offline_pages.DENIED, offline_pages.GUARD
+    assert got.html == f'<html><head>{guard}<meta http-equiv="Content-Security-Policy" content="a"><title>x</title></head><script>{deny}; import("./{A}m.js")</script><img><p style="background:url(&quot;data:,&quot;)">'
+    frozen = page_of(spark, saved, f"<script>{call}; import('./m.js')</script>", guard=True, freeze_scripts=True)
+    assert frozen.html == f"{guard}<script type=\"{offline_pages.INERT_TYPE}\">{call}; import('./m.js')</script>" and frozen.n_script == 0
+    assert page_of(spark, saved, "").html == "" and page_of(spark, saved, None, policy="a").html == "" and page_of(spark, saved, "text", policy="a").html == "text"
+
+
+def test_spans_inside_others(spark):
+    spans = "array(struct(0 as start, 4 as stop, 'a' as new), struct(2 as start, 3 as stop, 'b' as new), struct(4 as start, 4 as stop, 'c' as new), struct(5 as start, 6 as stop, 'd' as new), struct(5 as start, 9 as stop, 'e' as new))"
+    df = spark.sql(f"select {spans} as s, '0123456789' as t, array() as none")
+    got = df.select(rewrite.outermost(F.col("s")).alias("o"), rewrite.applied(F.col("t"), rewrite.outermost(F.col("s"))).alias("r"), rewrite.applied(F.col("t"), rewrite.outermost(F.slice("s", F.lit(1), F.lit(0)))).alias("n")).first()
+    assert [s.new for s in got.o] == ["a", "c", "e"] and got.r == "ac4e9" and got.n == "0123456789"

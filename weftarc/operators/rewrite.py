@@ -1,8 +1,7 @@
 """References of texts replaced by archive paths: references join saved resources, spans are cut and filled.
 
 A reference row says where in a text it stands; the texts themselves are only touched at the end, where all of
-a text's spans are applied at once. Of the HTML, start tags with changed attributes are written anew, all other
-bytes stay.
+a text's spans are applied at once.
 """
 
 from __future__ import annotations
@@ -12,8 +11,6 @@ from pyspark.sql import functions as F
 
 from weftarc.functions.names import relative_path
 from weftarc.functions.urls import with_url
-from weftarc.operators.csp import POLICY_HEADERS
-from weftarc.operators.policy import is_executable_script, is_speculative_link, is_tracking_script, kept_attributes
 from weftarc.sources.text_scans import css_references, javascript_references, srcset_candidates
 
 NEUTRAL = "data:,"
@@ -56,6 +53,19 @@ def resolved(references: DataFrame, saved: DataFrame, neutralise: bool = False)
     return found.withColumn("status", status).withColumn("replacement", F.when(status == "rewritten", local).otherwise(neutral)).drop("__raw", "__u", "__path")
 
 
+def outermost(spans: Column) -> Column:
+    """Of sorted spans those that do not begin inside an earlier one; of two that begin together the longer, which comes last, stays."""
+    none = F.filter(spans, lambda s: F.lit(False))
+
+    def step(kept: Column, s: Column) -> Column:
+        last = F.element_at(kept, -1)
+        inside = (F.size(kept) > 0) & (s["start"] < last["stop"])
+        wider = (F.size(kept) > 0) & (s["start"] == last["start"]) & (s["stop"] > last["stop"]) & (last["stop"] > last["start"])
+        return F.when(wider, F.array_append(F.slice(kept, F.lit(1), F.size(kept) - 1), s)).when(inside, kept).otherwise(F.array_append(kept, s))
+
+    return F.aggregate(spans, none, step)
+
+
 def applied(text: Column, spans: Column) -> Column:
     """``text`` with each of the sorted, separate spans replaced by its new text."""
     before = F.transform(
@@ -87,11 +97,20 @@ def rewrite_css(texts: DataFrame, saved: DataFrame, neutralise: bool = False) ->
     return _rewritten(texts, refs, saved, F.concat(F.lit('url("'), F.col("replacement"), F.lit('")')), neutralise)
 
 
+def good_descriptor(d: Column) -> Column:
+    return d.isNull() | d.rlike(r"^0*[1-9][0-9]*w$") | d.rlike(r"^(?=.*[1-9])[0-9]*\.?[0-9]+x$")
+
+
 def rewrite_srcset(texts: DataFrame, saved: DataFrame, neutralise: bool = False) -> DataFrame:
     """The same of srcset values; layout and descriptors stay. Candidates with a bad descriptor are not touched."""
     refs = texts.select(*TEXT, F.explode(srcset_candidates("text")).alias("r")).select(*TEXT, "r.*")
-    good = F.col("descriptor").isNull() | F.col("descriptor").rlike(r"^0*[1-9][0-9]*w$") | F.col("descriptor").rlike(r"^(?=.*[1-9])[0-9]*\.?[0-9]+x$")
-    return _rewritten(texts, refs.filter(good), saved, F.col("replacement"), neutralise)
+    return _rewritten(texts, refs.filter(good_descriptor(F.col("descriptor"))), saved, F.col("replacement"), neutralise)
+
+
+def dotted(way: Column) -> Column:
+    """A relative way as scripts have it; a quote in it is written as %27, as it may stand between such."""
+    way = F.replace(way, F.lit("'"), F.lit("%27"))
+    return F.when(way.rlike(r"^\.\.?/"), way).otherwise(F.concat(F.lit("./"), way))
 
 
 def rewrite_javascript(texts: DataFrame, saved: DataFrame, document_path: str = "index.html") -> DataFrame:
@@ -101,58 +120,4 @@ def rewrite_javascript(texts: DataFrame, saved: DataFrame, document_path: str =
     """
     refs = texts.select(*TEXT, F.explode(javascript_references("text")).alias("r")).select(*TEXT, "r.*")
     refs = refs.withColumn("source_path", F.when(F.col("kind") == "json", F.lit(document_path)).otherwise(F.col("source_path")))
-    way = F.replace(F.col("replacement"), F.lit("'"), F.lit("%27"))  # it may stand between such quotes
-    dotted = F.when(way.rlike(r"^\.\.?/"), way).otherwise(F.concat(F.lit("./"), way))
-    return _rewritten(texts, refs, saved, dotted, False)
-
-
-def _quoted(value: str) -> str:
-    return value.replace("&", "&amp;").replace('"', "&quot;")
-
-
-def start_tag(tag: Column, attrs: Column) -> Column:
-    """A start tag written anew."""
-    quoted = lambda v: F.replace(F.replace(v, F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;"))
-    parts = F.transform(F.map_entries(attrs), lambda e: F.when(e["value"] == "", F.concat(F.lit(" "), e["key"])).otherwise(F.concat(F.lit(" "), e["key"], F.lit('="'), quoted(e["value"]), F.lit('"'))))
-    return F.concat(F.lit("<"), tag, F.array_join(parts, ""), F.lit(">"))
-
-
-DIRECT = ("src", "href", "poster", "xlink:href")
-
-
-def rewrite_html(found: DataFrame, pages: DataFrame, saved: DataFrame, policy: str | None = None, freeze_scripts: bool = False, neutralise: bool = False, freeze_tracking: bool = False) -> DataFrame:
-    """page_id, html, n_rewritten, n_unmapped of pages (page_id, job_id, source_path, base_url, html) with their elements.
-
-    Direct references, base elements (removed), speculative links (removed), secrets and form values (removed),
-    executable scripts (``freeze_scripts``: made inert; ``freeze_tracking``: only those that track), CSP metas (removed), and ``policy``, a new CSP, at the
-    head's start. Integrity and crossorigin go where the reference changed. srcset, style and script texts are
-    rewritten by their own functions.
-    """
-    found = found.drop("base_url")  # the pages' own is taken
-    info = pages.select("page_id", "job_id", "source_path", "base_url")
-    tag, attrs = F.col("tag"), F.col("attrs")
-    linked = tag.isin("link", "image", "use", "feimage", "mpath", "textpath", "pattern", "filter")
-    direct = F.array(*[F.when(attrs[k].isNotNull() & (F.lit(k).isin("src", "poster") | linked), F.struct(F.lit(k).alias("name"), attrs[k].alias("raw_url"))) for k in DIRECT])
-    refs = found.filter(~is_speculative_link(tag, attrs)).join(info, "page_id").select("page_id", "job_id", "source_path", "base_url", "element_no", F.explode(F.filter(direct, lambda d: d.isNotNull())).alias("d")).select("*", "d.*")
-    done = resolved(refs, saved, neutralise)
-    changes = done.groupBy("page_id", "element_no").agg(
-        F.map_from_entries(F.collect_list(F.when(F.col("replacement").isNotNull(), F.struct("name", "replacement")))).alias("changed"),
-        F.count_if(F.col("status") == "rewritten").alias("n_rewritten"), F.count_if(F.col("status") == "unmapped").alias("n_unmapped"),
-    )
-    rows = found.join(changes, ["page_id", "element_no"], "left")
-    none = F.create_map().cast("map<string, string>")
-    changed = F.coalesce("changed", none)
-    merged = F.map_from_entries(F.transform(F.map_entries(kept_attributes(attrs, tag)), lambda e: F.struct(e["key"].alias("key"), F.coalesce(F.try_element_at(changed, e["key"]), e["value"]).alias("value"))))
-    touched = F.size(changed) > 0
-    merged = F.when(touched, F.map_filter(merged, lambda k, _: ~k.isin("integrity", "crossorigin"))).otherwise(merged)
-    csp = (tag == "meta") & F.lower(F.trim(F.coalesce(attrs["http-equiv"], F.lit("")))).isin(*POLICY_HEADERS)
-    gone = (tag == "base") | is_speculative_link(tag, attrs) | csp
-    if freeze_scripts or freeze_tracking:
-        inert = F.map_concat(F.map_filter(merged, lambda k, _: k != "type"), F.create_map(F.lit("type"), F.lit("application/x-disabled-script")))
-        merged = F.when(is_executable_script(tag, attrs) if freeze_scripts else is_tracking_script(tag, attrs, F.col("text")), inert).otherwise(merged)
-    written_tag = F.when(F.map_entries(merged) != F.map_entries(attrs), start_tag(tag, merged))
-    install = F.lit("") if policy is None else F.when(tag == "head", F.lit(f'<meta http-equiv="Content-Security-Policy" content="{_quoted(policy)}">')).otherwise("")
-    new = F.when(gone, "").when(written_tag.isNotNull() | (install != ""), F.concat(F.coalesce(written_tag, start_tag(tag, attrs)), install))
-    per_page = rows.withColumn("new", new).groupBy("page_id").agg(_spans(), F.sum(F.coalesce("n_rewritten", F.lit(0))).alias("n_rewritten"), F.sum(F.coalesce("n_unmapped", F.lit(0))).alias("n_unmapped"))
-    joined = pages.select("page_id", F.coalesce("html", F.lit("")).alias("html")).join(per_page, "page_id", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
-    return joined.select("page_id", applied(F.col("html"), F.col("spans")).alias("html"), F.coalesce("n_rewritten", F.lit(0)).alias("n_rewritten"), F.coalesce("n_unmapped", F.lit(0)).alias("n_unmapped"))
+    return _rewritten(texts, refs, saved, dotted(F.col("replacement")), False)

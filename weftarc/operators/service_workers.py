@@ -81,7 +81,7 @@ _FOUND = pa.struct([("calls", pa.list_(pa.struct([("start", pa.int32()), ("stop"
 
 
 @F.arrow_udf(T.StructType([T.StructField("calls", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))), T.StructField("others", T.IntegerType()), T.StructField("broken", T.BooleanType())]))
-def _registrations(text: pa.Array) -> pa.Array:
+def registrations_of(text: pa.Array) -> pa.Array:
     return pa.array([registrations(t) for t in text.to_pylist()], _FOUND)
 
 
@@ -96,7 +96,7 @@ def judged(found: DataFrame) -> DataFrame:
     Status: rewritten, runtime-guard-only (external, or service workers named otherwise), no-registration, parse-error, ignored.
     """
     rows = found.withColumn("kind", F.when(F.col("tag") == "script", script_kind(F.col("attrs"))))
-    rows = rows.withColumn("__r", _registrations(F.when(F.col("kind").startswith("inline"), F.col("text"))))
+    rows = rows.withColumn("__r", registrations_of(F.when(F.col("kind").startswith("inline"), F.col("text"))))
     status = (
         F.when(F.col("kind") == "non-javascript", "ignored").when(F.col("kind") == "external", "runtime-guard-only").when(F.col("__r.broken"), "parse-error")
         .when(F.size("__r.calls") > 0, "rewritten").when(F.col("__r.others") > 0, "runtime-guard-only").when(F.col("kind").isNotNull(), "no-registration")

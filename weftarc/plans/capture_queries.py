@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weftarc.functions import names, privacy, text
 from weftarc.functions.tables import table, written
 from weftarc.functions.urls import with_url
-from weftarc.operators import archives, csp, discovery, evidence, fetch, jobs, policy, reports, rewrite, service_workers
+from weftarc.operators import archives, csp, discovery, evidence, fetch, jobs, offline_pages, policy, reports, rewrite, service_workers
 from weftarc.plans.web_queries import _RICH_HTML, _TARGETS, _derived, _evidence, _sql
 from weftarc.sources.html import elements
 
@@ -100,13 +100,13 @@ def rwr_script_payloads(spark, sf_dir):
     return rewrite.rewrite_javascript(texts, rewrite.lookup(_saved(spark, "https://s.example.com/a/", ".js", "lib/"))).drop("job_id")
 
 
-# a.png and s.css are saved; next links, posters, svg images, frames, analytics and embedded pages are not
-@query("SELECT page_id, page_id % 3 + page_id % 4 AS n_rewritten, 2 * (page_id % 3) + page_id % 5 + 2 * (page_id % 2) + page_id % 7 AS n_unmapped FROM pages")
+# a.png and s.css are saved; posters, svg images, frames, analytics and embedded pages are not; next links are no resources
+@query("SELECT page_id, page_id % 3 + page_id % 4 AS n_rewritten, page_id % 3 + page_id % 5 + 2 * (page_id % 2) + page_id % 7 AS n_unmapped FROM pages")
 def rwr_rich_pages(spark, sf_dir):
     """RWR-2, RWR-3: references of pages with resources, replaced where they were saved (pages derived from page ids)."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr(_RICH_HTML).alias("html"), F.lit(1).cast("long").alias("job_id"), F.lit("index.html").alias("source_path"), F.lit("https://h.example.com/").alias("base_url"))
     saved = spark.createDataFrame([(1, "https://h.example.com/a.png", None, "assets/a.png"), (1, "https://h.example.com/s.css", None, "css/s.css")], "job_id long, url string, aliases array<string>, path string")
-    return rewrite.rewrite_html(elements(pages), pages, rewrite.lookup(saved)).select("page_id", "n_rewritten", "n_unmapped")
+    return offline_pages.rewrite_html(elements(pages), pages, rewrite.lookup(saved)).select("page_id", "n_rewritten", "n_unmapped")
 
 
 @query("""
@@ -295,7 +295,7 @@ def rwr_tracking_scripts(spark, sf_dir):
     parts = ["'<html><body><script src=\"app.js\"></script>'", f"repeat('{_FROZEN[0][0]}', CAST(page_id % 3 AS INT))", f"repeat('{_FROZEN[1][0]}', CAST(page_id % 2 AS INT))", "'<script type=\"application/json\">hotjar</script></body></html>'"]
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr(f"concat({', '.join(parts)})").alias("html"), F.lit(1).cast("long").alias("job_id"), F.lit("index.html").alias("source_path"), F.col("url").alias("base_url"))
     saved = rewrite.lookup(spark.createDataFrame([], "job_id long, url string, aliases array<string>, path string"))
-    return rewrite.rewrite_html(elements(pages), pages, saved, freeze_tracking=True).select("page_id", "html")
+    return offline_pages.rewrite_html(elements(pages), pages, saved, freeze_tracking=True).select("page_id", "html")
 
 
 @query(f"""

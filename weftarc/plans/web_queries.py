@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from weftarc.functions import media, privacy, text
 from weftarc.functions.tables import table, written
 from weftarc.functions.urls import network_target, url_class, with_url
-from weftarc.operators import archives, discovery, evidence, fetch, jobs, paths, policy, reports, rewrite, store, timing
+from weftarc.operators import archives, discovery, evidence, fetch, jobs, offline_pages, paths, policy, reports, rewrite, store, timing
 from weftarc.sources.html import elements, metadata
 
 QUERIES: dict = {}
@@ -82,6 +82,37 @@ def src_page_metadata(spark, sf_dir):
     return rows.select("page_id", "title", F.col("u.href").alias("base_url"))
 
 
+#: The pages leave b open at a line's break: each later paragraph, and the footer, opens what is still open anew, three at most.
+@query(r"""
+WITH cut AS (
+  SELECT page_id, string_split(regexp_extract(html, '(?s)</h1>(.*)</article>', 1), '<p>')[2:] AS ps, len(regexp_extract_all(html, '<li>')) AS n_li FROM pages
+), ps AS (
+  SELECT page_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS k FROM cut
+), marked AS (
+  SELECT *, CASE WHEN starts_with(p, '<b>') THEN 1 ELSE 0 END AS own, CASE WHEN regexp_replace(p, '<[^>]*>', '', 'g') = '' THEN 0 ELSE 1 END AS said, len(regexp_extract_all(p, '<br>')) AS n_br FROM ps
+), opened AS (
+  SELECT *, least(3, coalesce(sum(own) OVER (PARTITION BY page_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS still FROM marked
+), counted AS (
+  SELECT page_id, count(*) AS n_p, sum(CASE WHEN own + still * greatest(own, said) > 0 THEN 1 ELSE 0 END) AS p_b, sum(greatest(own + still * greatest(own, said) - 1, 0)) AS b_b, sum(n_br) AS n_br, least(3, sum(own)) AS last
+  FROM opened GROUP BY page_id
+), all_counts AS (
+  SELECT page_id, unnest([
+    {'parent': '', 'tag': 'html', 'n': 1}, {'parent': 'html', 'tag': 'head', 'n': 1}, {'parent': 'html', 'tag': 'body', 'n': 1}, {'parent': 'head', 'tag': 'meta', 'n': 1}, {'parent': 'head', 'tag': 'title', 'n': 1},
+    {'parent': 'head', 'tag': 'style', 'n': 1}, {'parent': 'head', 'tag': 'script', 'n': 1}, {'parent': 'body', 'tag': 'nav', 'n': 1}, {'parent': 'nav', 'tag': 'ul', 'n': 1}, {'parent': 'ul', 'tag': 'li', 'n': n_li},
+    {'parent': 'li', 'tag': 'a', 'n': n_li}, {'parent': 'body', 'tag': 'div', 'n': 1}, {'parent': 'body', 'tag': 'article', 'n': 1}, {'parent': 'article', 'tag': 'h1', 'n': 1}, {'parent': 'article', 'tag': 'p', 'n': coalesce(n_p, 0)},
+    {'parent': 'p', 'tag': 'b', 'n': coalesce(p_b, 0)}, {'parent': 'b', 'tag': 'b', 'n': coalesce(b_b, 0) + greatest(coalesce(last, 0) - 1, 0)}, {'parent': 'b', 'tag': 'br', 'n': coalesce(n_br, 0)},
+    {'parent': 'body', 'tag': 'footer', 'n': 1}, {'parent': 'footer', 'tag': 'b', 'n': least(1, coalesce(last, 0))}]) AS c
+  FROM cut LEFT JOIN counted USING (page_id)
+)
+SELECT page_id, c.parent AS parent_tag, c.tag AS tag, c.n::BIGINT AS n FROM all_counts WHERE c.n > 0
+""")
+def src_element_parents(spark, sf_dir):
+    """SRC-1: elements of every page's tree by the element around them."""
+    found = _elements(spark, sf_dir).select("page_id", "element_no", "parent_no", "tag")
+    around = found.select("page_id", F.col("element_no").alias("parent_no"), F.col("tag").alias("parent_tag"))
+    return found.join(around, ["page_id", "parent_no"], "left").groupBy("page_id", F.coalesce("parent_tag", F.lit("")).alias("parent_tag"), "tag").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("""
 WITH links AS (
   SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS raw, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"', 1), 1) AS ordinal FROM pages
@@ -376,7 +407,37 @@ def rwr_offline_pages(spark, sf_dir):
     """RWR-2, RWR-3, RWR-7, RWR-9, RWR-11: every page made safe to open offline: policy installed, scripts inert."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html", F.lit(1).cast("long").alias("job_id"), F.lit("index.html").alias("source_path"), F.col("url").alias("base_url"))
     saved = rewrite.lookup(spark.createDataFrame([], "job_id long, url string, aliases array<string>, path string"))
-    return rewrite.rewrite_html(elements(pages), pages, saved, policy="default-src 'self'", freeze_scripts=True)
+    return offline_pages.rewrite_html(elements(pages), pages, saved, policy="default-src 'self'", freeze_scripts=True).select("page_id", "html", "n_rewritten", "n_unmapped")
+
+
+#: Each link of a page made into references of every kind; ways of capital letters are saved.
+_LINK = r'<a href="(/[^"]*)">'
+_LINKED = '<a style="background:url({0})" href="{0}"><img src="{0}" srcset="{0} 1x, /none 2x"><svg><image href="{0}" fill="url({0})"/></svg><style>a{{background:url({0})}}</style><script>fetch("{0}")</script><textarea><img src="{0}"></textarea>'
+_LINKED_SAVED = (
+    '<a style="background:url(&quot;assets{0}&quot;)" href="{0}"><img src="assets{0}" srcset="assets{0} 1x, /none 2x"><svg><image href="assets{0}" fill="url(&quot;assets{0}&quot;)"/></svg><style>a{{background:url("assets{0}")}}</style>'
+    '<script>fetch("./assets{0}")</script><textarea><img src="{0}"></textarea>'
+)
+
+
+def _in_sql(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+@query(f"""
+WITH derived AS (
+  SELECT page_id, regexp_replace(regexp_replace(html, '<a href="(/[A-Z][A-Za-z]*)">', {_in_sql(_LINKED_SAVED.format(chr(92) + "1"))}, 'g'), '{_LINK}', {_in_sql(_LINKED.format(chr(92) + "1"))}, 'g') AS html,
+         len(regexp_extract_all(html, '<a href="/[A-Z][A-Za-z]*">')) AS n, len(regexp_extract_all(html, '{_LINK}')) AS n_links FROM pages
+)
+SELECT page_id, replace(html, '<head>', '<head>' || {_in_sql(offline_pages.GUARD)} || '<meta http-equiv="Content-Security-Policy" content="default-src ''self''">') AS html,
+       2 * n AS n_rewritten, 2 * (n_links - n) AS n_unmapped, n AS n_srcset, 3 * n AS n_css, n AS n_script
+FROM derived
+""")
+def rwr_whole_pages(spark, sf_dir):
+    """RWR-1 to RWR-7, RWR-10: references of every kind in every page rewritten at once, with guard and policy (elements are put around the pages' own links)."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_replace("html", _LINK, _LINKED.format("$1")).alias("html"), F.col("page_id").alias("job_id"), F.lit("index.html").alias("source_path"), F.col("url").alias("base_url"))
+    ways = table(spark, sf_dir, "pages").select("page_id", "url", F.explode(F.array_distinct(F.expr("""regexp_extract_all(html, '<a href="(/[A-Z][A-Za-z]*)">', 1)"""))).alias("way"))
+    saved = ways.select(F.col("page_id").alias("job_id"), F.concat(F.regexp_extract("url", "^https?://[^/?#]*", 0), "way").alias("url"), F.lit(None).cast("array<string>").alias("aliases"), F.concat(F.lit("assets"), "way").alias("path"))
+    return offline_pages.rewrite_html(elements(pages), pages, rewrite.lookup(saved), policy="default-src 'self'", guard=True)
 
 
 # -- fetches

@@ -1,91 +1,43 @@
-"""Pages as elements: one small scan of each page's HTML; all else is done on the rows that it gives."""
+"""Pages as elements: the tree of each page's HTML as rows; all else is done on them."""
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
 from weftarc.functions.urls import with_url
+from weftarc.sources.html_tree import nodes
 
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_KIND = pa.list_(pa.struct([("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("in_svg", pa.bool_()), ("start", pa.int32()), ("stop", pa.int32())]))
-
-
-class _Scan(HTMLParser):
-    """Elements in document order; the text inside title, style and script; whether an svg element is around; where each start tag stands."""
-
-    def __init__(self, html: str):
-        super().__init__(convert_charrefs=True)
-        self.lines = [0]
-        for line in html.split("\n"):
-            self.lines.append(self.lines[-1] + len(line) + 1)
-        self.found: list[dict] = []
-        self.svg, self.open = 0, None
-
-    def place(self) -> int:
-        line, column = self.getpos()
-        return self.lines[line - 1] + column
-
-    def handle_starttag(self, tag, attrs):
-        once: dict = {}
-        for k, v in attrs:  # of an attribute that is given twice, the first counts
-            once.setdefault(k, v or "")
-        self.svg += tag == "svg"
-        self.found.append({"tag": tag, "attrs": list(once.items()), "text": None, "in_svg": self.svg > 0, "start": self.place(), "stop": self.place() + len(self.get_starttag_text())})
-        if tag in ("title", "style", "script"):
-            self.open = self.found[-1]
-            self.open["text"] = ""
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self.handle_endtag(tag)
-
-    def handle_endtag(self, tag):
-        self.svg -= tag == "svg" and self.svg > 0
-        if self.open is not None and tag == self.open["tag"]:
-            self.open = None
-
-    def handle_data(self, data):
-        if self.open is not None:
-            self.open["text"] += data
-
-
-def scan(html: str | None) -> list[dict]:
-    parser = _Scan(html or "")
-    parser.feed(html or "")
-    parser.close()
-    return parser.found
-
-
-ELEMENTS = T.ArrayType(
-    T.StructType([T.StructField("tag", T.StringType()), T.StructField("attrs", T.MapType(T.StringType(), T.StringType())), T.StructField("text", T.StringType()), T.StructField("in_svg", T.BooleanType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])
-)
+_NUMBERS = ("start", "stop", "parent_no", "template_no", "depth", "text_start", "text_stop")
+_KIND = pa.list_(pa.struct([("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("in_svg", pa.bool_()), *[(n, pa.int32()) for n in _NUMBERS], ("closed", pa.bool_())]))
 
 
-@F.arrow_udf(ELEMENTS)
+@F.arrow_udf(from_arrow_type(_KIND))
 def elements_of(html: pa.Array) -> pa.Array:
-    return pa.array([scan(h) for h in html.to_pylist()], _KIND)
+    return pa.array([nodes(h or "") if h else [] for h in html.to_pylist()], _KIND)
 
 
 # Else Spark would scan a page twice: once for its base, once for its elements.
 elements_of = elements_of.asNondeterministic()
 
 
-def elements(pages: DataFrame) -> DataFrame:
-    """page_id, url, base_url, element_no (from 1), tag, attrs, text, in_svg, start and stop (of the start tag, in characters).
+def elements(pages: DataFrame, templates: bool = False) -> DataFrame:
+    """page_id, url, base_url, element_no (from 1, in the order of the tree), tag, attrs, text, in_svg, start and stop (of the start tag, in
+    characters), parent_no (0: the document), template_no, depth, text_start and text_stop (where ``text`` stands), closed (a tag that ends with />).
 
-    A row for each element of ``pages`` (page_id, url, html). base_url: of the first usable base element, else the page's URL;
-    every element carries it, so that nothing has to be joined or scanned again for it.
+    A row for each element of ``pages`` (page_id, url, html). Elements without a tag in the page have no start: html, head, body and
+    tbody where they are left out, and what comes again after a formatting element was closed across others. What is in a template
+    is no part of the document; with ``templates`` it comes too, and template_no says in which. text is that of title,
+    style and script. base_url: of the first usable base element, else the page's URL; every element carries it, so that
+    nothing has to be joined or scanned again for it. A null or empty page has no elements.
     """
     scanned = pages.select("page_id", "url", elements_of("html").alias("found"))
-    based = F.filter("found", lambda e: (e["tag"] == "base") & e["attrs"]["href"].isNotNull())
+    based = F.filter("found", lambda e: (e["tag"] == "base") & (e["template_no"] == 0) & e["attrs"]["href"].isNotNull())
     scanned = with_url(scanned.withColumn("href", F.get(based, F.lit(0))["attrs"]["href"]), "href", "b", "url").withColumn("base_url", F.coalesce("b.href", "url"))
-    return scanned.select("page_id", "url", "base_url", F.posexplode("found").alias("at", "e")).select("page_id", "url", "base_url", (F.col("at") + 1).alias("element_no"), "e.*")
+    rows = scanned.select("page_id", "url", "base_url", F.posexplode("found").alias("at", "e")).select("page_id", "url", "base_url", (F.col("at") + 1).alias("element_no"), "e.*")
+    return rows if templates else rows.filter("template_no = 0")
 
 
 def metadata(found: DataFrame) -> DataFrame:
