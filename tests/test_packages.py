@@ -1,7 +1,12 @@
+import hashlib
+import io
+import json
+import zipfile
+
 import pytest
 from pyspark.sql import functions as F
 
-from weftarc.operators import archives, evidence, fetch, jobs
+from weftarc.operators import archives, evidence, fetch, jobs, packages, zip_archives
 
 
 def test_runtime_plan(spark):
@@ -46,3 +51,44 @@ def test_summaries_and_settings(spark):
     rows = [(1, 0, 6, 2, None), (2, 30001, 0, None, "a/b"), (3, 1, 12, 10, "ok.zip"), (4, 1, 1, 0, "bad.")]
     faults = {(r.job_id, r.fault) for r in jobs.settings_faults(spark.createDataFrame(rows, "job_id long, render_wait_ms int, concurrency int, max_retries int, file_name string")).collect()}
     assert faults == {(2, "render_wait_ms"), (2, "concurrency"), (2, "max_retries"), (2, "file_name"), (4, "file_name")}
+
+
+def captured(spark):
+    entries = spark.createDataFrame([(1, "index.html", b"<p>"), (1, "assets/a.png", b"yy"), (2, "index.html", b"x")], "job_id long, path string, data binary")
+    rows = [
+        (1, "saved", "https://h.example/?token=1", None, None, "index.html", "document", "text/html", 200, 3, None, None), (1, "saved", "https://h.example/a.png", "https://H.example/b.png", None, "assets/a.png", "image", None, 200, 2, None, None),
+        (1, "failed", "https://h.example/z", None, None, None, "image", None, 404, None, None, "http-status"), (1, "skipped", "data:,x", None, None, None, "other", None, None, None, None, None),
+        (2, "saved", "https://h.example/2", None, None, "index.html", "document", None, 200, 9, None, None),
+    ]
+    records = spark.createDataFrame(rows, "job_id long, state string, original_url string, final_url string, referrer_url string, path string, type string, mime_type string, http_status int, bytes long, sha256 string, error string")
+    jobs_ = [(j, "https://h.example/", "https://h.example/", "page", "static", 0) for j in (1, 2, 3)]
+    captures = spark.createDataFrame(jobs_, "job_id long, start_url string, final_url string, mode string, capture_profile string, pages_captured long").withColumn("captured_at", F.timestamp_seconds(F.lit(86400)))
+    return captures, records, entries, spark.createDataFrame([], "job_id long, source_path string, value string"), spark.createDataFrame([(1, "https://h.example/z?sid=4")], "job_id long, url string")
+
+
+def test_archives_hold_their_manifests(spark):
+    given = captured(spark)
+    first, again = ({(r.job_id, r.part): bytes(r.archive) for r in zip_archives.cells(packages.package(*x)).collect()} for x in (given, [d.repartition(3) for d in given]))
+    assert first == again and sorted(first) == [(1, 0)]  # the bytes of job 2 are not what its record says; job 3 has no entries
+    files = zipfile.ZipFile(io.BytesIO(first[1, 0]))
+    assert files.namelist() == ["assets/a.png", "index.html", *sorted((packages.ARCHIVE, packages.FAILURES, packages.NOTE, packages.URLS, packages.REPORT, packages.RESOURCES))]
+    said = {n: json.loads(files.read(n)) for n in (packages.ARCHIVE, packages.RESOURCES, packages.FAILURES, packages.URLS)}
+    assert said[packages.ARCHIVE] == {
+        "version": 1, "captured_at": "1970-01-02T00:00:00.000Z", "start_url": "https://h.example/", "final_url": "https://h.example/", "mode": "page", "capture_profile": "static", "pages": 1, "resources": 2,
+        "failed_resources": 1, "online_dependencies": ["https://h.example/z?sid=REDACTED"],
+    }
+    kept = said[packages.RESOURCES]
+    assert kept["total_bytes"] == 5 and [(r["path"], r["original_url"], r["bytes"], r["sha256"]) for r in kept["resources"]] == [
+        ("assets/a.png", "https://h.example/a.png", 2, hashlib.sha256(b"yy").hexdigest()), ("index.html", "https://h.example/?token=REDACTED", 3, hashlib.sha256(b"<p>").hexdigest()),
+    ]
+    assert [f["error"] for f in said[packages.FAILURES]["failures"]] == ["http-status"] and [f["original_url"] for f in said[packages.FAILURES]["skipped"]] == ["data:REDACTED"]
+    assert [(r["final_url"], r["path"]) for r in said[packages.URLS]["resources"]] == [("https://h.example/?token=REDACTED", "index.html"), ("https://h.example/b.png", "assets/a.png")]
+    assert b"https://h.example/z" in files.read(packages.REPORT) and files.testzip() is None
+
+
+def test_nothing_lies_in_the_way_of_manifests(spark):
+    captures, records, entries, references, dependencies = captured(spark)
+    bad = entries.unionByName(spark.createDataFrame([(3, packages.ARCHIVE, b"{}")], entries.schema))
+    more = spark.createDataFrame([(3, "saved", "https://h.example/3", None, None, packages.ARCHIVE, "data", None, 200, 2, None, None)], records.schema)
+    with pytest.raises(Exception, match="in the way"):
+        packages.package(captures, records.unionByName(more), bad, references, dependencies).collect()

@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftarc.functions.names import is_archive_path
 from weftarc.functions.privacy import diagnostic_url, redacted_url
 from weftarc.functions.urls import with_url
+from weftarc.operators import zip_archives
 from weftarc.operators.discovery import SVG_TAGS, resource_attributes
 from weftarc.sources.html import attribute, elements
 from weftarc.sources.text_scans import css_references, srcset_candidates
 
 CHUNK_BYTES = 192 * 1024
-#: Bytes of the entries of one ZIP file.
+#: Bytes of the entries of one ZIP file that is a single value.
 PART_BYTES = 64 << 20
 AUDIT_KINDS = ("local-present", "local-missing", "external", "extension", "embedded", "fragment", "unsupported", "invalid")
 BLOCKING = ("local-missing", "external", "extension", "unsupported", "invalid")
@@ -215,36 +212,16 @@ def zipped(entries: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """job_id, part, archive (binary) of entries (job_id, path, data): sorted, with fixed times, so equal entries give equal bytes.
 
     A job of more than ``part_bytes`` has as many archives as it needs, its paths dealt over them by a hash, so that
-    no task and no cell holds more; the archives of a job together have all its entries.
+    no cell holds more; the archives of a job together have all its entries. ``zip_archives.pieces`` has no such bound.
     """
-    size = F.sum(F.octet_length("data") + F.octet_length("path"))
-    parts = entries.groupBy("job_id").agg(F.greatest(F.ceil(size / part_bytes), F.lit(1)).cast("int").alias("parts"))
-
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        sink = io.BytesIO()
-        with zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED, compresslevel=6) as z:
-            for path, data in sorted(zip(rows["path"], rows["data"], strict=True)):
-                z.writestr(zipfile.ZipInfo(path, (1980, 1, 1, 0, 0, 0)), bytes(data), zipfile.ZIP_DEFLATED, 6)
-        return pd.DataFrame({"job_id": [rows["job_id"].iloc[0]], "part": [rows["part"].iloc[0]], "archive": [sink.getvalue()]})
-
-    dealt = entries.select("job_id", "path", "data").join(parts, "job_id").withColumn("part", F.pmod(F.xxhash64("path"), F.col("parts")).cast("int"))
-    return dealt.drop("parts").groupBy("job_id", "part").applyInPandas(pack, "job_id long, part int, archive binary")
+    return zip_archives.cells(zip_archives.pieces(entries, part_bytes))
 
 
 def unzipped(archives: DataFrame) -> DataFrame:
-    """job_id, path, data, crc32 of archives (job_id, archive); a path that comes twice is an error."""
-
-    def unpack(batches):
-        for rows in batches:
-            for job, archive in zip(rows["job_id"], rows["archive"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(bytes(archive))) as z:
-                    names = sorted(i.filename for i in z.infolist())
-                    if len(set(names)) < len(names):
-                        raise ValueError(f"archive {job} has a path twice")
-                    for name in names:
-                        yield pd.DataFrame({"job_id": [job], "path": [name], "data": [z.read(name)], "crc32": [z.getinfo(name).CRC]})
-
-    return archives.mapInPandas(unpack, "job_id long, path string, data binary, crc32 long")
+    """job_id, path, data, crc32 of archives (job_id, part, archive); an archive that is not sound is an error."""
+    found = zip_archives.entries_of(zip_archives.blocks(archives))
+    wrong = F.raise_error(F.concat(F.lit("archive "), F.col("job_id").cast("string"), F.lit(": "), F.col("fault"), F.lit(" "), F.coalesce("path", F.lit(""))))
+    return found.select("job_id", F.when(F.col("fault").isNotNull(), wrong).otherwise(F.col("path")).alias("path"), "data", "crc32")
 
 
 def verified(entries: DataFrame, records: DataFrame) -> DataFrame:
@@ -288,10 +265,14 @@ def gated(summaries: DataFrame) -> DataFrame:
     return summaries.withColumn("passed", F.when(F.col("passed"), True).otherwise(failed))
 
 
-def packaged(records: DataFrame, entries: DataFrame, references: DataFrame) -> DataFrame:
-    """job_id, archive of jobs whose entries agree with their records and whose offline audit passes; other jobs have no row."""
+def sound_jobs(records: DataFrame, entries: DataFrame, references: DataFrame) -> DataFrame:
+    """job_id of jobs whose entries agree with their records and whose offline audit passes."""
     bad = with_hashes(records, entries).filter("fault is not null").select("job_id")
     passed = audit_summary(audited(references, entries)).filter("passed").select("job_id")
     unreferenced = entries.select("job_id").distinct().join(references.select("job_id").distinct(), "job_id", "left_anti")
-    good = passed.unionByName(unreferenced).join(bad, "job_id", "left_anti")
-    return zipped(entries.join(good, "job_id", "left_semi"))
+    return passed.unionByName(unreferenced).join(bad, "job_id", "left_anti")
+
+
+def packaged(records: DataFrame, entries: DataFrame, references: DataFrame) -> DataFrame:
+    """job_id, part, archive of jobs that are sound, their entries alone; other jobs have no row. ``packages.package`` adds manifests."""
+    return zipped(entries.join(sound_jobs(records, entries, references), "job_id", "left_semi"))

@@ -5,12 +5,14 @@ As in ``web_queries``, columns that no table has are derived from ids by express
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from weftarc.functions import names, privacy, text
 from weftarc.functions.tables import table, written
 from weftarc.functions.urls import with_url
-from weftarc.operators import archives, csp, discovery, evidence, fetch, jobs, offline_pages, policy, reports, rewrite, service_workers
+from weftarc.operators import archives, csp, discovery, evidence, fetch, jobs, offline_pages, packages, policy, reports, rewrite, service_workers, zip_archives
 from weftarc.plans.web_queries import _RICH_HTML, _TARGETS, _derived, _evidence, _sql
 from weftarc.sources.html import elements
 
@@ -131,6 +133,89 @@ def snk_packaged_jobs(spark, sf_dir):
     return archives.unzipped(archives.packaged(records, entries, references)).select("job_id", "path", F.octet_length("data").cast("long").alias("bytes"))
 
 
+_CAPTURED = {
+    "job_id": "page_id % 17",
+    "state": "CASE page_id % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'skipped' ELSE 'saved' END",
+    "original_url": "concat('https://h.example.com/p', CAST(page_id AS STRING), '?token=1')",
+    "final_url": "CASE WHEN page_id % 3 = 0 THEN concat('https://h.example.com/f', CAST(page_id AS STRING)) END",
+    "referrer_url": "'https://h.example.com/'",
+    "path": "CASE WHEN page_id % 5 > 1 THEN concat('pages/', CAST(page_id AS STRING), '.html') END",
+    "type": "'document'",
+    "mime_type": "'text/html'",
+    "http_status": "CASE WHEN page_id % 5 = 0 THEN 404 ELSE 200 END",
+    "error": "CASE WHEN page_id % 5 = 0 THEN 'http-status' END",
+}
+# what is read back from the archives: a row for each line of each manifest, and for each other entry
+@query(f"""
+WITH r AS (SELECT {_sql(_CAPTURED)}, html, strlen(html) AS bytes, sha256(html) AS sha256, replace(original_url, '=1', '=REDACTED') AS shown FROM pages), t AS (
+  SELECT job_id, count(*) FILTER (state = 'saved') AS saved, count(*) FILTER (state = 'failed') AS failed, coalesce(sum(bytes) FILTER (state = 'saved'), 0)::BIGINT AS total FROM r GROUP BY job_id
+)
+SELECT job_id, 'resources' AS manifest, path, shown AS url, bytes, sha256 FROM r WHERE state = 'saved'
+UNION ALL SELECT job_id, CASE state WHEN 'failed' THEN 'failures' ELSE 'skipped' END, NULL, shown, bytes, NULL FROM r WHERE state <> 'saved'
+UNION ALL SELECT job_id, 'original-urls', path, coalesce(final_url, shown), NULL, NULL FROM r WHERE state = 'saved'
+UNION ALL SELECT job_id, 'total', NULL, NULL, total, NULL FROM t
+UNION ALL SELECT job_id, 'archive', NULL, 'https://h.example.com/', saved * 1000 + failed, NULL FROM t
+UNION ALL SELECT job_id, 'entry', path, NULL, bytes, sha256 FROM r WHERE state = 'saved'
+UNION ALL SELECT job_id, 'entry', 'metadata/README.md', NULL, {len(packages.NOTE_TEXT)}, '{hashlib.sha256(packages.NOTE_TEXT.encode()).hexdigest()}' FROM t
+""")
+def snk_manifest_packages(spark, sf_dir):
+    """SNK-7, SNK-1, SNK-3, SNK-5, SNK-6, SRC-5, SRC-6, AUD-3: archives with their manifests, written as pieces and read back by ranges (jobs derived from page ids)."""
+    pages = table(spark, sf_dir, "pages")
+    records = pages.selectExpr(*[f"{e} AS {c}" for c, e in _CAPTURED.items()], "CAST(octet_length(html) AS BIGINT) AS bytes", "CAST(NULL AS STRING) AS sha256")
+    entries = pages.filter("page_id % 5 > 1").select((F.col("page_id") % 17).alias("job_id"), F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.encode("html", "UTF-8").alias("data"))
+    start = F.lit("https://h.example.com/")
+    captures = records.select("job_id").distinct().select("job_id", F.timestamp_seconds(F.lit(0)).alias("captured_at"), start.alias("start_url"), start.alias("final_url"), F.lit("page").alias("mode"), F.lit("static").alias("capture_profile"), F.lit(1).cast("long").alias("pages_captured"))
+    references = entries.select("job_id", F.col("path").alias("source_path"), F.lit("#top").alias("value"))
+    pieces = packages.package(captures, records, entries, references, captures.select("job_id", F.col("start_url").alias("url")))
+    found = written(zip_archives.entries_of(zip_archives.blocks_of_pieces(pieces)), "read-back")
+    lines = "array<struct<path: string, original_url: string, final_url: string, bytes: long, sha256: string>>"
+    shape = f"total_bytes long, resources {lines}, failures {lines}, skipped {lines}, start_url string, failed_resources long"
+    name, content = F.regexp_extract("path", r"^metadata/([a-z-]+)\.json$", 1), F.from_json(F.decode("data", "UTF-8"), shape)
+    read = found.select("job_id", name.alias("name"), F.when(name.isin("resources", "failures", "original-urls"), content).alias("m"), F.when(name == "archive", F.from_json(F.decode("data", "UTF-8"), "start_url string, resources long, failed_resources long")).alias("a"), "path", "data")
+    row = lambda manifest, path, url, n, sha: F.struct(manifest.alias("manifest"), path.cast("string").alias("path"), url.cast("string").alias("url"), n.cast("long").alias("bytes"), sha.cast("string").alias("sha256"))
+    none, m = F.lit(None), F.col("m")
+    listed = lambda kind, of: F.transform(F.coalesce(of, F.array().cast(lines)), lambda r: row(F.lit(kind), r["path"], r["original_url"], r["bytes"], r["sha256"]))
+    rows = (
+        F.when(name == "resources", F.array_append(listed("resources", m["resources"]), row(F.lit("total"), none, none, m["total_bytes"], none)))
+        .when(name == "failures", F.concat(listed("failures", m["failures"]), listed("skipped", m["skipped"])))
+        .when(name == "original-urls", F.transform(m["resources"], lambda r: row(F.lit("original-urls"), r["path"], r["final_url"], none, none)))
+        .when(name == "archive", F.array(row(F.lit("archive"), none, F.col("a.start_url"), F.col("a.resources") * 1000 + F.col("a.failed_resources"), none)))
+        .when(F.col("path") != packages.REPORT, F.array(row(F.lit("entry"), F.col("path"), none, F.octet_length("data"), F.sha2("data", 256))))
+    )
+    return read.select("job_id", F.inline(rows))
+
+
+# a fault put into every archive by its id, at places that do not depend on what is in it
+_BROKEN = {
+    1: ("several-disks", "overlay(archive placing unhex('0100') from octet_length(archive) - 17 for 2)"),
+    2: ("zip64", "overlay(archive placing unhex('FFFF') from octet_length(archive) - 11 for 2)"),
+    3: ("directory-place", "overlay(archive placing unhex('01000000') from octet_length(archive) - 9 for 4)"),
+    4: ("headers-differ", "overlay(archive placing unhex('00000000') from 15 for 4)"),
+    5: ("no-end-record", "substring(archive, 1, octet_length(archive) - 1)"),
+    6: ("gap", "concat(substring(archive, 1, listed_at + 42), unhex('01000000'), substring(archive, listed_at + 47, octet_length(archive)))"),
+    7: ("method", "concat(substring(archive, 1, listed_at + 10), unhex('0C00'), substring(archive, listed_at + 13, octet_length(archive)))"),
+    8: ("flags", "concat(substring(archive, 1, listed_at + 8), unhex('0100'), substring(archive, listed_at + 11, octet_length(archive)))"),
+    9: ("path", "concat(substring(archive, 1, listed_at + 46), unhex('FF'), substring(archive, listed_at + 48, octet_length(archive)))"),
+    10: ("directory", "concat(substring(archive, 1, listed_at), unhex('00'), substring(archive, listed_at + 2, octet_length(archive)))"),
+}
+
+
+@query(f"""
+WITH f AS (SELECT page_id AS job_id, CASE page_id % 12 {' '.join(f"WHEN {k} THEN '{n}'" for k, (n, _) in _BROKEN.items())} END AS fault, strlen(html) AS n FROM pages)
+SELECT job_id, CASE WHEN fault IN ('several-disks', 'zip64', 'directory-place', 'no-end-record', 'directory', 'path') THEN NULL ELSE 'a.html' END AS path, fault, CASE WHEN fault IS NULL THEN n END AS bytes FROM f
+UNION ALL SELECT job_id, 'b.txt', NULL, 3 FROM f WHERE fault IS NULL OR fault NOT IN ('several-disks', 'zip64', 'directory-place', 'no-end-record', 'directory')
+""")
+def src_broken_archives(spark, sf_dir):
+    """SRC-6: archives of every page's text, broken in ten ways by page id, read by ranges: a row for each entry, or for an archive that cannot be read."""
+    pages = table(spark, sf_dir, "pages")
+    made = F.array(F.struct(F.lit("a.html").alias("path"), F.encode("html", "UTF-8").alias("data")), F.struct(F.lit("b.txt").alias("path"), F.lit(b"txt").alias("data")))
+    whole = zip_archives.cells(zip_archives.pieces(pages.select(F.col("page_id").alias("job_id"), F.inline(made))))
+    listed_at = whole.withColumn("listed_at", zip_archives.number_at(F.substring("archive", F.octet_length("archive") - 21, F.lit(22)), 16, 4).cast("int"))
+    broken = "CASE job_id % 12 " + " ".join(f"WHEN {k} THEN {e}" for k, (_, e) in _BROKEN.items()) + " ELSE archive END"
+    found = zip_archives.entries_of(zip_archives.blocks(listed_at.select("job_id", "part", F.expr(broken).alias("archive")), 4096), 4096)
+    return found.select("job_id", "path", "fault", F.octet_length("data").cast("long").alias("bytes"))
+
+
 _PLANNED = {
     "job_id": "o_custkey",
     "id": "CAST(o_orderkey AS STRING)",
