@@ -1,7 +1,7 @@
 import pytest
 
 from weftarc.operators import discovery
-from weftarc.sources import html, text_scans
+from weftarc.sources import css_tokens, html, script_tokens, text_scans
 
 PAGE = """<html><head><title> A
  b</title><base href="/base/x"><link rel="stylesheet" href="a.css"><link rel="canonical" href="no.css"><style>@import "i.css"; @font-face{src:url(f.woff2) format("woff2"), url('g.ttf')} p{background:url( "bg\\69.png" )}</style></head>
@@ -58,8 +58,8 @@ def test_srcset(value, want):
 
 
 def test_styles_that_are_broken_or_only_declarations():
-    assert [c["raw_url"] for c in text_scans.css("color:red;background:url(x.png)")] == ["x.png"]
-    assert text_scans.css("/* url(no.png) */ p { color: red") == [] and text_scans.css(None) == []
+    assert [c["raw_url"] for c in css_tokens.references("color:red;background:url(x.png)")] == ["x.png"]
+    assert css_tokens.references("/* url(no.png) */ p { color: red") == [] and css_tokens.references(None) == []
 
 
 def test_strings_of_scripts():
@@ -72,3 +72,63 @@ def test_strings_of_scripts():
     ]
     assert found(r"import('\ud83d\ude00'); fetch('\ud83d')") == [("module", "😀", r"\ud83d\ude00"), ("load", "�", r"\ud83d")]
     assert text_scans.javascript(None) == [] and text_scans.javascript("") == []
+
+
+def urls_of(sheet):
+    return [(r["kind"], r["property"], r["raw_url"], r["format"]) for r in css_tokens.references(sheet)]
+
+
+@pytest.mark.parametrize(
+    "sheet, want",
+    [
+        (r"p{background:\75rl(a.png)} q{cursor:u\52 l( 'b.cur' )}", [("url", "background", "a.png", None), ("url", "cursor", "b.cur", None)]),
+        ('@import "./t.css" screen; @import url(u.css); @IMPORT  url("v.css") layer(x);', [("import", None, "./t.css", None), ("import", None, "u.css", None), ("import", None, "v.css", None)]),
+        ('@import layer(x) "no.css"; @import;', []),
+        (
+            "@font-face{font-family:A;src:url('a.woff2') format(\"woff2\"), url(a.woff) format(woff), url(a.ttf), local(x) format(no)}",
+            [("font-face", "src", "a.woff2", "woff2"), ("font-face", "src", "a.woff", "woff"), ("font-face", "src", "a.ttf", None)],
+        ),
+        ("@media x{@font-face{src:url(a) tech(b) format(c)}} p{src:url(d) format(e)}", [("font-face", "src", "a", "c"), ("url", "src", "d", None)]),
+        ("@supports (background:url(no.png)){p{background:url(yes.png)}} @namespace url(no); @document url(no){a{b:url(yes2)}}", [("url", "background", "yes.png", None), ("url", "b", "yes2", None)]),
+        ("a{color:red;&:hover{background:url(n1)} .b & {mask:image-set(url(n2) 1x, 'n3' 2x)} border-image:url(n4)}", [("url", "background", "n1", None), ("url", "mask", "n2", None), ("url", "border-image", "n4", None)]),
+        ("p{--a:{x:url(c1)}; --B: url(c2)}", [("url", "--a", "c1", None), ("url", "--B", "c2", None)]),
+        ("p{content:'unended\n;background:url(after.png)}", [("url", "background", "after.png", None)]),
+        ("p{background:url(b ad.png);color:url(ok)} q{a:url(x'y);b:url(ok2)}", [("url", "color", "ok", None), ("url", "b", "ok2", None)]),
+        ('@import url("unterminated); .broken { background: url(', []),
+        ("p{background:url(", []), ("p{background:url('a'", []), ("p{background:url( )} q{a:url('')}", []),
+        ("/* url(no) p{ */p{a:url(/**/x)}", [("url", "a", "/**/x", None)]),
+        ("a[href='url(no)']:not(url(no)){b:c} a:b{c:url(d)}", [("url", "c", "d", None)]),
+        ("<!-- p{a:url(b)} -->", [("url", "a", "b", None)]), ("}p{a:url(b)}}q{c:url(d)}", [("url", "a", "b", None), ("url", "c", "d", None)]),
+        ("p{width:2url(no);a:#url(no);b:myurl(no);background:URL(y)}", [("url", "background", "y", None)]),
+        (r"p{a:url(a\)b);c:url('\26 \"x\
+y')}", [("url", "a", "a)b", None), ("url", "c", '&"xy', None)]),
+        ("fill: url(a.svg#x)", [("url", "fill", "a.svg#x", None)]), ("color:red;;background:url(b.png", []), ("p{a:b;{}c:url(d)}", [("url", "c", "d", None)]),
+    ],
+)
+def test_css_by_its_syntax(sheet, want):
+    assert urls_of(sheet) == want
+    assert all(sheet[r["start"] : r["stop"]].endswith((")", '"', "'")) for r in css_tokens.references(sheet))
+
+
+@pytest.mark.parametrize(
+    "script, want",
+    [
+        ('const r=/"/; import("./a.js")', [("module", "./a.js")]), ("a = b / c; d = '/x.js' / 2", [("literal", "/x.js")]), ("if (x) /'/.test(y); fetch('u')", [("load", "u")]),
+        ("x = `${ f(`/in.js`) }/no.js`; y = `/yes.js`", [("literal", "/in.js"), ("literal", "/yes.js")]), ("x = {}\n/ 'a' / fetch('q')", [("load", "q")]), ("{} /'/; import 'm'", [("module", "m")]),
+        ("return /[/\"]/g.exec('./z.css')", [("literal", "./z.css")]), ("a++ / '/n.js' / b", [("literal", "/n.js")]), ("x = a ? /'/ : /\"/; new Worker('w')", [("load", "w")]),
+        ("import x from './c.js'; export {y} from \"./d.js\"; export * from './e.js'", [("module", "./c.js"), ("module", "./d.js"), ("module", "./e.js")]),
+        ("window.fetch('nothing'); o.import('nope'); JSON.parse('[\"/j.js\"]'); fetch(`t.json`)", [("json", "/j.js"), ("load", "t.json")]),
+        ("// '/a.js'\n/* '/b.js' */ <!-- '/c.js'\nf('/d.js')", [("literal", "/d.js")]), ("#!/usr/bin '/no.js'\nf('/d.js')", [("literal", "/d.js")]),
+        ("class A { #p = /'/; m() { return this.#p / 2 } } f('/e.js')", [("literal", "/e.js")]), ("switch (a) { case 1: { } /'/.x; default: f('/f.js') }", [("literal", "/f.js")]),
+        ("function { invalid '/no.js'", []), ("f('/no.js'", []), ("x = 'unended\n; f('/no.js')", []), ("x = `unended ${ '/no.js'", []), ("f('/no.js')]", []), ("", []),
+        ("const deps = [\"./chunks/home.js\", \"ordinary copy\", \"\", \".\", \"/about\"]; const page = import(`./chunks/home.js`);", [("literal", "./chunks/home.js"), ("module", "./chunks/home.js")]),
+        ("new URL('../m.wasm#x', import.meta.url)", [("load", "../m.wasm#x")]), ("x = y.return / 'a' / '/g.js'", [("literal", "/g.js")]), ("while (a) /}/.test(b)", []),
+    ],
+)
+def test_scripts_by_their_tokens(script, want):
+    assert [(r["kind"], r["raw_url"]) for r in text_scans.javascript(script)] == want
+
+
+def test_tokens_of_long_and_deep_scripts():
+    assert len(script_tokens.tokens("a(" * 5000 + ")" * 5000)) == 15_000 and script_tokens.tokens("`${" * 3000) is None
+    assert len(css_tokens.references("a{" * 3000 + "b:url(c);" * 1000)) == 1000 and css_tokens.references("(" * 9000) == []

@@ -6,7 +6,7 @@ by the expressions below, which Spark and DuckDB read alike. They are synthetic
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftarc.functions import media, privacy, text
@@ -14,6 +14,7 @@ from weftarc.functions.tables import table, written
 from weftarc.functions.urls import network_target, url_class, with_url
 from weftarc.operators import archives, discovery, evidence, fetch, jobs, offline_pages, paths, policy, reports, rewrite, store, timing
 from weftarc.sources.html import elements, metadata
+from weftarc.sources.text_scans import css_references, javascript_references
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -37,6 +38,10 @@ def _sql(columns: dict[str, str]) -> str:
     return ", ".join(f"{e} AS {c}" for c, e in columns.items())
 
 
+def _in_sql(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
 # -- pages
 
 
@@ -153,6 +158,71 @@ def ext_candidates(spark, sf_dir):
     return out.select("page_id", *[F.coalesce(n, F.lit(0)).alias(n) for n in parts])
 
 
+#: Style sheets and scripts around the pages' own links ({0}), in turn, and what is to be read from each: kind, property or null, URL, format or null.
+_SHEETS = (
+    (r"a{{background:\75rl({0})}}", [("url", "background", "{0}", None)]),
+    ("""@font-face{{src:url('{0}') format("woff2"), url({0}?2) format(woff)}}""", [("font-face", "src", "{0}", "woff2"), ("font-face", "src", "{0}?2", "woff")]),
+    ('@import "{0}" screen; @import layer(x) url(no);', [("import", None, "{0}", None)]),
+    ("@supports (a:url(no)){{b{{MASK:image-set(url({0}) 1x)}}}}", [("url", "mask", "{0}", None)]),
+    ("a{{content:'x\n;cursor:url({0})}} q{{a:url(n o)}}", [("url", "cursor", "{0}", None)]),
+    ("a{{b:c;&:hover{{fill:url( {0} )}}}}", [("url", "fill", "{0}", None)]),
+    ("p{{--v:{{x:url({0})}};a:b}}", [("url", "--v", "{0}", None)]),
+    ("@namespace url({0}); /* url({0}) */ a[b='url({0})']{{c:d}} p{{e:url({0}", []),
+)
+_SCRIPTS = (
+    ("""const r=/"/; import("{0}.js")""", [("module", "{0}.js")]),
+    ("x = 6 / 2; y = '{0}.js' / 3", [("literal", "{0}.js")]),
+    ("""if (a) /'/.test(b); fetch("{0}")""", [("load", "{0}")]),
+    ("x = `${{f(`{0}.js`)}}/no.js`; a++ / '{0}.css' / b", [("literal", "{0}.js"), ("literal", "{0}.css")]),
+    ("""JSON.parse('{{"a":"{0}.json"}}'); window.fetch("{0}")""", [("json", "{0}.json")]),
+    ("""f("{0}.js"; // not closed""", []),
+    ("""{{}} /"/; new Worker("{0}"); export * from "{0}"; // "{0}.js\"""", [("load", "{0}"), ("module", "{0}")]),
+)
+
+
+def _text_of(shapes: tuple, k: str, way: str) -> Column:
+    """The shape with the number ``k`` around ``way`` (both columns)."""
+    text = F.lit("")
+    for n, (shape, _) in enumerate(shapes):
+        text = F.when(F.col(k) % len(shapes) == n, F.replace(F.lit(shape.format("\0")), F.lit("\0"), F.col(way))).otherwise(text)
+    return text
+
+
+def _rows_of(shapes: tuple, fields: tuple[str, ...], k: str, way: str) -> str:
+    """DuckDB: the list of what is to be read from the shape with the number ``k``."""
+    value = lambda v: "NULL::VARCHAR" if v is None else " || ".join(_in_sql(p) for p in v.format("\0").split("\0")).replace(" || ", f" || {way} || ")
+    lists = ["[" + ", ".join("{" + ", ".join(f"'{f}': {value(v)}" for f, v in zip(fields, row, strict=True)) + "}" for row in rows) + "]" for _, rows in shapes]
+    return f"CASE {k} % {len(shapes)} " + " ".join(f"WHEN {n} THEN {x}" for n, x in enumerate(lists) if x != "[]") + " ELSE [] END"
+
+
+_WAYS = """SELECT page_id, unnest(ways) AS way, generate_subscripts(ways, 1) - 1 + page_id AS k FROM (SELECT page_id, regexp_extract_all(html, '<a href="(/[A-Za-z]+)">', 1) AS ways FROM pages)"""
+
+
+def _ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.expr("""posexplode(regexp_extract_all(html, '<a href="(/[A-Za-z]+)">', 1))""").alias("at", "way")
+    return table(spark, sf_dir, "pages").select("page_id", found).withColumn("k", F.col("at") + F.col("page_id"))
+
+
+@query(f"""
+WITH w AS ({_WAYS}), r AS (SELECT page_id, k, unnest({_rows_of(_SHEETS, ("kind", "property", "raw_url", "format"), "k", "way")}) AS r FROM w)
+SELECT page_id, k, r.kind AS kind, r.property AS property, r.raw_url AS raw_url, r.format AS format FROM r
+""")
+def ext_css_tokens(spark, sf_dir):
+    """EXT-6, EXT-7: references of style sheets with escapes, formats, preludes, nested rules and broken strings (sheets are put around the pages' own links)."""
+    sheets = _ways(spark, sf_dir).withColumn("text", _text_of(_SHEETS, "k", "way"))
+    return sheets.select("page_id", F.col("k").cast("long").alias("k"), F.inline(css_references("text"))).drop("start", "stop")
+
+
+@query(f"""
+WITH w AS ({_WAYS}), r AS (SELECT page_id, k, unnest({_rows_of(_SCRIPTS, ("kind", "raw_url"), "k", "way")}) AS r FROM w)
+SELECT page_id, k, r.kind AS kind, r.raw_url AS raw_url FROM r
+""")
+def ext_script_tokens(spark, sf_dir):
+    """EXT-8: references of scripts with regular expressions, divisions, nested templates and JSON (scripts are put around the pages' own links)."""
+    scripts = _ways(spark, sf_dir).withColumn("text", _text_of(_SCRIPTS, "k", "way"))
+    return scripts.select("page_id", F.col("k").cast("long").alias("k"), F.inline(javascript_references("text"))).drop("start", "stop")
+
+
 _TARGETS = {
     "page_id": "page_id",
     "value": """CASE page_id % 14 WHEN 0 THEN url WHEN 1 THEN 'data:text/css;base64,QQ==' WHEN 2 THEN 'data:nocomma' WHEN 3 THEN 'blob:https://a.example.com/1-2'
@@ -419,10 +489,6 @@ _LINKED_SAVED = (
 )
 
 
-def _in_sql(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
 @query(f"""
 WITH derived AS (
   SELECT page_id, regexp_replace(regexp_replace(html, '<a href="(/[A-Z][A-Za-z]*)">', {_in_sql(_LINKED_SAVED.format(chr(92) + "1"))}, 'g'), '{_LINK}', {_in_sql(_LINKED.format(chr(92) + "1"))}, 'g') AS html,

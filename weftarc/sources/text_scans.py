@@ -9,6 +9,9 @@ from bisect import bisect_right
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from weftarc.sources.css_tokens import references
+from weftarc.sources.script_tokens import strings
+
 _SPACE = " \t\n\f\r"
 
 
@@ -38,58 +41,6 @@ def srcset(value: str | None) -> list[dict]:
         out.append({"raw_url": url, "descriptor": " ".join(value[begin:at].split()) or None, "start": start, "stop": start + len(url)})
 
 
-_CSS = re.compile(
-    r"""/\*.*?(?:\*/|$)|(?P<url>url\(\s*(?:"(?P<dq>(?:\\.|[^"\\\n])*)"|'(?P<sq>(?:\\.|[^'\\\n])*)'|(?P<bare>(?:\\.|[^)'"(\s\\])*))\s*\))"""
-    r"""|"(?P<ds>(?:\\.|[^"\\\n])*)"|'(?P<ss>(?:\\.|[^'\\\n])*)'|@(?P<at>[\w-]+)|(?P<format>format\(\s*["']?(?P<fmt>[\w+-]+)["']?\s*\))|(?P<name>--[\w-]+|-?[A-Za-z_][\w-]*)|(?P<mark>[{};:])""",
-    re.S | re.I,
-)
-
-
-def _unescaped(text: str) -> str:
-    text = re.sub(r"\\([0-9a-fA-F]{1,6})[ \t\n\f]?", lambda m: chr(int(m[1], 16)) if 0 < int(m[1], 16) < 0x110000 else "�", text)
-    return re.sub(r"\\(.)", r"\1", text, flags=re.S)
-
-
-def css(text: str | None) -> list[dict]:
-    """References of a style sheet or of declarations: kind (import, font-face, url), property, URL, format, start and end."""
-    out: list[dict] = []
-    blocks: list[str] = []  # the at-rule of each open block
-    rule, name, prop, imported = "", "", None, False
-    for m in _CSS.finditer(text or ""):
-        kind = m.lastgroup if m.lastgroup in ("at", "name", "mark") else None
-        if m["at"]:
-            rule, imported, prop = m["at"].lower(), False, None
-        elif m["mark"]:
-            if m["mark"] == "{":
-                blocks.append(rule)
-                rule, prop = "", None
-            elif m["mark"] == "}":
-                del blocks[-1:]
-                rule, prop = "", None
-            elif m["mark"] == ";":
-                rule, prop = "", None
-            elif prop is None and not rule:
-                prop = name.lower()
-        elif kind == "name":
-            name = m["name"]
-        elif m["format"]:
-            if out and out[-1]["kind"] == "font-face" and out[-1]["format"] is None:
-                out[-1]["format"] = m["fmt"]
-        else:
-            raw = next((m[g] for g in ("dq", "sq", "bare") if m[g] is not None), None)
-            string = next((m[g] for g in ("ds", "ss") if m[g] is not None), None)
-            if rule == "import" and not imported and (raw or string):
-                imported = True
-                out.append({"kind": "import", "property": None, "raw_url": _unescaped(raw or string), "format": None, "start": m.start(), "stop": m.end()})
-            elif raw is not None and prop is not None:
-                face = prop == "src" and bool(blocks) and blocks[-1] == "font-face"
-                out.append({"kind": "font-face" if face else "url", "property": prop, "raw_url": _unescaped(raw), "format": None, "start": m.start(), "stop": m.end()})
-    return out
-
-
-_JS = re.compile(
-    r"""//[^\n]*|/\*.*?\*/|(?P<call>\b(?:new\s+(?:Worker|SharedWorker|URL|Request)|fetch|importScripts|import|JSON\s*\.\s*parse)\s*\(\s*|\b(?:import|from)\s*)?(?P<q>["'`])(?P<text>(?:\\.|(?!(?P=q))[^\\])*)(?P=q)""", re.S
-)
 #: A way or a web address whose path ends with an extension.
 _FILE_LIKE = re.compile(r"(?:(?:https?:)?//[^/?#]+/|/(?!/)|\.{1,2}/)[^?#]*\.[a-z0-9]{1,12}(?:[?#].*)?", re.I | re.S)
 _PIECE = re.compile(r"\\(?:u\{(?P<code>[0-9a-fA-F]{1,6})\}|u(?P<u>[0-9a-fA-F]{4})|x(?P<x>[0-9a-fA-F]{2})|(?P<line>\r\n|[\n\u2028\u2029])|(?P<one>.))|(?P<plain>[^\\]+)", re.S)
@@ -138,20 +89,17 @@ def _json_strings(raw: str, start: int) -> list[dict]:
 def javascript(text: str | None) -> list[dict]:
     """References of a script: strings in module and loading positions, other strings that look like files, and such strings in embedded JSON.
 
-    A scan of strings outside comments, not a syntax tree: regular expressions that hold quotes may hide one.
+    A script in which something does not end, or brackets do not fit, has none.
     """
     out = []
-    for m in _JS.finditer(text or ""):
-        raw = m["text"]
-        if not raw or (m["q"] == "`" and "${" in raw):
-            continue
-        call = re.sub(r"[\s(]+", " ", m["call"] or "").strip()
-        if call.startswith("JSON"):
-            out += _json_strings(raw, m.start("text"))
+    for use, token in strings(text or "") or ():
+        raw, start = token.text[1:-1], token.start + 1
+        if use == "json":
+            out += _json_strings(raw, start)
             continue
         url = _whole(_literal(raw)[0])
-        if call or _FILE_LIKE.fullmatch(url):
-            out.append({"kind": "module" if call in ("import", "from") else "load" if call else "literal", "raw_url": url, "start": m.start("text"), "stop": m.end("text")})
+        if raw and (use != "literal" or _FILE_LIKE.fullmatch(url)):
+            out.append({"kind": use, "raw_url": url, "start": start, "stop": token.stop - 1})
     return out
 
 
@@ -171,7 +119,7 @@ def srcset_candidates(value):
 
 
 def css_references(text):
-    return _column(css, {"kind": "string", "property": "string", "raw_url": "string", "format": "string", "start": "int", "stop": "int"})(text)
+    return _column(references, {"kind": "string", "property": "string", "raw_url": "string", "format": "string", "start": "int", "stop": "int"})(text)
 
 
 def javascript_references(text):
