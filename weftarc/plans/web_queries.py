@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from weftarc.functions import media, privacy, text
 from weftarc.functions.tables import table, written
-from weftarc.functions.urls import network_target, url_class, with_url
+from weftarc.functions.urls import network_target, shown_host, url_class, with_url
 from weftarc.operators import archives, discovery, evidence, fetch, jobs, offline_pages, paths, policy, reports, rewrite, store, timing
 from weftarc.sources.html import elements, metadata
 from weftarc.sources.text_scans import css_references, javascript_references
@@ -249,6 +249,31 @@ def fn_network_targets(spark, sf_dir):
     return rows.select("page_id", F.col("u.href").alias("href"), "c.kind", F.col("c.reason").alias("unsupported"), F.col("t.reason").alias("blocked"), "t.local_kind", "t.pattern")
 
 
+#: Hosts outside ASCII with their known forms; null where a host is not sound.
+_HOSTS = (
+    ("bücher.example", "xn--bcher-kva.example"), ("FAß.de", "xn--fa-hia.de"), ("a\u00adb.com", "ab.com"), ("日本語。jp", "xn--wgv71a119e.jp"), ("βόλος.com", "xn--nxasmm1c.com"), ("♥.example", "xn--g6h.example"),
+    ("１２７.０.０.１", "127.0.0.1"), ("مثال.إختبار", "xn--mgbh0fb.xn--kgbechtv"), ("١٢٣.example", None), ("xn--a.example", None), ("a\ufffdb", None), ("XN--BCHER-KVA.example", "xn--bcher-kva.example"),
+)
+
+
+@query(f"""
+WITH words AS (SELECT page_id, unnest(ws) AS w, generate_subscripts(ws, 1)::BIGINT AS k FROM (SELECT page_id, regexp_extract_all(html, '<a href="/(\\p{{L}}+)">', 1) AS ws FROM pages))
+SELECT page_id, k, lower(w) || '.example' AS shown, true AS is_ascii, CASE WHEN regexp_matches(w, '^[A-Za-z]*$') THEN lower(w) || '.example' END AS host FROM words
+UNION ALL SELECT page_id, 0, NULL, CASE page_id % {len(_HOSTS)} {' '.join(f"WHEN {k} THEN " + ("NULL" if h is None else "true") for k, (_, h) in enumerate(_HOSTS))} END,
+  CASE page_id % {len(_HOSTS)} {' '.join(f"WHEN {k} THEN " + ("NULL" if h is None else f"'{h}'") for k, (_, h) in enumerate(_HOSTS))} END FROM pages
+""")
+def fn_international_hosts(spark, sf_dir):
+    """FN-1: hosts outside ASCII in Punycode and back: every word of letters that the pages link to as a host, and hosts with known forms."""
+    pages = table(spark, sf_dir, "pages")
+    words = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('<a href="/(\\p{L}+)">'), F.lit(1))).alias("k", "w"))
+    words = words.select("page_id", (F.col("k") + 1).cast("long").alias("k"), F.concat(F.lit("http://"), "w", F.lit(".example/")).alias("value"))
+    known = F.try_element_at(F.array(*[F.lit(f"http://{h}/") for h, _ in _HOSTS]), (F.col("page_id") % len(_HOSTS) + 1).cast("int"))
+    rows = with_url(words.unionByName(pages.select("page_id", F.lit(0).cast("long").alias("k"), known.alias("value"))), "value", "u").withColumn("host", F.col("u.host"))
+    is_ascii = F.when(F.col("host").isNotNull(), F.col("host").rlike("^[ -~]*$"))
+    plain = (F.col("k") == 0) | F.col("value").rlike("^http://[A-Za-z]*[.]example/$")
+    return rows.select("page_id", "k", F.when(F.col("k") > 0, shown_host("host")).alias("shown"), is_ascii.alias("is_ascii"), F.when(plain, F.col("host")).alias("host"))
+
+
 _HEADERS = {
     "order_id": "o_orderkey",
     "content_type": "CASE o_orderkey % 8 WHEN 0 THEN 'Text/HTML; charset=utf-8' WHEN 1 THEN 'image/ktx2' WHEN 2 THEN 'application/ld+json' WHEN 3 THEN 'nonsense' WHEN 4 THEN ' font/woff2 ' WHEN 5 THEN 'image/png;a=b' WHEN 6 THEN NULL ELSE 'video/mp4' END",
