@@ -4,6 +4,7 @@ from itertools import combinations
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from weftarc.llm import components, simhash
 from weftarc.llm.simhash import EXACT, SIMILAR
@@ -212,3 +213,11 @@ def test_callers_columns_and_a_very_long_text(spark):
     docs = spark.createDataFrame(rows, SCHEMA + ", gone_id string, `text_key` string, row string")
     got = simhash.keep_one(docs)
     assert got.schema == docs.schema and sorted(tuple(r) for r in got.collect()) == [rows[0], rows[2]]
+
+
+def test_texts_that_can_be_similar_share_a_class_of_sizes(spark):
+    rows = [(a, b) for a in [*range(0, 70), 127, 128, 129, 1023, 1024, 1639] for b in range(a, int(a / 0.8) + 1)]
+    df = spark.createDataFrame(rows, "a long, b long").withColumn("fp", F.array(*[F.lit(7 * k).cast("long") for k in range(4)]))
+    keys = lambda c: simhash.list_keys(F.col("fp"), simhash.SIMILAR, F.col(c))
+    got = df.select(F.size(F.array_intersect(keys("a"), keys("b"))).alias("n"), F.size(keys("a")).alias("m")).collect()
+    assert all(r.n >= len(simhash.SIMILAR.lists) and r.m <= 2 * len(simhash.SIMILAR.lists) for r in got)

@@ -21,11 +21,12 @@ def sentences(text):
 
 
 def brute(rows):
-    """Texts left, with the rule applied to every run in turn."""
+    """Texts left, with the rule applied to every run in turn: the shortest from each sentence, and the shortest up to it."""
     runs = {}
     for d, text in rows:
         cut = sentences(text)
-        for i, (start, _, w) in enumerate(cut):
+        found = set()
+        for i, (_, _, w) in enumerate(cut):
             j, n = i, len(w)
             while len(w) < S.LONG_SENTENCE and (n < S.MIN_RUN_WORDS or j - i + 1 < S.MIN_SENTENCES):
                 j += 1
@@ -33,8 +34,18 @@ def brute(rows):
                     break
                 n += len(cut[j][2])
             if j < len(cut):
-                stop = cut[j][1] if j + 1 < len(cut) else len(text)
-                runs.setdefault(tuple(x for s in cut[i : j + 1] for x in s[2]), []).append((d, start, stop))
+                found.add((i, j))
+            j, n = i, len(w)
+            while len(w) < S.LONG_SENTENCE and (n < S.MIN_RUN_WORDS or i - j + 1 < S.MIN_SENTENCES):
+                j -= 1
+                if j < 0:
+                    break
+                n += len(cut[j][2])
+            if j >= 0:
+                found.add((j, i))
+        for i, j in found:
+            stop = cut[j][1] if j + 1 < len(cut) else len(text)
+            runs.setdefault(tuple(x for s in cut[i : j + 1] for x in s[2]), []).append((d, cut[i][0], stop))
     gone = {}
     for places in runs.values():
         for d, start, stop in sorted(places)[1:]:
@@ -105,7 +116,7 @@ def covered(rows):
     """The same by the runs that are hashed."""
     data = [text.encode() for _, text in rows]
     offsets = S.np.cumsum([0, *map(len, data)])
-    row, run, start, stop = S.runs_of_slice(S.np.frombuffer(b"".join(data), S.np.uint8), offsets, S.MIN_SENTENCES, S.MIN_RUN_WORDS, S.LONG_SENTENCE, backward=True)
+    row, run, start, stop = S.runs_of_slice(S.np.frombuffer(b"".join(data), S.np.uint8), offsets, S.MIN_SENTENCES, S.MIN_RUN_WORDS, S.LONG_SENTENCE)
     at = {}
     for r, h, a, b in zip(row.tolist(), run.tolist(), start.tolist(), stop.tolist(), strict=True):
         at.setdefault(h, []).append((rows[r][0], a, b))
@@ -142,7 +153,7 @@ def test_callers_columns_stay_whatever_their_names(spark):
     columns = "doc_id long, text string, n_chars int, removed_spans string, first_doc_ids int, `of.doc` string, row string, left string"
     rows = [(1, passage, 1, "s", 7, "d", "r", "l"), (2, f"Mine. {passage}", 2, None, 8, "e", None, "m"), (3, None, 3, "t", 9, "f", "q", None)]
     docs = spark.createDataFrame(rows, columns)
-    got = S.without_repeats(docs, length="n_chars", backward=True)
+    got = S.without_repeats(docs, length="n_chars")
     assert got.schema == docs.schema
     assert sorted(tuple(r) for r in got.collect()) == [rows[0], (2, "Mine. ", 6, None, 8, "e", None, "m"), rows[2]]
 
@@ -157,7 +168,7 @@ def test_runs_meet_only_if_both_hashes_agree(spark, monkeypatch):
 
     data = S.pa.array(texts + texts[:1])
     monkeypatch.setattr(S, "_runs", clash)
-    found = S.run_finder(backward=True).func(data).to_pylist()
+    found = S.run_finder().func(data).to_pylist()
     assert [r[0]["run"] for r in found] == [0, 0, 0]
     assert found[0][0]["proof"] == found[2][0]["proof"] != found[1][0]["proof"]
 
@@ -165,5 +176,5 @@ def test_runs_meet_only_if_both_hashes_agree(spark, monkeypatch):
 def test_a_very_long_text(spark):
     passage = " ".join(f"word{i}" for i in range(60)) + "."
     long = " ".join(f"Sentence {i} of a long text has its own words{i}, many{i} and more{i}." for i in range(40_000))
-    got = {r.doc_id: r.text for r in S.remove_repeats(spark.createDataFrame([(1, passage), (2, f"{long} {passage}")], SCHEMA), backward=True).collect()}
+    got = {r.doc_id: r.text for r in S.remove_repeats(spark.createDataFrame([(1, passage), (2, f"{long} {passage}")], SCHEMA)).collect()}
     assert got == {1: passage, 2: long + " "}

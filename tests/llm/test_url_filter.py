@@ -71,3 +71,11 @@ def test_callers_columns_stay(spark):
     got = {r.page_id: r for r in url_filter.judge(rows, array).collect()}
     assert tuple(got[1]) == (1, "http://a.net/es/x", "m", "n", "o", "a.net", "/es/x", "net/es/", "block") and got[2].verdict == "allow"
     assert url_filter.judge(rows.limit(0), array).count() == 0
+
+
+def test_a_host_is_looked_at_before_its_paths(spark):
+    """Many lengths of paths, of which each host has few; very long URLs and repeated rows."""
+    rnd = random.Random(6)
+    rules = [(f"h{k}.com/{'x' * k}", rnd.choice(["allow", "block"])) for k in range(1, 400)] + [("long.net/" + "y/" * 5000, "block"), ("com/", "allow")]
+    urls = [f"http://a.h{rnd.randrange(1, 450)}.com/{'x' * rnd.randrange(450)}" for _ in range(400)] + ["http://long.net/" + "y/" * 5000 + "z" * 100_000, "http://long.net/" + "y/" * 4999] * 2
+    assert judged(spark, urls, rules, shard_rules=100) == {i: brute(u, rules) for i, u in enumerate(urls)}

@@ -56,7 +56,8 @@ class Plan:
     words: of a shingle. parts: 64-bit words of a fingerprint. lists: the byte positions of each posting list.
     min_shared: least tally of shared positional bytes. max_bits: most differing bits of linked fingerprints.
     similarity: if set, fingerprints are of a text's different shingles (by a polynomial hash instead of XXH64), and
-    links are verified further, by the share of their texts' different shingles that both have.
+    links are verified further, by the share of their texts' different shingles that both have. Lists are then for texts of
+    about as many shingles only.
     """
 
     words: int
@@ -145,12 +146,12 @@ def fingerprint_part(hashes: np.ndarray, rows: np.ndarray, n_rows: int) -> np.nd
 
 
 def fingerprinter(plan: Plan):
-    """A column function: struct<fp, content> of each whole text: the fingerprint as an array of longs, of which the first is of the
-    hashes as they are, and with ``plan.similarity`` a hash of the set of shingles (else null)."""
+    """A column function: struct<fp, content, size> of each whole text: the fingerprint as an array of longs, of which the first is of the
+    hashes as they are, and with ``plan.similarity`` a hash of the set of shingles (else null); how many shingles there are."""
 
-    @F.arrow_udf("struct<fp: array<long>, content: long>")
+    @F.arrow_udf("struct<fp: array<long>, content: long, size: long>")
     def fingerprint(text: pa.Array) -> pa.Array:
-        found, contents = [np.zeros((0, plan.parts), np.uint64)], [np.zeros(0, np.uint64)]
+        found, contents, sizes = [np.zeros((0, plan.parts), np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for lo, hi, buf, offsets in flat.slices(text):
             hashes, rows = (shingle_hashes if plan.similarity is None else different_shingles)(buf, offsets, plan.words)
             parts = [fingerprint_part(hashes if k == 0 else flat.mix(hashes + np.uint64(k)), rows, hi - lo) for k in range(plan.parts)]
@@ -158,20 +159,29 @@ def fingerprinter(plan: Plan):
             content = np.zeros(hi - lo, np.uint64)
             np.add.at(content, rows, flat.mix(hashes))
             contents.append(content)
+            sizes.append(np.bincount(rows, minlength=hi - lo))
         values, content = np.concatenate(found).view(np.int64), np.concatenate(contents).view(np.int64)
         fp = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * plan.parts, pa.int32()), pa.array(values.ravel()))
-        return pa.StructArray.from_arrays([fp, pa.array(content, mask=np.full(len(content), plan.similarity is None))], names=["fp", "content"])
+        return pa.StructArray.from_arrays([fp, pa.array(content, mask=np.full(len(content), plan.similarity is None)), pa.array(np.concatenate(sizes))], names=["fp", "content", "size"])
 
     return fingerprint
 
 
 def fingerprints(docs: DataFrame, plan: Plan = EXACT, *more: Column) -> DataFrame:
-    """doc_id, fp (array<long>), content and ``more`` columns of every row."""
+    """doc_id, fp (array<long>), content, size and ``more`` columns of every row."""
     return docs.select("doc_id", fingerprinter(plan)("text").alias("f"), *more).select("doc_id", "f.*", *docs.select(*more).columns)
 
 
-def list_keys(fp: Column, plan: Plan) -> Column:
-    """The posting lists of a fingerprint: the list's number and its bytes in one long."""
+#: How much larger the largest text of a list can be than the smallest.
+SIZE_CLASS = 2.0
+
+
+def list_keys(fp: Column, plan: Plan, size: Column | None = None) -> Column:
+    """The posting lists of a fingerprint: the list's number and its bytes in one long.
+
+    With ``plan.similarity`` s a list is for a class of ``size`` too, and a text is in the lists of its own class and of that of size / s:
+    no text of more than size / s shingles can share s of them with it, so each such pair still meets in the larger one's class.
+    """
     byte = [F.shiftrightunsigned(fp[p // 8], 8 * (p % 8)).bitwiseAND(0xFF) for p in range(8 * plan.parts)]
     keys = []
     for k, positions in enumerate(plan.lists):
@@ -179,7 +189,11 @@ def list_keys(fp: Column, plan: Plan) -> Column:
         for p in positions:
             key = F.shiftleft(key, 8).bitwiseOR(byte[p])
         keys.append(key)
-    return F.array(*keys)
+    if plan.similarity is None:
+        return F.array(*keys)
+    of = lambda n: F.floor(F.log(SIZE_CLASS, F.greatest(n, F.lit(1)).cast("double"))).cast("long")
+    classes = F.array_distinct(F.array(of(size), of(F.ceil(size / plan.similarity) + 1)))
+    return F.flatten(F.transform(classes, lambda c: F.transform(F.array(*keys), lambda k: k.bitwiseOR(F.shiftleft(c + 1, 40)))))
 
 
 def linked_pairs(runs: np.ndarray, fps: np.ndarray, min_shared: int, max_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -272,10 +286,11 @@ def _words_of(fp: pa.Array, plan: Plan) -> np.ndarray:
 
 
 def links(classes: DataFrame, plan: Plan, block: int = BLOCK) -> DataFrame:
-    """(a, b): links that join what verified pairs join, of a table of id and fp."""
-    rows = classes.select(F.explode(list_keys(F.col("fp"), plan)).alias("key"), "id", "fp")
+    """(a, b): links that join what verified pairs join, of a table of id, fp and, with ``plan.similarity``, size."""
+    keys = F.explode(list_keys(F.col("fp"), plan, None if plan.similarity is None else F.col("size"))).alias("key")
+    rows = classes.select(keys, "id", "fp")
     long_lists = stored(
-        classes.select(F.explode(list_keys(F.col("fp"), plan)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block), "long-lists"
+        classes.select(keys).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block), "long-lists"
     )
     # a list of n rows has m blocks; a row is in block x, and is sent to the pairs of x with each block
     m = F.ceil(F.coalesce("n", F.lit(1)) / block).cast("int")
@@ -442,13 +457,13 @@ def _class_columns(plan: Plan) -> list[str]:
 
 
 def components_of(fps: DataFrame, plan: Plan = EXACT, block: int = BLOCK, docs: DataFrame | None = None) -> DataFrame:
-    """fp (with content, if ``plan.similarity``) and component_id of every class of a (written) table of doc_id, text_key, fp, content: the
+    """fp (with content, if ``plan.similarity``) and component_id of every class of a (written) table of doc_id, text_key, fp, content, size: the
     smallest doc_id that can be reached.
 
     ``docs`` are the texts that ``plan.similarity`` is verified on.
     """
     of = _class_columns(plan)
-    once = fps.groupBy(*of).agg(F.min("doc_id").alias("least_id"), F.min_by("text_key", F.struct("doc_id", "text_key")).alias("least_key"))
+    once = fps.groupBy(*of).agg(F.min("doc_id").alias("least_id"), F.min_by("text_key", F.struct("doc_id", "text_key")).alias("least_key"), *([] if plan.similarity is None else [F.min("size").alias("size")]))
     classes = stored(once.withColumn("id", F.monotonically_increasing_id()), "simhash-classes")
     edges = links(classes, plan, block)
     if plan.similarity is not None:

@@ -2,9 +2,8 @@
 
 From every sentence the shortest run of at least ``MIN_SENTENCES`` sentences and ``MIN_RUN_WORDS`` words is
 hashed (a sentence of ``LONG_SENTENCE`` words or more is a run of its own, beyond the method: long passages without
-a stop are one sentence here), and with ``backward``, as the queries
-have it, also the shortest that ends with the sentence. Any longer run is covered by such runs inside it: what
-follows too near its end to start one by a run that ends there. Without ``backward`` that end can stay. Runs of
+a stop are one sentence here), and also the shortest that ends with the sentence. Any longer run is covered by such
+runs inside it: what follows too near its end to start one by a run that ends there. Runs of
 all documents meet by two 64-bit hashes with different multipliers, so that one hash confirms the other; of each run that occurs more than once, the first occurrence stays (by document id, then text hash,
 then place) and the sentences that any other occurrence covers are removed.
 
@@ -51,7 +50,7 @@ def sentences(buf: np.ndarray, offsets: np.ndarray):
     return starts, ends, first, np.concatenate(([0], np.flatnonzero(last) + 1))
 
 
-def _runs(buf: np.ndarray, offsets: np.ndarray, min_sentences: int, min_words: int, long_sentence: int, backward: bool, kinds: tuple[int, ...]):
+def _runs(buf: np.ndarray, offsets: np.ndarray, min_sentences: int, min_words: int, long_sentence: int, kinds: tuple[int, ...]):
     """(row, a list of the hashes of each of ``kinds``, start, stop) of every run; start and stop are byte offsets in the row."""
     starts, ends, first, cuts = sentences(buf, offsets)
     n = len(cuts) - 1
@@ -61,11 +60,10 @@ def _runs(buf: np.ndarray, offsets: np.ndarray, min_sentences: int, min_words: i
     rows = np.searchsorted(first, cuts[:-1], "right") - 1
     keep = j < n
     i, j = i[keep], j[keep]
-    if backward:
-        e = np.arange(n)
-        s = np.minimum(np.searchsorted(cuts, cuts[1:] - min_words, "right") - 1, e - min_sentences + 1)
-        keep = (s >= 0) & (np.diff(cuts) < long_sentence)
-        i, j = np.divmod(np.unique(np.concatenate((i * n + j, s[keep] * n + e[keep]))), n)
+    e = np.arange(n)
+    s = np.minimum(np.searchsorted(cuts, cuts[1:] - min_words, "right") - 1, e - min_sentences + 1)
+    keep = (s >= 0) & (np.diff(cuts) < long_sentence)
+    i, j = np.divmod(np.unique(np.concatenate((i * n + j, s[keep] * n + e[keep]))), max(n, 1))
     keep = rows[i] == rows[j]
     i, j = i[keep], j[keep]
     lowered = _LOWER[buf]
@@ -76,20 +74,20 @@ def _runs(buf: np.ndarray, offsets: np.ndarray, min_sentences: int, min_words: i
     return rows[i], of, begin[i] - base, stop - base
 
 
-def runs_of_slice(buf: np.ndarray, offsets: np.ndarray, min_sentences: int, min_words: int, long_sentence: int, backward: bool = False):
+def runs_of_slice(buf: np.ndarray, offsets: np.ndarray, min_sentences: int, min_words: int, long_sentence: int):
     """(row, hash, start, stop) of every run."""
-    rows, (of,), start, stop = _runs(buf, offsets, min_sentences, min_words, long_sentence, backward, (0,))
+    rows, (of,), start, stop = _runs(buf, offsets, min_sentences, min_words, long_sentence, (0,))
     return rows, of, start, stop
 
 
-def run_finder(min_sentences: int = MIN_SENTENCES, min_words: int = MIN_RUN_WORDS, long_sentence: int = LONG_SENTENCE, backward: bool = False):
+def run_finder(min_sentences: int = MIN_SENTENCES, min_words: int = MIN_RUN_WORDS, long_sentence: int = LONG_SENTENCE):
     """A column function: the runs of whole texts."""
 
     @F.arrow_udf(RUN_TYPE)
     def runs(text: pa.Array) -> pa.Array:
         counts, parts = [], []
         for _, _, buf, offsets in flat.slices(text):
-            rows, of, start, stop = _runs(buf, offsets, min_sentences, min_words, long_sentence, backward, (0, 1))
+            rows, of, start, stop = _runs(buf, offsets, min_sentences, min_words, long_sentence, (0, 1))
             counts.append(np.bincount(rows, minlength=len(offsets) - 1))
             parts.append((*of, start, stop))
         where = np.concatenate(([0], np.cumsum(np.concatenate(counts) if counts else np.zeros(len(text), np.int64))))

@@ -2,13 +2,15 @@
 
 Rules are strings of a host and a path prefix (``example.com/en/``), each with a verdict. Their 64-bit xxhash
 keys lie sorted in files of bounded size, with the full strings beside them. The files are sent once to each
-machine, where the tasks map them into memory, so all tasks of a machine share the pages. Of every URL the
-candidates (each suffix of the host at a dot, with each prefix of the path that has the length of a rule's
-path) are hashed and sought by a vectorised binary search; where a key is found, the stored string
+machine, where the tasks map them into memory, so all tasks of a machine share the pages. The hosts of the rules lie
+in the same array, each with the lengths of its rules' paths. Of every batch of URLs the different hosts are looked at
+first: their suffixes at a dot are hashed and sought by a vectorised binary search. Only where such a host has rules are
+the prefixes of a path that have their lengths sought in the same way. Where a key is found, the stored string
 decides, so a collision of hashes never makes a match.
 
-Scale: no shuffle of the URLs; one pass. A URL has at most (labels in the longest rule) x (lengths of rule
-paths) candidates. The rules are dealt by ranges of their keys over as many files as ``SHARD_RULES`` asks.
+Scale: no shuffle of the URLs; one pass. A URL has at most as many candidates as its host and that host's parents have
+lengths of rule paths. The rules are dealt by ranges of their keys over as many files as ``SHARD_RULES`` asks. A very long URL is
+cut to prefixes of rule lengths only.
 
 Edge cases: a null URL, or one without ``://``, has an empty host and path, which no rule fits. Of rules that
 fit, the longest string wins, of equally long ones that with the longer host. A URL that no rule fits is
@@ -38,7 +40,7 @@ SHARD_RULES = 10_000_000
 SEED = 42  # of Spark's xxhash64, which makes the keys of the rules
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_SCHEMA = pa.schema([("key", pa.int64()), ("rule", pa.large_string()), ("blocks", pa.bool_())])
+_SCHEMA = pa.schema([("key", pa.int64()), ("rule", pa.large_string()), ("blocks", pa.bool_()), ("lengths", pa.large_list(pa.int32()))])
 
 
 def ascii_lower(c: Column) -> Column:
@@ -60,7 +62,7 @@ def _write_shard(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.
             uri, n = files.new_file(folder, "arrow"), 0
             out = files.open_output(uri)
             writer = pa.ipc.new_file(out, _SCHEMA)
-        writer.write_batch(pa.RecordBatch.from_arrays([batch["key"], batch["rule"].cast(pa.large_string()), batch["blocks"]], schema=_SCHEMA))
+        writer.write_batch(pa.RecordBatch.from_arrays([batch["key"], batch["rule"].cast(pa.large_string()), batch["blocks"], batch["lengths"].cast(_SCHEMA.field("lengths").type)], schema=_SCHEMA))
         n += len(batch)
     if uri is not None:
         writer.close()
@@ -69,10 +71,10 @@ def _write_shard(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.
 
 
 @lru_cache(maxsize=16)
-def _mapped(name: str) -> list[tuple[np.ndarray, pa.Array, pa.Array]]:
-    """The (keys, strings, verdicts) of the batches of a file, without a copy."""
+def _mapped(name: str) -> list[tuple[np.ndarray, pa.Array, pa.Array, pa.Array]]:
+    """The (keys, strings, verdicts, lengths) of the batches of a file, without a copy."""
     source = pa.ipc.open_file(pa.memory_map(SparkFiles.get(name)))
-    return [(b.column(0).to_numpy(), b.column(1), b.column(2)) for b in map(source.get_batch, range(source.num_record_batches))]
+    return [(b.column(0).to_numpy(), b.column(1), b.column(2), b.column(3)) for b in map(source.get_batch, range(source.num_record_batches))]
 
 
 def probe(keys: np.ndarray, strings: pa.Array, sought: np.ndarray, texts: pa.Array) -> np.ndarray:
@@ -103,14 +105,17 @@ class RuleArray:
         host = F.substring_index("rule", "/", 1)
         once = stored(
             rules.groupBy("rule").agg(F.max("blocks").alias("blocks")).select(
-                "rule", "blocks", F.xxhash64("rule").alias("key"), F.size(F.split(host, r"\.")).alias("labels"), (F.length("rule") - F.length(host)).alias("path_length")),
+                "rule", "blocks", F.xxhash64("rule").alias("key"), host.alias("host"), (F.length("rule") - F.length(host)).alias("path_length")),
             "url-rules",
         )
-        shape = once.agg(F.count(F.lit(1)), F.max("labels"), F.sort_array(F.collect_set("path_length"))).first()
-        n, self.labels, self.path_lengths = shape[0], shape[1] or 0, shape[2]
+        hosts = once.groupBy("host").agg(F.sort_array(F.collect_set("path_length")).alias("lengths"))  # as many as there are different lengths
+        entries = once.select("key", "rule", F.coalesce("blocks", F.lit(False)).alias("blocks"), F.lit(None).cast("array<int>").alias("lengths")).unionByName(
+            hosts.select(F.xxhash64("host").alias("key"), F.col("host").alias("rule"), F.lit(False).alias("blocks"), "lengths")
+        )
+        n, self.labels = once.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(F.split("host", r"\."))), F.lit(0))).first()
         folder = new_path(spark, "url-rule-array")
         shards = max(1, -(-n // shard_rules))
-        dealt = once.select("key", "rule", F.coalesce("blocks", F.lit(False)).alias("blocks")).repartitionByRange(shards, "key").sortWithinPartitions("key")
+        dealt = entries.repartitionByRange(shards, "key").sortWithinPartitions("key")
         written = dealt.mapInArrow(lambda it: _write_shard(it, folder), "uri string, n long").collect()  # a row for each file
         for r in written:
             spark.sparkContext.addFile(r["uri"])
@@ -118,26 +123,38 @@ class RuleArray:
 
     def matcher(self):
         """A column function of host and path: struct<rule, verdict> of the longest rule; null and allow where none fits."""
-        names, labels, path_lengths = self.names, self.labels, self.path_lengths
+        names, labels = self.names, self.labels
+
+        def sought(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]]:
+            """(which of the texts are entries, their places, verdicts and lengths) of each file."""
+            keys, strings = np.array([xxh64_intdigest(x, SEED) for x in texts], np.uint64).view(np.int64), pa.array(texts, pa.large_string())
+            for name in names:
+                for shard_keys, entries, verdicts, lengths in _mapped(name):
+                    at = probe(shard_keys, entries, keys, strings)
+                    some = np.flatnonzero(at >= 0)
+                    yield some, at[some], verdicts, lengths
 
         @F.arrow_udf("struct<rule: string, verdict: string>")
         def match(host: pa.Array, path: pa.Array) -> pa.Array:
+            hosts = host.to_pylist()
+            of = {h: suffixes(h, labels) for h in set(hosts)}
+            names_ = sorted({x for found in of.values() for x in found})
+            known: dict[str, list[int]] = {}
+            for some, at, _, lengths in sought(names_):
+                known |= zip([names_[k] for k in some.tolist()], lengths.take(pa.array(at)).to_pylist(), strict=True)
+            ruled = {h: [(x, known[x]) for x in found if x in known] for h, found in of.items()}
             rows, host_lengths, found = [], [], []
-            for row, (h, p) in enumerate(zip(host.to_pylist(), path.to_pylist(), strict=True)):
-                heads = [p[:n] for n in path_lengths if n <= len(p)]
-                for suffix in suffixes(h, labels):
+            for row, (h, p) in enumerate(zip(hosts, path.to_pylist(), strict=True)):
+                for suffix, lengths in ruled[h]:
+                    heads = [suffix + p[:n] for n in lengths if n <= len(p)]
                     rows += [row] * len(heads)
                     host_lengths += [len(suffix)] * len(heads)
-                    found += [suffix + x for x in heads]
+                    found += heads
             rows, host_length, texts = np.array(rows, np.int64), np.array(host_lengths, np.int64), pa.array(found, pa.large_string())
-            keys = np.array([xxh64_intdigest(x, SEED) for x in found], np.uint64).view(np.int64)
-            hit, blocks = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
-            for name in names:
-                for shard_keys, strings, verdicts in _mapped(name):
-                    at = probe(shard_keys, strings, keys, texts)
-                    some = np.flatnonzero(at >= 0)
-                    hit[some] = True
-                    blocks[some] = pc.take(verdicts, pa.array(at[some])).to_numpy(zero_copy_only=False)
+            hit, blocks = np.zeros(len(found), bool), np.zeros(len(found), bool)
+            for some, at, verdicts, _ in sought(found):
+                hit[some] = True
+                blocks[some] = pc.take(verdicts, pa.array(at)).to_numpy(zero_copy_only=False)
             at = np.flatnonzero(hit)
             length = pc.utf8_length(texts).to_numpy()
             at = at[np.lexsort((-host_length[at], -length[at], rows[at]))]
