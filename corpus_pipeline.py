@@ -22,7 +22,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the sentences of passages that an earlier one has."""
-    return substring_dedup.without_repeats(docs, length="n_chars", backward=True)
+    return substring_dedup.without_repeats(docs, length="n_chars")
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
