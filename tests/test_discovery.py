@@ -132,3 +132,14 @@ def test_scripts_by_their_tokens(script, want):
 def test_tokens_of_long_and_deep_scripts():
     assert len(script_tokens.tokens("a(" * 5000 + ")" * 5000)) == 15_000 and script_tokens.tokens("`${" * 3000) is None
     assert len(css_tokens.references("a{" * 3000 + "b:url(c);" * 1000)) == 1000 and css_tokens.references("(" * 9000) == []
+
+
+def test_regions_stop_at_a_depth_and_say_so(spark, monkeypatch):
+    page = "<p>x</p>"
+    for _ in range(4):
+        page = '<iframe srcdoc="' + page.replace("&", "&amp;").replace('"', "&quot;") + '"></iframe>'
+    pages = spark.createDataFrame([(1, f"{H}/", page), (2, f"{H}/", None)], "page_id long, url string, html string")
+    assert [(r.depth, r.reason) for r in discovery.page_regions(pages).collect()] == [(k, "same-origin") for k in range(4)]
+    monkeypatch.setattr(discovery, "MOST_LEVELS", 2)
+    assert [(r.depth, r.reason) for r in discovery.page_regions(pages).collect()] == [(0, "same-origin"), (1, "same-origin"), (2, "too-deep")]
+    assert discovery.page_regions(pages.limit(0)).count() == 0

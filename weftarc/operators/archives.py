@@ -199,6 +199,48 @@ def uncaptured(references: DataFrame, saved: DataFrame, outcomes: DataFrame) ->
     return summed.join(states, ["job_id", "url"], "left").select("job_id", "url", "n", "channels", reason.alias("reason"))
 
 
+# Channels in the order of their sources, and states of records.
+CHANNELS = ("html-attribute", "css-ast", "srcset")
+STATES = ("discovered", "queued", "fetching", "saved", "failed", "skipped")
+#: Sources of a missing resource that its row names.
+MOST_SOURCES = 20
+
+
+def outcomes(records: DataFrame) -> DataFrame:
+    """job_id, url, states, error_codes: what became of each URL, under its first address and the one it led to (both of each record)."""
+    each = records.select("job_id", "state", "error", F.explode(F.array_distinct(F.array("original_url", "final_url"))).alias("given"))
+    known = with_url(each, "given", "u").filter(F.col("u.scheme").isin("http", "https"))
+    return known.groupBy("job_id", F.col("u.href").alias("url")).agg(F.collect_set("state").alias("states"), F.array_sort(F.collect_set("error")).alias("error_codes"))
+
+
+def dependencies(references: DataFrame, records: DataFrame, most: int = MOST_SOURCES) -> DataFrame:
+    """job_id, url, reason, n, channels, states, error_codes, sources of network URLs that are referred to and have no saved resource.
+
+    ``references``: job_id, channel (one of CHANNELS), source_path, element_no, part, name (an attribute, property or descriptor) and value (an
+    absolute URL). ``records``: job_id, original_url, final_url, state, error. n counts all references; sources are the first ``most`` of
+    them by channel, document, element and part. States and channels are in their fixed orders; of repeated references each counts.
+    """
+    said = outcomes(records)
+    known = with_url(references, "value", "u").filter(F.col("u.scheme").isin("http", "https")).withColumn("url", F.col("u.href"))
+    gone = said.filter(F.array_contains("states", "saved")).select("job_id", "url")
+    missing = known.join(gone, ["job_id", "url"], "left_anti")
+    rank = F.array_position(F.array(*map(F.lit, CHANNELS)), F.col("channel"))
+    source = F.struct(rank.alias("rank"), "source_path", F.coalesce("element_no", F.lit(0)).alias("element_no"), "part", F.coalesce("name", F.lit("")).alias("name"), "value", "channel")
+    rows = missing.select("job_id", "url", "channel", source.alias("s"))
+    summed = rows.groupBy("job_id", "url").agg(F.count(F.lit(1)).alias("n"), F.collect_set("channel").alias("found"))
+    # Spark keeps the first few of each URL before it shuffles
+    first = rows.withColumn("k", F.row_number().over(Window.partitionBy("job_id", "url").orderBy("s"))).filter(F.col("k") <= most)
+    listed = first.groupBy("job_id", "url").agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: F.struct(s["channel"], s["source_path"], s["element_no"], s["part"], s["name"], s["value"])).alias("sources"))
+    joined = summed.join(listed, ["job_id", "url"]).join(said, ["job_id", "url"], "left")
+    none = F.array().cast("array<string>")
+    has = lambda state: F.array_contains(F.coalesce("states", none), state)
+    ordered = lambda names, column: F.filter(F.array(*map(F.lit, names)), lambda x: F.array_contains(F.coalesce(column, none), x))
+    return joined.select(
+        "job_id", "url", F.when(has("failed"), "download-failed").when(has("skipped"), "resource-skipped").otherwise("missing-mapping").alias("reason"), "n",
+        ordered(CHANNELS, "found").alias("channels"), ordered(STATES, "states").alias("states"), F.coalesce("error_codes", none).alias("error_codes"), "sources",
+    )
+
+
 def chunks(files: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
     """file_id, offset, data, is_last of files (file_id, data) cut for transfer; an empty file is one empty chunk."""
     n = F.octet_length("data")

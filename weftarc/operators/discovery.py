@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftarc.functions.tables import written
 from weftarc.functions.urls import origin, with_url
-from weftarc.sources.html import attribute
+from weftarc.sources.html import attribute, elements
 from weftarc.sources.text_scans import css_references, javascript_references, srcset_candidates
 
 # Where pages refer to resources.
@@ -96,6 +97,45 @@ def regions(found: DataFrame) -> DataFrame:
     return rows.select("page_id", F.row_number().over(order).alias("ordinal"), "tag", F.col("u.href").alias("resolved_url"), status.alias("status"))
 
 
+#: Frames in frames that are gone into; a page that goes on deeper has a region with the reason too-deep there.
+MOST_LEVELS = 16
+
+
+def page_regions(pages: DataFrame) -> DataFrame:
+    """page_id, ordinal, depth, kind (iframe or shadow-root), access, reason, source_origin of the regions of ``pages`` (page_id, url, html).
+
+    Level by level: what is in a frame's srcdoc is a page of the next level, while open shadow roots of one document are gone into at once, as
+    the tree has them. depth counts both. What is in a frame that cannot be read has that frame's reason; other frames are sandboxed, cross-origin,
+    same-origin, or unavailable (a data URL or none that is valid). Regions are numbered by depth, then by place. Closed shadow roots show nothing.
+    """
+    level = pages.select("page_id", "url", "html", F.lit(0).alias("base_depth"), F.array().cast("array<int>").alias("way"), F.lit(None).cast("string").alias("inherited"))
+    found: DataFrame | None = None
+    for n in range(MOST_LEVELS + 1):
+        rows = level.select(F.struct("page_id", "way", "base_depth", "inherited").alias("page_id"), "url", "html")
+        seen = elements(rows, templates=True).filter("shadow_depth >= 0").select("page_id.*", "url", "element_no", "tag", "attrs", "in_svg", (F.col("page_id.base_depth") + F.col("shadow_depth")).alias("depth"), "shadow_depth", "template_no", "parent_no")
+        root = (F.col("tag") == "template") & (F.lower(attribute("shadowrootmode")) == "open")
+        first = F.row_number().over(Window.partitionBy("page_id", "way", "parent_no", root).orderBy("element_no")) == 1
+        seen = seen.filter(((F.col("tag") == "iframe") & ~F.col("in_svg")) | root).withColumn("is_first", first).filter((F.col("tag") == "iframe") | F.col("is_first"))
+        src = F.coalesce(attribute("src"), F.lit(""))
+        seen = with_url(with_url(seen.withColumn("src", F.when(attribute("srcdoc").isNotNull() | (F.trim(src) == ""), F.col("url")).otherwise(src)), "src", "u", "url"), "url", "p")
+        sandboxed = attribute("sandbox").isNotNull() & ~F.array_contains(F.split(F.lower(attribute("sandbox")), r"\s+"), "allow-same-origin")
+        own = (
+            F.when(F.col("tag") == "template", "open-shadow-root").when(sandboxed, "sandboxed").when(F.lit(n == MOST_LEVELS) & attribute("srcdoc").isNotNull(), "too-deep").when(origin(F.col("u")) == origin(F.col("p")), "same-origin")
+            .when(origin(F.col("u")).isNotNull(), "cross-origin").otherwise("unavailable")
+        )
+        reason = F.coalesce("inherited", own)
+        seen = seen.withColumn("reason", reason).withColumn("at", F.array_append("way", F.col("element_no")))
+        seen = written(seen.select("page_id", "url", "at", "depth", F.when(F.col("tag") == "iframe", "iframe").otherwise("shadow-root").alias("kind"), "reason", F.when(F.col("tag") == "iframe", origin(F.col("u"))).alias("source_origin"), attribute("srcdoc").alias("srcdoc")), "regions")
+        found = seen if found is None else found.unionByName(seen)
+        closed = F.col("reason").isin("sandboxed", "cross-origin", "unavailable")
+        level = seen.filter("kind = 'iframe' and srcdoc is not null").select("page_id", "url", F.col("srcdoc").alias("html"), (F.col("depth") + 1).alias("base_depth"), F.col("at").alias("way"), F.when(closed, F.col("reason")).alias("inherited"))
+        if level.isEmpty():
+            break
+    readable = F.col("reason").isin("same-origin", "open-shadow-root")
+    order = Window.partitionBy("page_id").orderBy("depth", "at")
+    return found.select("page_id", F.row_number().over(order).cast("long").alias("ordinal"), "depth", "kind", F.when(readable, "accessible").otherwise("inaccessible").alias("access"), "reason", "source_origin")
+
+
 def navigation_links(found: DataFrame) -> DataFrame:
     """page_id, ordinal, raw_url, resolved_url of a[href] and area[href]: where a page leads, never resources of it."""
     rows = found.filter(F.col("tag").isin("a", "area") & attribute("href").isNotNull()).withColumn("raw_url", attribute("href"))

@@ -223,6 +223,41 @@ def ext_script_tokens(spark, sf_dir):
     return scripts.select("page_id", F.col("k").cast("long").alias("k"), F.inline(javascript_references("text"))).drop("start", "stop")
 
 
+_DEEPEST = '<iframe src="https://far.example/x"></iframe><template shadowrootmode="closed"><iframe></iframe></template>'
+
+
+def _framed(html: str, sandbox: str = "") -> str:
+    return f'<iframe{sandbox} srcdoc="' + html.replace("&", "&amp;").replace('"', "&quot;") + '"></iframe>'
+
+
+#: Regions in regions, by page id: frames in frames, open shadow roots in those, a sandbox around both; and what is to be found (depth, kind, access, reason).
+_REGIONS = (
+    ("<p>none</p><template><iframe></iframe></template>", []),
+    (f"<div><template shadowrootmode=open><p><template shadowrootmode=OPEN>{_DEEPEST}</template></p></template></div>", [(0, "shadow-root", "accessible", "open-shadow-root"), (1, "shadow-root", "accessible", "open-shadow-root"), (2, "iframe", "inaccessible", "cross-origin")]),
+    (_framed("<b>1</b>" + _framed(_framed(_DEEPEST))), [(0, "iframe", "accessible", "same-origin"), (1, "iframe", "accessible", "same-origin"), (2, "iframe", "accessible", "same-origin"), (3, "iframe", "inaccessible", "cross-origin")]),
+    (_framed(f"<p><template shadowrootmode=open>{_framed('x')}</template></p>", ' sandbox="allow-scripts"'), [(0, "iframe", "inaccessible", "sandboxed"), (1, "shadow-root", "inaccessible", "sandboxed"), (2, "iframe", "inaccessible", "sandboxed")]),
+    ('<iframe></iframe><iframe src="/own"></iframe><iframe sandbox="a allow-same-origin" src=""></iframe><iframe src="data:,x"></iframe>', [(0, "iframe", "accessible", "same-origin")] * 3 + [(0, "iframe", "inaccessible", "unavailable")]),
+)
+
+
+def _region_rows() -> str:
+    lists = ["[" + ", ".join(f"{{'depth': {d}, 'kind': '{k}', 'access': '{a}', 'reason': '{r}'}}" for d, k, a, r in rows) + "]" for _, rows in _REGIONS]
+    return f"CASE page_id % {len(_REGIONS)} " + " ".join(f"WHEN {n} THEN {x}" for n, x in enumerate(lists) if x != "[]") + " ELSE [] END"
+
+
+@query(f"""
+WITH r AS (SELECT page_id, unnest(rows) AS r, generate_subscripts(rows, 1)::BIGINT AS ordinal FROM (SELECT page_id, {_region_rows()} AS rows FROM pages))
+SELECT page_id, ordinal, r.depth AS depth, r.kind AS kind, r.access AS access, r.reason AS reason FROM r
+""")
+def ext_page_regions(spark, sf_dir):
+    """EXT-9: frames and open shadow roots to their depth, in the pages' own articles."""
+    inside = F.lit("")
+    for n, (html, _) in enumerate(_REGIONS):
+        inside = F.when(F.col("page_id") % len(_REGIONS) == n, html).otherwise(inside)
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.replace("html", F.lit("<article>"), F.concat(F.lit("<article>"), inside)).alias("html"))
+    return discovery.page_regions(pages).select("page_id", "ordinal", "depth", "kind", "access", "reason")
+
+
 _TARGETS = {
     "page_id": "page_id",
     "value": """CASE page_id % 14 WHEN 0 THEN url WHEN 1 THEN 'data:text/css;base64,QQ==' WHEN 2 THEN 'data:nocomma' WHEN 3 THEN 'blob:https://a.example.com/1-2'
@@ -796,6 +831,35 @@ def agg_uncaptured(spark, sf_dir):
     return archives.uncaptured(by_url, states.filter("state = 'saved'"), states)
 
 
+@query(f"""
+WITH r AS (SELECT {_sql(_RECORDS)}, o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'code' || (o_orderkey % 2) END AS error,
+    CASE WHEN o_orderkey % 3 = 0 THEN 'https://h' || (o_custkey % 9) || '.example.com/r' || (o_orderkey % 20) END AS ended FROM orders
+), said AS (
+  SELECT job_id, url, list(DISTINCT state) AS states, list_sort(list(DISTINCT error) FILTER (error IS NOT NULL)) AS codes FROM (SELECT job_id, state, error, original_url AS url FROM r UNION ALL SELECT job_id, state, error, ended FROM r WHERE ended IS NOT NULL) GROUP BY ALL
+), refs AS (
+  SELECT job_id, original_url AS url, ['html-attribute', 'css-ast', 'srcset'][(o_orderkey % 3 + 1)::INT] AS channel, (o_orderkey % 3 + 1)::INT AS rank, 'pages/' || (o_orderkey % 4) || '.html' AS source_path, o_orderkey AS element_no, o_orderkey % 2 AS part FROM r
+), missing AS (
+  SELECT f.* FROM refs f LEFT JOIN said s ON s.job_id = f.job_id AND s.url = f.url AND list_contains(s.states, 'saved') WHERE s.url IS NULL
+), summed AS (
+  SELECT job_id, url, count(*) AS n, array_to_string(list_filter(['html-attribute', 'css-ast', 'srcset'], lambda c: list_contains(list(channel), c)), ',') AS channels,
+    array_to_string(list_transform((list({{'r': rank, 'p': source_path, 'e': element_no, 'c': channel}} ORDER BY rank, source_path, element_no, part))[1:3], lambda s: s.c || ' ' || s.p || ' ' || s.e), ',') AS sources
+  FROM missing GROUP BY ALL
+)
+SELECT m.job_id, m.url, CASE WHEN list_contains(states, 'failed') THEN 'download-failed' WHEN list_contains(states, 'skipped') THEN 'resource-skipped' ELSE 'missing-mapping' END AS reason, n, channels,
+  array_to_string(list_filter(['failed', 'skipped'], lambda x: list_contains(states, x)), ',') AS states, coalesce(array_to_string(codes, ','), '') AS error_codes, sources
+FROM summed m LEFT JOIN said USING (job_id, url)
+""")
+def agg_dependencies(spark, sf_dir):
+    """AGG-6, AGG-8, SORT-3: what was not saved, with the states and error codes of both its URLs and its first three sources (records derived from orders)."""
+    orders = table(spark, sf_dir, "orders")
+    records = orders.selectExpr(*[f"{e} AS {c}" for c, e in _RECORDS.items()], "CASE WHEN o_orderkey % 5 = 0 THEN concat('code', CAST(o_orderkey % 2 AS STRING)) END AS error", "o_orderkey")
+    channel = F.try_element_at(F.array(*map(F.lit, archives.CHANNELS)), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    references = records.select("job_id", channel.alias("channel"), F.concat(F.lit("pages/"), (F.col("o_orderkey") % 4).cast("string"), F.lit(".html")).alias("source_path"), F.col("o_orderkey").alias("element_no"), (F.col("o_orderkey") % 2).alias("part"), F.lit("src").alias("name"), F.col("original_url").alias("value"))
+    found = archives.dependencies(references, records, most=3)
+    shown = F.transform("sources", lambda s: F.concat_ws(" ", s["channel"], s["source_path"], s["element_no"].cast("string")))
+    return found.select("job_id", "url", "reason", "n", *[F.array_join(c, ",").alias(c) for c in ("channels", "states", "error_codes")], F.array_join(shown, ",").alias("sources"))
+
+
 @query("""
 WITH c AS (SELECT page_id AS file_id, html, unnest(range(0, greatest(strlen(html), 1), 1000)) AS "offset" FROM pages)
 SELECT file_id, "offset"::INT AS "offset", least(1000, strlen(html) - "offset")::INT AS n_bytes, "offset" + 1000 >= strlen(html) AS is_last FROM c

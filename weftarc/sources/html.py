@@ -10,7 +10,7 @@ from pyspark.sql.pandas.types import from_arrow_type
 from weftarc.functions.urls import with_url
 from weftarc.sources.html_tree import nodes
 
-_NUMBERS = ("start", "stop", "parent_no", "template_no", "depth", "text_start", "text_stop")
+_NUMBERS = ("start", "stop", "parent_no", "template_no", "depth", "text_start", "text_stop", "shadow_depth")
 _KIND = pa.list_(pa.struct([("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("in_svg", pa.bool_()), *[(n, pa.int32()) for n in _NUMBERS], ("closed", pa.bool_())]))
 
 
@@ -25,7 +25,8 @@ elements_of = elements_of.asNondeterministic()
 
 def elements(pages: DataFrame, templates: bool = False) -> DataFrame:
     """page_id, url, base_url, element_no (from 1, in the order of the tree), tag, attrs, text, in_svg, start and stop (of the start tag, in
-    characters), parent_no (0: the document), template_no, depth, text_start and text_stop (where ``text`` stands), closed (a tag that ends with />).
+    characters), parent_no (0: the document), template_no, depth, text_start and text_stop (where ``text`` stands), closed (a tag that ends with />),
+    shadow_depth (open shadow roots around; -1 in a template that is none).
 
     A row for each element of ``pages`` (page_id, url, html). Elements without a tag in the page have no start: html, head, body and
     tbody where they are left out, and what comes again after a formatting element was closed across others. What is in a template

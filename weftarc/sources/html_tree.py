@@ -847,17 +847,27 @@ class Tree:
 
 
 def nodes(page: str) -> list[dict]:
-    """The elements of a page in the order of its tree, with the number (from 1) of the parent and of the template around (0: none)."""
+    """The elements of a page in the order of its tree, with the number (from 1) of the parent and of the template around (0: none).
+
+    shadow_depth: how many open shadow roots (templates that declare one for their parent, the first of each) are around; -1 in any other template.
+    """
     out: list[dict] = []
-    todo = [(n, 0, 0, 1, False) for n in reversed(Tree(page).root.children)]
+    hosts: set[int] = set()
+    todo = [(n, 0, 0, 1, False, 0) for n in reversed(Tree(page).root.children)]
     while todo:
-        node, parent, template, depth, in_svg = todo.pop()
+        node, parent, template, depth, in_svg, shadow = todo.pop()
         in_svg = node.space == "svg" or (in_svg and node.space != "html")
         at = len(out) + 1
         out.append({
             "tag": node.tag, "attrs": list(node.attrs.items()), "text": node.text if node.tag != "textarea" else None, "in_svg": in_svg, "start": node.start, "stop": node.stop,
             "parent_no": parent, "template_no": template, "depth": depth, "text_start": node.text_start, "text_stop": node.text_stop, "closed": node.closed,
+            "shadow_depth": shadow,
         })
-        inside = at if node.tag == "template" and node.space == "html" else template
-        todo += [(c, at, inside, depth + 1, in_svg) for c in reversed(node.children)]
+        inside = template
+        if node.tag == "template" and node.space == "html":
+            inside = at
+            declares = shadow >= 0 and node.attrs.get("shadowrootmode", "").lower() in ("open", "closed") and parent not in hosts
+            shadow = shadow + 1 if declares and node.attrs["shadowrootmode"].lower() == "open" else -1
+            hosts |= {parent} if declares else set()
+        todo += [(c, at, inside, depth + 1, in_svg, shadow) for c in reversed(node.children)]
     return out
