@@ -114,3 +114,15 @@ def test_history_counters_and_chunks(spark):
     assert sorted(map(tuple, jobs.merged_counters(now, new, ["pages", "bytes"]).collect())) == [("a", 1, 9), ("b", 3, 4)]
     cut = archives.chunks(spark.createDataFrame([(1, b"abcde"), (2, b"")], "file_id long, data binary"), 2).orderBy("file_id", "offset").collect()
     assert [(r.file_id, r.offset, bytes(r.data), r.is_last) for r in cut] == [(1, 0, b"ab", False), (1, 2, b"cd", False), (1, 4, b"e", True), (2, 0, b"", True)]
+
+
+def test_a_new_name_can_meet_an_old_one(spark):
+    rows = [("http://h.example/a/x.png", "image"), ("http://h.example/b/x.png", "image"), *[(f"http://h.example/only{k}.png", "image") for k in range(5)]]
+    of = lambda rows: {(r.job_id, r.url): r for r in paths.path_mappings(spark.createDataFrame([(j, *r) for j in (1, None) for r in rows], "job_id long, url string, resource_type string"), ["job_id"]).collect()}
+    first = of(rows)
+    taken = first[1, "http://h.example/a/x.png"].file_name
+    got = of([*rows, (f"http://h.example/{taken}", "image")])
+    assert len({r.path.lower() for (j, _), r in got.items() if j == 1}) == 8 == len({r.path.lower() for (j, _), r in got.items() if j is None})
+    digits = {u: len(r.collision_hash or "") for (j, u), r in got.items() if j == 1}
+    assert digits == {**{u: 0 for u, _ in rows}, "http://h.example/a/x.png": paths.FIRST_DIGITS + paths.MORE_DIGITS, "http://h.example/b/x.png": paths.FIRST_DIGITS, f"http://h.example/{taken}": paths.FIRST_DIGITS}
+    assert {k: r.path for k, r in first.items() if "only" in k[1]} == {k: r.path for k, r in got.items() if "only" in k[1]}
