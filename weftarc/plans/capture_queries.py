@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from weftarc.functions import names, privacy, text
 from weftarc.functions.tables import table, written
 from weftarc.functions.urls import with_url
-from weftarc.operators import archives, csp, discovery, evidence, fetch, jobs, offline_pages, packages, policy, reports, rewrite, service_workers, zip_archives
+from weftarc.operators import archives, csp, discovery, evidence, fetch, jobs, offline_pages, packages, policy, reports, rewrite, service_workers, shapes, zip_archives
 from weftarc.plans.web_queries import _RICH_HTML, _TARGETS, _derived, _evidence, _sql
 from weftarc.sources.html import elements
 
@@ -216,6 +216,32 @@ def src_broken_archives(spark, sf_dir):
     return found.select("job_id", "path", "fault", F.octet_length("data").cast("long").alias("bytes"))
 
 
+# a manifest of each page, broken by its id: what is replaced, and the fault that this makes
+_SHAPED = (
+    ("", "", None, None), ('"version":1', '"version":2', "$.version", "out-of-range"), ('"count":2', '"count":3', "$.count", "differs"), ('"image"', '"font"', "$.resources[1].type", "not-a-choice"),
+    ('"ordinal":2', '"ordinal":5', "$.resources[1].ordinal", "not-dense"), ('"a.png"', '"/a.png"', "$.resources[1].path", "not-of-the-pattern"), ('"count":2,', "", "$.count", "missing"),
+    ('"count":2', '"count":2,"x":0', "$.x", "unknown-key"), ('"bytes":null', '"bytes":{}', "$.resources[1].bytes", "not-a-number"), ('{"version"', '[{"version"', "$", "not-json"), ('"cached":true', '"cached":1', "$.resources[1].cached", "not-a-flag"),
+)
+
+
+@query(f"""
+SELECT page_id AS job_id, CASE page_id % {len(_SHAPED)} {' '.join(f"WHEN {k} THEN '{path}'" for k, (_, _, path, _) in enumerate(_SHAPED) if path)} END AS path,
+  CASE page_id % {len(_SHAPED)} {' '.join(f"WHEN {k} THEN '{fault}'" for k, (_, _, path, fault) in enumerate(_SHAPED) if path)} END AS fault FROM pages WHERE page_id % {len(_SHAPED)} > 0
+UNION ALL SELECT page_id, '$.total_bytes', 'differs' FROM pages WHERE page_id % 7 = 3 AND page_id % {len(_SHAPED)} <> 9
+""")
+def flt_shape_faults(spark, sf_dir):
+    """FLT-11: manifests of every page held against their shape: keys, types, choices, patterns, dense numbers, and sums worked out again."""
+    pages = table(spark, sf_dir, "pages").withColumn("n", F.octet_length("html"))
+    said = F.col("n") + (F.col("page_id") % 7 == 3).cast("int")
+    document = F.concat(
+        F.lit('{"version":1,"count":2,"total_bytes":'), said.cast("string"), F.lit(',"resources":[{"ordinal":1,"path":"pages/'), F.col("page_id").cast("string"), F.lit('.html","type":"document","bytes":'), F.col("n").cast("string"),
+        F.lit('},{"ordinal":2,"path":"a.png","type":"image","bytes":null,"cached":true}]}'),
+    )
+    old, new = (F.try_element_at(F.array(*[F.lit(x[k]) for x in _SHAPED]), (F.col("page_id") % len(_SHAPED) + 1).cast("int")) for k in (0, 1))
+    document = F.replace(document, old, new)
+    return shapes.shape_faults(pages.select(F.col("page_id").alias("job_id"), document.alias("document")), shapes.MANIFEST, "document")
+
+
 _PLANNED = {
     "job_id": "o_custkey",
     "id": "CAST(o_orderkey AS STRING)",
