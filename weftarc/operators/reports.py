@@ -31,6 +31,23 @@ def change_counts(changes: DataFrame) -> DataFrame:
     return changes.groupBy("job_id").agg(F.countDistinct("document_path").alias("files_changed"), F.count(F.lit(1)).alias("total"), *counts)
 
 
+def sheet_changes(texts: DataFrame, rewritten: DataFrame, neutralised: bool = False) -> DataFrame:
+    """job_id, text_id, document_path, total, kind, reason, before, after, limitations of style sheets: the one change of each, if there is one.
+
+    ``texts``: as given to ``rewrite.rewrite_css``; ``rewritten``: what it gave, ``neutralised`` if it took references away. Sheets without a change
+    have nulls and no limitations.
+    """
+    both = texts.select("job_id", "text_id", F.col("source_path").alias("document_path"), F.col("text").alias("given")).join(rewritten, ["job_id", "text_id"])
+    changed = ~F.col("given").eqNullSafe(F.col("text"))
+    away = F.lit(neutralised) & (F.col("n_unmapped") > 0)
+    said = lambda c: F.when(changed, c)
+    return both.select(
+        "job_id", "text_id", "document_path", changed.cast("int").alias("total"), said(F.when(away, "uncaptured-resource-neutralization").otherwise("css-source-rewrite")).alias("kind"),
+        said(F.when(away, "prevent-offline-network-request").otherwise("point-to-saved-resource")).alias("reason"), said(F.col("given")).alias("before"), said(F.col("text")).alias("after"),
+        F.when(changed, F.array(F.lit("css-ast-regeneration-reported-at-source-level"))).otherwise(F.array().cast("array<string>")).alias("limitations"),
+    )
+
+
 def retained_counts(references: DataFrame) -> DataFrame:
     """job_id and a count for each of RETAINED of references (job_id, status, scheme) that stay as they are."""
     status, scheme = F.col("status"), F.col("scheme")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from weftarc.functions import names, privacy, text
 from weftarc.functions.tables import table, written
 from weftarc.functions.urls import with_url
-from weftarc.operators import archives, csp, discovery, evidence, fetch, jobs, offline_pages, packages, policy, reports, rewrite, service_workers, shapes, zip_archives
+from weftarc.operators import archives, csp, discovery, evidence, fetch, jobs, offline_pages, packages, policy, reports, rewrite, service_workers, shapes, store, zip_archives
 from weftarc.plans.web_queries import _RICH_HTML, _TARGETS, _derived, _evidence, _sql
 from weftarc.sources.html import elements
 
@@ -216,6 +216,63 @@ def src_broken_archives(spark, sf_dir):
     return found.select("job_id", "path", "fault", F.octet_length("data").cast("long").alias("bytes"))
 
 
+_RELATIONS = ("prefetch", "DNS-Prefetch", "preconnect x", "x prerender", "modulepreload", "next", "canonical", "")
+
+
+@query(f"""
+SELECT page_id, CASE WHEN page_id % 8 >= 5 THEN regexp_replace(html, '<a href="(/[A-Za-z]+)">', '<link rel="' || ['next', 'canonical', ''][(page_id % 8 - 4)::INT] || '" href="\\1"><a href="\\1">', 'g') ELSE html END AS html FROM pages
+""")
+def flt_speculative_links(spark, sf_dir):
+    """FLT-10: links that only fetch ahead are taken out of every page, others stay (links are put before the pages' own)."""
+    relation = F.try_element_at(F.array(*map(F.lit, _RELATIONS)), (F.col("page_id") % 8 + 1).cast("int"))
+    linked = F.regexp_replace("html", F.lit('<a href="(/[A-Za-z]+)">'), F.concat(F.lit('<link rel="'), relation, F.lit('" href="$1"><a href="$1">')))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", linked.alias("html"), F.lit(1).cast("long").alias("job_id"), F.lit("index.html").alias("source_path"), F.col("url").alias("base_url"))
+    saved = rewrite.lookup(spark.createDataFrame([], "job_id long, url string, aliases array<string>, path string"))
+    return offline_pages.rewrite_html(elements(pages), pages, saved).select("page_id", "html")
+
+
+_KEPT_JOBS = {
+    "id": "c_custkey",
+    "status": "CASE c_custkey % 5 WHEN 0 THEN 'completed' WHEN 1 THEN 'cancelled' WHEN 2 THEN 'failed' WHEN 3 THEN 'fetching' ELSE 'paused' END",
+    "updated_at": "CAST(c_custkey % 100 AS BIGINT)",
+}
+
+
+@query(f"""
+WITH j AS (SELECT {_sql(_KEPT_JOBS)} FROM customer), r AS (SELECT o_custkey AS job_id, count(*) AS n FROM orders GROUP BY 1), b AS (SELECT j.*, coalesce(n, 0) AS n_records FROM j LEFT JOIN r ON j.id = r.job_id)
+SELECT 'without-old' AS variant, id, status, n_records FROM b WHERE NOT (status IN ('completed', 'cancelled') AND updated_at < 40)
+UNION ALL SELECT 'without-history', id, status, n_records FROM b WHERE status IN ('fetching', 'paused')
+UNION ALL SELECT 'updated', id, CASE WHEN status = 'fetching' THEN 'rewriting' ELSE status END, n_records FROM b
+""")
+def sto_history(spark, sf_dir):
+    """STO-2: jobs and their records without old ones, without history, and with changed states (jobs are the customers, records their orders)."""
+    jobs_ = _derived(table(spark, sf_dir, "customer"), _KEPT_JOBS)
+    records = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("job_id"), F.col("o_orderkey").alias("id"))
+    changed = store.updated_jobs(jobs_, jobs_.filter("status = 'fetching'").select("id", F.lit("rewriting").alias("status")))
+    kept = {"without-old": store.without_old(jobs_, records, 40), "without-history": store.without_history(jobs_, records), "updated": (changed, records)}
+    out = None
+    for name, (left, of) in kept.items():
+        n = of.groupBy(F.col("job_id").alias("id")).agg(F.count(F.lit(1)).alias("n_records"))
+        rows = left.join(n, "id", "left").select(F.lit(name).alias("variant"), "id", "status", F.coalesce("n_records", F.lit(0)).alias("n_records"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("""
+WITH t AS (SELECT page_id AS text_id, page_id % 3 > 0 AS changed, 'p{background:url(/i/' || (page_id % 6) || '.png)} q{fill:url(/n' || page_id || '.svg)}' AS given FROM pages)
+SELECT text_id, 'css/' || text_id || '.css' AS document_path, changed::INT AS total, CASE WHEN changed THEN 'css-source-rewrite' END AS kind, CASE WHEN changed THEN 'point-to-saved-resource' END AS reason, CASE WHEN changed THEN given END AS before,
+  CASE WHEN changed THEN 'p{background:url("../assets/' || (text_id % 6) || '.png")} q{fill:url(/n' || text_id || '.svg)}' END AS after, CASE WHEN changed THEN 'css-ast-regeneration-reported-at-source-level' ELSE '' END AS limitations FROM t
+""")
+def agg_sheet_changes(spark, sf_dir):
+    """SNK-10: the report of a style sheet's one change (sheets derived from page ids; two of six images are not saved)."""
+    pages = table(spark, sf_dir, "pages")
+    given = F.concat(F.lit("p{background:url(/i/"), (F.col("page_id") % 6).cast("string"), F.lit(".png)} q{fill:url(/n"), F.col("page_id").cast("string"), F.lit(".svg)}"))
+    texts = pages.select(F.lit(1).cast("long").alias("job_id"), F.col("page_id").alias("text_id"), F.concat(F.lit("css/"), F.col("page_id").cast("string"), F.lit(".css")).alias("source_path"), F.lit("https://h.example.com/").alias("base_url"), given.alias("text"))
+    images = spark.range(6).filter("id % 3 > 0").select(F.lit(1).cast("long").alias("job_id"), F.concat(F.lit("https://h.example.com/i/"), F.col("id").cast("string"), F.lit(".png")).alias("url"), F.lit(None).cast("array<string>").alias("aliases"), F.concat(F.lit("assets/"), F.col("id").cast("string"), F.lit(".png")).alias("path"))
+    changes = reports.sheet_changes(texts, rewrite.rewrite_css(texts, rewrite.lookup(images)))
+    return changes.drop("job_id").withColumn("limitations", F.array_join("limitations", ","))
+
+
 # a manifest of each page, broken by its id: what is replaced, and the fault that this makes
 _SHAPED = (
     ("", "", None, None), ('"version":1', '"version":2', "$.version", "out-of-range"), ('"count":2', '"count":3', "$.count", "differs"), ('"image"', '"font"', "$.resources[1].type", "not-a-choice"),
