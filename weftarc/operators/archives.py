@@ -58,12 +58,12 @@ def record_faults(records: DataFrame, mappings: DataFrame) -> DataFrame:
     Faults: state, repeated-id, error (of a saved record), bytes, status, path, page-path (of another type), repeated-path, url,
     no-mapping; unsaved-path and no-error of records that are not saved; unused-mapping.
     """
-    saved = F.col("state") == "saved"
-    key = F.lower("path").alias("__key")
-    ids = records.groupBy("job_id", "id").count().filter("count > 1").select("job_id", "id", F.lit(True).alias("__same_id"))
-    paths = records.filter(saved).groupBy("job_id", key).count().filter("count > 1").select("job_id", "__key", F.lit(True).alias("__same_path"))
+    saved = F.coalesce(F.col("state") == "saved", F.lit(False))
+    # records without a path of their own share no key, so that none is in very many rows
+    key = F.when(saved & F.col("path").isNotNull(), F.lower("path")).otherwise(F.concat(F.lit("\0"), F.col("id").cast("string")))
     mapped = mappings.select("job_id", "path", F.lit(True).alias("__mapped")).distinct()
-    rows = records.withColumn("__key", F.lower("path")).join(ids, ["job_id", "id"], "left").join(paths, ["job_id", "__key"], "left").join(mapped, ["job_id", "path"], "left")
+    rows = records.withColumn("__key", key).withColumn("__same_path", saved & (F.count(F.lit(1)).over(Window.partitionBy("job_id", "__key")) > 1))
+    rows = rows.withColumn("__same_id", F.count(F.lit(1)).over(Window.partitionBy("job_id", "id")) > 1).join(mapped, ["job_id", "path"], "left")
     rows = with_url(with_url(rows, "original_url", "__o"), "final_url", "__f")
     page = (F.col("path") == "index.html") | F.col("path").startswith("pages/")
     bad_url = redacted_url(F.col("__o")).isNull() | (F.col("final_url").isNotNull() & redacted_url(F.col("__f")).isNull())
