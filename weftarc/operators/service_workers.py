@@ -1,17 +1,14 @@
 """Service workers kept out of archived pages: direct calls to register one are replaced, a guard denies all others.
 
-Scripts are read by a scan of calls outside strings and comments, not by a syntax tree: a regular expression
-that holds quotes may hide a call. What the scan does not see, the guard denies when the page runs.
+Scripts are read by their tokens, not as a syntax tree. What is called by another name, the guard denies when the page runs.
 
 Edge cases: null and empty pages stay as they are but for the guard. A page that has a guard gets a new one in
-its place. A call whose parentheses do not close leaves its script as it is (parse-error). Without a head the
+its place. A script in which brackets do not fit, or something does not end, stays as it is (parse-error). Without a head the
 guard stands before the first element that is neither html nor head.
 """
 
 from __future__ import annotations
 
-import re
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +17,7 @@ from pyspark.sql import types as T
 from weftarc.operators.policy import SCRIPT_TYPES
 from weftarc.operators.rewrite import SPANS, applied
 from weftarc.sources.html import elements
+from weftarc.sources.script_tokens import Token, tokens
 
 MARK = "data-archive-service-workers"
 DENY = "__denyServiceWorker__"
@@ -39,41 +37,53 @@ _OLD_GUARD = rf"(?is)<script\b[^>]*\b{MARK}\b[^>]*>.*?</script\s*>"
 LIMITS = ("external-script-runtime-guard-only", "dynamic-or-aliased-call-runtime-guard-only", "unparseable-inline-script-runtime-guard-only")
 
 
-def _member(name: str) -> str:
-    return rf"\s*(?:\??\.\s*{name}(?![\w$])|(?:\?\.\s*)?\[\s*['\"]{name}['\"]\s*\])"
+_GLOBALS = frozenset(("window", "self", "globalThis"))
 
 
-_QUIET = r"""//[^\n]*|/\*.*?(?:\*/|$)|(?P<q>["'`])(?:\\.|(?!(?P=q))[^\\])*(?P=q)"""
-_WORKERS = re.compile(rf"{_QUIET}|(?P<workers>(?<![\w$.])(?:navigator|(?:window|self|globalThis){_member('navigator')}){_member('serviceWorker')})", re.S)
-_REGISTER = re.compile(rf"{_member('register')}\s*(?:\?\.\s*)?\(")
-_BRACKETS = re.compile(rf"{_QUIET}|(?P<open>\()|(?P<close>\))", re.S)
+def _member(found: list[Token], k: int, name: str) -> int | None:
+    """The token after a member called ``name`` that begins with token ``k``: .name, ?.name, ["name"] or ?.["name"]."""
+    text = [t.text for t in found[k : k + 4]] + [""] * 4
+    if text[0] in (".", "?.") and text[1] == name:
+        return k + 2
+    at = 1 if text[0] == "?." else 0
+    if text[at] == "[" and text[at + 1] in (f'"{name}"', f"'{name}'") and text[at + 2] == "]":
+        return k + at + 3
+    return None
 
 
-def _call_end(text: str, at: int) -> int | None:
-    """Where the call ends whose arguments begin at ``at``; none if it does not."""
+def _call_end(found: list[Token], k: int) -> int:
+    """The token after the parenthesis that closes the one before token ``k``."""
     depth = 1
-    for m in _BRACKETS.finditer(text, at):
-        depth += (m["open"] is not None) - (m["close"] is not None)
-        if depth == 0:
-            return m.end()
-    return None
+    while depth:
+        depth += found[k].text in ("(", "[", "{") and found[k].kind == "mark"
+        depth -= found[k].text in (")", "]", "}") and found[k].kind == "mark"
+        k += 1
+    return k
 
 
 def registrations(text: str | None) -> dict:
-    """Calls that register a service worker (start, stop), how often service workers are named otherwise, and whether a call does not end."""
-    calls, others, at = [], 0, 0
-    while m := _WORKERS.search(text or "", at):
-        at = m.end()
-        if m["workers"] is None:
+    """Calls that register a service worker (start, stop), how often service workers are named otherwise, and whether the script's tokens do not fit."""
+    found = tokens(text or "")
+    if found is None:
+        return {"calls": [], "others": 0, "broken": True}
+    calls, others, k = [], 0, 0
+    while k < len(found):
+        begin, t = k, found[k]
+        k += 1
+        if t.kind != "name" or (begin and found[begin - 1].text in (".", "?.")):
+            continue
+        at = begin + 1 if t.text == "navigator" else _member(found, begin + 1, "navigator") if t.text in _GLOBALS else None
+        at = at and _member(found, at, "serviceWorker")
+        if not at:
             continue
-        head = _REGISTER.match(text, at)
-        end = _call_end(text, head.end()) if head else None
-        if head and end is None:
-            return {"calls": [], "others": 0, "broken": True}
-        others += head is None
-        if head:
-            calls.append({"start": m.start(), "stop": end})
-            at = end
+        called = _member(found, at, "register")
+        if called and called < len(found) and found[called].text == "?.":
+            called += 1
+        if called and called < len(found) and found[called].text == "(":
+            k = _call_end(found, called + 1)
+            calls.append({"start": t.start, "stop": found[k - 1].stop})
+        else:
+            others, k = others + 1, at
     return {"calls": calls, "others": others, "broken": False}
 
 
