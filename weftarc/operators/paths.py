@@ -28,8 +28,10 @@ def path_mappings(resources: DataFrame, scope: list[str] | None = None) -> DataF
     named = with_leaf_name(once.withColumn("directory", directory(F.col("u"), F.col("resource_type"))).withColumn("query_hash", query_hash(F.col("u"))), "u", "resource_type", "base_name")
     queried = F.when(F.col("query_hash").isNull(), F.col("base_name")).otherwise(with_suffix(F.col("base_name"), F.concat(F.lit("q-"), F.col("query_hash"))))
     identity = F.sha2(F.concat(F.col("resource_type"), F.lit("\0"), F.col("url")), 256)
-    named = named.drop("u").withColumn("queried", queried).withColumn("identity", identity)
-    named = written(named.withColumn("key", _key(F.col("queried"))), "path-names")
+    # written before names are made of names, else Spark would put the whole expression of one into the other, many times over
+    named = written(named.drop("u"), "path-names").withColumn("queried", queried).withColumn("identity", identity)
+    named = written(named, "path-queried").withColumn("key", _key(F.col("queried")))
+    named = written(named, "path-keys")
     renamed = _renamed(named, scope)
     if renamed is None:
         renamed = named.limit(0).select(*scope, "identity", F.lit(0).alias("digits"), F.col("queried").alias("file_name"))
