@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftarc.functions.batches import each
 from weftarc.operators.policy import SCRIPT_TYPES
 from weftarc.operators.rewrite import SPANS, applied
 from weftarc.sources.html import elements
@@ -92,7 +93,7 @@ _FOUND = pa.struct([("calls", pa.list_(pa.struct([("start", pa.int32()), ("stop"
 
 @F.arrow_udf(T.StructType([T.StructField("calls", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))), T.StructField("others", T.IntegerType()), T.StructField("broken", T.BooleanType())]))
 def registrations_of(text: pa.Array) -> pa.Array:
-    return pa.array([registrations(t) for t in text.to_pylist()], _FOUND)
+    return each(registrations, _FOUND, text)
 
 
 def script_kind(attrs: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
+from weftarc.functions.batches import each
 from weftarc.functions.urls import with_url
 from weftarc.sources.html_tree import nodes
 
@@ -16,7 +17,7 @@ _KIND = pa.list_(pa.struct([("tag", pa.string()), ("attrs", pa.map_(pa.string(),
 
 @F.arrow_udf(from_arrow_type(_KIND))
 def elements_of(html: pa.Array) -> pa.Array:
-    return pa.array([nodes(h or "") if h else [] for h in html.to_pylist()], _KIND)
+    return each(lambda h: nodes(h) if h else [], _KIND, html)
 
 
 # Else Spark would scan a page twice: once for its base, once for its elements.
