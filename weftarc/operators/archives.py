@@ -191,9 +191,11 @@ def uncaptured(references: DataFrame, saved: DataFrame, outcomes: DataFrame) ->
 
     ``saved``: job_id, url. ``outcomes``: job_id, url, state. The reason is failed, else skipped, else missing.
     """
-    known = with_url(references, "value", "u").filter(F.col("u.scheme").isin("http", "https")).withColumn("url", F.col("u.href"))
+    # a value is parsed once, however often it is referred to
+    once = references.groupBy("job_id", "channel", "value").agg(F.count(F.lit(1)).alias("n"))
+    known = with_url(once, "value", "u").filter(F.col("u.scheme").isin("http", "https")).withColumn("url", F.col("u.href"))
     missing = known.join(saved.select("job_id", "url").distinct(), ["job_id", "url"], "left_anti")
-    summed = missing.groupBy("job_id", "url").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("channel")), ",").alias("channels"))
+    summed = missing.groupBy("job_id", "url").agg(F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_set("channel")), ",").alias("channels"))
     states = outcomes.groupBy("job_id", "url").agg(F.bool_or(F.col("state") == "failed").alias("failed"), F.bool_or(F.col("state") == "skipped").alias("skipped"))
     reason = F.when(F.col("failed"), "failed").when(F.col("skipped"), "skipped").otherwise("missing")
     return summed.join(states, ["job_id", "url"], "left").select("job_id", "url", "n", "channels", reason.alias("reason"))
