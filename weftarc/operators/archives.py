@@ -211,7 +211,7 @@ MOST_SOURCES = 20
 def outcomes(records: DataFrame) -> DataFrame:
     """job_id, url, states, error_codes: what became of each URL, under its first address and the one it led to (both of each record)."""
     each = records.select("job_id", "state", "error", F.explode(F.array_distinct(F.array("original_url", "final_url"))).alias("given"))
-    known = with_url(each, "given", "u").filter(F.col("u.scheme").isin("http", "https"))
+    known = with_url(each.distinct(), "given", "u").filter(F.col("u.scheme").isin("http", "https"))
     return known.groupBy("job_id", F.col("u.href").alias("url")).agg(F.collect_set("state").alias("states"), F.array_sort(F.collect_set("error")).alias("error_codes"))
 
 
@@ -223,13 +223,14 @@ def dependencies(references: DataFrame, records: DataFrame, most: int = MOST_SOU
     them by channel, document, element and part. States and channels are in their fixed orders; of repeated references each counts.
     """
     said = outcomes(records)
-    known = with_url(references, "value", "u").filter(F.col("u.scheme").isin("http", "https")).withColumn("url", F.col("u.href"))
+    # a value is parsed once, however often it is referred to
+    known = with_url(references.select("job_id", "value").distinct(), "value", "u").filter(F.col("u.scheme").isin("http", "https")).withColumn("url", F.col("u.href"))
     gone = said.filter(F.array_contains("states", "saved")).select("job_id", "url")
-    missing = known.join(gone, ["job_id", "url"], "left_anti")
+    missing = references.join(known.join(gone, ["job_id", "url"], "left_anti").select("job_id", "value", "url"), ["job_id", "value"])
     rank = F.array_position(F.array(*map(F.lit, CHANNELS)), F.col("channel"))
     source = F.struct(rank.alias("rank"), "source_path", F.coalesce("element_no", F.lit(0)).alias("element_no"), "part", F.coalesce("name", F.lit("")).alias("name"), "value", "channel")
     rows = missing.select("job_id", "url", "channel", source.alias("s"))
-    summed = rows.groupBy("job_id", "url").agg(F.count(F.lit(1)).alias("n"), F.collect_set("channel").alias("found"))
+    summed = rows.groupBy("job_id", "url", "channel").agg(F.count(F.lit(1)).alias("n")).groupBy("job_id", "url").agg(F.sum("n").alias("n"), F.collect_set("channel").alias("found"))
     # Spark keeps the first few of each URL before it shuffles
     first = rows.withColumn("k", F.row_number().over(Window.partitionBy("job_id", "url").orderBy("s"))).filter(F.col("k") <= most)
     listed = first.groupBy("job_id", "url").agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: F.struct(s["channel"], s["source_path"], s["element_no"], s["part"], s["name"], s["value"])).alias("sources"))
