@@ -14,14 +14,20 @@ PIECE_BYTES = 1 << 18
 _ROW_BYTES = 256
 
 
+def _lengths(column: pa.Array) -> np.ndarray:
+    listed = pa.types.is_nested(column.type)
+    n = pc.fill_null(pc.list_value_length(column) if listed else pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return n * _ROW_BYTES if listed else n
+
+
 def pieces(columns: tuple[pa.Array, ...], size: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
-    """First row and number of rows of each piece of ``columns`` (texts)."""
-    sizes = sum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns) + _ROW_BYTES
+    """First row and number of rows of each piece of ``columns`` (texts, or lists of what has about _ROW_BYTES)."""
+    sizes = sum((_lengths(c) for c in columns), np.full(len(columns[0]), _ROW_BYTES))
     first = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // size, prepend=-1))
     return zip(first.tolist(), np.diff(first, append=len(sizes)).tolist(), strict=True)
 
 
 def each(f: Callable, kind: pa.DataType, *columns: pa.Array) -> pa.Array:
-    """``f`` of the texts of each row of ``columns``, as an array of ``kind``."""
+    """``f`` of the values of each row of ``columns``, as an array of ``kind``."""
     done = [pa.array([f(*values) for values in zip(*(c.slice(at, n).to_pylist() for c in columns), strict=True)], kind) for at, n in pieces(columns)]
     return pa.concat_arrays(done) if done else pa.array([], kind)

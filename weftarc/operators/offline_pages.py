@@ -15,10 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftarc.functions.tables import written
 from weftarc.operators.csp import POLICY_HEADERS
 from weftarc.operators.discovery import SVG_STYLES, SVG_TAGS, resource_attributes
 from weftarc.operators.policy import is_executable_script, is_speculative_link, is_tracking_script, kept_attributes
-from weftarc.operators.rewrite import NEUTRAL, SPANS, applied, dotted, good_descriptor, outermost, resolved
+from weftarc.operators.rewrite import NEUTRAL, SPANS, applied, dotted, good_descriptor, resolved, spliced
 from weftarc.operators.service_workers import DENIED, GUARD, registrations_of, script_kind
 from weftarc.sources.text_scans import css_references, javascript_references, srcset_candidates
 
@@ -85,7 +86,7 @@ def rewrite_html(
     the head; with ``guard`` calls that register one are replaced. ``freeze_scripts`` makes executable scripts inert, ``freeze_tracking``
     only those that track. ``neutralise``: direct references without a resource are removed, others load nothing.
     """
-    found = found.drop("base_url").filter("start is not null")  # the pages' own base is taken
+    found = written(found.drop("base_url").filter("start is not null"), "elements")  # the pages' own base is taken; the tree is read twice
     info = pages.select("page_id", "job_id", "source_path", "base_url")
     tag, attrs = F.col("tag"), F.col("attrs")
     frozen = is_executable_script(tag, attrs) if freeze_scripts else is_tracking_script(tag, attrs, F.col("text")) if freeze_tracking else F.lit(False)
@@ -118,8 +119,9 @@ def rewrite_html(
     if guard:
         rows = rows.withColumn("__calls", registrations_of(F.when((tag == "script") & script_kind(attrs).startswith("inline") & ~frozen, F.col("text")))["calls"])
         calls = F.transform("__calls", lambda c: F.struct(c["start"].alias("start"), c["stop"].alias("stop"), F.lit(DENIED).alias("new")))
-        inner = outermost(F.array_sort(F.concat(F.coalesce(calls, F.array().cast(SPANS)), inner)))
-    in_text = F.when(F.size(inner) > 0, applied(F.col("text"), inner))
+        inner = F.concat(F.coalesce(calls, F.array().cast(SPANS)), inner)
+    rows = rows.withColumn("__inner", inner).withColumn("__text", spliced(F.when(F.size("__inner") > 0, F.col("text")), "__inner")).withColumn("__merged", merged)
+    in_text, merged = F.col("__text"), F.col("__merged")
     in_text = F.when(F.col("in_svg"), F.replace(F.replace(in_text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))).otherwise(in_text)
     in_tag = F.when(gone, "").when(F.map_entries(merged) != F.map_entries(attrs), start_tag(tag, merged, F.col("closed")))
     span = lambda start, stop, text: F.when(text.isNotNull(), F.struct(start.alias("start"), stop.alias("stop"), text.alias("new")))
@@ -133,7 +135,7 @@ def rewrite_html(
     if install:
         at = F.coalesce("head", "first")
         spans = F.when(at.isNull(), spans).otherwise(F.concat(spans, F.array(F.struct(at.alias("start"), at.alias("stop"), F.lit(install).alias("new")))))
-    return joined.select("page_id", applied(F.col("html"), outermost(F.array_sort(spans))).alias("html"), *[F.coalesce(n, F.lit(0)).alias(n) for n in summed])
+    return joined.select("page_id", spliced("html", spans).alias("html"), *[F.coalesce(n, F.lit(0)).alias(n) for n in summed])
 
 
 def _quoted(value: str) -> str:

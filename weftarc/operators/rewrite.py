@@ -6,9 +6,12 @@ a text's spans are applied at once.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from weftarc.functions.batches import each
 from weftarc.functions.names import relative_path
 from weftarc.functions.urls import with_url
 from weftarc.sources.text_scans import css_references, javascript_references, srcset_candidates
@@ -76,6 +79,30 @@ def applied(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, F.concat(F.array_join(before, ""), F.substring(text, last + 1, F.length(text)))).otherwise(text)
 
 
+def merged_text(text: str | None, spans: list[dict] | None) -> str | None:
+    """``text`` with the outermost of ``spans``, in any order, replaced by their new texts; goes through the text once."""
+    if text is None or not spans:
+        return text
+    kept: list[dict] = []
+    for s in sorted(spans, key=lambda s: (s["start"], s["stop"], s["new"])):
+        last = kept[-1] if kept else None
+        if last and s["start"] == last["start"] and s["stop"] > last["stop"] > last["start"]:
+            kept[-1] = s
+        elif not last or s["start"] >= last["stop"]:
+            kept.append(s)
+    parts, at = [], 0
+    for s in kept:
+        parts += (text[at : s["start"]], s["new"])
+        at = s["stop"]
+    return "".join(parts) + text[at:]
+
+
+@F.arrow_udf(T.StringType())
+def spliced(text: pa.Array, spans: pa.Array) -> pa.Array:
+    """``applied`` of ``outermost``, for texts of many spans: columns would go through a text, and merge its spans, once for each span."""
+    return each(merged_text, pa.string(), text, spans)
+
+
 def _spans() -> Column:
     row = F.struct(F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"), F.col("new"))
     return F.array_sort(F.collect_list(F.when(F.col("new").isNotNull(), row))).alias("spans")
@@ -85,7 +112,7 @@ def _rewritten(texts: DataFrame, references: DataFrame, saved: DataFrame, new: C
     done = resolved(references, saved, neutralise).withColumn("new", F.when(F.col("replacement").isNotNull(), new))
     per_text = done.groupBy("job_id", "text_id").agg(_spans(), F.count_if(F.col("status") == "rewritten").alias("n_rewritten"), F.count_if(F.col("status") == "unmapped").alias("n_unmapped"))
     joined = texts.join(per_text, ["job_id", "text_id"], "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
-    return joined.select("job_id", "text_id", applied(F.col("text"), F.col("spans")).alias("text"), F.coalesce("n_rewritten", F.lit(0)).alias("n_rewritten"), F.coalesce("n_unmapped", F.lit(0)).alias("n_unmapped"))
+    return joined.select("job_id", "text_id", spliced("text", "spans").alias("text"), F.coalesce("n_rewritten", F.lit(0)).alias("n_rewritten"), F.coalesce("n_unmapped", F.lit(0)).alias("n_unmapped"))
 
 
 TEXT = ("job_id", "text_id", "source_path", "base_url")
