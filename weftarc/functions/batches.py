@@ -29,5 +29,16 @@ def pieces(columns: tuple[pa.Array, ...], size: int = PIECE_BYTES) -> Iterator[t
 
 def each(f: Callable, kind: pa.DataType, *columns: pa.Array) -> pa.Array:
     """``f`` of the values of each row of ``columns``, as an array of ``kind``."""
-    done = [pa.array([f(*values) for values in zip(*(c.slice(at, n).to_pylist() for c in columns), strict=True)], kind) for at, n in pieces(columns)]
+    done = list(_done(f, kind, columns))
     return pa.concat_arrays(done) if done else pa.array([], kind)
+
+
+def handed_on(f: Callable, kind: pa.DataType, batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    """The same of batches of columns, one after the other; each piece is handed on when it is done, so that the result of a whole batch is never there."""
+    for columns in batches:
+        yield from _done(f, kind, columns)
+
+
+def _done(f: Callable, kind: pa.DataType, columns: tuple[pa.Array, ...]) -> Iterator[pa.Array]:
+    for at, n in pieces(columns):
+        yield pa.array([f(*values) for values in zip(*(c.slice(at, n).to_pylist() for c in columns), strict=True)], kind)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
-from weftarc.functions.batches import each
+from weftarc.functions.batches import each, handed_on
 from weftarc.functions.urls import with_url
 from weftarc.sources.html_tree import nodes
 
@@ -15,13 +17,23 @@ _NUMBERS = ("start", "stop", "parent_no", "template_no", "depth", "text_start",
 _KIND = pa.list_(pa.struct([("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("in_svg", pa.bool_()), *[(n, pa.int32()) for n in _NUMBERS], ("closed", pa.bool_())]))
 
 
+def _nodes(html: str | None) -> list[dict]:
+    return nodes(html) if html else []
+
+
 @F.arrow_udf(from_arrow_type(_KIND))
 def elements_of(html: pa.Array) -> pa.Array:
-    return each(lambda h: nodes(h) if h else [], _KIND, html)
+    return each(_nodes, _KIND, html)
+
+
+@F.arrow_udf(from_arrow_type(_KIND))
+def elements_in_turn(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """``elements_of``, handed on in pieces: elements take several times the memory of their page."""
+    return handed_on(_nodes, _KIND, ((html,) for html in batches))
 
 
 # Else Spark would scan a page twice: once for its base, once for its elements.
-elements_of = elements_of.asNondeterministic()
+elements_of, elements_in_turn = elements_of.asNondeterministic(), elements_in_turn.asNondeterministic()
 
 
 def elements(pages: DataFrame, templates: bool = False) -> DataFrame:
@@ -35,7 +47,7 @@ def elements(pages: DataFrame, templates: bool = False) -> DataFrame:
     style and script. base_url: of the first usable base element, else the page's URL; every element carries it, so that
     nothing has to be joined or scanned again for it. A null or empty page has no elements.
     """
-    scanned = pages.select("page_id", "url", elements_of("html").alias("found"))
+    scanned = pages.select("page_id", "url", elements_in_turn("html").alias("found"))
     based = F.filter("found", lambda e: (e["tag"] == "base") & (e["template_no"] == 0) & e["attrs"]["href"].isNotNull())
     scanned = with_url(scanned.withColumn("href", F.get(based, F.lit(0))["attrs"]["href"]), "href", "b", "url").withColumn("base_url", F.coalesce("b.href", "url"))
     rows = scanned.select("page_id", "url", "base_url", F.posexplode("found").alias("at", "e")).select("page_id", "url", "base_url", (F.col("at") + 1).alias("element_no"), "e.*")
