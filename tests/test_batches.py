@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weftarc.functions.batches import each, handed_on, pieces
 from weftarc.functions.urls import parsed
+from weftarc.operators.rewrite import spliced
 from weftarc.sources.html import elements, elements_in_turn, elements_of
 
 PAGE = "<title>t</title><style>p{margin:0}</style><ul>" + '<li class="x"><a href="/way">word</a></li>' * 100
@@ -70,3 +71,11 @@ def test_pages_are_read_in_pieces(spark):
     got = {r.page_id: r.n for r in found.filter("tag = 'li'").groupBy("page_id").agg(F.count("*").alias("n")).collect()}
     assert got == {k: 100 * (k % 3) for k in range(300) if k % 3}
     assert elements(pages.filter("page_id < 0")).count() == 0
+
+
+def test_spliced_texts_of_a_batch_are_not_held_at_once():
+    texts, span = pa.array([PAGE, None] * 1500), pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("new", pa.string())])
+    spans = pa.array([[{"start": 0, "stop": 7, "new": "<b>"}], None] * 1500, pa.list_(span))
+    rows, most = most_held(spliced.func(iter([(texts, spans)] * 2)))
+    assert rows == 6000 and most < texts.nbytes / 8, (most, texts.nbytes)
+    assert pa.concat_arrays(spliced.func(iter([(texts, spans)]))).to_pylist() == ["<b>" + PAGE[7:], None] * 1500

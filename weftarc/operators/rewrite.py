@@ -6,12 +6,14 @@ a text's spans are applied at once.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftarc.functions.batches import each
+from weftarc.functions.batches import handed_on
 from weftarc.functions.names import relative_path
 from weftarc.functions.urls import with_url
 from weftarc.sources.text_scans import css_references, javascript_references, srcset_candidates
@@ -98,9 +100,9 @@ def merged_text(text: str | None, spans: list[dict] | None) -> str | None:
 
 
 @F.arrow_udf(T.StringType())
-def spliced(text: pa.Array, spans: pa.Array) -> pa.Array:
-    """``applied`` of ``outermost``, for texts of many spans: columns would go through a text, and merge its spans, once for each span."""
-    return each(merged_text, pa.string(), text, spans)
+def spliced(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """``applied`` of ``outermost`` (text, spans), for texts of many spans: columns would go through a text, and merge its spans, once for each span."""
+    return handed_on(merged_text, pa.string(), batches)
 
 
 def _spans() -> Column:
